@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_path
-from . import bpe, dac, exact, mixing
+from . import bpe, cascade, cpsjoin, dac, exact, licence, mixing, quality, substring, vamana
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,17 +24,63 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+    return rows.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
     dac.write_tokens(table(spark, sf_dir, "documents"), partial(bpe.from_json, public_tokenizers.path("byte_bpe_50k.json")), path)
     return dac.read_tokens(spark, path)
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cpsjoin.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
     return exact.progressive_dedup(docs, carry=["doc_id", "text_sha256"]).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vamana.search_index(vamana.build_index(vectors), vectors.filter("vec_id % 50 = 0"))
+
+
+def op7_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cascade.judge_urls(table(spark, sf_dir, "pages"))
+
+
+OP7_SQL = r"""
+WITH h AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', ['host', 'path']) AS x FROM pages),
+p AS (SELECT page_id, translate(x.host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, x.path AS path FROM h),
+r AS (SELECT *, split_part(rule, '/', 1) AS own, substr(rule, strpos(rule, '/')) AS start FROM (VALUES ('allow', 'org/'),
+      ('block', 'example.org/es/'), ('block', 'example.org/en/1'), ('allow', 'com/fr/'), ('block', 'com/de/')) v(verdict, rule)),
+m AS (SELECT page_id, host, path, rule, verdict, length(rule) AS n FROM p LEFT JOIN r
+      ON (host = own OR ends_with(host, '.' || own)) AND starts_with(path, start))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM m QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY n DESC) = 1
+"""
+
+
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = licence.scan_licences(table(spark, sf_dir, "documents"))
+    own = F.transform(F.filter("spans", lambda s: s["coverage"] >= 0.6), lambda s: s["label"])
+    base = F.transform("places", lambda p: p["label"])
+    starts = F.transform("places", lambda p: p["first"])
+    return rows.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        F.concat_ws(",", F.array_sort(F.array_distinct(base))).alias("base_labels"), F.concat_ws(",", F.array_sort(F.array_union(base, own))).alias("labels"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["coverage"])), F.lit(0.0)).alias("score"),
+    )
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify_quality(table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
 OP5_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
        sha256(coalesce(text, '')) AS text_sha256
@@ -69,8 +115,8 @@ FROM d JOIN m USING (doc_id), LATERAL (SELECT unnest(range(m.n_copies)) AS copy)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op3_token_files, op5_exact_dedup, op8_poisson_mix)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_substring_dedup, op3_token_files, op4_ngram_join, op5_exact_dedup, op6_graph_neighbours, op7_url_cascade, op8_poisson_mix, op9_licence_scan, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL, "op8_poisson_mix": OP8_SQL}
+    return {"op5_exact_dedup": OP5_SQL, "op7_url_cascade": OP7_SQL, "op8_poisson_mix": OP8_SQL}
