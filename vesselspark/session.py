@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import math
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,9 +44,12 @@ def drop_written(spark: SparkSession, *tables: DataFrame) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of DataFrames that are out of use; else they stay until the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark's cleaner delete the shuffle files of DataFrames that are out of use; else they stay until the driver happens to collect
+    its garbage. The first round lets go of the Python side's handles, the second of what only they held."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def maybe_broadcast(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
