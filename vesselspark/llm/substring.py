@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import free_shuffles, parts_for, written
+from ..session import drop_written, free_shuffles, parts_for, written
 from .text import Words, pack, slices, unpack, utf8
 
 #: Windows and documents that a bucket holds on average. Buckets grow in number with the table, not in size.
@@ -66,8 +66,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     1. Anchors. Blocks of window // 2 words at whole multiples of that length are the index, all rolling windows of that
        length the probes: any repeat of `window` words holds a whole block on either side. Hashes meet by bucket as
        packed columns; places whose hash comes twice, once as a block, are hits. 2. Extension. Windows of `window` words around hits get
-       128-bit hashes; those that come first by (id, word) stay, the others are repeats, and overlapping ones make up the
-       maximal repeats. Hash equality stands for word equality (128 bits). 3. Each document's removed words are cut out.
+       96-bit hashes; those that come first by (id, word) stay, the others are repeats, and overlapping ones make up the
+       maximal repeats. Hash equality stands for word equality (96 bits, compared within a bucket only). 3. Each document's removed words are cut out.
     """
     block = window // 2
     out = (lambda data: hashlib.sha256(data).hexdigest()) if digest else bytes.decode
@@ -97,8 +97,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
         none = np.zeros(len(at), np.uint8)
         return pa.Table.from_batches([packed(doc_buckets(doc[at], parts), doc[at], place[at], none, none)])
 
-    probes = rows.mapInArrow(probe, PACKED)
-    hits = probes.groupBy("bucket").applyInArrow(meet, PACKED)
+    hits = written(rows.mapInArrow(probe, PACKED).groupBy("bucket").applyInArrow(meet, PACKED), "hits")
+    free_shuffles(spark)
     part = F.pmod("doc", F.lit(parts)).cast("int")
     out_names = ["kind", "doc", "text", "n_words", *NAMES]
 
@@ -125,7 +125,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
                 own = some[where]
                 where, h1 = where[own], h1[own]
                 _, h2 = words.windows(words.hashes(2), window, 2)
-                h2 = h2[own]
+                h2 = (h2[own] >> np.uint64(32)).astype(np.uint32)
                 again[words.doc[where]] = True
                 piece = packed((h1 % np.uint64(buckets)).astype(np.int32), ids[words.doc[where]], words.pos[where], h1, h2)
                 pieces.append(pa.table({"kind": pa.array(["windows"] * piece.num_rows, pa.string()), "doc": pa.nulls(piece.num_rows, pa.int64()), "text": pa.nulls(piece.num_rows, pa.string()), "n_words": pa.nulls(piece.num_rows, pa.int64())} | dict(zip(NAMES, piece.columns, strict=True))))
@@ -136,11 +136,12 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
 
     state = rows.withColumn("bucket", part).groupBy("bucket").cogroup(hits.groupBy("bucket")).applyInArrow(extend, f"kind string, doc long, text string, n_words long, {PACKED}")
     state = written(state, "state")
-    del probes, hits
+    drop_written(spark, hits)
+    del hits
     free_shuffles(spark)
 
     def judge(table: pa.Table) -> pa.Table:
-        doc, place, h1, h2 = unpacked(table, np.uint64, np.uint64)
+        doc, place, h1, h2 = unpacked(table, np.uint64, np.uint32)
         order = np.lexsort((place, doc, h2, h1))
         doc, place, h1, h2 = doc[order], place[order], h1[order], h2[order]
         first = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
