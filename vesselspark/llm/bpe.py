@@ -1,4 +1,7 @@
-"""Byte-level BPE over Arrow batches with the tokenizers library: encoding with offsets, and decoding through the reversed byte table."""
+"""Byte-level BPE over Arrow batches with the tokenizers library: encoding with offsets, and decoding through the reversed byte table.
+
+Words are those of the pattern of the byte-level vocabularies here: endings of contractions, runs of letters, numbers or others with one space before, and white space.
+"""
 
 from __future__ import annotations
 
@@ -8,16 +11,22 @@ import os
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .text import slices
+from .text import finish, powers, slices
 
-#: Most words whose ids a worker remembers, and the longest word it remembers.
-CACHE_WORDS, CACHE_CHARS = 400_000, 48
+#: Most distinct words whose ids a worker remembers, and slots of its table.
+MOST_WORDS, SLOTS = 1_200_000, 1 << 21
+#: Classes of characters as the word pattern knows them.
+OTHER, LETTER, NUMBER, SPACE = range(4)
+#: White space beside ASCII's, and what an apostrophe at a word's start takes along.
+WIDE_SPACES = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SHORT_ENDINGS, LONG_ENDINGS = "stmd", ("re", "ve", "ll")
 
 
 def byte_to_char() -> dict[int, str]:
@@ -29,17 +38,106 @@ def byte_to_char() -> dict[int, str]:
     return table
 
 
+@lru_cache(1)
+def classes() -> np.ndarray:
+    """The class of each code point. For characters that this Python's Unicode tables lack, the tokenizers library is asked: it knows some as letters or numbers, the rest are OTHER, like symbols."""
+    import regex
+    from tokenizers import pre_tokenizers
+
+    first = {"L": LETTER, "N": NUMBER}
+    names = [unicodedata.category(chr(k)) for k in range(0x110000)]
+    table = np.array([first.get(n[0], OTHER) for n in names], np.uint8)
+    newer = regex.findall(r"[\p{L}\p{N}]", "".join(chr(k) for k, n in enumerate(names) if n == "Cn"))
+    for kind, before in ((LETTER, "b"), (NUMBER, "7")):
+        cut = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str("".join(f"{before}{x} " for x in newer))
+        ends = {end for _, (_, end) in cut}
+        for k, x in enumerate(newer):
+            # no cut between the letter or number and the character
+            if 3 * k + 1 not in ends:
+                table[ord(x)] = kind
+    table[[0x20, *range(0x09, 0x0E), *map(ord, WIDE_SPACES)]] = SPACE
+    return table
+
+
+def word_starts(points: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Whether a word starts at each code point of texts that begin at `begin`: words are runs of letters, numbers or other characters, with a
+    space before them if there is one, endings such as 's, and what white space is left, all but its last character together."""
+    kind = classes()[points]
+    start = np.ones(len(points), bool)
+    start[1:] = kind[1:] != kind[:-1]
+    first = np.zeros(len(points) + 1, bool)
+    first[begin] = True
+    start |= first[:-1]
+    # a white space run's last character: alone, or with the word after it if it is a space
+    after = np.flatnonzero((kind[1:] != SPACE) & (kind[:-1] == SPACE) & ~first[1:-1]) + 1
+    start[after - 1] = True
+    start[after[points[after - 1] == 0x20]] = False
+    quote = np.flatnonzero(start & (points == 0x27))
+    if len(quote):
+        tail = np.append(points, [0, 0, 0])
+        last = np.append(begin[np.searchsorted(begin, quote, "right") % len(begin)], 0)[:-1]
+        last = np.where(np.searchsorted(begin, quote, "right") < len(begin), last, len(points))
+        one = np.isin(tail[quote + 1], list(map(ord, SHORT_ENDINGS))) & (quote + 1 < last)
+        two = np.zeros(len(quote), bool)
+        for a, b in LONG_ENDINGS:
+            two |= (tail[quote + 1] == ord(a)) & (tail[quote + 2] == ord(b)) & (quote + 2 < last)
+        start[quote[one | two] + 1] = False
+        for at in (quote[one] + 2, quote[two] + 3):
+            start[at[at < len(points)]] = True
+    return start
+
+
+class IdTable:
+    """A hash table of words' ids in arrays: keys of 64 and 32 bits, and where a word's ids stand in a pool."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.key, self.check = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint32)
+        self.at, self.length = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int32)
+        self.pool, self.used, self.n = np.zeros(1 << 20, np.uint32), 0, 0
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The slot of each key, -1 if it has none."""
+        out = np.full(len(key), -1)
+        slot, live = (key >> np.uint64(43)).astype(np.int64), np.arange(len(key))
+        while len(live):
+            own = self.key[slot]
+            hit = (own == key[live]) & (self.check[slot] == check[live])
+            out[live[hit]] = slot[hit]
+            on = ~hit & (own != 0)
+            live, slot = live[on], (slot[on] + 1) & (SLOTS - 1)
+        return out
+
+    def add(self, key: np.ndarray, check: np.ndarray, ids: list[list[int]]) -> None:
+        """Adds distinct keys that are not there."""
+        sizes = np.array([len(i) for i in ids])
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(flat)] = flat
+        at = self.used + np.cumsum(sizes) - sizes
+        self.used, self.n = self.used + len(flat), self.n + len(key)
+        slot, live = (key >> np.uint64(43)).astype(np.int64), np.arange(len(key))
+        while len(live):
+            free = self.key[slot] == 0
+            self.key[slot[free]], self.check[slot[free]] = key[live[free]], check[live[free]]
+            placed = free & (self.key[slot] == key[live]) & (self.check[slot] == check[live])
+            self.at[slot[placed]], self.length[slot[placed]] = at[live[placed]], sizes[live[placed]]
+            live, slot = live[~placed], (slot[~placed] + 1) & (SLOTS - 1)
+
+
 class WordBpe:
-    """A byte-level tokenizer that is asked once for each distinct word; words are the matches of a pattern, which BPE never joins."""
+    """A byte-level tokenizer that is asked once for each distinct word; BPE never joins words. Words are cut, hashed and looked up as arrays."""
 
-    def __init__(self, tokenizer, pattern: str):
-        import regex
+    def __init__(self, tokenizer):
         from tokenizers import pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         tokenizer.encode_special_tokens = True
-        self.tokenizer, self.find, self.cache = tokenizer, regex.compile(pattern).findall, {}
+        self.tokenizer, self.table = tokenizer, IdTable()
         back = {c: b for b, c in byte_to_char().items()}
         vocab = tokenizer.get_vocab()
         self.bytes = [b""] * (max(vocab.values()) + 1)
@@ -47,35 +145,44 @@ class WordBpe:
             self.bytes[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
         self.lengths = np.array([len(b) for b in self.bytes])
 
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        encoded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return {w: np.array(e.ids, np.uint32).tobytes() for w, e in zip(words, encoded, strict=True)}
-
-    def words(self, texts: list[str]) -> list[list[str]]:
-        """The pattern's matches. Characters that Unicode has not assigned count as symbols, whatever this pattern engine's own tables say."""
-        odd = [ord(c) for c in set().union(*texts) if unicodedata.category(c) == "Cn"]
-        if not odd:
-            return list(map(self.find, texts))
-        found, symbols = [], dict.fromkeys(odd, "\N{REPLACEMENT CHARACTER}")
-        for text in texts:
-            ends = np.cumsum([0, *map(len, self.find(text.translate(symbols)))]).tolist()
-            found.append([text[a:b] for a, b in zip(ends, ends[1:], strict=False)])
-        return found
+    def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, end of each text's ids); null counts as empty."""
+        sizes = np.array([len(t or "") for t in texts], np.int64)
+        text = "".join(t for t in texts if t)
+        if not text:
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        ends = np.cumsum(sizes)
+        begin = np.unique((ends - sizes)[sizes > 0])
+        start = word_starts(points, begin)
+        first = np.flatnonzero(start)
+        word = np.cumsum(start) - 1
+        place = np.arange(len(points)) - first[word]
+        power = powers(int(place.max()) + 1, 7)[place]
+        coded = points.astype(np.uint64) + np.uint64(1)
+        size = np.diff(np.append(first, len(points)))
+        key = np.maximum(finish(np.add.reduceat(coded * power, first)), np.uint64(1))
+        check = np.add.reduceat(coded.astype(np.uint32) * ((power >> np.uint64(32)).astype(np.uint32) | np.uint32(1)), first, dtype=np.uint32) + size.astype(np.uint32)
+        slot = self.table.find(key, check)
+        if (slot < 0).any():
+            if self.table.n + int((slot < 0).sum()) > MOST_WORDS:
+                self.table.clear()
+                slot[:] = -1
+            lost = np.flatnonzero(slot < 0)
+            _, at = np.unique(key[lost], return_index=True)
+            new = lost[at]
+            words = [text[a : a + n] for a, n in zip(first[new].tolist(), size[new].tolist(), strict=True)]
+            self.table.add(key[new], check[new], [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)])
+            slot[lost] = self.table.find(key[lost], check[lost])
+        length = self.table.length[slot].astype(np.int64)
+        total = np.cumsum(length)
+        ids = self.table.pool[np.repeat(self.table.at[slot] - total + length, length) + np.arange(int(total[-1]))]
+        return ids, np.append(0, total)[np.searchsorted(first, ends, "left")]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text; null counts as empty."""
-        found = self.words([t or "" for t in texts])
-        missing = set().union(*found).difference(self.cache)
-        if len(self.cache) + len(missing) > CACHE_WORDS:
-            self.cache.clear()
-            missing = set().union(*found)
-        new = self.learn(list(missing)) if missing else {}
-        self.cache.update(new)
-        ids = [np.frombuffer(b"".join(map(self.cache.__getitem__, f)), np.uint32) for f in found]
-        for w in new:
-            if len(w) > CACHE_CHARS:
-                del self.cache[w]
-        return ids
+        """The ids of each text."""
+        ids, ends = self.encode_flat(texts)
+        return [ids[a:b] for a, b in zip(np.append(0, ends).tolist(), ends.tolist(), strict=False)]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of ids; any slice of a text's ids gives a slice of its bytes, which may begin or end inside a character."""
@@ -101,7 +208,6 @@ def decode_pieces(bpe: WordBpe, pieces: Iterator[np.ndarray]) -> Iterator[str]:
 @lru_cache(4)
 def from_ranks(path: str) -> WordBpe:
     """From a file of base64 tokens with ranks. A pair merges at the rank of what it joins to, so each way to cut a token in two known ones is a merge rule, in order of the token's rank; a word that is itself a token is taken whole."""
-    import public_tokenizers
     from tokenizers import Tokenizer, models
 
     with open(path, "rb") as file:
@@ -110,16 +216,15 @@ def from_ranks(path: str) -> WordBpe:
     name = lambda token: "".join(table[b] for b in token)
     cuts = ((t[:k], t[k:]) for t in sorted(ranks, key=ranks.get) for k in range(1, len(t)))
     merges = [(name(a), name(b)) for a, b in cuts if a in ranks and b in ranks]
-    return WordBpe(Tokenizer(models.BPE(vocab={name(t): r for t, r in ranks.items()}, merges=merges, ignore_merges=True)), public_tokenizers.PATTERN)
+    return WordBpe(Tokenizer(models.BPE(vocab={name(t): r for t, r in ranks.items()}, merges=merges, ignore_merges=True)))
 
 
 @lru_cache(4)
 def from_json(path: str) -> WordBpe:
     """From a file of the tokenizers library that holds a byte-level BPE."""
-    import public_tokenizers
     from tokenizers import Tokenizer
 
-    return WordBpe(Tokenizer.from_file(path), public_tokenizers.PATTERN)
+    return WordBpe(Tokenizer.from_file(path))
 
 
 COLUMNS = {
@@ -143,10 +248,11 @@ def encode_documents(docs: DataFrame, load: Callable[[], WordBpe], outputs: tupl
         bpe = load()
         for batch in slices(batches, "__text"):
             texts = batch.column("__text").to_pylist()
-            ids = bpe.encode(texts)
-            ends = np.cumsum([0, *map(len, ids)])
+            flat, ends = bpe.encode_flat(texts)
+            ends = np.append(0, ends)
+            ids = [flat[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
             made = {"n_tokens": lambda: pa.array(np.diff(ends))}  # noqa: B023
-            made["ids"] = lambda: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(ids).astype(np.int32)))  # noqa: B023
+            made["ids"] = lambda: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.astype(np.int32)))  # noqa: B023
             made["offsets"] = lambda: pa.array([bpe.offsets(t or "", i).tolist() for t, i in zip(texts, ids, strict=True)], COLUMNS["offsets"][1])  # noqa: B023
             made["decoded"] = lambda: pa.array([bpe.decode(i) for i in ids], pa.binary())  # noqa: B023
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(made[c]().cast(COLUMNS[c][1]) for c in outputs)], names=[*keep, *outputs])
