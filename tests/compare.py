@@ -1,5 +1,6 @@
 """Runs registered queries beside their SQL in DuckDB and compares whole results."""
 
+import os
 import sys
 from collections import Counter
 from pathlib import Path
@@ -46,7 +47,7 @@ if __name__ == "__main__":
     import __spark_entry__ as entry
 
     spark, queries, sqls = fixture.__wrapped__(), entry.queries(), entry.oracle_sql()
-    sf = "/root/testdata/sf0.01"
+    sf = os.environ.get("TEST_SF", "/root/testdata/sf0.01")
     for name in sys.argv[1:] or list(queries):
         began = time.time()
         try:
