@@ -13,7 +13,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, src:
 
     Nodes may be of any ordered type. Nodes given but on no edge are components of their own; nulls are left out. Each
     round hooks every tree onto the smallest grandparent among its neighbours' and halves the paths, so the number of
-    rounds grows with the logarithm of the longest shortest path. Rounds are written tables; only the number of changes comes to the driver.
+    rounds grows with the logarithm of the longest shortest path. Rounds are written tables; only whether any label changed comes to the driver.
     """
     spark = edges.sparkSession
     pairs = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).filter("src != dst")
@@ -27,11 +27,12 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, src:
         grand = labels.join(up, "f").select("node", "f", "g")
         least = pairs.join(grand.select(F.col("node").alias("dst"), "g"), "dst").groupBy("src").agg(F.min("g").alias("m"))
         step = grand.join(least, grand["node"] == least["src"], "left").select("node", "f", "g", "m")
-        hooks = step.select("node", F.least("f", "g", "m").alias("f")).union(step.filter("m is not null").select(F.col("f").alias("node"), F.col("m").alias("f")))
-        new = written(hooks.groupBy("node").agg(F.min("f").alias("f")), "labels")
-        changed = new.join(labels.withColumnRenamed("f", "before"), "node").filter("f != before").count()
+        own = step.select("node", F.least("f", "g", "m").alias("f"), F.col("f").alias("was"))
+        hooks = own.union(step.filter("m is not null").select(F.col("f").alias("node"), F.col("m").alias("f"), F.lit(None)))
+        new = written(hooks.groupBy("node").agg(F.min("f").alias("f"), F.max("was").alias("was")), "labels")
+        changed = new.filter("f != was").limit(1).count()
         drop_written(spark, labels)
-        labels = new
+        labels = new.select("node", "f")
         if not changed:
             drop_written(spark, pairs)
             return labels.withColumnRenamed("f", "component")
