@@ -8,31 +8,40 @@ from pyspark.sql import functions as F
 from .session import drop_written, written
 
 
+def roots(parents: DataFrame) -> DataFrame:
+    """(node, p) with p moved up to the top of each tree: paths halve each round. Only whether any moved comes to the driver."""
+    spark = parents.sparkSession
+    parents = written(parents.select("node", "p"), "parents")
+    while True:
+        up = parents.select(F.col("node").alias("p"), F.col("p").alias("q"))
+        new = written(parents.join(up, "p", "left").select("node", F.coalesce("q", "p").alias("p"), F.col("p").alias("was")), "parents")
+        drop_written(spark, parents)
+        parents = new.select("node", "p")
+        if new.filter("p != was").isEmpty():
+            return parents
+
+
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component): component is the smallest node reachable over edges taken both ways.
 
     Nodes may be of any ordered type. Nodes given but on no edge are components of their own; nulls are left out. Each
-    round hooks every tree onto the smallest grandparent among its neighbours' and halves the paths, so the number of
-    rounds grows with the logarithm of the longest shortest path. Rounds are written tables; only whether any label changed comes to the driver.
+    round hangs every node under its smallest neighbour, if that is smaller, takes each tree as one node named by its top, and keeps
+    the edges between trees. Every node with an edge joins another, so nodes at least halve each round and edges only shrink.
+    Rounds are written tables.
     """
     spark = edges.sparkSession
     pairs = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).filter("src != dst")
-    pairs = written(pairs.union(pairs.select("dst", "src")).distinct(), "pairs")
-    ids = pairs.select(F.col("src").alias("node"))
+    pairs = written(pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "pairs")
+    ids = pairs.select(F.col("src").alias("node")).union(pairs.select("dst"))
     if nodes is not None:
         ids = ids.union(nodes.select(F.col(nodes.columns[0]).alias("node")).filter("node is not null"))
-    labels = written(ids.distinct().withColumn("f", F.col("node")), "labels")
-    while True:
-        up = labels.select(F.col("node").alias("f"), F.col("f").alias("g"))
-        grand = labels.join(up, "f").select("node", "f", "g")
-        least = pairs.join(grand.select(F.col("node").alias("dst"), "g"), "dst").groupBy("src").agg(F.min("g").alias("m"))
-        step = grand.join(least, grand["node"] == least["src"], "left").select("node", "f", "g", "m")
-        own = step.select("node", F.least("f", "g", "m").alias("f"), F.col("f").alias("was"))
-        hooks = own.union(step.filter("m is not null").select(F.col("f").alias("node"), F.col("m").alias("f"), F.lit(None)))
-        new = written(hooks.groupBy("node").agg(F.min("f").alias("f"), F.max("was").alias("was")), "labels")
-        changed = new.filter("f != was").limit(1).count()
-        drop_written(spark, labels)
-        labels = new.select("node", "f")
-        if not changed:
-            drop_written(spark, pairs)
-            return labels.withColumnRenamed("f", "component")
+    labels = written(ids.distinct().withColumn("component", F.col("node")), "labels")
+    while not pairs.isEmpty():
+        both = pairs.union(pairs.select("dst", "src")).toDF("node", "near")
+        top = roots(both.groupBy("node").agg(F.least("node", F.min("near")).alias("p")))
+        new = written(labels.join(top.toDF("component", "p"), "component", "left").select("node", F.coalesce("p", "component").alias("component")), "labels")
+        left = pairs.join(top.toDF("src", "a"), "src").join(top.toDF("dst", "b"), "dst").filter("a != b")
+        rest = written(left.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), "pairs")
+        drop_written(spark, labels, pairs, top)
+        labels, pairs = new, rest
+    return labels
