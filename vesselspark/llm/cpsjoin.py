@@ -114,6 +114,55 @@ def groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.RecordBatc
         yield pa.concat_batches(held)
 
 
+def first_covered(sig_a: np.ndarray, sig_b: np.ndarray, leaf: np.ndarray, point: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """For pairs the first seed whose bucket compares them, -1 if none does: they share its token, and the bucket is small (leaf) or one of them is a point of it."""
+    met = (sig_a[:, seeds] == sig_b[:, seeds]) & ((leaf | point)[:, None] >> np.arange(len(seeds)) & 1 > 0)
+    return np.where(met.any(1), met.argmax(1), -1)
+
+
+def common_items(left: list[np.ndarray], right: list[np.ndarray], at_once: int = 400_000, columns: int = 8192) -> np.ndarray:
+    """(left, right) sizes of intersections of sorted item arrays, by products of 0/1 matrices. Items are hashes, so slices of their range hold about at_once of them each, however long the sets are."""
+    both = [*left, *right]
+    out = np.zeros((len(left), len(right)), np.int64)
+    slices_n = -(-sum(map(len, both)) // at_once)
+    for k in range(slices_n):
+        low, high = np.uint64(2**64 // slices_n * k), np.uint64(2**64 // slices_n * (k + 1) - 1 if k + 1 < slices_n else 2**64 - 1)
+        parts = [x[np.searchsorted(x, low, "left") : np.searchsorted(x, high, "right")] for x in both]
+        items, column = np.unique(np.concatenate(parts), return_inverse=True)
+        row = np.repeat(np.arange(len(both)), [len(x) for x in parts])
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for begin in range(0, len(items), columns):
+            a, b = np.searchsorted(column, [begin, begin + columns])
+            own = np.zeros((len(both), columns), np.float32)
+            own[row[a:b], column[a:b] - begin] = 1
+            out += np.rint(own[: len(left)] @ own[len(left) :].T).astype(np.int64)
+    return out
+
+
+def spanning(left: np.ndarray, right: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that join what the linked pairs of a block join."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(linked), strict=True):
+        x, y = int(left[i]), int(right[j])
+        rx, ry = root(x), root(y)
+        if rx != ry:
+            parent[ry] = rx
+            out.append((x, y))
+    return out
+
+
+BLOCKS = "a long, b long, left binary, right binary, bits binary"
+
+
 class Join:
     """One join; params as jaccard_groups()."""
 
@@ -137,12 +186,12 @@ class Join:
         return reps.select("c", "sig").mapInArrow(run, "seed int, path long, c long")
 
     def leaves(self, rows: DataFrame) -> DataFrame:
-        """Candidate pairs of buckets of at most `limit` rows (path, seed, c, n, sig, mask), each pair only in the first bucket of level 1 that has it."""
+        """Candidate pairs of buckets of at most `limit` rows (path, seed, c, n, sig, leaf, point), each pair only in the bucket of level 1 that first compares it, or in any deeper one (seed -1) if none does."""
         threshold, seeds = self.threshold, self.seeds
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in groups(batches, "path"):
-                path, seed, c, n, mask = (batch.column(x).to_numpy() for x in ("path", "seed", "c", "n", "mask"))
+                path, seed, c, n, leaf, point = (batch.column(x).to_numpy() for x in ("path", "seed", "c", "n", "leaf", "point"))
                 sig = matrix(batch.column("sig"))
                 first = np.flatnonzero(np.r_[True, path[1:] != path[:-1]])
                 a, b = pairs_in_groups(first, np.diff(np.r_[first, len(path)]))
@@ -150,49 +199,67 @@ class Join:
                     i, j = a[k : k + 200_000], b[k : k + 200_000]
                     good = (c[i] != c[j]) & alike(sig[i], sig[j], n[i], n[j], threshold)
                     i, j = i[good], j[good]
-                    met = (sig[i][:, seeds] == sig[j][:, seeds]) & ((mask[i] & mask[j])[:, None] >> np.arange(len(seeds)) & 1 > 0)
-                    at = np.where(met.any(1), met.argmax(1), -1)
-                    own = at == np.where(seed[i] < 0, -1, seed[i])
+                    own = first_covered(sig[i], sig[j], leaf[i] & leaf[j], point[i] | point[j], seeds) == seed[i]
                     i, j = i[own], j[own]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(c[i], c[j])), pa.array(np.maximum(c[i], c[j]))], names=["a", "b"])
 
         return rows.repartition("path").sortWithinPartitions("path").mapInArrow(run, "a long, b long")
 
     def blocks(self, points: DataFrame, rows: DataFrame) -> DataFrame:
-        """Candidate pairs of each point with all rows of its bucket, in blocks of about 256 by 256 rows; columns path, c, n, sig, parts."""
-        threshold = self.threshold
+        """Each point compared with all rows of its bucket, in blocks of about 256 by 256 rows; columns path, seed, c, n, sig, leaf, point, parts.
+
+        A pair of points counts where the smaller is on the left. A block with few candidates gives them as pairs; one with
+        many gives a single row, its two sides and a bit a pair, so that a group of near copies costs no row a pair.
+        """
+        threshold, seeds = self.threshold, self.seeds
         spread = F.sequence(F.lit(0), F.col("parts") - 1)
         block = F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")
-        left = points.select("path", block.alias("i"), F.explode(spread).alias("j"), "c", "n", "sig", F.lit(0).alias("side"))
-        right = rows.select("path", F.explode(spread).alias("i"), block.alias("j"), "c", "n", "sig", F.lit(1).alias("side"))
+        both = ["seed", "c", "n", "sig", "leaf", "point"]
+        left = points.select("path", block.alias("i"), F.explode(spread).alias("j"), *both, F.lit(0).alias("side"))
+        right = rows.select("path", F.explode(spread).alias("i"), block.alias("j"), *both, F.lit(1).alias("side"))
 
         def run(table: pa.Table) -> pa.Table:
             table = table.combine_chunks()
-            side = table["side"].to_numpy()
-            c, n = table["c"].to_numpy(), table["n"].to_numpy()
-            sig = matrix(table["sig"].chunk(0))
+            side, c, n, leaf, point = (table[x].to_numpy() for x in ("side", "c", "n", "leaf", "point"))
+            seed, sig = int(table["seed"][0].as_py()), matrix(table["sig"].chunk(0))
             left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            found = [np.zeros((0, 2), np.int64)]
-            for i in left.tolist():
-                good = right[alike(np.broadcast_to(sig[i], (len(right), TOKENS)), sig[right], np.full(len(right), n[i]), n[right], threshold) & (c[right] != c[i])]
-                found.append(np.stack([np.minimum(c[good], c[i]), np.maximum(c[good], c[i])], 1))
-            out = np.concatenate(found)
-            return pa.table({"a": out[:, 0], "b": out[:, 1]})
-
-        return left.unionByName(right).groupBy("path", "i", "j").applyInArrow(run, "a long, b long").distinct()
-
-    def similar_to_most(self, rows: DataFrame, probes: int = 8, least: float = 0.5) -> DataFrame:
-        """(path, c) of rows whose mean similarity to their bucket's others, by token counts, is `least` or more: splitting would not part them."""
+            bits = np.zeros((len(left), len(right)), bool)
+            for k, i in enumerate(left.tolist()):
+                good = alike(np.broadcast_to(sig[i], (len(right), TOKENS)), sig[right], np.full(len(right), n[i]), n[right], threshold) & (c[right] != c[i])
+                at = np.flatnonzero(good)
+                own = first_covered(np.broadcast_to(sig[i], (len(at), TOKENS)), sig[right[at]], leaf[i] & leaf[right[at]], point[i] | point[right[at]], seeds) == seed
+                if seed >= 0:
+                    own &= (point[right[at]] >> seed & 1 == 0) | (c[i] < c[right[at]])
+                bits[k, at[own]] = True
+            if seed >= 0 and bits.sum() > 2 * len(table):
+                return pa.table({"a": pa.nulls(1, pa.int64()), "b": pa.nulls(1, pa.int64()), "left": [c[left].tobytes()], "right": [c[right].tobytes()], "bits": [np.packbits(bits).tobytes()]})
+            i, j = np.nonzero(bits)
+            i, j = c[left[i]], c[right[j]]
+            none = pa.nulls(len(i), pa.binary())
+            return pa.table({"a": np.minimum(i, j), "b": np.maximum(i, j), "left": none, "right": none, "bits": none})
+
+        return left.unionByName(right).groupBy("path", "i", "j").applyInArrow(run, BLOCKS)
+
+    def similar_to_most(self, rows: DataFrame, probes: int = 8, least: float = 0.5, often: float = 0.05) -> DataFrame:
+        """(path, c) of rows whose mean similarity to their bucket's others, by token counts, is `least` or more: splitting would not part them.
+
+        Only tokens that a share `often` of a bucket has are looked at, so a bucket's counts are a small map, joined once a row.
+        This chooses how rows are compared, not which.
+        """
         def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 sig = matrix(batch.column("sig"))[:, TOKENS - probes :]
-                path, c, count = (np.repeat(batch.column(x).to_numpy(), probes) for x in ("path", "c", "cnt"))
-                yield pa.RecordBatch.from_arrays([pa.array(path), pa.array(c), pa.array(count), pa.array(child(path, np.tile(np.arange(probes), len(sig)), sig.ravel()))], names=["path", "c", "cnt", "token"])
-
-        tokens = written(rows.select("path", "c", "cnt", "sig").mapInArrow(spread, "path long, c long, cnt long, token long"), "tokens")
-        often = written(tokens.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1"), "often")
-        share = F.sum((F.col("m") - 1) / (F.col("cnt") - 1)) / probes
-        return written(tokens.join(often, "token").groupBy("path", "c").agg(share.alias("s")).filter(F.col("s") >= least).select("path", "c"), "points")
+                token = child(np.repeat(batch.column("path").to_numpy(), probes), np.tile(np.arange(probes), len(sig)), sig.ravel())
+                ends = pa.array(np.arange(0, len(token) + 1, probes, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("path", "c", "cnt")), pa.ListArray.from_arrays(ends, pa.array(token))], names=["path", "c", "cnt", "tokens"])
+
+        tokens = written(rows.select("path", "c", "cnt", "sig").mapInArrow(spread, "path long, c long, cnt long, tokens array<long>"), "tokens")
+        counts = tokens.select("path", "cnt", F.explode("tokens").alias("token")).groupBy("path", "token").agg(F.count("*").alias("m"), F.any_value("cnt").alias("cnt"))
+        counts = counts.filter((F.col("m") > 1) & (F.col("m") >= often * F.col("cnt")))
+        counts = written(counts.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("token", "m"))).alias("often")), "often")
+        shared = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a + F.coalesce(F.try_element_at("often", t), F.lit(1)) - 1)
+        near = shared / (F.col("cnt") - 1) / probes >= least
+        return written(tokens.join(counts, "path").filter(near).select("path", "c"), "points")
 
     def split(self, rows: DataFrame) -> DataFrame:
         """Each row under each token its node samples: (path, c)."""
@@ -211,37 +278,44 @@ class Join:
         counts = written(frontier.groupBy("path").agg(F.count("*").alias("cnt")).filter("cnt > 1"), "counts")
         return written(frontier.join(counts, "path"), "shared")
 
-    def candidates(self, reps: DataFrame) -> DataFrame:
-        """Pairs of reps (c, n, sig) that may be similar, each once or a few times."""
+    def candidates(self, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(pairs, dense) of reps (c, n, sig): pairs (a < b) that may be similar, once each, and blocks of many such pairs."""
         spark = reps.sparkSession
         rows = self.counted(written(self.first_level(reps), "frontier"))
+        big = written(rows.filter(F.col("cnt") > self.limit).join(reps, "c").withColumn("parts", F.ceil(F.col("cnt") / 256).cast("int")), "big")
+        points = self.similar_to_most(big)
+        bits = lambda df, name: df.groupBy("c").agg(F.bit_or(F.expr("shiftleft(1L, seed)")).alias(name))
         small = rows.filter(F.col("cnt") <= self.limit)
-        mask = written(small.groupBy("c").agg(F.bit_or(F.expr("shiftleft(1L, seed)")).alias("mask")), "mask")
-        found = [written(self.leaves(small.join(mask, "c").join(reps, "c").select("path", "seed", "c", "n", "sig", "mask")), "pairs")]
-        big = rows.filter(F.col("cnt") > self.limit).select("path", "c", "cnt")
+        masks = bits(small, "leaf").join(bits(big.join(points, ["path", "c"], "left_semi"), "point"), "c", "full")
+        masks = written(masks.select("c", *(F.coalesce(x, F.lit(0).cast("long")).alias(x) for x in ("leaf", "point"))), "masks")
+        full = lambda df: df.join(masks, "c", "left").withColumns({x: F.coalesce(x, F.lit(0).cast("long")) for x in ("leaf", "point")})
+        found = [written(self.leaves(full(small.join(reps, "c"))), "pairs")]
+        dense = spark.createDataFrame([], BLOCKS)
         for level in range(2, self.depth + 2):
-            big = written(big.join(reps, "c").withColumn("parts", F.ceil(F.col("cnt") / 256).cast("int")), "big")
             if big.isEmpty():
                 break
-            points = self.similar_to_most(big) if level <= self.depth else written(big.select("path", "c"), "points")
             if not points.isEmpty():
-                hot = big.join(written(points.select("path").distinct(), "hot"), "path", "left_semi")
-                found.append(written(self.blocks(big.join(points, ["path", "c"], "left_semi"), hot), "pairs"))
+                hot = written(points.select("path").distinct(), "hot")
+                near = written(self.blocks(full(big.join(points, ["path", "c"], "left_semi")), full(big.join(hot, "path", "left_semi"))), "blocks")
+                found.append(near.filter("a is not null").select("a", "b"))
+                if level == 2:
+                    dense = near.filter("a is null")
             rest = big.join(points, ["path", "c"], "left_anti")
-            rows = self.counted(written(self.split(rest), "frontier"))
-            small = rows.filter(F.col("cnt") <= self.limit).join(reps, "c").join(mask, "c", "left")
-            small = small.select("path", F.lit(-1).alias("seed"), "c", "n", "sig", F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))
-            found.append(written(self.leaves(small), "pairs"))
-            big = rows.filter(F.col("cnt") > self.limit).select("path", "c", "cnt")
+            rows = self.counted(written(self.split(rest), "frontier")).withColumn("seed", F.lit(-1))
+            found.append(written(self.leaves(full(rows.filter(F.col("cnt") <= self.limit).join(reps, "c"))), "pairs"))
+            big = written(rows.filter(F.col("cnt") > self.limit).join(reps, "c").withColumn("parts", F.ceil(F.col("cnt") / 256).cast("int")), "big")
+            # past the last level all that is left is compared in blocks
+            points = self.similar_to_most(big) if level < self.depth else written(big.select("path", "c"), "points")
         free_shuffles(spark)
         pairs = found[0]
         for more in found[1:]:
             pairs = pairs.union(more)
-        return written(pairs.distinct(), "candidates")
+        return written(pairs.distinct(), "candidates"), written(dense.withColumn("block", F.monotonically_increasing_id()), "dense")
 
 
-def jaccard_links(docs: DataFrame, threshold: float = 0.8, ngram: int = 5, recall: float = 0.999, limit: int = 64, depth: int = 5, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 500_000) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members has a row per row of docs with words and an id (doc_id, c: the number of its shingle set, n: the set's size); links the pairs (a < b) of set numbers whose exact Jaccard is the threshold or more."""
+def jaccard_links(docs: DataFrame, threshold: float = 0.8, ngram: int = 5, recall: float = 0.999, limit: int = 64, depth: int = 5, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 500_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, degrees, edges): members has a row per row of docs with words and an id (doc_id, c: the number of its shingle set, n: the set's size);
+    degrees (c, n_links) counts the sets linked to each; edges (a, b) are links, enough of them to join what all links join."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -258,9 +332,17 @@ def jaccard_links(docs: DataFrame, threshold: float = 0.8, ngram: int = 5, recal
     reps = written(reps.withColumn("c", F.monotonically_increasing_id()), "reps")
     members = written(sketches.drop("sig").join(reps.drop("sig"), ["h1", "h2", "n"]).select("doc_id", "c", "n"), "members")
     drop_written(spark, sketches)
-    pairs = Join(threshold, recall, limit, depth).candidates(reps.select("c", "n", "sig"))
+    pairs, dense = Join(threshold, recall, limit, depth).candidates(reps.select("c", "n", "sig"))
+
+    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, left, right in zip(*(batch.column(x).to_pylist() for x in ("block", "left", "right")), strict=True):
+                c = np.union1d(np.frombuffer(left, np.int64), np.frombuffer(right, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), block)), pa.array(c)], names=["block", "c"])
 
-    needed = written(reps.select("c", "h1", "h2", "n").join(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct(), "c", "left_semi"), "needed")
+    in_blocks = written(dense.select("block", "left", "right").mapInArrow(sides, "block long, c long"), "in_blocks")
+    wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).union(in_blocks.select("c")).distinct()
+    needed = written(reps.select("c", "h1", "h2", "n").join(wanted, "c", "left_semi"), "needed")
     n_needed = needed.count()
     sent = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in needed.select("h1").collect()], np.int64))) if n_needed <= broadcast_rows else None
 
@@ -299,8 +381,31 @@ def jaccard_links(docs: DataFrame, threshold: float = 0.8, ngram: int = 5, recal
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in good], pa.int64()), pa.array([y for _, y in good], pa.int64())], names=["a", "b"])
 
     links = written(both.repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first()).mapInArrow(verify, "a long, b long"), "links")
+
+    def verify_block(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Counts of links a set, as (c, null, count), and edges that join the block's links."""
+        row = left.to_pylist()[0]
+        items = {c: np.frombuffer(x.as_buffer(), np.uint64) for c, x in zip(right["c"].to_pylist(), right["items"], strict=True)}
+        a, b = np.frombuffer(row["left"], np.int64), np.frombuffer(row["right"], np.int64)
+        asked = np.unpackbits(np.frombuffer(row["bits"], np.uint8), count=len(a) * len(b)).reshape(len(a), len(b)).astype(bool)
+        mine, other = [items[x] for x in a.tolist()], [items[x] for x in b.tolist()]
+        both = common_items(mine, other)
+        total = np.array([len(x) for x in mine])[:, None] + np.array([len(x) for x in other]) - both
+        linked = asked & (both >= threshold * total - 1e-9)
+        ids, count = np.concatenate([a, b]), np.concatenate([linked.sum(1), linked.sum(0)])
+        edges = spanning(a, b, linked)
+        some = np.flatnonzero(count)
+        return pa.table({
+            "a": pa.array([*ids[some].tolist(), *(x for x, _ in edges)], pa.int64()), "b": pa.array([*[None] * len(some), *(y for _, y in edges)], pa.int64()),
+            "n": pa.array([*count[some].tolist(), *[0] * len(edges)], pa.int64()),
+        })
+
+    fed = in_blocks.join(made, "c")
+    counted = written(dense.groupBy("block").cogroup(fed.groupBy("block")).applyInArrow(verify_block, "a long, b long, n long"), "block_links")
     drop_written(spark, made)
-    return members, links
+    one = links.select(F.col("a").alias("c"), F.lit(1).cast("long").alias("n")).union(links.select("b", F.lit(1).cast("long")))
+    degrees = one.union(counted.filter("b is null").select("a", "n")).groupBy("c").agg(F.sum("n").alias("n_links"))
+    return members, degrees, links.union(counted.filter("b is not null").select("a", "b"))
 
 
 def jaccard_groups(docs: DataFrame, threshold: float = 0.8, ngram: int = 5, recall: float = 0.999, limit: int = 64, depth: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -312,9 +417,8 @@ def jaccard_groups(docs: DataFrame, threshold: float = 0.8, ngram: int = 5, reca
     threshold itself and verified exactly. Null or empty texts and rows without an id have no links and class_id is
     their own id. Rows that share an id are judged each by its text. An empty table gives no rows.
     """
-    members, links = jaccard_links(docs, threshold, ngram, recall, limit, depth, id_col, text_col)
-    degree = links.select(F.col("a").alias("c")).union(links.select("b")).groupBy("c").agg(F.count("*").alias("n_links"))
-    parts = connected_components(links, src="a", dst="b").withColumnRenamed("node", "c")
+    members, degree, edges = jaccard_links(docs, threshold, ngram, recall, limit, depth, id_col, text_col)
+    parts = connected_components(edges, src="a", dst="b").withColumnRenamed("node", "c")
     sets = members.groupBy("c").agg(F.min("doc_id").alias("least"))
     sets = written(sets.join(parts, "c", "left").join(degree, "c", "left").withColumn("component", F.coalesce("component", "c")), "classes")
     classes = written(sets.groupBy("component").agg(F.min("least").alias("class_id")), "class_ids")
