@@ -146,8 +146,7 @@ checked AS (SELECT *, concat_ws(',', CASE WHEN n_slices < 50 THEN 'few slices' E
 PATHS = "paths AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'data/' || page_id // 2 || '.img.nii.gz' WHEN 1 THEN 'data/' || (page_id - page_id // 2 - 1) || '.label.nii.gz' WHEN 2 THEN 'ziv/case-' || page_id % 60 || '/scan.dcm' ELSE 'reports/case-' || page_id % 60 || '.json' END AS path FROM pages)"
 ORACLES = {
     "s1_input_kind": """WITH f AS (SELECT regexp_extract(url, '//([^/]*)', 1) AS case_id, ['scan.nii.gz', 'a.DCM', 'IM0001', 'notes.txt', '.zgroup', 'image'][page_id * 7 % 6 + 1] AS name, page_id % 4 = 0 AS header_ok FROM pages),
-  -- files of one case that share a name share its header here: the rule looks at the first by name, ties to any
-  a AS (SELECT case_id, bool_or(name = '.zgroup') AS g, bool_or(name = 'image') AS i, bool_or(name = 'a.DCM') AS d, coalesce(arg_min(header_ok, name) FILTER (NOT contains(name, '.')), false) AS b, bool_or(name = 'scan.nii.gz') AS n FROM f GROUP BY case_id)
+  a AS (SELECT case_id, bool_or(name = '.zgroup') AS g, bool_or(name = 'image') AS i, bool_or(name = 'a.DCM') AS d, coalesce(arg_min(header_ok, (name, NOT header_ok)) FILTER (NOT contains(name, '.')), false) AS b, bool_or(name = 'scan.nii.gz') AS n FROM f GROUP BY case_id)
   SELECT case_id, CASE WHEN g AND i THEN 'zarr' WHEN d OR b THEN 'dicom' WHEN n THEN 'nifti' ELSE 'unknown' END AS kind FROM a""",
     "s2_usable_slices": with_ctes(*B, select="SELECT case_id, series_number, count(*) AS n, min(filepath) AS first_file FROM usable GROUP BY ALL"),
     "s3_roll_up": with_ctes(*B, select=f"SELECT case_id, series_number, num_slices, description, modality, {sql_round('slice_thickness fov_mm')} FROM series"),

@@ -28,7 +28,9 @@ def input_kind(listing: DataFrame) -> DataFrame:
     """The kind of each case's input, from rows (case_id, name, is_dir, in_zarr_group, header_ok); a single plain file is judged by its suffix."""
     name = F.lower("name")
     nifti, dicom = name.rlike(r"\.nii(\.gz)?$"), name.endswith(".dcm")
-    first_bare = F.min_by(F.coalesce("header_ok", F.lit(False)), F.when(~F.col("name").contains("."), F.col("name")))
+    ok = F.coalesce("header_ok", F.lit(False))
+    # the first by name; of rows that repeat a name, one whose header parses
+    first_bare = F.min_by(ok, F.when(~F.col("name").contains("."), F.struct("name", ~ok)))
     found = listing.groupBy("case_id").agg(
         F.bool_or((F.col("name") == ".zgroup")).alias("group"), F.bool_or((F.col("name") == "image") & F.col("is_dir")).alias("image"),
         F.bool_or(dicom).alias("dicom"), F.coalesce(first_bare, F.lit(False)).alias("bare"), F.bool_or(nifti).alias("nifti"),
