@@ -99,7 +99,7 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths: images and labels of cases, case directories and reports, by page."""
     p = F.col("page_id")
     own = F.when(p % 4 == 0, F.format_string("data/%d.img.nii.gz", F.floor(p / 2))).when(p % 4 == 1, F.format_string("data/%d.label.nii.gz", p - F.floor(p / 2) - 1))
-    return table(spark, sf_dir, "pages").select("page_id", F.coalesce(own, F.when(p % 4 == 2, F.format_string("ziv/case-%d/scan.dcm", p % 60)).otherwise(F.format_string("reports/case-%d.json", p % 60))).alias("path"))
+    return table(spark, sf_dir, "pages").select("page_id", F.coalesce(own, F.when(p % 4 == 2, F.format_string("scans/case-%d/scan.dcm", p % 60)).otherwise(F.format_string("reports/case-%d.json", p % 60))).alias("path"))
 
 
 def s4_image_label_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +143,7 @@ CHECKED = """
 checked AS (SELECT *, concat_ws(',', CASE WHEN n_slices < 50 THEN 'few slices' END, CASE WHEN z_spacing > 50 THEN 'wide spacing' END, CASE WHEN n_slices < 256 THEN 'slices missing' END, CASE WHEN case_id % 11 = 0 THEN 'no image' END) AS problems
   FROM (SELECT case_id, series_number, count(*) AS n_slices, (max(z) - min(z)) / count(*) AS z_spacing FROM deduped GROUP BY ALL))
 """
-PATHS = "paths AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'data/' || page_id // 2 || '.img.nii.gz' WHEN 1 THEN 'data/' || (page_id - page_id // 2 - 1) || '.label.nii.gz' WHEN 2 THEN 'ziv/case-' || page_id % 60 || '/scan.dcm' ELSE 'reports/case-' || page_id % 60 || '.json' END AS path FROM pages)"
+PATHS = "paths AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'data/' || page_id // 2 || '.img.nii.gz' WHEN 1 THEN 'data/' || (page_id - page_id // 2 - 1) || '.label.nii.gz' WHEN 2 THEN 'scans/case-' || page_id % 60 || '/scan.dcm' ELSE 'reports/case-' || page_id % 60 || '.json' END AS path FROM pages)"
 ORACLES = {
     "s1_input_kind": """WITH f AS (SELECT regexp_extract(url, '//([^/]*)', 1) AS case_id, ['scan.nii.gz', 'a.DCM', 'IM0001', 'notes.txt', '.zgroup', 'image'][page_id * 7 % 6 + 1] AS name, page_id % 4 = 0 AS header_ok FROM pages),
   a AS (SELECT case_id, bool_or(name = '.zgroup') AS g, bool_or(name = 'image') AS i, bool_or(name = 'a.DCM') AS d, coalesce(arg_min(header_ok, (name, NOT header_ok)) FILTER (NOT contains(name, '.')), false) AS b, bool_or(name = 'scan.nii.gz') AS n FROM f GROUP BY case_id)
@@ -151,7 +151,7 @@ ORACLES = {
     "s2_usable_slices": with_ctes(*B, select="SELECT case_id, series_number, count(*) AS n, min(filepath) AS first_file FROM usable GROUP BY ALL"),
     "s3_roll_up": with_ctes(*B, select=f"SELECT case_id, series_number, num_slices, description, modality, {sql_round('slice_thickness fov_mm')} FROM series"),
     "s4_image_label_cases": f"WITH {PATHS} SELECT a.c AS case_id, image, label FROM (SELECT regexp_extract(path, '(\\d+)\\.img\\.nii\\.gz$', 1) AS c, path AS image FROM paths WHERE path LIKE '%.img.nii.gz') a JOIN (SELECT regexp_extract(path, '(\\d+)\\.label\\.nii\\.gz$', 1) AS c, path AS label FROM paths WHERE path LIKE '%.label.nii.gz') b USING (c)",
-    "s6_report_paths": f"WITH {PATHS} SELECT DISTINCT c.case_id, coalesce(r.path, CASE WHEN length(c.case_id) = 7 THEN 'manifest/' || c.case_id || '.json' END) AS report FROM (SELECT regexp_extract(path, 'case-\\d+') AS case_id FROM paths WHERE path LIKE 'ziv/%') c LEFT JOIN paths r ON r.path = 'reports/' || c.case_id || '.json'",
+    "s6_report_paths": f"WITH {PATHS} SELECT DISTINCT c.case_id, coalesce(r.path, CASE WHEN length(c.case_id) = 7 THEN 'manifest/' || c.case_id || '.json' END) AS report FROM (SELECT regexp_extract(path, 'case-\\d+') AS case_id FROM paths WHERE path LIKE 'scans/%') c LEFT JOIN paths r ON r.path = 'reports/' || c.case_id || '.json'",
     "s7_model_catalog": """SELECT name, concat_ws('  |  ', name, CASE s_suppkey % 3 WHEN 0 THEN 'UNet' WHEN 1 THEN 'AttentionUNet' ELSE 'Flat' END, CASE s_suppkey % 3 WHEN 0 THEN 'BCE' WHEN 2 THEN 'Dice' END,
   CASE s_suppkey % 5 WHEN 0 THEN 'Dice=0.' || (8000 + s_suppkey) WHEN 1 THEN 'Dice=0.' || (700 + s_suppkey) END) AS label FROM (SELECT *, 'run' || s_suppkey AS name FROM supplier) WHERE s_suppkey % 7 <> 0""",
     "s8_run_config": """SELECT 'run' || s_suppkey AS name, CASE WHEN s_suppkey % 2 = 0 THEN -80.0 ELSE -50.0 END::DOUBLE AS hu_min, CASE WHEN s_suppkey % 2 = 1 AND s_suppkey % 3 = 0 THEN 650.0 ELSE 700.0 END::DOUBLE AS hu_max,
