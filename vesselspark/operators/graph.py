@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..components import connected_components
 from ..functions import scalars
-from ..session import drop_written, written
+from ..session import drop_written, new_path, written
 from . import voxels as vox
 
 
@@ -182,18 +182,25 @@ def label_segments(segments: DataFrame, areas: DataFrame | None) -> DataFrame:
 
 
 def bfs(links: DataFrame, sources: DataFrame, most_rounds: int = 1000) -> DataFrame:
-    """(path_id, node, depth, parent) of nodes reached from each path's source over the fewest links; parents are the smallest possible. One round a hop, for all paths at once."""
-    front = sources.select("path_id", "node", F.lit(0).alias("depth"), F.col("node").alias("parent"))
-    seen = written(front, "seen")
+    """(path_id, node, parent, depth) of nodes reached from each path's source over the fewest links, which must be given both ways;
+    parents are the smallest possible. One round a hop, for all paths at once; a round only looks at the last two fronts, since links lead no farther back."""
+    spark = links.sparkSession
     links = written(links.select("src", "dst").distinct(), "links")
-    front = seen
+    path = new_path(spark, "fronts")
+
+    def stored(rows: DataFrame, depth: int) -> DataFrame:
+        rows.write.parquet(f"{path}/depth={depth}")
+        return spark.read.schema(rows.schema).parquet(f"{path}/depth={depth}")
+
+    front = stored(sources.select("path_id", "node", F.col("node").alias("parent")), 0)
+    known = front
     for depth in range(1, most_rounds):
         step = front.select("path_id", F.col("node").alias("src")).join(links, "src").groupBy("path_id", F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
-        front = written(step.join(seen.select("path_id", "node"), ["path_id", "node"], "left_anti").select("path_id", "node", F.lit(depth).alias("depth"), "parent"), "front")
-        if front.isEmpty():
+        new = stored(step.join(known.select("path_id", "node"), ["path_id", "node"], "left_anti"), depth)
+        if new.isEmpty():
             break
-        seen = written(seen.unionByName(front), "seen")
-    return seen
+        known, front = front.union(new), new
+    return spark.read.parquet(path)
 
 
 def tip_directions(tips: DataFrame, links: DataFrame, steps: int = 5) -> DataFrame:
