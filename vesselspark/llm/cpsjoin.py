@@ -240,11 +240,12 @@ class Join:
 
         return left.unionByName(right).groupBy("path", "i", "j").applyInArrow(run, BLOCKS)
 
-    def similar_to_most(self, rows: DataFrame, probes: int = 8, least: float = 0.5, often: float = 0.05) -> DataFrame:
+    def similar_to_most(self, rows: DataFrame, probes: int = 2, least: float = 0.4, often: float = 0.05) -> DataFrame:
         """(path, c) of rows whose mean similarity to their bucket's others, by token counts, is `least` or more: splitting would not part them.
 
         Only tokens that a share `often` of a bucket has are looked at, so a bucket's counts are a small map, joined once a row.
-        This chooses how rows are compared, not which.
+        Counts are summed within a batch before the shuffle. This chooses how rows are compared, not which, so two tokens a row
+        are probe enough: a row that shares one with most of its bucket is a point.
         """
         def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -254,7 +255,15 @@ class Join:
                 yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("path", "c", "cnt")), pa.ListArray.from_arrays(ends, pa.array(token))], names=["path", "c", "cnt", "tokens"])
 
         tokens = written(rows.select("path", "c", "cnt", "sig").mapInArrow(spread, "path long, c long, cnt long, tokens array<long>"), "tokens")
-        counts = tokens.select("path", "cnt", F.explode("tokens").alias("token")).groupBy("path", "token").agg(F.count("*").alias("m"), F.any_value("cnt").alias("cnt"))
+
+        def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                token, at, m = np.unique(batch.column("tokens").flatten().to_numpy(), return_index=True, return_counts=True)
+                path, cnt = (batch.column(x).to_numpy()[at // probes] for x in ("path", "cnt"))
+                yield pa.RecordBatch.from_arrays([pa.array(path), pa.array(cnt), pa.array(token), pa.array(m)], names=["path", "cnt", "token", "m"])
+
+        counts = tokens.select("path", "cnt", "tokens").mapInArrow(combine, "path long, cnt long, token long, m long")
+        counts = counts.groupBy("path", "token").agg(F.sum("m").alias("m"), F.any_value("cnt").alias("cnt"))
         counts = counts.filter((F.col("m") > 1) & (F.col("m") >= often * F.col("cnt")))
         counts = written(counts.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("token", "m"))).alias("often")), "often")
         shared = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a + F.coalesce(F.try_element_at("often", t), F.lit(1)) - 1)
