@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
 from vesselspark.llm import queries
-from vesselspark.llm.cpsjoin import jaccard_groups, runs_for
+from vesselspark.llm.cpsjoin import Join, jaccard_groups, miss_chance, runs_for, signatures
 
 SF = "/root/testdata/sf0.001"
 
@@ -81,3 +82,24 @@ def test_odd(spark, odd_docs, no_docs):
 
 def test_runs():
     assert runs_for(0.9) < runs_for(0.99) < runs_for(0.999)
+
+
+def test_recall_of_deep_splits(spark):
+    """Pairs at exactly 0.8 whose shared tokens are all common, so that nearly every bucket is split four or five times; none counts as dense."""
+    rng = np.random.default_rng(3)
+    pool, sets = rng.integers(1, 2**63, 600, dtype=np.uint64), []
+    for _ in range(1500):
+        order = rng.permutation(600)
+        sets += [order[:225], np.r_[order[:200], order[225:250]]]
+    sig = signatures(pool[np.concatenate(sets)], np.arange(len(sets)) * 225)
+    reps = spark.createDataFrame([(k, 225, bytearray(s.tobytes())) for k, s in enumerate(sig)], "c long, n long, sig binary")
+    join = Join(0.8, 0.999, 4, 5)
+    join.similar_to_most = lambda rows: rows.filter("false").select("path", "c")
+    pairs = join.candidates(reps)[0]
+    assert pairs.filter("a % 2 = 0 and b = a + 1").count() >= 1500 - 4
+
+
+def test_chance_of_a_miss():
+    for threshold, recall, depth in [(0.8, 0.999, 5), (0.8, 0.999, 8), (0.5, 0.99, 5), (0.8, 0.99999, 5)]:
+        join = Join(threshold, recall, 64, depth)
+        assert miss_chance(threshold, depth, len(join.seeds), join.repeats, join.least) <= 1 - recall

@@ -71,16 +71,50 @@ def runs_for(recall: float, depth: int = 3) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
 
+def least_shared(threshold: float, recall: float) -> int:
+    """Shared tokens from which on a pair is a candidate: four deviations of the estimate are let through, more where pairs at the threshold would fall below with more than a quarter of the chance to miss them."""
+    least = math.ceil(TOKENS * (threshold - 4 * math.sqrt(threshold * (1 - threshold) / TOKENS)) - 1e-9)
+    below = np.cumsum([math.comb(TOKENS, k) * threshold**k * (1 - threshold) ** (TOKENS - k) for k in range(TOKENS + 1)])
+    return max(0, min(least, int(np.searchsorted(below, (1 - recall) / 4, "right"))))
+
+
+def miss_chance(threshold: float, depth: int, n_seeds: int, repeats: int, least: int = 0) -> float:
+    """Chance that a pair exactly at the threshold never meets in a bucket of level `depth`: level 1 has n_seeds tokens, each split below by `repeats` runs.
+
+    Its shared tokens are the same at all levels, so the sum is over their number; fewer than `least` are a miss.
+    """
+    miss, split = 0.0, 1 / (threshold * TOKENS)
+    for k in range(TOKENS + 1):
+        chance = math.comb(TOKENS, k) * threshold**k * (1 - threshold) ** (TOKENS - k)
+        meet = 1.0
+        for _ in range(depth - 1):
+            meet = 1 - (1 - min(1.0, split) * meet) ** k
+        lost = (1 - meet) ** repeats
+        # of the seeds, h are among the k shared tokens
+        drawn = [math.comb(n_seeds, h) * math.comb(TOKENS - n_seeds, k - h) * lost**h for h in range(max(0, k + n_seeds - TOKENS), min(k, n_seeds) + 1)]
+        miss += chance * (sum(drawn) / math.comb(TOKENS, k) if k >= least else 1)
+    return miss
+
+
+def repeats_for(recall: float, threshold: float, depth: int, n_seeds: int) -> int:
+    """Runs below each token of level 1 after which a pair at the threshold has met with chance `recall`, even where all its buckets are split to the last level."""
+    least, repeats = least_shared(threshold, recall), 1
+    while miss_chance(threshold, depth, n_seeds, repeats, least) > 1 - recall:
+        repeats += 1
+        if repeats > 1000:
+            raise ValueError(f"recall {recall} cannot be reached with {TOKENS} tokens")
+    return repeats
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, TOKENS) if len(column) else np.zeros((0, TOKENS), np.uint32)
 
 
-def alike(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether pairs pass the size bound and share nearly enough tokens: four deviations of the estimate are let through."""
-    least = threshold - 4 * math.sqrt(threshold * (1 - threshold) / TOKENS)
+def alike(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, threshold: float, least: int) -> np.ndarray:
+    """Whether pairs pass the size bound and share `least` tokens or more."""
     close = np.minimum(size_a, size_b) >= threshold * np.maximum(size_a, size_b)
     at = np.flatnonzero(close)
-    close[at] = (a[at] == b[at]).mean(1) >= least
+    close[at] = (a[at] == b[at]).sum(1) >= least
     return close
 
 
@@ -169,8 +203,10 @@ class Join:
     def __init__(self, threshold: float, recall: float, limit: int, depth: int):
         self.threshold, self.limit, self.depth = threshold, limit, depth
         roots = finish(np.arange(1, runs_for(recall) + 1, dtype=np.uint64)).view(np.int64)
-        # runs that split on the same token at their root make the same buckets there, so one of them stands for all
+        # runs that split on the same token at their root make the same buckets there, so one of them stands for all;
+        # below, each of these buckets is split by `repeats` runs of their own
         self.seeds = np.unique(np.nonzero(sampled(roots, threshold))[1])
+        self.repeats, self.least = repeats_for(recall, threshold, depth, len(self.seeds)), least_shared(threshold, recall)
 
     def first_level(self, reps: DataFrame) -> DataFrame:
         seeds = self.seeds
@@ -187,7 +223,7 @@ class Join:
 
     def leaves(self, rows: DataFrame) -> DataFrame:
         """Candidate pairs of buckets of at most `limit` rows (path, seed, c, n, sig, leaf, point), each pair only in the bucket of level 1 that first compares it, or in any deeper one (seed -1) if none does."""
-        threshold, seeds = self.threshold, self.seeds
+        threshold, seeds, least = self.threshold, self.seeds, self.least
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in groups(batches, "path"):
@@ -197,7 +233,7 @@ class Join:
                 a, b = pairs_in_groups(first, np.diff(np.r_[first, len(path)]))
                 for k in range(0, len(a), 200_000):
                     i, j = a[k : k + 200_000], b[k : k + 200_000]
-                    good = (c[i] != c[j]) & alike(sig[i], sig[j], n[i], n[j], threshold)
+                    good = (c[i] != c[j]) & alike(sig[i], sig[j], n[i], n[j], threshold, least)
                     i, j = i[good], j[good]
                     own = first_covered(sig[i], sig[j], leaf[i] & leaf[j], point[i] | point[j], seeds) == seed[i]
                     i, j = i[own], j[own]
@@ -211,7 +247,7 @@ class Join:
         A pair of points counts where the smaller is on the left. A block with few candidates gives them as pairs; one with
         many gives a single row, its two sides and a bit a pair, so that a group of near copies costs no row a pair.
         """
-        threshold, seeds = self.threshold, self.seeds
+        threshold, seeds, least = self.threshold, self.seeds, self.least
         spread = F.sequence(F.lit(0), F.col("parts") - 1)
         block = F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")
         both = ["seed", "c", "n", "sig", "leaf", "point"]
@@ -225,7 +261,7 @@ class Join:
             left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             bits = np.zeros((len(left), len(right)), bool)
             for k, i in enumerate(left.tolist()):
-                good = alike(np.broadcast_to(sig[i], (len(right), TOKENS)), sig[right], np.full(len(right), n[i]), n[right], threshold) & (c[right] != c[i])
+                good = alike(np.broadcast_to(sig[i], (len(right), TOKENS)), sig[right], np.full(len(right), n[i]), n[right], threshold, least) & (c[right] != c[i])
                 at = np.flatnonzero(good)
                 own = first_covered(np.broadcast_to(sig[i], (len(at), TOKENS)), sig[right[at]], leaf[i] & leaf[right[at]], point[i] | point[right[at]], seeds) == seed
                 if seed >= 0:
@@ -270,15 +306,19 @@ class Join:
         near = shared / (F.col("cnt") - 1) / probes >= least
         return written(tokens.join(counts, "path").filter(near).select("path", "c"), "points")
 
-    def split(self, rows: DataFrame) -> DataFrame:
-        """Each row under each token its node samples: (path, c)."""
+    def split(self, rows: DataFrame, repeats: int = 1) -> DataFrame:
+        """Each row under each token its node samples: (path, c). More repeats are as many nodes, whose subtrees have nothing in common."""
         threshold = self.threshold
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                path, c = batch.column("path").to_numpy(), batch.column("c").to_numpy()
-                row, token = np.nonzero(sampled(path, threshold))
-                yield pa.RecordBatch.from_arrays([pa.array(child(path[row], token, matrix(batch.column("sig"))[row, token])), pa.array(c[row])], names=["path", "c"])
+                c, sig = batch.column("c").to_numpy(), matrix(batch.column("sig"))
+                for run_no in range(repeats):
+                    path = batch.column("path").to_numpy()
+                    if run_no:
+                        path = child(path, np.full(len(path), TOKENS), np.full(len(path), run_no))
+                    row, token = np.nonzero(sampled(path, threshold))
+                    yield pa.RecordBatch.from_arrays([pa.array(child(path[row], token, sig[row, token])), pa.array(c[row])], names=["path", "c"])
 
         return rows.select("path", "c", "sig").mapInArrow(run, "path long, c long")
 
@@ -310,7 +350,7 @@ class Join:
                 if level == 2:
                     dense = near.filter("a is null")
             rest = big.join(points, ["path", "c"], "left_anti")
-            rows = self.counted(written(self.split(rest), "frontier")).withColumn("seed", F.lit(-1))
+            rows = self.counted(written(self.split(rest, self.repeats if level == 2 else 1), "frontier")).withColumn("seed", F.lit(-1))
             found.append(written(self.leaves(full(rows.filter(F.col("cnt") <= self.limit).join(reps, "c"))), "pairs"))
             big = written(rows.filter(F.col("cnt") > self.limit).join(reps, "c").withColumn("parts", F.ceil(F.col("cnt") / 256).cast("int")), "big")
             # past the last level all that is left is compared in blocks
