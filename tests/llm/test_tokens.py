@@ -94,3 +94,12 @@ def test_op3(spark, odd_docs, no_docs):
     check_files(spark, odd_docs, new_path(spark, "t"))
     check_files(spark, no_docs, new_path(spark, "t"))
     assert op3_token_files(spark, SF).count() == 200
+
+
+def test_op3_added_tokens(spark):
+    """The file's own added token, in and around words, at ends, repeated and alone."""
+    end = "<|endoftext|>"
+    texts = [f"x{end}y", end, f"{end}{end} a", f"one two {end}\n three's{end}", "", None, "<|endoftext|", f"<|{end}|> it'{end}s", "plain words", f"\u00e9{end}\U0001f600"]
+    tokenizer = Tokenizer.from_file(JSON)
+    assert [x.tolist() for x in bpe.from_json(JSON).encode(texts)] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    check_files(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), new_path(spark, "t"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 import base64
 import codecs
 import os
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -129,13 +130,20 @@ class IdTable:
 
 
 class WordBpe:
-    """A byte-level tokenizer that is asked once for each distinct word; BPE never joins words. Words are cut, hashed and looked up as arrays."""
+    """A byte-level tokenizer that is asked once for each distinct word; BPE never joins words. Words are cut, hashed and looked up as arrays. With `added`, texts are cut at the tokenizer's added tokens first, as the library does."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, added: bool = False):
         from tokenizers import pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        found = {t.content: (i, t) for i, t in tokenizer.get_added_tokens_decoder().items()} if added else {}
+        if any(t.lstrip or t.rstrip or t.single_word for _, t in found.values()) or (found and tokenizer.normalizer):
+            raise ValueError("added tokens that strip, ask for whole words or follow a normalizer are not supported")
+        self.added = {content: i for content, (i, _) in found.items()}
+        # the longest of those that begin at one place
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        # the words between added tokens hold none
         tokenizer.encode_special_tokens = True
         self.tokenizer, self.table = tokenizer, IdTable()
         back = {c: b for b, c in byte_to_char().items()}
@@ -147,6 +155,19 @@ class WordBpe:
 
     def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, end of each text's ids); null counts as empty."""
+        if not self.cut or not any(self.cut.search(t) for t in texts if t):
+            return self.encode_words(texts)
+        pieces = [self.cut.split(t or "") for t in texts]
+        counts = np.array([len(p) // 2 + 1 for p in pieces])
+        ids, ends = self.encode_words([x for p in pieces for x in p[::2]])
+        last = np.cumsum(counts) - 1
+        inner = np.ones(len(ends), bool)
+        inner[last] = False
+        special = np.array([self.added[x] for p in pieces for x in p[1::2]], np.uint32)
+        return np.insert(ids, ends[inner], special), ends[last] + np.cumsum(counts - 1)
+
+    def encode_words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """encode_flat() of texts without added tokens."""
         sizes = np.array([len(t or "") for t in texts], np.int64)
         text = "".join(t for t in texts if t)
         if not text:
@@ -224,7 +245,7 @@ def from_json(path: str) -> WordBpe:
     """From a file of the tokenizers library that holds a byte-level BPE."""
     from tokenizers import Tokenizer
 
-    return WordBpe(Tokenizer.from_file(path))
+    return WordBpe(Tokenizer.from_file(path), added=True)
 
 
 COLUMNS = {
