@@ -57,6 +57,29 @@ def test_op6_odd(spark):
     assert vamana.search_index(vamana.build_index(empty), frame).count() == 0
 
 
+@pytest.mark.parametrize("noise", [1e-5, 3e-4, 4e-3])
+def test_op6_near_copies(spark, noise):
+    """A third of a shard nearly equal, and parallel vectors in it: the true neighbours and the smaller ids come out."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(1000, 64))
+    x[:333] = x[0] + noise * rng.normal(size=(333, 64))
+    x[333:363] = x[5] * 2.0 ** np.arange(1, 31)[:, None]
+    asked = [*range(0, 333, 17), 340, 500]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in vamana.search_index(vamana.build_index(frame, shard_size=2000), frame.filter(f"vec_id in ({', '.join(map(str, asked))})")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for i in asked:
+        score = np.round(u @ u[i], 14)
+        score[i] = -2
+        hits += len(set(got[i]) & set(np.lexsort((np.arange(len(x)), -score))[:5].tolist()))
+    print(noise, hits / (5 * len(asked)), got[340])
+    assert hits >= 0.95 * 5 * len(asked)
+    assert got[340] == [5, 333, 334, 335, 336]
+
+
 # --- url filters
 
 

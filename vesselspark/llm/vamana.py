@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import parts_for, written
 
-INDEX = "shard int, dims int, n int, vectors binary, edges binary, ids array<array<long>>"
+INDEX = "shard int, dims int, n int, vectors binary, leaders binary, edges binary, ids array<array<long>>"
 
 
 def beam_search(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, start: int, width: int, hop: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,6 +109,29 @@ def add_back(x: np.ndarray, edges: np.ndarray, points: np.ndarray, degree: int,
         edges[targets[some]] = robust_prune(x, targets[some], near[some], degree, alpha)
 
 
+def direction(embedding: F.Column) -> F.Column:
+    """A vector by its largest entry: parallel vectors, if their multiples are exact, become equal."""
+    most = F.array_max(F.transform(embedding, F.abs))
+    return F.transform(embedding, lambda v: v / most)
+
+
+def float_error(dims: int) -> float:
+    """Bound of the error of a cosine of unit vectors in single precision, and of the difference of two."""
+    return (dims + 4) * 2.0**-23
+
+
+def leaders(x: np.ndarray) -> np.ndarray:
+    """For each vector a leader that single precision can't tell from it, itself or one before it; leaders can be told apart."""
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    out, rest = np.full(len(x), -1), np.arange(len(x))
+    while len(rest):
+        near = u[rest] @ u[rest[0]] >= 1 - 2 * float_error(x.shape[1])
+        near[0] = True
+        out[rest[near]] = rest[0]
+        rest = rest[~near]
+    return out
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
     x = vectors.astype(np.float64)
     x /= np.abs(x).max(1, keepdims=True)
@@ -125,11 +148,12 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def build_index(vectors: DataFrame, k: int = 5, shard_size: int = 1000, degree: int = 32, width: int = 64, alpha: float = 1.2, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The written index: a row a shard with its distinct vectors, graph, and the k + 1 smallest ids of each vector.
 
-    Every usable vector is in it. Equal vectors are one node; since no search for k answers can need more than their
+    Every usable vector is in it. Parallel vectors are one node, and nodes that single
+    precision can't tell apart are one node of the graph, all of whose vectors a search scores; since no search for k answers can need more than their
     k + 1 smallest ids, those are picked before the shuffle, so a vector that a third of the rows share costs no more
     than another. Shards hold about shard_size vectors by hash, so their number grows with the table and their size doesn't.
     """
-    rows = usable(vectors, id_col, vector_col).distinct()
+    rows = usable(vectors, id_col, vector_col).withColumn("embedding", direction(F.col("embedding"))).distinct()
     order = Window.partitionBy("embedding").orderBy("vec_id")
     few = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k + 1)
     nodes = written(few.groupBy("dims", "embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "nodes")
@@ -138,9 +162,10 @@ def build_index(vectors: DataFrame, k: int = 5, shard_size: int = 1000, degree:
     def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ids", key=lambda c: c.map(lambda ids: ids[0]))
         x = np.stack(rows["embedding"].to_numpy())
-        edges, start = build_graph(unit(x), degree, width, alpha)
+        lead = leaders(x)
+        edges, start = build_graph(unit(x[np.unique(lead)]), degree, width, alpha)
         edges = np.concatenate([np.full((1, degree), start), edges])
-        return pd.DataFrame({"shard": [key[1]], "dims": [key[0]], "n": [len(x)], "vectors": [x.tobytes()], "edges": [edges.astype(np.int32).tobytes()], "ids": [rows["ids"].tolist()]})
+        return pd.DataFrame({"shard": [key[1]], "dims": [key[0]], "n": [len(x)], "vectors": [x.tobytes()], "leaders": [lead.astype(np.int32).tobytes()], "edges": [edges.astype(np.int32).tobytes()], "ids": [rows["ids"].tolist()]})
 
     return written(nodes.withColumn("shard", F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int")).groupBy("dims", "shard").applyInPandas(build, INDEX), "index")
 
@@ -148,8 +173,10 @@ def build_index(vectors: DataFrame, k: int = 5, shard_size: int = 1000, degree:
 def search_index(index: DataFrame, queries: DataFrame, k: int = 5, width: int = 160, block: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k nearest found by cosine, its own id left out, ties to the smaller id.
 
-    Queries go to every shard in blocks of about `block`; a shard's graph is searched by beams of `width`, and found
-    vectors are scored exactly in double precision. Queries whose vector is unusable give no rows, as do queries with
+    Queries go to every shard in blocks of about `block`; a shard's graph is searched by beams of `width`, and all vectors
+    of the beam's nodes are scored exactly in double precision. Where the beam's last node is within the error of single
+    precision (and the nodes' radius) of the k-th best, or the beam found fewer nodes than it has room for, the whole
+    shard is scored. Queries whose vector is unusable give no rows, as do queries with
     nothing to find; a vector is only compared with vectors of its own length. Rows that share a query's id and vector
     count once.
     """
@@ -166,16 +193,26 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = 5, width: int =
             return out
         row = right.iloc[0]
         x = np.frombuffer(row["vectors"], np.float64).reshape(row["n"], row["dims"])
-        edges = np.frombuffer(row["edges"], np.int32).reshape(row["n"] + 1, -1)
+        own_leader = np.frombuffer(row["leaders"], np.int32)
+        lead, group = np.unique(own_leader, return_inverse=True)
+        members, first = np.argsort(group, kind="stable"), np.searchsorted(np.sort(group), np.arange(len(lead) + 1))
+        edges = np.frombuffer(row["edges"], np.int32).reshape(len(lead) + 1, -1)
         q = np.stack(left["embedding"].to_numpy())
-        found = beam_search(unit(x), edges[1:].astype(np.int64), unit(q), int(edges[0, 0]), width)[0][:, : 2 * k + 6]
+        found, away, _ = beam_search(unit(x[lead]), edges[1:].astype(np.int64), unit(q), int(edges[0, 0]), width)
+        norms = np.linalg.norm(x, axis=1)
+        radius = np.sqrt(2 * np.maximum(0, 1 - np.einsum("nd,nd->n", x, x[own_leader]) / (norms * norms[own_leader])).max()) * 1.01
+        # no vector outside a beam is more alike than its last node allows
+        edge = np.arccos(np.clip(1 - np.where(found[:, -1] < 0, 0, away[:, -1]) + float_error(x.shape[1]), -1, 1)) - radius
+        limit = np.where(edge > 0, np.cos(np.maximum(edge, 0)), np.inf)
         parts = [out]
-        for own, vector, near in zip(left["query_id"].tolist(), q, found, strict=True):
+        for own, vector, near, most in zip(left["query_id"].tolist(), q, found, limit.tolist(), strict=True):
             near = near[near >= 0]
-            score = cosine(x[near], vector)
-            hits = [(own, i, s) for s, ids in zip(score.tolist(), row["ids"][near], strict=True) for i in ids if i != own]
-            hits.sort(key=lambda h: (-h[2], h[1]))
-            parts.append(pd.DataFrame(hits[:k], columns=out.columns))
+            if len(lead) < len(x):
+                near = np.concatenate([members[first[g] : first[g + 1]] for g in near])
+            hits = best_hits(own, near, cosine(x[near], vector), row["ids"], k)
+            if len(near) < len(x) and (len(hits) < k or hits[-1][2] <= most):
+                hits = best_hits(own, np.arange(len(x)), cosine(x, vector), row["ids"], k)
+            parts.append(pd.DataFrame(hits, columns=out.columns))
         return pd.concat([p for p in parts if len(p)] or [out])
 
     hits = asked.groupBy("dims", "shard", "block").cogroup(copies.groupBy("dims", "shard", "block")).applyInPandas(search, "query_id long, vec_id long, score double")
@@ -188,3 +225,16 @@ def cosine(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Exact cosines in double precision."""
     return x @ q / (np.linalg.norm(x, axis=1) * np.linalg.norm(q))
 
+
+def best_hits(own: int, nodes: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+    """(own, id, score) of the k best distinct ids of nodes but own, ties to the smaller id."""
+    best: dict[int, float] = {}
+    last = -np.inf
+    for at in np.argsort(-score, kind="stable").tolist():
+        if len(best) >= k and score[at] < last:
+            break
+        last = score[at]
+        for i in ids[nodes[at]]:
+            if i != own:
+                best.setdefault(int(i), float(last))
+    return sorted(((own, i, s) for i, s in best.items()), key=lambda h: (-h[2], h[1]))[:k]
