@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,20 +49,52 @@ def combine_pairs(pairs: DataFrame, midpoints: DataFrame, labels: DataFrame) ->
 
 
 def threshold_bridges(gaps: DataFrame, roi: DataFrame, thresholds: tuple[float, ...] = (0.20, 0.15, 0.10)) -> DataFrame:
-    """(gap_id, threshold): the highest threshold at which a gap's two ends lie in one component of its region; gaps that none joins are left out.
+    """(gap_id, threshold): the highest threshold at which a gap's two ends touch, over faces, through its region; gaps that none joins are left out.
 
-    gaps: gap_id and ends a, b as structs of a0, a1, a2; roi: gap_id, a0, a1, a2, p, in_mask. Mask voxels always count.
+    gaps: gap_id and ends a, b as structs of a0, a1, a2; roi: gap_id, a0, a1, a2, p, in_mask, in_tube. Mask voxels always count, others where they
+    lie in the tube and their probability is over the threshold.
     """
     # every gap and threshold is a case of its own, so one run of components serves all
-    tries = roi.withColumn("t", F.explode(F.array(*map(F.lit, thresholds)))).filter("in_mask or p >= t")
-    labelled = written(vox.components(tries.select(F.struct("gap_id", "t").alias("case_id"), *vox.AXES)), "labelled")
+    tries = roi.withColumn("t", F.explode(F.array(*map(F.lit, thresholds)))).filter("in_mask or (in_tube and p > t)")
+    labelled = written(vox.components(tries.select(F.struct("gap_id", "t").alias("case_id"), *vox.AXES), 6), "labelled")
     at = lambda end: labelled.select("case_id", F.struct(*vox.AXES).alias(end), F.col("component").alias(f"{end}_component"))
     ends = gaps.withColumn("t", F.explode(F.array(*map(F.lit, thresholds)))).select(F.struct("gap_id", "t").alias("case_id"), "a", "b")
     same = ends.join(at("a"), ["case_id", "a"]).join(at("b"), ["case_id", "b"]).filter("a_component = b_component")
     return same.groupBy(F.col("case_id.gap_id").alias("gap_id")).agg(F.max("case_id.t").alias("threshold"))
 
 
-def cheapest_paths(gaps: DataFrame, roi: DataFrame, most_rounds: int = 200) -> DataFrame:
+def bridge_voxels(found: DataFrame, roi: DataFrame) -> DataFrame:
+    """(gap_id, a0, a1, a2, p) that a bridge at its gap's threshold adds to the mask."""
+    return roi.join(found, "gap_id").filter("in_tube and not in_mask and p > threshold").select("gap_id", *vox.AXES, "p")
+
+
+def judge_bridges(found: DataFrame, roi: DataFrame, gaps: DataFrame, least_new: int = 10, most_new: int = 100) -> DataFrame:
+    """(gap_id, threshold, n_new, expected, accepted): a bridge must add least_new voxels or more, and not both more than most_new and more than
+    three times the cylinder between its ends with their mean radius. gaps: gap_id, a, b, radius_a, radius_b in voxels, at least 1 each."""
+    n = bridge_voxels(found, roi).groupBy("gap_id").agg(F.count("*").alias("n_new"))
+    reach = F.sqrt(sum(((F.col(f"a.a{k}") - F.col(f"b.a{k}")) ** 2 for k in range(1, 3)), (F.col("a.a0") - F.col("b.a0")) ** 2))
+    radius = (F.greatest(F.lit(1.0), F.col("radius_a")) + F.greatest(F.lit(1.0), F.col("radius_b"))) / 2
+    rows = found.join(gaps.select("gap_id", (math.pi * radius * radius * F.greatest(reach, F.lit(1.0))).alias("expected")), "gap_id").join(n, "gap_id", "left")
+    rows = rows.withColumn("n_new", F.coalesce("n_new", F.lit(0).cast("long")))
+    good = (F.col("n_new") >= least_new) & ~((F.col("n_new") > 3 * F.col("expected")) & (F.col("n_new") > most_new))
+    return rows.select("gap_id", "threshold", "n_new", "expected", good.alias("accepted"))
+
+
+def bridge_costs(gaps: DataFrame, roi: DataFrame, weight: float = 0.3) -> DataFrame:
+    """Roi with cost: 1 - p (p up to 0.99) plus weight times the distance from the line between the ends over half its length (at least 1);
+    10 outside the tube, 0.01 at the ends."""
+    start, axis = [F.col(f"a.a{k}") for k in range(3)], [F.col(f"b.a{k}") - F.col(f"a.a{k}") for k in range(3)]
+    dot = lambda x, y: x[0] * y[0] + x[1] * y[1] + x[2] * y[2]
+    own = [F.col(f"a{k}") - s for k, s in enumerate(start)]
+    length, along = F.sqrt(dot(axis, axis)), dot(own, axis) / F.nullif(dot(axis, axis), F.lit(0))
+    off = F.sqrt(F.greatest(dot(own, own) - along * along * dot(axis, axis), F.lit(0.0)))
+    cost = 1 - F.greatest(F.lit(0.0), F.least(F.col("p"), F.lit(0.99))) + weight * F.coalesce(off, F.lit(0.0)) / F.greatest(length / 2, F.lit(1.0))
+    at = lambda end: (F.col(f"{end}.a0") == F.col("a0")) & (F.col(f"{end}.a1") == F.col("a1")) & (F.col(f"{end}.a2") == F.col("a2"))
+    rows = roi.join(gaps.select("gap_id", "a", "b"), "gap_id")
+    return rows.select(*roi.columns, F.when(at("a") | at("b"), 0.01).when(~F.col("in_tube"), 10.0).otherwise(cost).alias("cost"))
+
+
+def cheapest_paths(gaps: DataFrame, roi: DataFrame) -> DataFrame:
     """(gap_id, idx, a0, a1, a2): the cheapest 26-connected way from a to b in each gap's region (gap_id, a0, a1, a2, cost), a step
     costing the mean of its voxels' costs times its length. All gaps relax together, a round a step; ties go to the smaller voxel. Gaps without a way give no rows."""
     spark = roi.sparkSession
@@ -69,7 +104,7 @@ def cheapest_paths(gaps: DataFrame, roi: DataFrame, most_rounds: int = 200) -> D
     start = gaps.select("gap_id", *(F.col(f"a.a{k}").alias(f"a{k}") for k in range(3)), F.lit(0.0).alias("far"), F.lit(None).cast("struct<a0: int, a1: int, a2: int>").alias("before"))
     best = written(start.join(cells.select(*key), key, "left_semi"), "best")
     front = best
-    for _ in range(most_rounds):
+    while True:
         step = front.join(cells, key).select("gap_id", F.struct(*vox.AXES).alias("before"), F.col("cost").alias("cost0"), "far", *vox.AXES, offsets)
         length = F.sqrt(F.col("o.d0") ** 2 + F.col("o.d1") ** 2 + F.col("o.d2") ** 2)
         step = step.select("gap_id", "before", "cost0", "far", length.alias("length"), *((F.col(a) + F.col(f"o.d{k}")).alias(a) for k, a in enumerate(vox.AXES))).join(cells, key)
@@ -84,7 +119,7 @@ def cheapest_paths(gaps: DataFrame, roi: DataFrame, most_rounds: int = 200) -> D
         best = merged
     here = gaps.select("gap_id", *(F.col(f"b.a{k}").alias(f"a{k}") for k in range(3)), F.lit(0).alias("back")).join(best.select(*key, "before"), key)
     path, at = here, here
-    for back in range(1, most_rounds):
+    for back in itertools.count(1):
         at = at.filter("before is not null").select("gap_id", *(F.col(f"before.a{k}").alias(f"a{k}") for k in range(3)), F.lit(back).alias("back")).join(best.select(*key, "before"), key)
         at = written(at, "at")
         if at.isEmpty():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -181,8 +182,8 @@ def label_segments(segments: DataFrame, areas: DataFrame | None) -> DataFrame:
     return rows.select("case_id", "seg_id", "component", name.alias("artery_name"), side.alias("tree_side"), confidence.alias("confidence"))
 
 
-def bfs(links: DataFrame, sources: DataFrame, most_rounds: int = 1000) -> DataFrame:
-    """(path_id, node, parent, depth) of nodes reached from each path's source over the fewest links, which must be given both ways;
+def bfs(links: DataFrame, sources: DataFrame) -> DataFrame:
+    """(path_id, node, parent, depth) of all nodes reached from each path's source over the fewest links, which must be given both ways;
     parents are the smallest possible. One round a hop, for all paths at once; a round only looks at the last two fronts, since links lead no farther back."""
     spark = links.sparkSession
     links = written(links.select("src", "dst").distinct(), "links")
@@ -194,7 +195,7 @@ def bfs(links: DataFrame, sources: DataFrame, most_rounds: int = 1000) -> DataFr
 
     front = stored(sources.select("path_id", "node", F.col("node").alias("parent")), 0)
     known = front
-    for depth in range(1, most_rounds):
+    for depth in itertools.count(1):
         step = front.select("path_id", F.col("node").alias("src")).join(links, "src").groupBy("path_id", F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
         new = stored(step.join(known.select("path_id", "node"), ["path_id", "node"], "left_anti"), depth)
         if new.isEmpty():
@@ -226,13 +227,16 @@ def look_beyond(tips: DataFrame, voxels: DataFrame, samples: int = 5, stride: in
 
 
 def classify_tips(tips: DataFrame, shapes: DataFrame) -> DataFrame:
-    """Tips (radius_mm, beyond, beyond_prob, fragment_size, largest_size, fragment_tips) with is_valid, reason and confidence, by the first rule that holds. Small: fewer voxels than max(500, a tenth of the largest)."""
+    """Tips (radius_mm, beyond, beyond_prob, fragment_size, largest_size, fragment_tips) with is_valid, reason and confidence, by the first rule that holds.
+    Small fragments have fewer voxels than max(500, a tenth of the largest); with one or two tips they are gaps, with more a thin tip of theirs still is."""
     rows = tips.join(shapes, "case_id")
     edge = scalars.near_boundary([F.col(f"node.a{k}") for k in range(3)], [F.col(f"n{k}") for k in range(3)])
-    small = (F.col("fragment_size") < F.greatest(F.lit(500), F.col("largest_size") * 0.1)) & (F.col("fragment_tips") <= 2)
+    small, thin = F.col("fragment_size") < F.greatest(F.lit(500), F.floor(F.col("largest_size") * 0.1)), F.col("radius_mm") < 0.8
+    # fixed values: verdicts, reasons and confidences
     rules = [
-        (edge, True, "boundary", 0.95), (F.col("radius_mm") > 1.5, False, "thick", 0.9), (F.col("beyond") > 0.5, False, "intensity", 0.8), (F.col("beyond_prob") > 0.15, False, "probability", 0.75),
-        (small, False, "fragment", 0.7), (F.col("radius_mm") < 0.8, True, "thin", 0.7), (F.lit(True), True, "default", 0.5),
+        (edge, True, "boundary", 0.9), (F.col("radius_mm") > 1.5, False, "large_radius_abrupt_stop", 0.8), (F.col("beyond") > 0.5, False, "contrast_continues", 0.7),
+        (F.col("beyond_prob") > 0.15, False, "model_prob_continues", 0.65), (small & (F.col("fragment_tips") <= 2), False, "small_component_fragment", 0.65),
+        (thin & small, False, "thin_fragment_tip", 0.6), (thin, True, "thin_vessel_tip", 0.75), (F.lit(True), True, "default", 0.5),
     ]
     pick = lambda at: F.coalesce(*(F.when(F.coalesce(r[0], F.lit(False)), F.lit(r[at])) for r in rules))
     return rows.select("case_id", "node", pick(1).alias("is_valid"), pick(2).alias("reason"), pick(3).alias("confidence"))
@@ -315,17 +319,26 @@ def tube_members(voxels: DataFrame, tubes: DataFrame, extend: float = 6.0, margi
     rows = tubes.withColumn("len", F.sqrt(dot(gap, gap))).filter("len > 0").withColumns({f"u{k}": g / F.col("len") for k, g in enumerate(gap)}).withColumn("r", F.col("radius") + margin)
     low = {f"low{k}": F.floor(F.least(f"s{k}", f"e{k}") - F.col("r") - extend) for k in range(3)}
     high = {f"high{k}": F.ceil(F.greatest(f"s{k}", f"e{k}") + F.col("r") + extend) for k in range(3)}
-    rows = voxels.join(rows.withColumns(low | high), "case_id").filter(" and ".join(f"a{k} between low{k} and high{k}" for k in range(3)))
+    rows = vox.with_chunks(voxels).join(vox.over_chunks(rows.withColumns(low | high)), ["case_id", *vox.CHUNKS]).filter(" and ".join(f"a{k} between low{k} and high{k}" for k in range(3)))
     own, u = [F.col(f"a{k}") - F.col(f"s{k}") for k in range(3)], [F.col(f"u{k}") for k in range(3)]
     along = dot(own, u)
     rows = rows.withColumn("along", along).withColumn("off", F.sqrt(F.greatest(dot(own, own) - along * along, F.lit(0.0))))
     return rows.filter((F.col("along") >= -extend) & (F.col("along") <= F.col("len") + extend) & (F.col("off") <= F.col("r"))).select("case_id", "tube_id", *vox.AXES, "off")
 
 
-def gap_decision(gaps: DataFrame) -> DataFrame:
-    """What to do with each gap (mean_prob, most_prob): nothing, a bridge at a threshold, or a cheapest path."""
-    m = F.col("mean_prob")
-    return gaps.withColumn("action", F.when(m < 0.03, "skip").when((m < 0.08) & (F.col("most_prob") < 0.8), "skip").when(m >= 0.15, "threshold").when(m >= 0.1, "path").otherwise("skip"))
+def gap_decision(gaps: DataFrame, least_prob: float = 0.6) -> DataFrame:
+    """What to do with each gap, and with what mean probability its path must come.
+
+    Gaps have tube_mean, the main model's mean in the gap's tube (null if unknown), and combined_mean, the mean there of the larger of both
+    models' probabilities. Where tube_mean is below 0.03 the gap is skipped; below 0.08 its tier is low_signal and a path needs 0.8 or more, else
+    least_prob. Of the rest combined_mean says what is tried first: a bridge at a threshold from 0.15 on (where none is accepted, a
+    path), a path from 0.1 on, else nothing. Action is skip, threshold, path or low_signal (nothing was tried).
+    """
+    tube, both = F.col("tube_mean"), F.coalesce("combined_mean", F.lit(0.0))
+    tier = F.when(tube.isNull(), "unknown").when(tube < 0.03, "none").when(tube < 0.08, "low_signal").otherwise("normal")
+    needed = F.when(tube < 0.08, F.greatest(F.lit(least_prob), F.lit(0.8))).otherwise(F.lit(least_prob))
+    action = F.when(tube < 0.03, "skip").when(both >= 0.15, "threshold").when(both >= 0.1, "path").otherwise("low_signal")
+    return gaps.withColumns({"tier": tier, "action": action, "path_needs": needed})
 
 
 def regions(points: DataFrame, low: float = 0.33, high: float = 0.67) -> DataFrame:

@@ -59,9 +59,9 @@ def smooth(points: DataFrame, value: str = "radius_mm", out: str = "r", sigma: f
     n = F.count("*").over(Window.partitionBy(*keys))
     rows = points.withColumn("__n", n)
     # the first and last values, which mirrored indexes fall on: 2 * radius of them cover segments of any length
-    near = min(2 * radius, 64)
-    edge = F.when((F.col("idx") < near) | (F.col("idx") >= F.col("__n") - near), F.struct("idx", value))
-    rows = rows.withColumn("__edge", F.map_from_entries(F.collect_list(edge).over(whole)))
+    at_end = lambda i: (i < radius) | (i >= F.col("__n") - radius)
+    edge = F.when((F.col("idx") < 2 * radius) | (F.col("idx") >= F.col("__n") - 2 * radius), F.struct("idx", value))
+    rows = rows.withColumn("__edge", F.when(at_end(F.col("idx")), F.map_from_entries(F.collect_list(edge).over(whole))))
     parts = []
     for k, w in zip(range(-radius, radius + 1), weights, strict=True):
         at = F.pmod(F.col("idx") + k, 2 * F.col("__n"))

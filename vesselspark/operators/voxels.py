@@ -43,6 +43,21 @@ def inside(rows: DataFrame, shapes: DataFrame) -> DataFrame:
 # --- values
 
 
+CHUNK, CHUNKS = 16, ["__c0", "__c1", "__c2"]
+
+
+def with_chunks(voxels: DataFrame) -> DataFrame:
+    """Voxels with the chunk of CHUNK x CHUNK x CHUNK that each lies in."""
+    return voxels.withColumns({c: F.floor(F.col(a) / CHUNK) for a, c in zip(AXES, CHUNKS, strict=True)})
+
+
+def over_chunks(boxes: DataFrame) -> DataFrame:
+    """Boxes (low0..high2), a row for each chunk they touch; those with a low end over the high one touch none."""
+    for k, c in enumerate(CHUNKS):
+        boxes = boxes.filter(f"low{k} <= high{k}").withColumn(c, F.explode(F.sequence(F.floor(F.col(f"low{k}") / CHUNK), F.floor(F.col(f"high{k}") / CHUNK))))
+    return boxes
+
+
 def zscore(voxels: DataFrame, limit: float = 3.0) -> DataFrame:
     """Per case, with the population deviation floored at 1e-6, clipped."""
     stats = voxels.groupBy("case_id").agg(F.avg("value").alias("m"), F.greatest(F.stddev_pop("value"), F.lit(1e-6)).alias("s"))
@@ -66,13 +81,13 @@ def take_slice(voxels: DataFrame, shapes: DataFrame, axis: int, index: int) -> D
 
 
 def in_boxes(voxels: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Voxels in each box (case_id, box_id, low0..high2, ends included); the case is the equi-join key, the box the residual."""
-    rows = voxels.join(boxes, "case_id")
+    """Voxels in each box (case_id, box_id, low0..high2, ends included): an equi-join on the chunks that a box touches, then the box itself."""
+    rows = with_chunks(voxels).join(over_chunks(boxes), ["case_id", *CHUNKS])
     return rows.filter(" and ".join(f"a{k} between low{k} and high{k}" for k in range(3))).select("box_id", *voxels.columns)
 
 
 def blur(rows: DataFrame, shapes: DataFrame, sigma: float, axes: tuple[int, ...] = (0, 1, 2), value: str = "value") -> DataFrame:
-    """V7: Gaussian blur, an axis at a time, mirrored at the grid's ends (kernels up to the grid's size); absent voxels are 0."""
+    """V7: Gaussian blur, an axis at a time, mirrored at the grid's ends as often as a kernel reaches past them; absent voxels are 0."""
     weights = gaussian_weights(sigma)
     radius = len(weights) // 2
     taps = F.array(*(F.struct(F.lit(k - radius).alias("k"), F.lit(w).alias("w")) for k, w in enumerate(weights)))
@@ -80,7 +95,10 @@ def blur(rows: DataFrame, shapes: DataFrame, sigma: float, axes: tuple[int, ...]
     rows = rows.select(*KEY, F.col(value).cast("double").alias("value"))
     for axis in axes:
         a, n = F.col(f"a{axis}"), F.col(f"n{axis}")
-        images = F.array_distinct(F.array(a, -1 - a, 2 * n - 1 - a))
+        # a voxel's mirror images repeat every 2 n places; those within radius of the grid count
+        turns = F.sequence(-F.ceil(F.lit(radius) / (2 * n)) - 1, F.ceil(F.lit(radius) / (2 * n)) + 1)
+        images = F.flatten(F.transform(turns, lambda m: F.array(a + 2 * n * m, -1 - a + 2 * n * m)))
+        images = F.filter(images, lambda i: (i >= -radius) & (i < n + radius))
         spread = rows.join(sizes, "case_id").withColumn("image", F.explode(images)).withColumn("t", F.explode(taps))
         spread = spread.withColumn(f"a{axis}", (F.col("image") - F.col("t.k")).cast("int")).filter(f"a{axis} >= 0 and a{axis} < n{axis}")
         rows = spread.groupBy(*KEY).agg(F.sum(F.col("value") * F.col("t.w")).alias("value"))
@@ -196,7 +214,7 @@ def near_pairs(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     return left.join(right, ["case_id", "c0", "c1", "c2"]).withColumn("distance", gap).filter(F.col("distance") <= radius).drop("c0", "c1", "c2")
 
 
-def nearest(a: DataFrame, b: DataFrame, first_radius: float = 2.0, most_rounds: int = 20) -> DataFrame:
+def nearest(a: DataFrame, b: DataFrame, first_radius: float = 2.0) -> DataFrame:
     """For each row of a (case_id, id_a, x0..x2) the nearest of b (case_id, id_b, y0..y2), ties to the smaller id_b; rows of cases that b lacks are left out.
 
     The radius doubles each round for the points still without a hit, so a hit within the radius is the nearest there is.
@@ -204,7 +222,7 @@ def nearest(a: DataFrame, b: DataFrame, first_radius: float = 2.0, most_rounds:
     spark = a.sparkSession
     left = written(a.join(b.select("case_id").distinct(), "case_id", "left_semi"), "left")
     right, found, radius = written(b, "right"), [], first_radius
-    for _ in range(most_rounds):
+    while True:
         hits = near_pairs(left, right, radius).groupBy("case_id", "id_a").agg(F.min(F.struct("distance", "id_b")).alias("m"))
         found.append(written(hits.select("case_id", "id_a", "m.distance", "m.id_b"), "hits"))
         rest = written(left.join(found[-1], ["case_id", "id_a"], "left_anti"), "left")

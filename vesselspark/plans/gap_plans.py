@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import gaps
 from ..operators import voxels as vox
-from .fixtures import masks, voxels
+from .fixtures import VOXELS, masks, voxels, with_ctes
 from .graph_plans import PLACE, RECURSIVE, components, tips
 from .profile_plans import rounded
-from .voxel_plans import labelled, root, shapes
+from .voxel_plans import SHAPES, labelled, root, shapes
 
 
 def v21_component_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,17 +33,24 @@ def regions_of_gaps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     starts = starts.withColumn("gap_id", F.col("case_id") * 100_000 + F.col("low"))
     corner = lambda s: F.struct((F.col("low") + s).cast("int").alias("a0"), F.lit(s + 1).alias("a1"), F.lit(s + 1).alias("a2"))
     roi = voxels(spark, sf_dir).join(starts, "case_id").filter("a0 between low and low + 5 and a1 between 1 and 6 and a2 between 1 and 6")
-    roi = roi.select("gap_id", F.col("a0").cast("int").alias("a0"), "a1", "a2", "value", (1 - F.col("value")).alias("cost"), (F.col("value") + 0.1).alias("p"), (F.col("value") > 0.25).alias("in_mask"))
-    return starts.select("gap_id", corner(0).alias("a"), corner(5).alias("b")), roi
+    tube = (F.col("a1") + F.col("a2")) % 7 != 0
+    roi = roi.select("gap_id", F.col("a0").cast("int").alias("a0"), "a1", "a2", (F.col("value") + 0.1).alias("p"), (F.col("value") > 0.25).alias("in_mask"), tube.alias("in_tube"))
+    return starts.select("gap_id", corner(0).alias("a"), corner(5).alias("b"), (F.col("low") % 5 / 4).alias("radius_a"), F.lit(1.5).alias("radius_b")), roi
 
 
 def g25_threshold_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends, roi = regions_of_gaps(spark, sf_dir)
-    return gaps.threshold_bridges(ends, roi)
+    return rounded(gaps.judge_bridges(gaps.threshold_bridges(ends, roi), roi, ends))
+
+
+def g26_bridge_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends, roi = regions_of_gaps(spark, sf_dir)
+    return rounded(gaps.bridge_costs(ends, roi).select("gap_id", *vox.AXES, "cost"))
 
 
 def g26_cheapest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gaps.cheapest_paths(*regions_of_gaps(spark, sf_dir))
+    ends, roi = regions_of_gaps(spark, sf_dir)
+    return gaps.cheapest_paths(ends, gaps.bridge_costs(ends, roi))
 
 
 def a25_evaluate_models(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +60,19 @@ def a25_evaluate_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(gaps.evaluate_models(cut("low", 0.12).union(cut("high", 0.18)), masks(spark, sf_dir)[1], shapes(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (v21_component_boxes, g23_midpoint_pairs, g25_threshold_bridges, g26_cheapest_paths, a25_evaluate_models)}
+QUERIES = {f.__name__: f for f in (v21_component_boxes, g23_midpoint_pairs, g25_threshold_bridges, g26_bridge_costs, g26_cheapest_paths, a25_evaluate_models)}
+ROI = """starts AS (SELECT case_id, unnest(range(0, n0 - 5, 8)) AS low FROM shapes),
+gaps AS (SELECT case_id * 100000 + low AS gap_id, low, low % 5 / 4.0::DOUBLE AS radius_a FROM starts),
+roi AS (SELECT case_id * 100000 + low AS gap_id, low, a0, a1, a2, value + 0.1::DOUBLE AS p, value > 0.25 AS in_mask, (a1 + a2) % 7 <> 0 AS in_tube FROM voxels JOIN starts USING (case_id) WHERE a0 BETWEEN low AND low + 5 AND a1 BETWEEN 1 AND 6 AND a2 BETWEEN 1 AND 6)"""
 ORACLES = {
+    "g25_threshold_bridges": with_ctes(VOXELS, SHAPES, ROI, "tries AS (SELECT gap_id, t, low, a0, a1, a2 FROM roi, (VALUES (0.2::DOUBLE), (0.15::DOUBLE), (0.1::DOUBLE)) x(t) WHERE in_mask OR (in_tube AND p > t))",
+        "reach AS (SELECT * FROM tries WHERE a0 = low AND a1 = 1 AND a2 = 1 UNION SELECT s.* FROM reach r JOIN tries s ON s.gap_id = r.gap_id AND s.t = r.t AND abs(s.a0 - r.a0) + abs(s.a1 - r.a1) + abs(s.a2 - r.a2) = 1)",
+        "found AS (SELECT gap_id, max(t) AS threshold FROM reach WHERE a0 = low + 5 AND a1 = 6 AND a2 = 6 GROUP BY gap_id)",
+        "n AS (SELECT found.gap_id, threshold, count(p) AS n_new FROM found LEFT JOIN roi ON roi.gap_id = found.gap_id AND in_tube AND NOT in_mask AND p > threshold GROUP BY ALL)",
+        "e AS (SELECT gap_id, threshold, n_new, pi() * ((greatest(1, radius_a) + 1.5::DOUBLE) / 2)^2 * sqrt(75.0::DOUBLE) AS expected FROM n JOIN gaps USING (gap_id))",
+        select="SELECT gap_id, round(threshold, 6) AS threshold, n_new, round(expected, 6) AS expected, n_new >= 10 AND NOT (n_new > 3 * expected AND n_new > 100) AS accepted FROM e").replace("WITH ", "WITH RECURSIVE ", 1),
+    "g26_bridge_costs": with_ctes(VOXELS, SHAPES, ROI, "o AS (SELECT *, a0 - low AS x, a1 - 1 AS y, a2 - 1 AS z FROM roi)",
+        select="""SELECT gap_id, a0, a1, a2, round(CASE WHEN (x = 0 AND y = 0 AND z = 0) OR (x = 5 AND y = 5 AND z = 5) THEN 0.01 WHEN NOT in_tube THEN 10
+  ELSE 1 - greatest(0, least(p, 0.99)) + 0.3 * sqrt(greatest(x * x + y * y + z * z - (x + y + z)^2 / 3.0::DOUBLE, 0)) / (sqrt(75.0::DOUBLE) / 2) END, 6) AS cost FROM o"""),
     "v21_component_boxes": RECURSIVE(labelled(26), select="SELECT case_id, root, min(a0) - 2 AS low0, max(a0) + 2 AS high0, min(a1) - 2 AS low1, max(a1) + 2 AS high1, min(a2) - 2 AS low2, max(a2) + 2 AS high2 FROM labelled GROUP BY ALL"),
 }

@@ -9,7 +9,7 @@ from ..operators import graph, profile
 from ..operators import voxels as vox
 from .fixtures import MASKS, POINTS, VOXELS, graded, masks, points, voxels, with_ctes
 from .profile_plans import rounded
-from .voxel_plans import labelled, root, shapes
+from .voxel_plans import SHAPES, labelled, root, shapes
 
 PLACE = lambda c: F.col(f"{c}.a0") * 64 + F.col(f"{c}.a1") * 8 + F.col(f"{c}.a2")
 NEAR = "abs(s.a0 - r.a0) <= 1 AND abs(s.a1 - r.a1) <= 1 AND abs(s.a2 - r.a2) <= 1 AND (s.a0, s.a1, s.a2) <> (r.a0, r.a1, r.a2)"
@@ -120,7 +120,7 @@ def g19_tip_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def g21_tip_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = graph.look_beyond(tips(spark, sf_dir), voxels(spark, sf_dir), 3, 1)
-    rows = rows.withColumns({"radius_mm": F.col("radius_mm") * 3, "beyond": F.col("beyond") * 5, "beyond_prob": F.col("beyond"), "fragment_size": F.lit(400), "largest_size": F.lit(5000), "fragment_tips": F.col("node.a1") % 4})
+    rows = rows.withColumns({"radius_mm": F.col("radius_mm") * 3, "beyond": F.col("beyond") * 5, "beyond_prob": F.col("beyond"), "fragment_size": 400 + F.col("node.a2") % 2 * 200, "largest_size": F.lit(5000), "fragment_tips": F.col("node.a1") % 4})
     wide = shapes(spark, sf_dir).withColumns({"n1": F.lit(80), "n2": F.lit(80)})
     return rounded(graph.classify_tips(rows, wide).select("case_id", PLACE("node").alias("place"), "is_valid", "reason", "confidence"))
 
@@ -137,8 +137,10 @@ def g27_path_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g28_gap_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = graded(spark, sf_dir).select("finding_id", (F.col("gt_pct") / 500).alias("mean_prob"), (F.col("pred_pct") / 100).alias("most_prob"))
-    return graph.gap_decision(rows).select("finding_id", "action")
+    """Means from the graded findings: unknown in the tube for every ninth."""
+    tube = F.when(F.col("finding_id") % 9 != 0, F.col("gt_pct") / 500)
+    rows = graded(spark, sf_dir).select("finding_id", tube.alias("tube_mean"), (F.col("pred_pct") / 400).alias("combined_mean"))
+    return graph.gap_decision(rows).select("finding_id", "tier", "action", "path_needs")
 
 
 def g33_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,6 +173,14 @@ AREAS = """areas AS (SELECT *, CASE WHEN n_big = 0 THEN 'Coronary' WHEN NOT big
   FROM (SELECT *, count(*) FILTER (big) OVER (PARTITION BY case_id) AS n_big, min(centre) OVER b AS low, max(centre) OVER b AS high, first(root) OVER (PARTITION BY case_id, big ORDER BY centre, root) AS first_root, first(root) OVER (PARTITION BY case_id, big ORDER BY centre DESC, root DESC) AS last_root
     FROM (SELECT case_id, root, count(*) AS size, avg(a2) AS centre, count(*) / sum(count(*)) OVER (PARTITION BY case_id) AS share, count(*) / sum(count(*)) OVER (PARTITION BY case_id) >= 0.05 AS big FROM labelled GROUP BY case_id, root) WINDOW b AS (PARTITION BY case_id, big)))"""
 RECURSIVE = lambda *parts, select: with_ctes(*B, *parts, select=select).replace("WITH ", "WITH RECURSIVE ", 1)
+STEP = lambda k: f"w{k + 1} AS (SELECT w.case_id, w.place, coalesce(min(l.dst), w.here) AS here, CASE WHEN min(l.dst) IS NULL THEN w.path ELSE list_append(w.path, min(l.dst)) END AS path FROM w{k} w LEFT JOIN links l ON l.case_id = w.case_id AND l.src = w.here AND NOT list_contains(w.path, l.dst) GROUP BY w.case_id, w.place, w.here, w.path)"
+TIPS = ", ".join([
+    "w0 AS (SELECT case_id, src AS place, src AS here, [src] AS path FROM links GROUP BY case_id, src HAVING count(*) = 1)", *(STEP(k) for k in range(5)),
+    "g AS (SELECT case_id, place, place // 64 AS a0, place // 8 % 8 AS a1, place % 8 AS a2, place // 64 - here // 64 AS g0, place // 8 % 8 - here // 8 % 8 AS g1, place % 8 - here % 8 AS g2 FROM w5)",
+    "tips AS (SELECT *, " + ", ".join(f"g{k} / nullif(sqrt(g0 * g0 + g1 * g1 + g2 * g2), 0) AS d{k}" for k in range(3)) + " FROM g)",
+    "past AS (SELECT t.case_id, t.place, avg(v.value) AS beyond FROM tips t, (VALUES (1), (2), (3)) x(s) JOIN voxels v ON v.case_id = t.case_id AND " + " AND ".join(f"v.a{k} = round_even(t.a{k} + t.d{k} * s, 0)" for k in range(3)) + " GROUP BY ALL)",
+    "seen AS (SELECT t.*, beyond, v.value * 3 AS radius FROM tips t LEFT JOIN past USING (case_id, place) JOIN voxels v ON v.case_id = t.case_id AND v.a0 = t.a0 AND v.a1 = t.a1 AND v.a2 = t.a2)",
+])
 ORACLES = {
     "g1_links": with_ctes(*B, LINKS, select="SELECT case_id, src, dst FROM links WHERE src < dst"),
     "g2_degrees": with_ctes(*B, LINKS, select="SELECT case_id, place, degree, degree = 1 AS is_endpoint, degree >= 3 AS is_bifurcation FROM (SELECT s.case_id, a0 * 64 + a1 * 8 + a2 AS place, count(dst) AS degree FROM sparse s LEFT JOIN links l ON l.case_id = s.case_id AND l.src = a0 * 64 + a1 * 8 + a2 GROUP BY ALL)"),
@@ -179,10 +189,16 @@ ORACLES = {
   round(min(radius_mm), 6) AS radius_min, round(max(radius_mm), 6) AS radius_max, round(avg(radius_mm), 6) AS radius_mean FROM points GROUP BY case_id"""),
     "g11_territories": RECURSIVE(labelled(26), AREAS, select="SELECT case_id, root, size, round(share, 6) AS share, territory FROM areas"),
     "g16_shortest_paths": RECURSIVE("f AS (SELECT case_id, a0 * 64 + a1 * 8 + a2 AS place, a0, a1, a2 FROM pred)", "r AS (SELECT case_id, a0, a1, a2, 0 AS depth FROM f WHERE (case_id, place) IN (SELECT (case_id, min(place)) FROM f GROUP BY case_id) UNION SELECT s.case_id, s.a0, s.a1, s.a2, r.depth + 1 FROM r JOIN pred s ON s.case_id = r.case_id AND abs(s.a0 - r.a0) + abs(s.a1 - r.a1) + abs(s.a2 - r.a2) = 1 WHERE r.depth < 40)", select="SELECT case_id, a0 * 64 + a1 * 8 + a2 AS place, min(depth) AS depth FROM r GROUP BY ALL"),
+    "g19_tip_directions": with_ctes(*B, LINKS, TIPS, select="SELECT case_id, place, round(d0, 6) AS d0, round(d1, 6) AS d1, round(d2, 6) AS d2, round(beyond, 6) AS beyond FROM seen"),
+    "g21_tip_classes": with_ctes(*B, SHAPES, LINKS, TIPS, "c AS (SELECT s.case_id, place, least(a0, n0 - 1 - a0, a1, 79 - a1, a2, 79 - a2) AS edge, radius, beyond * 5 AS image, beyond AS prob, 400 + a2 % 2 * 200 AS size, a1 % 4 AS ends FROM seen s JOIN shapes USING (case_id))",
+        "r AS (SELECT case_id, place, CASE WHEN edge < 5 THEN 'boundary' WHEN radius > 1.5 THEN 'large_radius_abrupt_stop' WHEN image > 0.5 THEN 'contrast_continues' WHEN prob > 0.15 THEN 'model_prob_continues' WHEN size < 500 AND ends <= 2 THEN 'small_component_fragment' WHEN radius < 0.8 AND size < 500 THEN 'thin_fragment_tip' WHEN radius < 0.8 THEN 'thin_vessel_tip' ELSE 'default' END AS reason FROM c)",
+        select="SELECT case_id, place, reason IN ('boundary', 'thin_vessel_tip', 'default') AS is_valid, reason, CASE reason WHEN 'boundary' THEN 0.9::DOUBLE WHEN 'large_radius_abrupt_stop' THEN 0.8 WHEN 'contrast_continues' THEN 0.7 WHEN 'thin_fragment_tip' THEN 0.6 WHEN 'thin_vessel_tip' THEN 0.75 WHEN 'default' THEN 0.5 ELSE 0.65 END AS confidence FROM r"),
     "g27_path_checks": with_ctes(POINTS, CURVE, "ends AS (SELECT case_id, seg_id, arg_min(p0, idx) AS s0, arg_min(p1, idx) AS s1, arg_max(p0, idx) AS e0, arg_max(p1, idx) AS e1, max(arc_mm) * 2 AS len FROM arcs GROUP BY ALL)",
         "c AS (SELECT case_id, seg_id, max(len) / nullif(max(sqrt((e0 - s0)^2 + (e1 - s1)^2)), 0) AS sinuosity, max(sqrt(greatest((p0 - s0)^2 + (p1 - s1)^2 - ((p0 - s0) * (e0 - s0) + (p1 - s1) * (e1 - s1))^2 / nullif((e0 - s0)^2 + (e1 - s1)^2, 0), 0))) AS off_axis FROM arcs JOIN ends USING (case_id, seg_id) GROUP BY ALL)",
         select="SELECT case_id, seg_id AS path_id, round(sinuosity, 6) AS sinuosity, round(off_axis, 6) AS off_axis, coalesce(sinuosity <= 3.0 AND off_axis <= 4.0, false) AS ok FROM c"),
-    "g28_gap_decision": "SELECT o_orderkey AS finding_id, CASE WHEN m < 0.03 THEN 'skip' WHEN m < 0.08 AND p < 0.8 THEN 'skip' WHEN m >= 0.15 THEN 'threshold' WHEN m >= 0.1 THEN 'path' ELSE 'skip' END AS action FROM (SELECT o_orderkey, (floor(o_totalprice)::BIGINT % 100) / 500.0::DOUBLE AS m, ((floor(o_totalprice)::BIGINT + 13 * (o_orderkey % 7)) % 100) / 100.0::DOUBLE AS p FROM orders)",
+    "g28_gap_decision": """SELECT finding_id, CASE WHEN m IS NULL THEN 'unknown' WHEN m < 0.03 THEN 'none' WHEN m < 0.08 THEN 'low_signal' ELSE 'normal' END AS tier,
+  CASE WHEN m IS NOT NULL AND m < 0.03 THEN 'skip' WHEN c >= 0.15 THEN 'threshold' WHEN c >= 0.1 THEN 'path' ELSE 'low_signal' END AS action, CASE WHEN m < 0.08 THEN 0.8::DOUBLE ELSE 0.6::DOUBLE END AS path_needs
+  FROM (SELECT o_orderkey AS finding_id, CASE WHEN o_orderkey % 9 <> 0 THEN (floor(o_totalprice)::BIGINT % 100) / 500.0::DOUBLE END AS m, ((floor(o_totalprice)::BIGINT + 13 * (o_orderkey % 7)) % 100) / 400.0::DOUBLE AS c FROM orders)""",
     "g33_regions": with_ctes(POINTS, "s AS (SELECT case_id, seg_id % 3 AS artery, seg_id, max(length_mm) AS length_mm FROM points GROUP BY ALL)", "r AS (SELECT *, (coalesce(sum(length_mm) OVER (PARTITION BY case_id, artery ORDER BY seg_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length_mm / 2) / sum(length_mm) OVER (PARTITION BY case_id, artery) AS \"at\" FROM s)",
         select="""SELECT case_id, artery, seg_id, round("at", 6) AS "at", CASE WHEN "at" < 0.33 THEN 'proximal' WHEN "at" < 0.67 THEN 'mid' ELSE 'distal' END AS region FROM r"""),
     "v17_cycles": RECURSIVE(labelled(26), LINKS, select="SELECT case_id, coalesce(e, 0) - v + c AS cycles, coalesce(e, 0) - v + c AS n_back FROM (SELECT case_id, count(*) AS v, count(DISTINCT root) AS c FROM labelled GROUP BY case_id) LEFT JOIN (SELECT case_id, count(*) AS e FROM links WHERE src < dst GROUP BY case_id) USING (case_id)"),

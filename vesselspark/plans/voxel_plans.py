@@ -77,8 +77,9 @@ def v1_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v2_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    boxes = shapes(spark, sf_dir).select("case_id", F.explode(F.array(*(F.lit(k) for k in range(3)))).alias("box_id"))
-    boxes = boxes.withColumns({"low0": F.col("box_id") * 10, "high0": F.col("box_id") * 10 + 12, "low1": F.lit(2), "high1": F.lit(5), "low2": F.col("box_id"), "high2": F.lit(6)})
+    """A box for every 10 slices of each case."""
+    boxes = shapes(spark, sf_dir).select("case_id", F.explode(F.sequence(F.lit(0), F.floor((F.col("n0") - 1) / 10))).alias("box_id"))
+    boxes = boxes.withColumns({"low0": F.col("box_id") * 10, "high0": F.col("box_id") * 10 + 12, "low1": F.lit(2), "high1": F.lit(5), "low2": F.col("box_id") % 3, "high2": F.lit(6)})
     return rounded(vox.in_boxes(voxels(spark, sf_dir), boxes).groupBy("case_id", "box_id").agg(F.count("*").alias("n"), F.sum("value").alias("total")))
 
 
@@ -87,14 +88,15 @@ def v4_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v5_sample_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = voxels(spark, sf_dir).filter("(a0 + a1 + a2) % 11 = 0")
+    """A point near each voxel."""
+    rows = voxels(spark, sf_dir)
     points = rows.select("case_id", (F.col("a0") * 64 + F.col("a1") * 8 + F.col("a2")).alias("point_id"), (F.col("a0") + 0.3).alias("p0"), (F.col("a1") - 0.4).alias("p1"), (F.col("a2") + 0.55).alias("p2"))
     return rounded(vox.sample_points(points, voxels(spark, sf_dir), shapes(spark, sf_dir)))
 
 
 def v6_nearest_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = voxels(spark, sf_dir)
-    points = rows.filter("a1 = 3").select("case_id", (F.col("a0") * 8 + F.col("a2")).alias("point_id"), (F.col("a0") + 0.5).alias("p0"), (F.col("a1") + F.col("a2") * 1.0).alias("p1"), (F.col("a2") - 0.2).alias("p2"))
+    points = rows.select("case_id", (F.col("a0") * 64 + F.col("a1") * 8 + F.col("a2")).alias("point_id"), (F.col("a0") + 0.5).alias("p0"), (F.col("a1") + F.col("a2") * 1.0).alias("p1"), (F.col("a2") - 0.2).alias("p2"))
     return rounded(vox.nearest_value(points, rows, "value", F.lit(0.0)).select("case_id", "point_id", "value"))
 
 
@@ -150,8 +152,9 @@ def v19_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g15_line_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = masks(spark, sf_dir)[0].filter("a1 = 2")
-    lines = rows.select("case_id", (F.col("a0") * 8 + F.col("a2")).alias("line_id"), *(F.col(a).alias(f"s{k}") for k, a in enumerate(vox.AXES)), F.col("a0").alias("e0"), (F.col("a1") + 1).alias("e1"), F.col("a2").alias("e2"))
+    """A line from each voxel of the prediction to the next one along axis 1."""
+    rows = masks(spark, sf_dir)[0]
+    lines = rows.select("case_id", (F.col("a0") * 64 + F.col("a1") * 8 + F.col("a2")).alias("line_id"), *(F.col(a).alias(f"s{k}") for k, a in enumerate(vox.AXES)), F.col("a0").alias("e0"), (F.col("a1") + 1).alias("e1"), F.col("a2").alias("e2"))
     return vox.line_inside(lines, masks(spark, sf_dir)[0])
 
 
@@ -194,8 +197,8 @@ def u1_set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def w2_long_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G8's smoothing: sigma 2 over the 8 points of each line along axis 2, so that the kernel is as long as the line."""
-    rows = voxels(spark, sf_dir).filter("a1 = 0").withColumnRenamed("a2", "idx")
-    return rounded(profile.smooth(rows, "value", "r", 2.0, ["case_id", "a0"]).select("case_id", "a0", "idx", "r"))
+    rows = voxels(spark, sf_dir).withColumnRenamed("a2", "idx")
+    return rounded(profile.smooth(rows, "value", "r", 2.0, ["case_id", "a0", "a1"]).select("case_id", "a0", "a1", "idx", "r"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -239,10 +242,10 @@ ORACLES = {
     "p6_reorient": with_ctes(V, SHAPES, select="SELECT case_id, CASE WHEN case_id % 2 = 0 THEN 7 - a2 ELSE a2 END AS a0, n0 - 1 - a0 AS a1, a1 AS a2, round(value, 6) AS value FROM voxels JOIN shapes USING (case_id)"),
     "p7_millimetres": with_ctes(V, select=f"SELECT {KEY}, " + ", ".join(f"round(a{k} * 0.7::DOUBLE, 6) AS mm{k}, round_even((a{k} * 0.7::DOUBLE + 0.35::DOUBLE) / 0.7::DOUBLE, 0)::INT AS back{k}" for k in range(3)) + " FROM voxels"),
     "v1_slice": with_ctes(V, SHAPES, select=f"SELECT {KEY}, round(value, 6) AS value FROM voxels JOIN shapes USING (case_id) WHERE a0 = least(47, n0 - 1)"),
-    "v2_boxes": with_ctes(V, select="SELECT case_id, box_id, count(*) AS n, round(sum(value), 6) AS total FROM voxels JOIN range(3) b(box_id) ON a0 BETWEEN box_id * 10 AND box_id * 10 + 12 AND a1 BETWEEN 2 AND 5 AND a2 BETWEEN box_id AND 6 GROUP BY ALL"),
+    "v2_boxes": with_ctes(V, SHAPES, select="SELECT case_id, box_id, count(*) AS n, round(sum(value), 6) AS total FROM voxels JOIN shapes USING (case_id), LATERAL (SELECT unnest(range((n0 - 1) // 10 + 1)) AS box_id) WHERE a0 BETWEEN box_id * 10 AND box_id * 10 + 12 AND a1 BETWEEN 2 AND 5 AND a2 BETWEEN box_id % 3 AND 6 GROUP BY ALL"),
     "v4_resample": with_ctes(V, SHAPES, "grid AS (SELECT *, round_even(n0 * 0.625::DOUBLE, 0)::BIGINT AS m0, 10 AS m1, 8 AS m2 FROM shapes)", lerp("SELECT case_id, {'x': i, 'y': j, 'z': k} AS g, (i + 0.5::DOUBLE) * (n0 / m0::DOUBLE) - 0.5 AS p0, (j + 0.5::DOUBLE) * (n1 / m1::DOUBLE) - 0.5 AS p1, (k + 0.5::DOUBLE) * (n2 / m2::DOUBLE) - 0.5 AS p2 FROM grid, LATERAL (SELECT unnest(range(m0)) AS i), range(10) y(j), range(8) z(k)"), select="SELECT case_id, g.x AS a0, g.y AS a1, g.z AS a2, round(value, 6) AS value FROM lerped"),
-    "v5_sample_points": with_ctes(V, SHAPES, lerp("SELECT case_id, a0 * 64 + a1 * 8 + a2 AS g, a0 + 0.3::DOUBLE AS p0, a1 - 0.4::DOUBLE AS p1, a2 + 0.55::DOUBLE AS p2 FROM voxels WHERE (a0 + a1 + a2) % 11 = 0"), select="SELECT case_id, g AS point_id, round(value, 6) AS value FROM lerped"),
-    "v6_nearest_value": with_ctes(V, select="SELECT p.case_id, p.a0 * 8 + p.a2 AS point_id, round(coalesce(v.value, 0), 6) AS value FROM (SELECT * FROM voxels WHERE a1 = 3) p LEFT JOIN voxels v ON v.case_id = p.case_id AND v.a0 = round_even(p.a0 + 0.5, 0) AND v.a1 = 3 + p.a2 AND v.a2 = p.a2"),
+    "v5_sample_points": with_ctes(V, SHAPES, lerp("SELECT case_id, a0 * 64 + a1 * 8 + a2 AS g, a0 + 0.3::DOUBLE AS p0, a1 - 0.4::DOUBLE AS p1, a2 + 0.55::DOUBLE AS p2 FROM voxels"), select="SELECT case_id, g AS point_id, round(value, 6) AS value FROM lerped"),
+    "v6_nearest_value": with_ctes(V, select="SELECT p.case_id, p.a0 * 64 + p.a1 * 8 + p.a2 AS point_id, round(coalesce(v.value, 0), 6) AS value FROM voxels p LEFT JOIN voxels v ON v.case_id = p.case_id AND v.a0 = round_even(p.a0 + 0.5, 0) AND v.a1 = p.a1 + p.a2 AND v.a2 = p.a2"),
     "v7_blur": with_ctes(V, SHAPES, f"taps AS (SELECT * FROM (VALUES {WEIGHTS[1.0]}) t(k, w))", blur_step(0, "voxels", "x0"), blur_step(1, "x0", "x1"), blur_step(2, "x1", "x2"), select=f"SELECT {KEY}, round(value, 6) AS value FROM x2"),
     "v8_surface": with_ctes(V, M, FACES, select=f"SELECT {KEY} FROM {count_faces('truth')} WHERE n < 6"),
     "v9_close_holes": with_ctes(V, M, FACES, SHAPES, f"grown AS (SELECT {KEY} FROM pred UNION SELECT case_id, a0 + d0, a1 + d1, a2 + d2 FROM pred CROSS JOIN faces JOIN shapes USING (case_id) WHERE a0 + d0 BETWEEN 0 AND n0 - 1 AND a1 + d1 BETWEEN 0 AND 7 AND a2 + d2 BETWEEN 0 AND 7)",
@@ -257,7 +260,7 @@ ORACLES = {
     "v15_elongation": RECURSIVE(26, "SELECT case_id, root, count(*) AS size, round(covar_samp(a0, a0), 6) AS c00, round(covar_samp(a0, a1), 6) AS c01, round(covar_samp(a1, a2), 6) AS c12 FROM labelled GROUP BY ALL HAVING count(*) >= 3"),
     "v19_stamp": with_ctes(V, M, SHAPES, select="""SELECT case_id, count(*) AS n, sum(x)::BIGINT AS s0, sum(y)::BIGINT AS s1, sum(z)::BIGINT AS s2 FROM (SELECT DISTINCT case_id, a0 + i AS x, a1 + j AS y, a2 + k AS z FROM sparse JOIN shapes USING (case_id), range(-2, 3) p(i), range(-2, 3) q(j), range(-2, 3) r(k)
   WHERE i * i + j * j + k * k <= 4 AND a0 + i BETWEEN 0 AND n0 - 1 AND a1 + j BETWEEN 0 AND 7 AND a2 + k BETWEEN 0 AND 7) GROUP BY case_id"""),
-    "g15_line_inside": with_ctes(V, M, select="SELECT p.case_id, p.a0 * 8 + p.a2 AS line_id, q.case_id IS NOT NULL AS clear FROM pred p LEFT JOIN pred q ON q.case_id = p.case_id AND q.a0 = p.a0 AND q.a1 = 3 AND q.a2 = p.a2 WHERE p.a1 = 2"),
+    "g15_line_inside": with_ctes(V, M, select="SELECT p.case_id, p.a0 * 64 + p.a1 * 8 + p.a2 AS line_id, q.case_id IS NOT NULL AS clear FROM pred p LEFT JOIN pred q ON q.case_id = p.case_id AND q.a0 = p.a0 AND q.a1 = p.a1 + 1 AND q.a2 = p.a2"),
     "v22_stitch": with_ctes(V, SHAPES, "starts AS (SELECT case_id, unnest(list_distinct(list_append(list_filter(range(0, greatest(n0 - 16, 0) + 1, 8), lambda x: x < greatest(n0 - 16, 0)), greatest(n0 - 16, 0)))) AS start FROM shapes)",
         select=f"SELECT {KEY}, round(1 / (1 + exp(-sum(value * (1 + start / 100.0::DOUBLE) * (1 + least(a0 - start, start + 15 - a0))) / sum(1 + least(a0 - start, start + 15 - a0)))), 6) AS p FROM voxels JOIN starts USING (case_id) WHERE a0 BETWEEN start AND start + 15 GROUP BY ALL"),
     "v23_overlay": with_ctes(V, M, select=f"SELECT case_id, count(p) AS n_pred, count(t) AS n_truth, count(*) FILTER (p AND t) AS n_both FROM (SELECT {KEY}, true AS p FROM pred) FULL JOIN (SELECT {KEY}, true AS t FROM truth) USING (case_id, a0, a1, a2) GROUP BY case_id"),
@@ -270,5 +273,5 @@ ORACLES = {
     "u1_set_operations": with_ctes(V, M, select=f"""SELECT case_id, n_union, coalesce(n_only, 0) AS n_only, coalesce(n_both, 0) AS n_both, coalesce(n_missed, 0) AS n_missed FROM (SELECT case_id, count(*) AS n_union FROM (SELECT * FROM pred UNION SELECT * FROM truth) GROUP BY 1)
   LEFT JOIN (SELECT case_id, count(*) AS n_only FROM (SELECT * FROM pred EXCEPT SELECT * FROM truth) GROUP BY 1) USING (case_id) LEFT JOIN (SELECT case_id, count(*) AS n_both FROM (SELECT * FROM pred INTERSECT SELECT * FROM truth) GROUP BY 1) USING (case_id)
   LEFT JOIN (SELECT case_id, count(*) AS n_missed FROM (SELECT * FROM truth EXCEPT SELECT * FROM pred) GROUP BY 1) USING (case_id)"""),
-    "w2_long_kernel": with_ctes(V, f"taps AS (SELECT * FROM (VALUES {WEIGHTS[2.0]}) t(k, w))", select=f"SELECT o.case_id, o.a0, o.a2 AS idx, round(sum(w * v.value), 6) AS r FROM voxels o CROSS JOIN taps JOIN voxels v ON v.case_id = o.case_id AND v.a0 = o.a0 AND v.a1 = 0 AND v.a2 = {mirror('o.a2 + k', '8')} WHERE o.a1 = 0 GROUP BY ALL"),
+    "w2_long_kernel": with_ctes(V, f"taps AS (SELECT * FROM (VALUES {WEIGHTS[2.0]}) t(k, w))", select=f"SELECT o.case_id, o.a0, o.a1, o.a2 AS idx, round(sum(w * v.value), 6) AS r FROM voxels o CROSS JOIN taps JOIN voxels v ON v.case_id = o.case_id AND v.a0 = o.a0 AND v.a1 = o.a1 AND v.a2 = {mirror('o.a2 + k', '8')} GROUP BY ALL"),
 }
