@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,14 @@ from ..components import connected_components
 from ..session import drop_written, free_shuffles, maybe_broadcast, parts_for, written
 from .text import Words, finish, slices, utf8
 
+#: Candidates: pairs (a, b), or packed blocks; deep ones come from below level 1, where buckets may hold a pair more than once.
+FOUND = "a long, b long, left binary, right binary, bits binary, deep boolean"
+FOUND_NAMES = [x.split()[0] for x in FOUND.split(", ")]
+FOUND_TYPES = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.bool_()]
+#: Buckets of at most so many rows are compared by products of whole columns, pair by pair over all of them at once.
+FEW = 64
+#: Most rows and items of sets on a side of a packed block.
+BLOCK_ROWS, BLOCK_ITEMS = 1024, 1 << 20
 #: Length of the MinHash embedding: a set's token i is its smallest shingle under hash i. Jaccard is the chance that two sets share a token.
 TOKENS = 64
 MULTIPLIERS = np.random.default_rng(11).integers(1, 2**63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -118,6 +127,68 @@ def alike(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray,
     return close
 
 
+@dataclass
+class Rows:
+    """Rows of one bucket: set, size, sketch, and the seeds in whose bucket of level 1 it is in a small bucket (leaf) or a point, as bits."""
+
+    c: np.ndarray
+    n: np.ndarray
+    sig: np.ndarray
+    leaf: np.ndarray
+    point: np.ndarray
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch | pa.Table) -> Rows:
+        sig = batch.column("sig")
+        return cls(*(batch.column(x).to_numpy() for x in ("c", "n")), matrix(sig), *(batch.column(x).to_numpy() for x in ("leaf", "point")))
+
+    def take(self, at: np.ndarray | slice) -> Rows:
+        return Rows(self.c[at], self.n[at], self.sig[at], self.leaf[at], self.point[at])
+
+
+def close_pairs(left: Rows, right: Rows, seeds: np.ndarray, seed: int, threshold: float, least: int, at_once: int = 64) -> np.ndarray:
+    """(left, right) whether a pair is a candidate that no bucket of an earlier seed compares (of any seed, if seed is -1)."""
+    out = np.zeros((len(left.c), len(right.c)), bool)
+    other = np.ascontiguousarray(right.sig.T)
+    before = {int(t): q for q, t in enumerate(seeds if seed < 0 else seeds[:seed])}
+    bit = lambda masks, q: masks >> q & 1 > 0
+    for begin in range(0, len(left.c), at_once):
+        own = left.take(slice(begin, begin + at_once))
+        shared = np.zeros((len(own.c), len(right.c)), np.uint8)
+        done = np.zeros(shared.shape, bool)
+        for t in range(TOKENS):
+            same = own.sig[:, t, None] == other[t]
+            shared += same
+            if (q := before.get(t)) is not None:
+                done |= same & (bit(own.leaf, q)[:, None] & bit(right.leaf, q) | bit(own.point, q)[:, None] | bit(right.point, q))
+        size = np.minimum(own.n[:, None], right.n) >= threshold * np.maximum(own.n[:, None], right.n)
+        out[begin : begin + at_once] = (shared >= least) & ~done & size & (own.c[:, None] != right.c)
+    return out
+
+
+def block_cuts(n: np.ndarray) -> list[int]:
+    """Where rows with sets of n items are cut, so that a block has at most BLOCK_ROWS rows and, unless it is a single row, BLOCK_ITEMS items."""
+    cuts, items = [0], 0
+    for at, size in enumerate(n.tolist()):
+        if at > cuts[-1] and (items + size > BLOCK_ITEMS or at - cuts[-1] >= BLOCK_ROWS):
+            cuts.append(at)
+            items = 0
+        items += size
+    return [*cuts, len(n)]
+
+
+def found_table(left: np.ndarray, right: np.ndarray, bits: np.ndarray, deep: bool) -> pa.RecordBatch:
+    """Candidates of a block: a row a pair if they are few, else a single row with the two sides and a bit a pair."""
+    i, j = np.nonzero(bits)
+    if len(i) > 2 * (len(left) + len(right)):
+        rows, columns = bits.any(1), bits.any(0)
+        data = ([None], [None], [left[rows].tobytes()], [right[columns].tobytes()], [np.packbits(bits[rows][:, columns]).tobytes()], [deep])
+    else:
+        none = [None] * len(i)
+        data = (np.minimum(left[i], right[j]), np.maximum(left[i], right[j]), none, none, none, np.full(len(i), deep))
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(data, FOUND_TYPES, strict=True)], names=FOUND_NAMES)
+
+
 def pairs_in_groups(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of all pairs inside each run of rows."""
     row = np.arange(int(count.sum()))
@@ -154,7 +225,7 @@ def first_covered(sig_a: np.ndarray, sig_b: np.ndarray, leaf: np.ndarray, point:
     return np.where(met.any(1), met.argmax(1), -1)
 
 
-def common_items(left: list[np.ndarray], right: list[np.ndarray], at_once: int = 400_000, columns: int = 8192) -> np.ndarray:
+def common_items(left: list[np.ndarray], right: list[np.ndarray], at_once: int = 400_000, columns: int = 4096) -> np.ndarray:
     """(left, right) sizes of intersections of sorted item arrays, by products of 0/1 matrices. Items are hashes, so slices of their range hold about at_once of them each, however long the sets are."""
     both = [*left, *right]
     out = np.zeros((len(left), len(right)), np.int64)
@@ -162,8 +233,11 @@ def common_items(left: list[np.ndarray], right: list[np.ndarray], at_once: int =
     for k in range(slices_n):
         low, high = np.uint64(2**64 // slices_n * k), np.uint64(2**64 // slices_n * (k + 1) - 1 if k + 1 < slices_n else 2**64 - 1)
         parts = [x[np.searchsorted(x, low, "left") : np.searchsorted(x, high, "right")] for x in both]
-        items, column = np.unique(np.concatenate(parts), return_inverse=True)
+        items, column, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
         row = np.repeat(np.arange(len(both)), [len(x) for x in parts])
+        # what a single row has is common to none
+        shared = times > 1
+        column, row, items = (np.cumsum(shared) - 1)[column[shared[column]]], row[shared[column]], items[shared]
         order = np.argsort(column, kind="stable")
         row, column = row[order], column[order]
         for begin in range(0, len(items), columns):
@@ -194,9 +268,6 @@ def spanning(left: np.ndarray, right: np.ndarray, linked: np.ndarray) -> list[tu
     return out
 
 
-BLOCKS = "a long, b long, left binary, right binary, bits binary"
-
-
 class Join:
     """One join; params as jaccard_groups()."""
 
@@ -222,66 +293,68 @@ class Join:
         return reps.select("c", "sig").mapInArrow(run, "seed int, path long, c long")
 
     def leaves(self, rows: DataFrame) -> DataFrame:
-        """Candidate pairs of buckets of at most `limit` rows (path, seed, c, n, sig, leaf, point), each pair only in the bucket of level 1 that first compares it, or in any deeper one (seed -1) if none does."""
+        """Candidates of buckets of at most `limit` rows (path, seed, c, n, sig, leaf, point), each pair only in the bucket of level 1 that first compares it, or in any deeper one (seed -1) if none does."""
         threshold, seeds, least = self.threshold, self.seeds, self.least
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in groups(batches, "path"):
-                path, seed, c, n, leaf, point = (batch.column(x).to_numpy() for x in ("path", "seed", "c", "n", "leaf", "point"))
-                sig = matrix(batch.column("sig"))
+                path, seed, rows = batch.column("path").to_numpy(), batch.column("seed").to_numpy(), Rows.of(batch)
                 first = np.flatnonzero(np.r_[True, path[1:] != path[:-1]])
-                a, b = pairs_in_groups(first, np.diff(np.r_[first, len(path)]))
+                count = np.diff(np.r_[first, len(path)])
+                for at, m in zip(first[count > FEW].tolist(), count[count > FEW].tolist(), strict=True):
+                    own = rows.take(slice(at, at + m))
+                    bits = np.triu(close_pairs(own, own, seeds, int(seed[at]), threshold, least), 1)
+                    cuts = block_cuts(own.n)
+                    for x, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                        for c, d in zip(cuts[x:], cuts[x + 1 :], strict=False):
+                            if bits[a:b, c:d].any():
+                                yield found_table(own.c[a:b], own.c[c:d], bits[a:b, c:d], bool(seed[at] < 0))
+                few = np.repeat(count <= FEW, count)
+                rows, seed, count = rows.take(few), seed[few], count[count <= FEW]
+                a, b = pairs_in_groups(np.cumsum(count) - count, count)
                 for k in range(0, len(a), 200_000):
                     i, j = a[k : k + 200_000], b[k : k + 200_000]
-                    good = (c[i] != c[j]) & alike(sig[i], sig[j], n[i], n[j], threshold, least)
+                    good = (rows.c[i] != rows.c[j]) & alike(rows.sig[i], rows.sig[j], rows.n[i], rows.n[j], threshold, least)
                     i, j = i[good], j[good]
-                    own = first_covered(sig[i], sig[j], leaf[i] & leaf[j], point[i] | point[j], seeds) == seed[i]
+                    own = first_covered(rows.sig[i], rows.sig[j], rows.leaf[i] & rows.leaf[j], rows.point[i] | rows.point[j], seeds) == seed[i]
                     i, j = i[own], j[own]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(c[i], c[j])), pa.array(np.maximum(c[i], c[j]))], names=["a", "b"])
+                    none = pa.nulls(len(i), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rows.c[i], rows.c[j])), pa.array(np.maximum(rows.c[i], rows.c[j])), none, none, none, pa.array(seed[i] < 0)], names=FOUND_NAMES)
 
-        return rows.repartition("path").sortWithinPartitions("path").mapInArrow(run, "a long, b long")
+        return rows.repartition("path").sortWithinPartitions("path").mapInArrow(run, FOUND)
 
     def blocks(self, points: DataFrame, rows: DataFrame) -> DataFrame:
-        """Each point compared with all rows of its bucket, in blocks of about 256 by 256 rows; columns path, seed, c, n, sig, leaf, point, parts.
+        """Candidates of each point with all rows of its bucket, in blocks; columns path, seed, c, n, sig, leaf, point.
 
-        A pair of points counts where the smaller is on the left. A block with few candidates gives them as pairs; one with
-        many gives a single row, its two sides and a bit a pair, so that a group of near copies costs no row a pair.
+        A pair of points counts where the smaller is on the left. A row goes to as many blocks as its bucket has blocks of points.
         """
         threshold, seeds, least = self.threshold, self.seeds, self.least
-        spread = F.sequence(F.lit(0), F.col("parts") - 1)
-        block = F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")
+        parts = lambda df, name: df.groupBy("path").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_ITEMS)).cast("int").alias(name))
+        sizes = written(parts(points, "many").join(parts(rows, "most"), "path"), "sizes")
+        block = lambda n: F.pmod(F.xxhash64("c"), F.col(n)).cast("int")
+        spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         both = ["seed", "c", "n", "sig", "leaf", "point"]
-        left = points.select("path", block.alias("i"), F.explode(spread).alias("j"), *both, F.lit(0).alias("side"))
-        right = rows.select("path", F.explode(spread).alias("i"), block.alias("j"), *both, F.lit(1).alias("side"))
+        left = points.join(sizes, "path").select("path", block("many").alias("i"), spread("most").alias("j"), *both, F.lit(0).alias("side"))
+        right = rows.join(sizes, "path").select("path", spread("many").alias("i"), block("most").alias("j"), *both, F.lit(1).alias("side"))
 
         def run(table: pa.Table) -> pa.Table:
-            table = table.combine_chunks()
-            side, c, n, leaf, point = (table[x].to_numpy() for x in ("side", "c", "n", "leaf", "point"))
-            seed, sig = int(table["seed"][0].as_py()), matrix(table["sig"].chunk(0))
-            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            bits = np.zeros((len(left), len(right)), bool)
-            for k, i in enumerate(left.tolist()):
-                good = alike(np.broadcast_to(sig[i], (len(right), TOKENS)), sig[right], np.full(len(right), n[i]), n[right], threshold, least) & (c[right] != c[i])
-                at = np.flatnonzero(good)
-                own = first_covered(np.broadcast_to(sig[i], (len(at), TOKENS)), sig[right[at]], leaf[i] & leaf[right[at]], point[i] | point[right[at]], seeds) == seed
-                if seed >= 0:
-                    own &= (point[right[at]] >> seed & 1 == 0) | (c[i] < c[right[at]])
-                bits[k, at[own]] = True
-            if seed >= 0 and bits.sum() > 2 * len(table):
-                return pa.table({"a": pa.nulls(1, pa.int64()), "b": pa.nulls(1, pa.int64()), "left": [c[left].tobytes()], "right": [c[right].tobytes()], "bits": [np.packbits(bits).tobytes()]})
-            i, j = np.nonzero(bits)
-            i, j = c[left[i]], c[right[j]]
-            none = pa.nulls(len(i), pa.binary())
-            return pa.table({"a": np.minimum(i, j), "b": np.maximum(i, j), "left": none, "right": none, "bits": none})
-
-        return left.unionByName(right).groupBy("path", "i", "j").applyInArrow(run, BLOCKS)
-
-    def similar_to_most(self, rows: DataFrame, probes: int = 2, least: float = 0.4, often: float = 0.05) -> DataFrame:
-        """(path, c) of rows whose mean similarity to their bucket's others, by token counts, is `least` or more: splitting would not part them.
+            batch = table.combine_chunks().to_batches()[0]
+            side, seed, rows = batch.column("side").to_numpy(), int(batch.column("seed")[0].as_py()), Rows.of(batch)
+            left, right = rows.take(side == 0), rows.take(side == 1)
+            bits = close_pairs(left, right, seeds, seed, threshold, least)
+            # of two points the smaller is on the left; deep pairs may come twice
+            if seed >= 0:
+                bits &= (right.point >> seed & 1 == 0) | (left.c[:, None] < right.c)
+            return pa.Table.from_batches([found_table(left.c, right.c, bits, seed < 0)])
+
+        return left.unionByName(right).groupBy("path", "i", "j").applyInArrow(run, FOUND)
+
+    def similar_to_most(self, rows: DataFrame, probes: int = 8, often: float = 0.05) -> DataFrame:
+        """(path, c) of rows whose mean similarity to their bucket's others, by token counts, is 0.9 of the threshold or more: most of
+        the pairs they are in are near the threshold, so comparing them with all costs about what there is to find.
 
         Only tokens that a share `often` of a bucket has are looked at, so a bucket's counts are a small map, joined once a row.
-        Counts are summed within a batch before the shuffle. This chooses how rows are compared, not which, so two tokens a row
-        are probe enough: a row that shares one with most of its bucket is a point.
+        Counts are summed within a batch before the shuffle. This chooses how rows are compared, not which.
         """
         def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -303,7 +376,7 @@ class Join:
         counts = counts.filter((F.col("m") > 1) & (F.col("m") >= often * F.col("cnt")))
         counts = written(counts.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("token", "m"))).alias("often")), "often")
         shared = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a + F.coalesce(F.try_element_at("often", t), F.lit(1)) - 1)
-        near = shared / (F.col("cnt") - 1) / probes >= least
+        near = shared / (F.col("cnt") - 1) / probes >= 0.9 * self.threshold
         return written(tokens.join(counts, "path").filter(near).select("path", "c"), "points")
 
     def split(self, rows: DataFrame, repeats: int = 1) -> DataFrame:
@@ -328,42 +401,40 @@ class Join:
         return written(frontier.join(counts, "path"), "shared")
 
     def candidates(self, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(pairs, dense) of reps (c, n, sig): pairs (a < b) that may be similar, once each, and blocks of many such pairs."""
-        spark = reps.sparkSession
+        """(pairs, dense) of reps (c, n, sig): pairs (a < b, deep) that may be similar, and packed blocks of many such pairs. What is not deep comes once."""
         rows = self.counted(written(self.first_level(reps), "frontier"))
-        big = written(rows.filter(F.col("cnt") > self.limit).join(reps, "c").withColumn("parts", F.ceil(F.col("cnt") / 256).cast("int")), "big")
+        big = written(rows.filter(F.col("cnt") > self.limit).join(reps, "c"), "big")
         points = self.similar_to_most(big)
         bits = lambda df, name: df.groupBy("c").agg(F.bit_or(F.expr("shiftleft(1L, seed)")).alias(name))
         small = rows.filter(F.col("cnt") <= self.limit)
         masks = bits(small, "leaf").join(bits(big.join(points, ["path", "c"], "left_semi"), "point"), "c", "full")
         masks = written(masks.select("c", *(F.coalesce(x, F.lit(0).cast("long")).alias(x) for x in ("leaf", "point"))), "masks")
         full = lambda df: df.join(masks, "c", "left").withColumns({x: F.coalesce(x, F.lit(0).cast("long")) for x in ("leaf", "point")})
-        found = [written(self.leaves(full(small.join(reps, "c"))), "pairs")]
-        dense = spark.createDataFrame([], BLOCKS)
+        found = [written(self.leaves(full(small.join(reps, "c"))), "found")]
         for level in range(2, self.depth + 2):
             if big.isEmpty():
                 break
             if not points.isEmpty():
                 hot = written(points.select("path").distinct(), "hot")
-                near = written(self.blocks(full(big.join(points, ["path", "c"], "left_semi")), full(big.join(hot, "path", "left_semi"))), "blocks")
-                found.append(near.filter("a is not null").select("a", "b"))
-                if level == 2:
-                    dense = near.filter("a is null")
+                found.append(written(self.blocks(full(big.join(points, ["path", "c"], "left_semi")), full(big.join(hot, "path", "left_semi"))), "found"))
             rest = big.join(points, ["path", "c"], "left_anti")
             rows = self.counted(written(self.split(rest, self.repeats if level == 2 else 1), "frontier")).withColumn("seed", F.lit(-1))
-            found.append(written(self.leaves(full(rows.filter(F.col("cnt") <= self.limit).join(reps, "c"))), "pairs"))
-            big = written(rows.filter(F.col("cnt") > self.limit).join(reps, "c").withColumn("parts", F.ceil(F.col("cnt") / 256).cast("int")), "big")
+            found.append(written(self.leaves(full(rows.filter(F.col("cnt") <= self.limit).join(reps, "c"))), "found"))
+            big = written(rows.filter(F.col("cnt") > self.limit).join(reps, "c"), "big")
             # past the last level all that is left is compared in blocks
             points = self.similar_to_most(big) if level < self.depth else written(big.select("path", "c"), "points")
-        free_shuffles(spark)
-        pairs = found[0]
+        free_shuffles(reps.sparkSession)
+        every = found[0]
         for more in found[1:]:
-            pairs = pairs.union(more)
-        return written(pairs.distinct(), "candidates"), written(dense.withColumn("block", F.monotonically_increasing_id()), "dense")
+            every = every.union(more)
+        pairs = every.filter("a is not null").select("a", "b", "deep").distinct()
+        return written(pairs, "candidates"), written(every.filter("a is null").drop("a", "b").withColumn("block", F.monotonically_increasing_id()), "dense")
 
 
-def jaccard_links(docs: DataFrame, threshold: float = 0.8, ngram: int = 5, recall: float = 0.999, limit: int = 64, depth: int = 5, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 500_000) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, degrees, edges): members has a row per row of docs with words and an id (doc_id, c: the number of its shingle set, n: the set's size);
+def jaccard_links(docs: DataFrame, threshold: float = 0.8, ngram: int = 5, recall: float = 0.999, limit: int = 4096, depth: int = 5, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 500_000, partners: int = 512) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links of sets that are alike; parameters as jaccard_groups(), `limit` being the most rows of a bucket that one task compares pair by pair.
+
+    Returns (members, degrees, edges): members has a row per row of docs with words and an id (doc_id, c: the number of its shingle set, n: the set's size);
     degrees (c, n_links) counts the sets linked to each; edges (a, b) are links, enough of them to join what all links join."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -391,48 +462,47 @@ def jaccard_links(docs: DataFrame, threshold: float = 0.8, ngram: int = 5, recal
 
     in_blocks = written(dense.select("block", "left", "right").mapInArrow(sides, "block long, c long"), "in_blocks")
     wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).union(in_blocks.select("c")).distinct()
-    needed = written(reps.select("c", "h1", "h2", "n").join(wanted, "c", "left_semi"), "needed")
+    needed = written(members.join(wanted, "c", "left_semi").groupBy("c").agg(F.min("doc_id").alias("doc_id")).join(reps.drop("sig"), "c"), "needed")
     n_needed = needed.count()
-    sent = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in needed.select("h1").collect()], np.int64))) if n_needed <= broadcast_rows else None
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             doc, key = shingle_sets(Words(*utf8(batch.column("text"))), ngram)
-            if not len(doc):
-                continue
-            first, size, h1, h2 = set_keys(doc, key)
-            keep = np.arange(len(first))
-            if sent is not None:
-                # only spares the shuffle: the join below picks the same sets
-                keep = keep[np.isin(h1, sent.value)] if len(sent.value) else keep[:0]
-            data = [key[a : a + n].tobytes() for a, n in zip(first[keep].tolist(), size[keep].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(h1[keep]), pa.array(h2[keep]), pa.array(size[keep], pa.int64()), pa.array(data, pa.binary())], names=["h1", "h2", "n", "items"])
-
-    made = rows.filter("doc_id is not null").mapInArrow(sets, "h1 long, h2 long, n long, items binary")
-    made = made.join(maybe_broadcast(needed, n_needed), ["h1", "h2", "n"]).groupBy("c").agg(F.any_value("items").alias("items"))
+            if len(doc):
+                first, size, h1, h2 = set_keys(doc, key)
+                data = [key[a : a + n].tobytes() for a, n in zip(first.tolist(), size.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(size, pa.int64()), pa.array(data, pa.binary())], names=["h1", "h2", "n", "items"])
+
+    # the texts of one document a set; other rows that share its id drop out by their sets
+    texts = rows.join(maybe_broadcast(needed.select("doc_id").distinct(), n_needed, broadcast_rows), "doc_id", "left_semi")
+    made = texts.select("text").mapInArrow(sets, "h1 long, h2 long, n long, items binary")
+    made = made.join(maybe_broadcast(needed.drop("doc_id"), n_needed, broadcast_rows), ["h1", "h2", "n"]).groupBy("c").agg(F.any_value("items").alias("items"))
     made = written(made, "sets")
-    partner = pairs.join(made.withColumnRenamed("c", "b"), "b").select("a", F.col("b"), "items")
-    both = made.select(F.col("c").alias("a"), F.lit(None).cast("long").alias("b"), "items").union(partner)
+    # a set that many pairs begin with is sent to several tasks, each with a part of its partners
+    parts = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / partners).cast("int").alias("parts")), "parts")
+    own = made.join(parts.withColumnRenamed("a", "c"), "c").select(F.col("c").alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), F.lit(False).alias("deep"), "items")
+    other = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), "b", "deep")
+    both = own.union(other.join(made.withColumnRenamed("c", "b"), "b").select("a", "part", "b", "deep", "items"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each set comes before its partners; only one is held."""
         own, mine = None, np.zeros(0, np.uint64)
         for batch in batches:
             good = []
-            for a, b, items in zip(*(batch.column(x).to_pylist() for x in ("a", "b", "items")), strict=True):
+            for a, b, deep, items in zip(*(batch.column(x).to_pylist() for x in ("a", "b", "deep", "items")), strict=True):
                 other = np.frombuffer(items, np.uint64)
                 if b is None:
                     own, mine = a, other
                 elif a == own:
                     both = len(np.intersect1d(mine, other, assume_unique=True))
                     if both >= threshold * (len(mine) + len(other) - both) - 1e-9:
-                        good.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in good], pa.int64()), pa.array([y for _, y in good], pa.int64())], names=["a", "b"])
+                        good.append((a, b, deep))
+            yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in good], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "deep"])
 
-    links = written(both.repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first()).mapInArrow(verify, "a long, b long"), "links")
+    links = written(both.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(verify, "a long, b long, deep boolean"), "links")
 
     def verify_block(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Counts of links a set, as (c, null, count), and edges that join the block's links."""
+        """Edges (a, b) that join the block's links, and for each set its number of links, or the linked sets if the block is deep."""
         row = left.to_pylist()[0]
         items = {c: np.frombuffer(x.as_buffer(), np.uint64) for c, x in zip(right["c"].to_pylist(), right["items"], strict=True)}
         a, b = np.frombuffer(row["left"], np.int64), np.frombuffer(row["right"], np.int64)
@@ -441,23 +511,25 @@ def jaccard_links(docs: DataFrame, threshold: float = 0.8, ngram: int = 5, recal
         both = common_items(mine, other)
         total = np.array([len(x) for x in mine])[:, None] + np.array([len(x) for x in other]) - both
         linked = asked & (both >= threshold * total - 1e-9)
-        ids, count = np.concatenate([a, b]), np.concatenate([linked.sum(1), linked.sum(0)])
         edges = spanning(a, b, linked)
-        some = np.flatnonzero(count)
-        return pa.table({
-            "a": pa.array([*ids[some].tolist(), *(x for x, _ in edges)], pa.int64()), "b": pa.array([*[None] * len(some), *(y for _, y in edges)], pa.int64()),
-            "n": pa.array([*count[some].tolist(), *[0] * len(edges)], pa.int64()),
-        })
+        out = [(x, y, 0, None) for x, y in edges]
+        for ids, partners_of, rows in ((a, b, linked), (b, a, linked.T)):
+            some = np.flatnonzero(rows.any(1))
+            out += [(int(ids[k]), None, 0, partners_of[rows[k]].tolist()) if row["deep"] else (int(ids[k]), None, int(rows[k].sum()), None) for k in some.tolist()]
+        return pa.table({name: pa.array([r[k] for r in out], kind) for k, (name, kind) in enumerate((("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("partners", pa.list_(pa.int64()))))})
 
     fed = in_blocks.join(made, "c")
-    counted = written(dense.groupBy("block").cogroup(fed.groupBy("block")).applyInArrow(verify_block, "a long, b long, n long"), "block_links")
+    counted = written(dense.groupBy("block").cogroup(fed.groupBy("block")).applyInArrow(verify_block, "a long, b long, n long, partners array<long>"), "block_links")
     drop_written(spark, made)
-    one = links.select(F.col("a").alias("c"), F.lit(1).cast("long").alias("n")).union(links.select("b", F.lit(1).cast("long")))
-    degrees = one.union(counted.filter("b is null").select("a", "n")).groupBy("c").agg(F.sum("n").alias("n_links"))
-    return members, degrees, links.union(counted.filter("b is not null").select("a", "b"))
+    ends = links.select(F.col("a").alias("c"), "b", "deep").union(links.select("b", "a", "deep"))
+    once = ends.filter("not deep").select("c", F.lit(1).cast("long").alias("n")).union(counted.filter("b is null and partners is null").select("a", "n"))
+    lists = ends.filter("deep").select("c", F.array("b").alias("partners")).union(counted.filter("partners is not null").select("a", "partners"))
+    lists = lists.groupBy("c").agg(F.size(F.array_distinct(F.flatten(F.collect_list("partners")))).cast("long").alias("n"))
+    degrees = once.union(lists).groupBy("c").agg(F.sum("n").alias("n_links"))
+    return members, degrees, links.select("a", "b").union(counted.filter("b is not null").select("a", "b"))
 
 
-def jaccard_groups(docs: DataFrame, threshold: float = 0.8, ngram: int = 5, recall: float = 0.999, limit: int = 64, depth: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_groups(docs: DataFrame, threshold: float = 0.8, ngram: int = 5, recall: float = 0.999, limit: int = 4096, depth: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of docs: doc_id, class_id (smallest id of all documents linked to it, over any number of links), n_links and set_size.
 
     Documents are linked when the sets of their distinct word n-grams (words as they stand, cut at white space; a text of
