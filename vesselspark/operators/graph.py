@@ -112,7 +112,8 @@ def resample_curve(points: DataFrame, step_mm: float = 0.3, keys: tuple[str, ...
     short = rows.filter("n < 4 or length_mm = 0").select(*keys, F.col("idx").cast("int").alias("idx"), "arc_mm", "p0", "p1", "p2")
     gap = F.col("length_mm") / (F.col("m") - 1)
     low, high = F.ceil(F.col("arc_mm") / gap - 1e-9).cast("int"), F.ceil(F.col("arc_next") / gap - 1e-9).cast("int") - 1
-    final = F.col("idx") == F.col("n") - 2
+    # the last piece of any length ends the curve
+    final = F.col("arc_next") >= F.col("length_mm")
     high = F.when(final, F.col("m") - 1).otherwise(high)
     pieces = rows.filter("n >= 4 and length_mm > 0 and arc_next is not null").withColumn("gap", gap).withColumn("low", low).withColumn("high", high)
     pieces = pieces.filter("low <= high and arc_next > arc_mm").withColumn("j", F.explode(F.sequence("low", "high")))

@@ -10,7 +10,7 @@ from ..operators import voxels as vox
 from .fixtures import VOXELS, masks, voxels, with_ctes
 from .graph_plans import PLACE, RECURSIVE, components, tips
 from .profile_plans import rounded
-from .voxel_plans import SHAPES, labelled, root, shapes
+from .voxel_plans import FACES, SHAPES, SURFACES, labelled, root, shapes
 
 
 def v21_component_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,15 @@ QUERIES = {f.__name__: f for f in (v21_component_boxes, g23_midpoint_pairs, g25_
 ROI = """starts AS (SELECT case_id, unnest(range(0, n0 - 5, 8)) AS low FROM shapes),
 gaps AS (SELECT case_id * 100000 + low AS gap_id, low, low % 5 / 4.0::DOUBLE AS radius_a FROM starts),
 roi AS (SELECT case_id * 100000 + low AS gap_id, low, a0, a1, a2, value + 0.1::DOUBLE AS p, value > 0.25 AS in_mask, (a1 + a2) % 7 <> 0 AS in_tube FROM voxels JOIN starts USING (case_id) WHERE a0 BETWEEN low AND low + 5 AND a1 BETWEEN 1 AND 6 AND a2 BETWEEN 1 AND 6)"""
+PAIRED = "{'model': model, 'case_id': case_id} AS case_id, a0, a1, a2"
 ORACLES = {
+    "a25_evaluate_models": with_ctes(VOXELS, "cuts AS (SELECT * FROM (VALUES ('low', 0.12::DOUBLE), ('high', 0.18::DOUBLE)) x(model, t))", f"pred AS (SELECT {PAIRED} FROM voxels, cuts WHERE value > t)", "sparse AS (SELECT * FROM pred)",
+        f"truth AS (SELECT {PAIRED} FROM voxels, cuts WHERE value > 0.10::DOUBLE + 0.10::DOUBLE * ((a0 + a1 + a2) % 2) AND (model, case_id) IN (SELECT (case_id.model, case_id.case_id) FROM pred))", FACES, SURFACES, labelled(6),
+        "o AS (SELECT case_id, count(p)::DOUBLE AS n_pred, count(t)::DOUBLE AS n_truth, count(*) FILTER (p AND t)::DOUBLE AS n_both FROM (SELECT *, true AS p FROM pred) FULL JOIN (SELECT *, true AS t FROM truth) USING (case_id, a0, a1, a2) GROUP BY case_id)",
+        "s AS (SELECT case_id, quantile_cont(d, 0.95) AS hd95, (avg(d) FILTER (side = 'p') + avg(d) FILTER (side = 't')) / 2 AS asd, avg((d <= 0.5)::INT) AS sd5, avg((d <= 1.0)::INT) AS sd10 FROM dist GROUP BY case_id)",
+        "c AS (SELECT case_id, count(*) AS n_components, max(size) AS largest, sum(size)::BIGINT AS total, max(size) / sum(size) AS largest_fraction FROM sizes GROUP BY case_id)",
+        select="""SELECT case_id.model AS model, case_id.case_id AS "case", round(2 * n_both / (n_pred + n_truth), 6) AS dice, round(n_both / (n_pred + n_truth - n_both), 6) AS iou, round(n_both / n_pred, 6) AS precision, round(n_both / n_truth, 6) AS recall,
+  round(hd95, 6) AS hd95, round(asd, 6) AS asd, round(sd5, 6) AS surface_dice_0_5, round(sd10, 6) AS surface_dice_1_0, n_components, largest, total, round(largest_fraction, 6) AS largest_fraction FROM o JOIN s USING (case_id) LEFT JOIN c USING (case_id)""").replace("WITH ", "WITH RECURSIVE ", 1),
     "g25_threshold_bridges": with_ctes(VOXELS, SHAPES, ROI, "tries AS (SELECT gap_id, t, low, a0, a1, a2 FROM roi, (VALUES (0.2::DOUBLE), (0.15::DOUBLE), (0.1::DOUBLE)) x(t) WHERE in_mask OR (in_tube AND p > t))",
         "reach AS (SELECT * FROM tries WHERE a0 = low AND a1 = 1 AND a2 = 1 UNION SELECT s.* FROM reach r JOIN tries s ON s.gap_id = r.gap_id AND s.t = r.t AND abs(s.a0 - r.a0) + abs(s.a1 - r.a1) + abs(s.a2 - r.a2) = 1)",
         "found AS (SELECT gap_id, max(t) AS threshold FROM reach WHERE a0 = low + 5 AND a1 = 6 AND a2 = 6 GROUP BY gap_id)",

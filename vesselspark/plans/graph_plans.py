@@ -38,13 +38,18 @@ def radii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voxels(spark, sf_dir).select(F.struct("case_id", "a0", "a1", "a2").alias("node"), F.col("value").alias("radius_mm"))
 
 
-def g3_merged_bifurcations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = masks(spark, sf_dir)[0]
+def merged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = skeleton(spark, sf_dir)
     links = graph.neighbours(rows)
-    nodes = graph.degrees(rows, links).join(radii(spark, sf_dir), "node")
-    mapped, moved = graph.merge_bifurcations(nodes, links, 1.0)
-    kept = mapped.groupBy("case_id").agg(F.count_distinct("kept").alias("n_nodes"), F.count("*").alias("n_before"))
-    return kept.join(moved.groupBy("case_id").agg(F.count("*").alias("n_links")), "case_id", "left")
+    return graph.merge_bifurcations(graph.degrees(rows, links).join(radii(spark, sf_dir), "node"), links, 1.5)
+
+
+def g3_merged_bifurcations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merged(spark, sf_dir)[0].select("case_id", PLACE("node").alias("place"), PLACE("kept").alias("kept"))
+
+
+def g3_moved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merged(spark, sf_dir)[1].select("case_id", PLACE("src").alias("src"), PLACE("dst").alias("dst"))
 
 
 def g5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +64,9 @@ def g6_arc_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def g7_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = points(spark, sf_dir).select("case_id", "seg_id", "idx", "p0", (F.col("radius_mm") * 3).alias("p1"), "p2")
-    return rounded(graph.resample_curve(graph.arc_length(rows), 2.0), 4)
+    # a shift, so that no value lies where rounding could go either way
+    out = graph.resample_curve(graph.arc_length(rows), 2.0)
+    return rounded(out.withColumns({c: F.col(c) + 1.3e-6 for c in ("arc_mm", "p0", "p1", "p2")}), 4)
 
 
 def g9_tree_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,7 +171,7 @@ def v20_tube(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    g1_links, g2_degrees, g3_merged_bifurcations, g5_segments, g6_arc_length, g7_resampled, g9_tree_summary, g10_segment_component, g11_territories, g12_merged_components, g13_segment_labels, g16_shortest_paths,
+    g1_links, g2_degrees, g3_merged_bifurcations, g3_moved_links, g5_segments, g6_arc_length, g7_resampled, g9_tree_summary, g10_segment_component, g11_territories, g12_merged_components, g13_segment_labels, g16_shortest_paths,
     g19_tip_directions, g21_tip_classes, g22_gap_pairs, g27_path_checks, g28_gap_decision, g33_regions, v17_cycles, v20_tube,
 )}
 B = (VOXELS, MASKS)
@@ -179,11 +186,48 @@ TIPS = ", ".join([
     "g AS (SELECT case_id, place, place // 64 AS a0, place // 8 % 8 AS a1, place % 8 AS a2, place // 64 - here // 64 AS g0, place // 8 % 8 - here // 8 % 8 AS g1, place % 8 - here % 8 AS g2 FROM w5)",
     "tips AS (SELECT *, " + ", ".join(f"g{k} / nullif(sqrt(g0 * g0 + g1 * g1 + g2 * g2), 0) AS d{k}" for k in range(3)) + " FROM g)",
     "past AS (SELECT t.case_id, t.place, avg(v.value) AS beyond FROM tips t, (VALUES (1), (2), (3)) x(s) JOIN voxels v ON v.case_id = t.case_id AND " + " AND ".join(f"v.a{k} = round_even(t.a{k} + t.d{k} * s, 0)" for k in range(3)) + " GROUP BY ALL)",
-    "seen AS (SELECT t.*, beyond, v.value * 3 AS radius FROM tips t LEFT JOIN past USING (case_id, place) JOIN voxels v ON v.case_id = t.case_id AND v.a0 = t.a0 AND v.a1 = t.a1 AND v.a2 = t.a2)",
+    "seen AS (SELECT t.*, beyond, v.value, v.value * 3 AS radius FROM tips t LEFT JOIN past USING (case_id, place) JOIN voxels v ON v.case_id = t.case_id AND v.a0 = t.a0 AND v.a1 = t.a1 AND v.a2 = t.a2)",
 ])
+BRANCHES = """bif AS (SELECT l.case_id, l.src AS place, l.src // 64 AS a0, l.src // 8 % 8 AS a1, l.src % 8 AS a2 FROM links l GROUP BY l.case_id, l.src HAVING count(*) >= 3),
+joined AS (SELECT case_id, place, a0, a1, a2, place AS top FROM bif UNION SELECT s.case_id, s.place, s.a0, s.a1, s.a2, r.top FROM joined r JOIN bif s ON s.case_id = r.case_id AND (s.a0 - r.a0)^2 + (s.a1 - r.a1)^2 + (s.a2 - r.a2)^2 <= 2.25),
+sets AS (SELECT j.case_id, j.place, min(j.top) AS top, any_value(v.value) AS value FROM joined j JOIN voxels v ON v.case_id = j.case_id AND v.a0 = j.a0 AND v.a1 = j.a1 AND v.a2 = j.a2 GROUP BY j.case_id, j.place),
+moves AS (SELECT case_id, place, first(place) OVER (PARTITION BY case_id, top ORDER BY value DESC, place) AS kept FROM sets)"""
+KEPT = "near AS (SELECT x.*, l.root, n.size, n.largest FROM (SELECT case_id, a0, a1, a2, a0 * 64 + a1 * 8 + a2 AS place, value FROM voxels) x JOIN labelled l USING (case_id, a0, a1, a2) JOIN (SELECT case_id, root, size, max(size) OVER (PARTITION BY case_id) AS largest FROM sizes) n USING (case_id, root))"
+GAP = lambda x, y: f"sqrt(({x}.a0 - {y}.a0)^2 + ({x}.a1 - {y}.a1)^2 + ({x}.a2 - {y}.a2)^2)"
+RATIO = "least(x.value, y.value) / greatest(x.value, y.value) >= 0.35"
+DOT = lambda t: f"({t}.d0 * (y.a0 - x.a0) + {t}.d1 * (y.a1 - x.a1) + {t}.d2 * (y.a2 - x.a2))"
 ORACLES = {
     "g1_links": with_ctes(*B, LINKS, select="SELECT case_id, src, dst FROM links WHERE src < dst"),
     "g2_degrees": with_ctes(*B, LINKS, select="SELECT case_id, place, degree, degree = 1 AS is_endpoint, degree >= 3 AS is_bifurcation FROM (SELECT s.case_id, a0 * 64 + a1 * 8 + a2 AS place, count(dst) AS degree FROM sparse s LEFT JOIN links l ON l.case_id = s.case_id AND l.src = a0 * 64 + a1 * 8 + a2 GROUP BY ALL)"),
+    "g3_merged_bifurcations": RECURSIVE(LINKS, BRANCHES, select="SELECT s.case_id, s.place, coalesce(kept, s.place) AS kept FROM (SELECT case_id, a0 * 64 + a1 * 8 + a2 AS place FROM sparse) s LEFT JOIN moves USING (case_id, place)"),
+    "g3_moved_links": RECURSIVE(LINKS, BRANCHES, select="SELECT DISTINCT l.case_id, coalesce(x.kept, l.src) AS src, coalesce(y.kept, l.dst) AS dst FROM links l LEFT JOIN moves x ON x.case_id = l.case_id AND x.place = l.src LEFT JOIN moves y ON y.case_id = l.case_id AND y.place = l.dst WHERE coalesce(x.kept, l.src) <> coalesce(y.kept, l.dst)"),
+    "g5_segments": RECURSIVE(LINKS, "deg AS (SELECT case_id, src AS place, count(*) AS degree FROM links GROUP BY ALL)",
+        "walk AS (SELECT l.case_id, l.src AS prev, l.dst AS cur, [l.src, l.dst] AS path FROM links l JOIN deg d ON d.case_id = l.case_id AND d.place = l.src AND d.degree <> 2 UNION ALL SELECT w.case_id, w.cur, l.dst, list_append(w.path, l.dst) FROM walk w JOIN deg d ON d.case_id = w.case_id AND d.place = w.cur AND d.degree = 2 JOIN links l ON l.case_id = w.case_id AND l.src = w.cur AND l.dst <> w.prev)",
+        "chains AS (SELECT w.case_id, path, len(path) AS n FROM walk w JOIN deg d ON d.case_id = w.case_id AND d.place = w.cur AND d.degree <> 2 WHERE len(path) >= 3 AND (path[1] < path[-1] OR (path[1] = path[-1] AND path[2] <= path[-2])))",
+        "named AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY path[1], path[2]) - 1 AS seg_id FROM chains)",
+        select="SELECT case_id, seg_id, unnest(range(n)) AS idx, unnest(path) AS place, n FROM named"),
+    "g7_resampled": with_ctes(POINTS, CURVE, "ends AS (SELECT case_id, seg_id, count(*) AS n, max(arc_mm) AS len, greatest(4, floor(max(arc_mm) / 2.0::DOUBLE))::INT AS m FROM arcs GROUP BY ALL)",
+        "pieces AS (SELECT case_id, seg_id, p0, p1, p2, arc_mm, lead(p0) OVER w AS q0, lead(p1) OVER w AS q1, lead(p2) OVER w AS q2, lead(arc_mm) OVER w AS arc_next FROM arcs WINDOW w AS (PARTITION BY case_id, seg_id ORDER BY idx))",
+        "samples AS (SELECT case_id, seg_id, len, unnest(range(m)) AS j, len / (m - 1) AS gap FROM ends WHERE n >= 4 AND len > 0)",
+        "placed AS (SELECT s.*, p0, p1, p2, q0, q1, q2, least(1, greatest(0, (j * gap - arc_mm) / (arc_next - arc_mm))) AS t FROM samples s JOIN pieces p ON p.case_id = s.case_id AND p.seg_id = s.seg_id AND arc_next > arc_mm AND arc_mm <= j * gap + 1e-9 AND (arc_next > j * gap + 1e-9 OR arc_next >= len))",
+        select="SELECT case_id, seg_id, j::INT AS idx, round(j * gap + 1.3e-6, 4) AS arc_mm, round(p0 + t * (q0 - p0) + 1.3e-6, 4) AS p0, round(p1 + t * (q1 - p1) + 1.3e-6, 4) AS p1, round(p2 + t * (q2 - p2) + 1.3e-6, 4) AS p2 FROM placed UNION ALL SELECT case_id, seg_id, idx::INT, round(arc_mm + 1.3e-6, 4), round(p0 + 1.3e-6, 4), round(p1 + 1.3e-6, 4), round(p2 + 1.3e-6, 4) FROM arcs JOIN ends USING (case_id, seg_id) WHERE n < 4 OR len = 0"),
+    "g10_segment_component": with_ctes(VOXELS, POINTS, "n AS (SELECT case_id, seg_id, count(*) AS n FROM points GROUP BY ALL)", "tags AS (SELECT case_id, seg_id, unnest([n // 2, n // 4, n // 2, 3 * n // 4]) AS idx, unnest([true, false, false, false]) AS mid FROM n)",
+        "spot AS (SELECT t.case_id, t.seg_id, mid, v.a0 % 3 AS component FROM tags t JOIN points p USING (case_id, seg_id, idx) LEFT JOIN voxels v ON v.value > 0 AND v.case_id = p.case_id AND v.a0 = round_even(p.p0, 0) AND v.a1 = t.seg_id % 8 AND v.a2 = t.idx % 8)",
+        "middle AS (SELECT case_id, seg_id, max(component) FILTER (mid) AS middle FROM spot GROUP BY ALL)", "votes AS (SELECT case_id, seg_id, component, count(*) AS v FROM spot WHERE NOT mid AND component IS NOT NULL GROUP BY ALL)",
+        "best AS (SELECT case_id, seg_id, arg_min(component, (-v, component)) AS vote FROM votes GROUP BY ALL)", select="SELECT case_id, seg_id, coalesce(middle, vote) AS component FROM middle LEFT JOIN best USING (case_id, seg_id)"),
+    "g12_merged_components": RECURSIVE(labelled(26), "big AS (SELECT case_id, root FROM (SELECT case_id, root, size / sum(size) OVER (PARTITION BY case_id) AS share FROM sizes) WHERE share >= 0.05)",
+        "spots AS (SELECT l.* FROM labelled l JOIN big USING (case_id, root))", f"bridges AS (SELECT DISTINCT x.case_id, x.root AS src, y.root AS dst FROM spots x JOIN spots y ON x.case_id = y.case_id AND x.root <> y.root WHERE {GAP('x', 'y')} * 0.5 < 1.6)",
+        "tops AS (SELECT case_id, root, root AS top FROM big UNION SELECT r.case_id, b.dst, r.top FROM tops r JOIN bridges b ON b.case_id = r.case_id AND b.src = r.root)",
+        select=f"SELECT case_id, a0, a1, a2, coalesce(top, root) AS root FROM labelled LEFT JOIN (SELECT case_id, root, min(top) AS top FROM tops GROUP BY ALL) USING (case_id, root)"),
+    "g13_segment_labels": RECURSIVE(labelled(26), AREAS, POINTS, "own AS (SELECT case_id, root // 64 % 50 AS component, max(share) AS share, min(territory) AS territory FROM areas GROUP BY ALL)", "segs AS (SELECT DISTINCT case_id, seg_id, (seg_id % 50)::INT AS component FROM points)",
+        select="SELECT s.case_id, seg_id, component, CASE WHEN territory IN ('Left', 'Right') THEN territory || ' Coronary' ELSE coalesce(territory, 'Unknown') END AS artery_name, coalesce(territory, 'Unknown') AS tree_side, CASE WHEN territory IS NULL THEN 0.4::DOUBLE WHEN share >= 0.15 THEN 0.9 WHEN share >= 0.05 THEN 0.7 ELSE 0.6 END AS confidence FROM segs s LEFT JOIN own USING (case_id, component)"),
+    "g22_gap_pairs": RECURSIVE(labelled(26), LINKS, TIPS, "t AS (SELECT s.*, root FROM seen s JOIN labelled USING (case_id, a0, a1, a2))",
+        f"near AS (SELECT x.case_id, x.place AS a, y.place AS b, x.root AS src, y.root AS dst, {GAP('x', 'y')} AS d, CASE WHEN x.d0 IS NULL OR y.d0 IS NULL THEN 0.5::DOUBLE ELSE greatest(0, ({DOT('x')} - {DOT('y')}) / {GAP('x', 'y')} / 2) END AS alignment FROM t x JOIN t y ON x.case_id = y.case_id AND x.place < y.place AND x.root <> y.root WHERE {GAP('x', 'y')} <= 8 AND {RATIO})",
+        "pairs AS (SELECT * FROM near WHERE alignment >= 0.15)", "met AS (SELECT case_id, a, b, src AS node FROM pairs UNION SELECT c.case_id, c.a, c.b, CASE WHEN f.src = c.node THEN f.dst ELSE f.src END FROM met c JOIN pairs e ON e.case_id = c.case_id AND e.a = c.a AND e.b = c.b JOIN pairs f ON f.case_id = c.case_id AND (f.d, f.a, f.b) < (e.d, e.a, e.b) AND (f.src = c.node OR f.dst = c.node))",
+        select="SELECT case_id, a, b, round(d * 0.5, 6) AS distance_mm, round(alignment, 6) AS alignment FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM met m WHERE m.case_id = p.case_id AND m.a = p.a AND m.b = p.b AND m.node = p.dst)"),
+    "g23_midpoint_pairs": RECURSIVE(labelled(26), LINKS, TIPS, KEPT, "t AS (SELECT n.* FROM near n JOIN seen s USING (case_id, place) WHERE n.size < n.largest AND (n.size < 0.5 * n.largest OR NOT n.value > 0.3))",
+        f"pairs AS (SELECT x.case_id, x.root, x.place AS a, y.place AS b, {GAP('x', 'y')} AS d FROM t x JOIN near y ON y.case_id = x.case_id AND y.size > x.size WHERE {GAP('x', 'y')} <= 6 AND {RATIO})",
+        select="SELECT case_id, a, b, round(d * 0.5, 6) AS distance_mm FROM pairs QUALIFY row_number() OVER (PARTITION BY case_id, root ORDER BY d, a, b) = 1"),
     "g6_arc_length": with_ctes(POINTS, CURVE, select="SELECT case_id, seg_id, idx, round(arc_mm, 6) AS arc_mm, round(max(arc_mm) OVER (PARTITION BY case_id, seg_id), 6) AS length_mm FROM arcs"),
     "g9_tree_summary": with_ctes(POINTS, select="""SELECT case_id, count(*) FILTER (seg_id % 4 = 0) AS n_bifurcations, count(*) FILTER (idx = 0) AS n_endpoints, round(sum(length_mm) FILTER (idx = 0), 6) AS total_length_mm, count(DISTINCT seg_id) AS n_segments,
   round(min(radius_mm), 6) AS radius_min, round(max(radius_mm), 6) AS radius_max, round(avg(radius_mm), 6) AS radius_mean FROM points GROUP BY case_id"""),
