@@ -48,6 +48,11 @@ def combine_pairs(pairs: DataFrame, midpoints: DataFrame, labels: DataFrame) ->
     return pairs.select(*columns, F.lit(False).alias("is_midpoint")).unionByName(rest.select(*columns, F.lit(True).alias("is_midpoint")))
 
 
+def tubed(roi: DataFrame) -> DataFrame:
+    """Where a region doesn't say which of its voxels lie in the tube, all do."""
+    return roi if "in_tube" in roi.columns else roi.withColumn("in_tube", F.lit(True))
+
+
 def threshold_bridges(gaps: DataFrame, roi: DataFrame, thresholds: tuple[float, ...] = (0.20, 0.15, 0.10)) -> DataFrame:
     """(gap_id, threshold): the highest threshold at which a gap's two ends touch, over faces, through its region; gaps that none joins are left out.
 
@@ -55,7 +60,7 @@ def threshold_bridges(gaps: DataFrame, roi: DataFrame, thresholds: tuple[float,
     lie in the tube and their probability is over the threshold.
     """
     # every gap and threshold is a case of its own, so one run of components serves all
-    tries = roi.withColumn("t", F.explode(F.array(*map(F.lit, thresholds)))).filter("in_mask or (in_tube and p > t)")
+    tries = tubed(roi).withColumn("t", F.explode(F.array(*map(F.lit, thresholds)))).filter("in_mask or (in_tube and p > t)")
     labelled = written(vox.components(tries.select(F.struct("gap_id", "t").alias("case_id"), *vox.AXES), 6), "labelled")
     at = lambda end: labelled.select("case_id", F.struct(*vox.AXES).alias(end), F.col("component").alias(f"{end}_component"))
     ends = gaps.withColumn("t", F.explode(F.array(*map(F.lit, thresholds)))).select(F.struct("gap_id", "t").alias("case_id"), "a", "b")
@@ -65,7 +70,7 @@ def threshold_bridges(gaps: DataFrame, roi: DataFrame, thresholds: tuple[float,
 
 def bridge_voxels(found: DataFrame, roi: DataFrame) -> DataFrame:
     """(gap_id, a0, a1, a2, p) that a bridge at its gap's threshold adds to the mask."""
-    return roi.join(found, "gap_id").filter("in_tube and not in_mask and p > threshold").select("gap_id", *vox.AXES, "p")
+    return tubed(roi).join(found, "gap_id").filter("in_tube and not in_mask and p > threshold").select("gap_id", *vox.AXES, "p")
 
 
 def judge_bridges(found: DataFrame, roi: DataFrame, gaps: DataFrame, least_new: int = 10, most_new: int = 100) -> DataFrame:

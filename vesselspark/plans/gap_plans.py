@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import gaps
+from ..operators import gaps, graph
 from ..operators import voxels as vox
-from .fixtures import VOXELS, masks, voxels, with_ctes
-from .graph_plans import PLACE, RECURSIVE, components, tips
+from ..session import written
+from .fixtures import MASKS, VOXELS, masks, points, voxels, with_ctes
+from .graph_plans import ORACLES as GRAPHS
+from .graph_plans import PLACE, RECURSIVE, components, g21_tip_classes, g22_gap_pairs, tips
 from .profile_plans import rounded
-from .voxel_plans import FACES, SHAPES, SURFACES, labelled, root, shapes
+from .voxel_plans import FACES, SHAPES, SURFACES, labelled, lerp, root, shapes
 
 
 def v21_component_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +55,48 @@ def g26_cheapest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gaps.cheapest_paths(ends, gaps.bridge_costs(ends, roi))
 
 
+def g17_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks near the first and the last segment of each case."""
+    rows = points(spark, sf_dir).withColumn("p2", (F.col("seg_id") % 5).cast("double"))
+    clicks = rows.groupBy("case_id").agg(*(F.min(f"p{k}").alias(f"s{k}") for k in range(3)), *(F.max(f"p{k}").alias(f"e{k}") for k in range(3)))
+    return gaps.highlight(rows, clicks, masks(spark, sf_dir)[0], 2)
+
+
+def bridged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The sparse mask with straight bridges over its gap pairs, and whether they connect."""
+    labels = components(spark, sf_dir).select(F.struct(*vox.KEY).alias("node"), root().alias("component"))
+    pairs = graph.gap_pairs(tips(spark, sf_dir).join(labels, "node"), 4.0).withColumn("gap_id", F.col("a.a0") * 100_000 + PLACE("b"))
+    place = lambda e: F.struct(*(F.col(f"{e}.a{k}").alias(f"a{k}") for k in range(3))).alias(e)
+    ends = written(pairs.select("case_id", "gap_id", place("a"), place("b")), "ends")
+    lines = ends.select("case_id", F.col("gap_id").alias("line_id"), *(F.col(f"a.a{k}").alias(f"s{k}") for k in range(3)), *(F.col(f"b.a{k}").alias(f"e{k}") for k in range(3)))
+    tubes = vox.line_points(lines).withColumnRenamed("line_id", "gap_id").distinct()
+    return gaps.merge_bridges(masks(spark, sf_dir)[2], tubes, ends, least_new=1, least_size=2, search=1.0)
+
+
+def g29_merged_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bridged(spark, sf_dir)[0]
+
+
+def g30_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G30 over G21's tips, G22's pairs and the masks; pairs nearer than 2 mm stand for connected ones."""
+    classes, pairs = g21_tip_classes(spark, sf_dir), written(g22_gap_pairs(spark, sf_dir), "pairs")
+    before, after, _ = masks(spark, sf_dir)
+    return gaps.refinement_summary(classes, pairs, pairs.select("case_id", (F.col("distance_mm") < 2).alias("connected")), before, after)
+
+
+def a28_findings_from_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.count("*").over(Window.partitionBy("case_id", "seg_id"))
+    rows = points(spark, sf_dir).withColumns({"n": n, "p2": (F.col("seg_id") % 5).cast("double")})
+    return gaps.findings_from_mask(masks(spark, sf_dir)[0], shapes(spark, sf_dir), rows, 4, 20).select("case_id", "seg_id", "artery_name", "severity", "location_idx")
+
+
+def a29_case_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voxel counts and places of both masks: the truth resampled, the prediction thresholded."""
+    rows = voxels(spark, sf_dir)
+    truth, pred = gaps.case_masks(rows.withColumn("value", F.col("value") * 2), rows.withColumnRenamed("value", "p"), shapes(spark, sf_dir), (0.5, 0.5, 0.5), (0.8, 0.4, 0.5), 0.15)
+    return truth.withColumn("side", F.lit("truth")).unionByName(pred.withColumn("side", F.lit("pred")))
+
+
 def a25_evaluate_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two thresholds as two models."""
     rows = voxels(spark, sf_dir)
@@ -60,12 +104,18 @@ def a25_evaluate_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(gaps.evaluate_models(cut("low", 0.12).union(cut("high", 0.18)), masks(spark, sf_dir)[1], shapes(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (v21_component_boxes, g23_midpoint_pairs, g25_threshold_bridges, g26_bridge_costs, g26_cheapest_paths, a25_evaluate_models)}
+QUERIES = {f.__name__: f for f in (v21_component_boxes, g23_midpoint_pairs, g25_threshold_bridges, g26_bridge_costs, g26_cheapest_paths, g17_highlight, g29_merged_bridges, g30_refinement, a25_evaluate_models, a28_findings_from_mask, a29_case_masks)}
 ROI = """starts AS (SELECT case_id, unnest(range(0, n0 - 5, 8)) AS low FROM shapes),
 gaps AS (SELECT case_id * 100000 + low AS gap_id, low, low % 5 / 4.0::DOUBLE AS radius_a FROM starts),
 roi AS (SELECT case_id * 100000 + low AS gap_id, low, a0, a1, a2, value + 0.1::DOUBLE AS p, value > 0.25 AS in_mask, (a1 + a2) % 7 <> 0 AS in_tube FROM voxels JOIN starts USING (case_id) WHERE a0 BETWEEN low AND low + 5 AND a1 BETWEEN 1 AND 6 AND a2 BETWEEN 1 AND 6)"""
 PAIRED = "{'model': model, 'case_id': case_id} AS case_id, a0, a1, a2"
 ORACLES = {
+    "g30_refinement": f"""WITH classes AS ({GRAPHS["g21_tip_classes"]}), pairs AS ({GRAPHS["g22_gap_pairs"]}), {VOXELS}, {MASKS}
+SELECT case_id, n_tips, n_invalid, coalesce(n_pairs, 0) AS n_pairs, coalesce(n_connected, 0) AS n_connected, coalesce(n, 0) - coalesce(b, 0) AS voxels_added
+FROM (SELECT case_id, count(*) AS n_tips, count(*) FILTER (NOT is_valid) AS n_invalid FROM classes GROUP BY case_id) LEFT JOIN (SELECT case_id, count(*) AS n_pairs, count(*) FILTER (distance_mm < 2) AS n_connected FROM pairs GROUP BY case_id) USING (case_id)
+LEFT JOIN (SELECT case_id, count(*) AS b FROM pred GROUP BY 1) USING (case_id) LEFT JOIN (SELECT case_id, count(*) AS n FROM truth GROUP BY 1) USING (case_id)""",
+    "a29_case_masks": with_ctes(VOXELS, SHAPES, "grid AS (SELECT *, round_even(n0 * 0.625::DOUBLE, 0)::BIGINT AS m0, 10 AS m1, 8 AS m2 FROM shapes)", lerp("SELECT case_id, {'x': i, 'y': j, 'z': k} AS g, (i + 0.5::DOUBLE) * (n0 / m0::DOUBLE) - 0.5 AS p0, (j + 0.5::DOUBLE) * (n1 / m1::DOUBLE) - 0.5 AS p1, (k + 0.5::DOUBLE) * (n2 / m2::DOUBLE) - 0.5 AS p2 FROM grid, LATERAL (SELECT unnest(range(m0)) AS i), range(10) y(j), range(8) z(k)"),
+        select="SELECT case_id, g.x AS a0, g.y AS a1, g.z AS a2, 'truth' AS side FROM lerped WHERE value * 2 > 0.3 UNION ALL SELECT case_id, a0, a1, a2, 'pred' FROM voxels WHERE value >= 0.15"),
     "a25_evaluate_models": with_ctes(VOXELS, "cuts AS (SELECT * FROM (VALUES ('low', 0.12::DOUBLE), ('high', 0.18::DOUBLE)) x(model, t))", f"pred AS (SELECT {PAIRED} FROM voxels, cuts WHERE value > t)", "sparse AS (SELECT * FROM pred)",
         f"truth AS (SELECT {PAIRED} FROM voxels, cuts WHERE value > 0.10::DOUBLE + 0.10::DOUBLE * ((a0 + a1 + a2) % 2) AND (model, case_id) IN (SELECT (case_id.model, case_id.case_id) FROM pred))", FACES, SURFACES, labelled(6),
         "o AS (SELECT case_id, count(p)::DOUBLE AS n_pred, count(t)::DOUBLE AS n_truth, count(*) FILTER (p AND t)::DOUBLE AS n_both FROM (SELECT *, true AS p FROM pred) FULL JOIN (SELECT *, true AS t FROM truth) USING (case_id, a0, a1, a2) GROUP BY case_id)",

@@ -165,6 +165,17 @@ def v17_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(back, "case_id", "left").select("case_id", "cycles", F.coalesce("n_back", F.lit(0)).alias("n_back"))
 
 
+def v17_back_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges that close a cycle, with their thinner node."""
+    out = graph.back_edges(graph.neighbours(skeleton(spark, sf_dir)), radii(spark, sf_dir))
+    return rounded(out.select("case_id", PLACE("src").alias("src"), PLACE("dst").alias("dst"), PLACE("thin").alias("thin"), "radius_mm"))
+
+
+def v17_break_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = skeleton(spark, sf_dir)
+    return graph.break_cycles(rows, graph.neighbours(rows), radii(spark, sf_dir), 0.3, 0.5)
+
+
 def v20_tube(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shapes(spark, sf_dir).select("case_id", F.lit(1).alias("tube_id"), *(F.lit(2).alias(f"s{k}") for k in range(3)), (F.col("n0") - 3).alias("e0"), F.lit(5).alias("e1"), F.lit(6).alias("e2"), F.lit(0.5).alias("radius"))
     return rounded(graph.tube_members(masks(spark, sf_dir)[0], rows, 1.0, 1.5))
@@ -172,7 +183,7 @@ def v20_tube(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     g1_links, g2_degrees, g3_merged_bifurcations, g3_moved_links, g5_segments, g6_arc_length, g7_resampled, g9_tree_summary, g10_segment_component, g11_territories, g12_merged_components, g13_segment_labels, g16_shortest_paths,
-    g19_tip_directions, g21_tip_classes, g22_gap_pairs, g27_path_checks, g28_gap_decision, g33_regions, v17_cycles, v20_tube,
+    g19_tip_directions, g21_tip_classes, g22_gap_pairs, g27_path_checks, g28_gap_decision, g33_regions, v17_cycles, v17_back_edges, v17_break_cycles, v20_tube,
 )}
 B = (VOXELS, MASKS)
 CURVE = "pts AS (SELECT case_id, seg_id, idx, p0, radius_mm * 3 AS p1, p2 FROM points), arcs AS (SELECT case_id, seg_id, idx, p0, p1, p2, sum(step) OVER (PARTITION BY case_id, seg_id ORDER BY idx) AS arc_mm FROM (SELECT *, coalesce(0.5 * sqrt((p0 - lag(p0) OVER w)^2 + (p1 - lag(p1) OVER w)^2), 0) AS step FROM pts WINDOW w AS (PARTITION BY case_id, seg_id ORDER BY idx)))"
@@ -196,6 +207,9 @@ KEPT = "near AS (SELECT x.*, l.root, n.size, n.largest FROM (SELECT case_id, a0,
 GAP = lambda x, y: f"sqrt(({x}.a0 - {y}.a0)^2 + ({x}.a1 - {y}.a1)^2 + ({x}.a2 - {y}.a2)^2)"
 RATIO = "least(x.value, y.value) / greatest(x.value, y.value) >= 0.35"
 DOT = lambda t: f"({t}.d0 * (y.a0 - x.a0) + {t}.d1 * (y.a1 - x.a1) + {t}.d2 * (y.a2 - x.a2))"
+CYCLES = """edges AS (SELECT l.case_id, l.src, l.dst, least(x.value, y.value) AS r, CASE WHEN x.value <= y.value THEN l.src ELSE l.dst END AS thin FROM links l JOIN near x ON x.case_id = l.case_id AND x.place = l.src JOIN near y ON y.case_id = l.case_id AND y.place = l.dst WHERE l.src < l.dst),
+met AS (SELECT case_id, src, dst, src AS node FROM edges UNION SELECT m.case_id, m.src, m.dst, CASE WHEN f.src = m.node THEN f.dst ELSE f.src END FROM met m JOIN edges e ON e.case_id = m.case_id AND e.src = m.src AND e.dst = m.dst JOIN edges f ON f.case_id = m.case_id AND (-f.r, f.src, f.dst) < (-e.r, e.src, e.dst) AND (f.src = m.node OR f.dst = m.node)),
+back AS (SELECT e.* FROM edges e JOIN met m ON m.case_id = e.case_id AND m.src = e.src AND m.dst = e.dst AND m.node = e.dst)"""
 ORACLES = {
     "g1_links": with_ctes(*B, LINKS, select="SELECT case_id, src, dst FROM links WHERE src < dst"),
     "g2_degrees": with_ctes(*B, LINKS, select="SELECT case_id, place, degree, degree = 1 AS is_endpoint, degree >= 3 AS is_bifurcation FROM (SELECT s.case_id, a0 * 64 + a1 * 8 + a2 AS place, count(dst) AS degree FROM sparse s LEFT JOIN links l ON l.case_id = s.case_id AND l.src = a0 * 64 + a1 * 8 + a2 GROUP BY ALL)"),
@@ -246,6 +260,8 @@ ORACLES = {
     "g33_regions": with_ctes(POINTS, "s AS (SELECT case_id, seg_id % 3 AS artery, seg_id, max(length_mm) AS length_mm FROM points GROUP BY ALL)", "r AS (SELECT *, (coalesce(sum(length_mm) OVER (PARTITION BY case_id, artery ORDER BY seg_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length_mm / 2) / sum(length_mm) OVER (PARTITION BY case_id, artery) AS \"at\" FROM s)",
         select="""SELECT case_id, artery, seg_id, round("at", 6) AS "at", CASE WHEN "at" < 0.33 THEN 'proximal' WHEN "at" < 0.67 THEN 'mid' ELSE 'distal' END AS region FROM r"""),
     "v17_cycles": RECURSIVE(labelled(26), LINKS, select="SELECT case_id, coalesce(e, 0) - v + c AS cycles, coalesce(e, 0) - v + c AS n_back FROM (SELECT case_id, count(*) AS v, count(DISTINCT root) AS c FROM labelled GROUP BY case_id) LEFT JOIN (SELECT case_id, count(*) AS e FROM links WHERE src < dst GROUP BY case_id) USING (case_id)"),
+    "v17_back_edges": RECURSIVE(labelled(26), LINKS, KEPT, CYCLES, select="SELECT case_id, src, dst, thin, round(r, 6) AS radius_mm FROM back"),
+    "v17_break_cycles": RECURSIVE(labelled(26), LINKS, KEPT, CYCLES, select="SELECT s.case_id, s.a0, s.a1, s.a2 FROM sparse s WHERE NOT EXISTS (SELECT 1 FROM back b WHERE b.r < 0.3 AND b.case_id = s.case_id AND (s.a0 - b.thin // 64)^2 + (s.a1 - b.thin // 8 % 8)^2 + (s.a2 - b.thin % 8)^2 <= 1)"),
     "v20_tube": with_ctes(*B, "g AS (SELECT case_id, max(a0) + 1 - 5 AS g0, 3 AS g1, 4 AS g2 FROM voxels GROUP BY case_id)", "t AS (SELECT p.*, sqrt(g0 * g0 + 25.0::DOUBLE) AS len, ((a0 - 2) * g0 + (a1 - 2) * g1 + (a2 - 2) * g2) / sqrt(g0 * g0 + 25.0::DOUBLE) AS along, (a0 - 2)^2 + (a1 - 2)^2 + (a2 - 2)^2 AS own FROM pred p JOIN g USING (case_id))",
         select="SELECT case_id, 1 AS tube_id, a0, a1, a2, round(sqrt(greatest(own - along * along, 0)), 6) AS off FROM t WHERE along >= -1 AND along <= len + 1 AND sqrt(greatest(own - along * along, 0)) <= 2.0"),
 }

@@ -104,6 +104,16 @@ def v7_blur(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(vox.blur(voxels(spark, sf_dir), shapes(spark, sf_dir), 1.0))
 
 
+def v3_crop_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 6 x 6 voxels around the brightest place of each wide case."""
+    rows = voxels(spark, sf_dir).withColumn("value", F.col("value") * 1000)
+    return rounded(vox.crop_wide(rows, shapes(spark, sf_dir), 0.5, 4.5, 3.0, 1.0))
+
+
+def v7_smooth_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vox.smooth_mask(masks(spark, sf_dir)[1], shapes(spark, sf_dir), 1.0)
+
+
 def v8_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vox.surface(masks(spark, sf_dir)[1])
 
@@ -147,6 +157,17 @@ def v15_elongation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(cov.filter("size >= 3").select("case_id", root(), "size", "c00", "c01", "c12"))
 
 
+def v16_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sparse mask with a tube from each component near the largest one to it."""
+    rows = vox.components(masks(spark, sf_dir)[2])
+    return vox.bridge(rows, vox.component_sizes(rows).filter("place = 1"), shapes(spark, sf_dir), 1.2)
+
+
+def v18_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned prediction's counts after each step, with limits for small volumes."""
+    return vox.cleanup(masks(spark, sf_dir)[0], shapes(spark, sf_dir), least_size=4, floor=20)[1]
+
+
 def v19_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vox.stamp(masks(spark, sf_dir)[2], 2, shapes(spark, sf_dir)).groupBy("case_id").agg(F.count("*").alias("n"), F.sum("a0").alias("s0"), F.sum("a1").alias("s1"), F.sum("a2").alias("s2"))
 
@@ -202,10 +223,10 @@ def w2_long_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p3_window_and_presets, p4_zscore, p5_binarize, p6_reorient, p7_millimetres, v1_slice, v2_boxes, v4_resample, v5_sample_points, v6_nearest_value, v7_blur, v8_surface, v9_close_holes, v10_distance, v11_components, v12_sizes, v13_protected,
-    v14_keep_near, v15_elongation, v19_stamp, g15_line_inside, v22_stitch, v23_overlay, a1_overlap, a3_surface_metrics, a6_radius_error, a8_component_metrics, u1_set_operations, w2_long_kernel,
+    p3_window_and_presets, p4_zscore, p5_binarize, p6_reorient, p7_millimetres, v1_slice, v2_boxes, v4_resample, v5_sample_points, v6_nearest_value, v3_crop_wide, v7_blur, v7_smooth_mask, v8_surface, v9_close_holes, v10_distance, v11_components, v12_sizes, v13_protected,
+    v14_keep_near, v15_elongation, v16_bridge, v18_cleanup, v19_stamp, g15_line_inside, v22_stitch, v23_overlay, a1_overlap, a3_surface_metrics, a6_radius_error, a8_component_metrics, u1_set_operations, w2_long_kernel,
 )}
-WEIGHTS = {s: ", ".join(f"({k}, {w!r}::DOUBLE)" for k, w in enumerate(profile.gaussian_weights(s), -len(profile.gaussian_weights(s)) // 2 + 1)) for s in (1.0, 2.0)}
+WEIGHTS = {s: ", ".join(f"({k}, {w!r}::DOUBLE)" for k, w in enumerate(profile.gaussian_weights(s), -len(profile.gaussian_weights(s)) // 2 + 1)) for s in (0.5, 1.0, 2.0)}
 CLIP = "round(sum(greatest(least(value * 10, {1}), {0})), 4)"
 
 
@@ -214,12 +235,10 @@ def mirror(i: str, n: str) -> str:
     return f"(CASE WHEN {at} < {n} THEN {at} ELSE 2 * {n} - 1 - {at} END)"
 
 
-def blur_step(axis: int, source: str, out: str) -> str:
-    names = [f"v.a{k}" if k != axis else f"o.a{axis}" for k in range(3)]
+def blur_step(axis: int, source: str, out: str, taps: str = "taps") -> str:
     places = ", ".join(f"o.a{k}" for k in range(3))
     join = " AND ".join(f"v.a{k} = " + (mirror(f"o.a{k} + k", f"n{k}") if k == axis else f"o.a{k}") for k in range(3))
-    del names
-    return f"{out} AS (SELECT o.case_id, {places}, sum(w * v.value) AS value FROM {source} o JOIN shapes USING (case_id) CROSS JOIN taps JOIN {source} v ON v.case_id = o.case_id AND {join} GROUP BY ALL)"
+    return f"{out} AS (SELECT o.case_id, {places}, sum(w * v.value) AS value FROM {source} o JOIN shapes USING (case_id) CROSS JOIN {taps} JOIN {source} v ON v.case_id = o.case_id AND {join} GROUP BY ALL)"
 
 
 def lerp(points: str) -> str:
@@ -247,6 +266,14 @@ ORACLES = {
     "v5_sample_points": with_ctes(V, SHAPES, lerp("SELECT case_id, a0 * 64 + a1 * 8 + a2 AS g, a0 + 0.3::DOUBLE AS p0, a1 - 0.4::DOUBLE AS p1, a2 + 0.55::DOUBLE AS p2 FROM voxels"), select="SELECT case_id, g AS point_id, round(value, 6) AS value FROM lerped"),
     "v6_nearest_value": with_ctes(V, select="SELECT p.case_id, p.a0 * 64 + p.a1 * 8 + p.a2 AS point_id, round(coalesce(v.value, 0), 6) AS value FROM voxels p LEFT JOIN voxels v ON v.case_id = p.case_id AND v.a0 = round_even(p.a0 + 0.5, 0) AND v.a1 = p.a1 + p.a2 AND v.a2 = p.a2"),
     "v7_blur": with_ctes(V, SHAPES, f"taps AS (SELECT * FROM (VALUES {WEIGHTS[1.0]}) t(k, w))", blur_step(0, "voxels", "x0"), blur_step(1, "x0", "x1"), blur_step(2, "x1", "x2"), select=f"SELECT {KEY}, round(value, 6) AS value FROM x2"),
+    "v3_crop_wide": with_ctes(V, SHAPES, f"taps AS (SELECT * FROM (VALUES {WEIGHTS[1.0]}) t(k, w))", "plane AS (SELECT case_id, a0, a1, 0 AS a2, avg(greatest(100, least(700, value * 1000)) - 100) AS value FROM voxels JOIN shapes USING (case_id) WHERE greatest(n0, n1) * 0.5 > 4.5 AND a2 BETWEEN 3 AND 4 GROUP BY ALL)",
+        blur_step(0, "plane", "x0"), blur_step(1, "x0", "x1"), "centre AS (SELECT case_id, arg_min(a0, (-value, a0, a1)) AS c0, arg_min(a1, (-value, a0, a1)) AS c1 FROM x1 GROUP BY case_id)",
+        "win AS (SELECT case_id, greatest(0, least(c0 - 3, n0 - 6)) AS l0, greatest(0, least(c1 - 3, n1 - 6)) AS l1 FROM centre JOIN shapes USING (case_id))",
+        select="SELECT case_id, a0 - coalesce(l0, 0) AS a0, a1 - coalesce(l1, 0) AS a1, a2, round(value * 1000, 6) AS value FROM voxels LEFT JOIN win USING (case_id) WHERE l0 IS NULL OR (a0 BETWEEN l0 AND l0 + 5 AND a1 BETWEEN l1 AND l1 + 5)"),
+    "v7_smooth_mask": with_ctes(V, M, SHAPES, f"taps AS (SELECT * FROM (VALUES {WEIGHTS[1.0]}) t(k, w)), half AS (SELECT * FROM (VALUES {WEIGHTS[0.5]}) t(k, w))", f"flat AS (SELECT {KEY}, (t.case_id IS NOT NULL)::INT::DOUBLE AS value FROM voxels LEFT JOIN truth t USING (case_id, a0, a1, a2))".replace("t.case_id IS NOT NULL", "t.x IS NOT NULL").replace("LEFT JOIN truth t", "LEFT JOIN (SELECT *, 1 AS x FROM truth) t"),
+        blur_step(0, "flat", "x0"), blur_step(1, "x0", "x1"), blur_step(2, "x1", "x2"), blur_step(0, "flat", "y0", "half"), blur_step(1, "y0", "y1", "half"), blur_step(2, "y1", "y2", "half"),
+        "lost AS (SELECT case_id FROM (SELECT case_id, count(*) AS n FROM truth GROUP BY 1) LEFT JOIN (SELECT case_id, count(*) AS m FROM x2 WHERE value >= 0.5 GROUP BY 1) USING (case_id) WHERE coalesce(m, 0) < 0.8 * n)",
+        select=f"SELECT {KEY} FROM x2 WHERE value >= 0.5 AND case_id NOT IN (FROM lost) UNION ALL SELECT {KEY} FROM y2 WHERE value >= 0.5 AND case_id IN (FROM lost)"),
     "v8_surface": with_ctes(V, M, FACES, select=f"SELECT {KEY} FROM {count_faces('truth')} WHERE n < 6"),
     "v9_close_holes": with_ctes(V, M, FACES, SHAPES, f"grown AS (SELECT {KEY} FROM pred UNION SELECT case_id, a0 + d0, a1 + d1, a2 + d2 FROM pred CROSS JOIN faces JOIN shapes USING (case_id) WHERE a0 + d0 BETWEEN 0 AND n0 - 1 AND a1 + d1 BETWEEN 0 AND 7 AND a2 + d2 BETWEEN 0 AND 7)",
         f"closed AS (SELECT {KEY} FROM {count_faces('grown')} WHERE n = 6)", "bad AS (SELECT case_id FROM (SELECT case_id, count(*) AS n FROM pred GROUP BY 1) JOIN (SELECT case_id, count(*) AS m FROM closed GROUP BY 1) USING (case_id) WHERE m > 2 * n)",
@@ -258,6 +285,11 @@ ORACLES = {
     "v14_keep_near": RECURSIVE(26, f"""SELECT {KEY}, root FROM labelled WHERE (case_id, root) IN (SELECT (case_id, root) FROM sizes WHERE place = 1
   UNION ALL SELECT (x.case_id, x.root) FROM labelled x JOIN labelled y ON x.case_id = y.case_id JOIN sizes s ON s.case_id = y.case_id AND s.root = y.root AND s.place = 1 WHERE sqrt((x.a0 - y.a0)^2 + (x.a1 - y.a1)^2 + (x.a2 - y.a2)^2) <= 1.2 / 0.5)"""),
     "v15_elongation": RECURSIVE(26, "SELECT case_id, root, count(*) AS size, round(covar_samp(a0, a0), 6) AS c00, round(covar_samp(a0, a1), 6) AS c01, round(covar_samp(a1, a2), 6) AS c12 FROM labelled GROUP BY ALL HAVING count(*) >= 3"),
+    "v16_bridge": with_ctes(V, M, SHAPES, FACES, labelled(26), """gaps AS (SELECT * FROM (SELECT x.case_id, x.root, sqrt((x.a0 - y.a0)^2 + (x.a1 - y.a1)^2 + (x.a2 - y.a2)^2) AS d, x.a0 AS s0, x.a1 AS s1, x.a2 AS s2, y.a0 AS e0, y.a1 AS e1, y.a2 AS e2
+    FROM labelled x JOIN sizes p ON p.case_id = x.case_id AND p.root = x.root AND p.place > 1 JOIN sizes q ON q.case_id = x.case_id AND q.place = 1 JOIN labelled y ON y.case_id = x.case_id AND y.root = q.root) WHERE d <= 1.2 / 0.5
+    QUALIFY row_number() OVER (PARTITION BY case_id, root ORDER BY d, s0, s1, s2, e0, e1, e2) = 1)""",
+        "line AS (SELECT case_id, " + ", ".join(f"round_even(s{k} + i / ceil(d) * (e{k} - s{k}), 0)::BIGINT AS a{k}" for k in range(3)) + " FROM gaps, LATERAL (SELECT unnest(range(ceil(d)::BIGINT + 1)) AS i))",
+        select=f"SELECT {KEY} FROM labelled UNION SELECT {KEY} FROM line UNION SELECT case_id, a0 + d0, a1 + d1, a2 + d2 FROM line CROSS JOIN faces JOIN shapes USING (case_id) WHERE a0 + d0 BETWEEN 0 AND n0 - 1 AND a1 + d1 BETWEEN 0 AND 7 AND a2 + d2 BETWEEN 0 AND 7").replace("WITH ", "WITH RECURSIVE ", 1),
     "v19_stamp": with_ctes(V, M, SHAPES, select="""SELECT case_id, count(*) AS n, sum(x)::BIGINT AS s0, sum(y)::BIGINT AS s1, sum(z)::BIGINT AS s2 FROM (SELECT DISTINCT case_id, a0 + i AS x, a1 + j AS y, a2 + k AS z FROM sparse JOIN shapes USING (case_id), range(-2, 3) p(i), range(-2, 3) q(j), range(-2, 3) r(k)
   WHERE i * i + j * j + k * k <= 4 AND a0 + i BETWEEN 0 AND n0 - 1 AND a1 + j BETWEEN 0 AND 7 AND a2 + k BETWEEN 0 AND 7) GROUP BY case_id"""),
     "g15_line_inside": with_ctes(V, M, select="SELECT p.case_id, p.a0 * 64 + p.a1 * 8 + p.a2 AS line_id, q.case_id IS NOT NULL AS clear FROM pred p LEFT JOIN pred q ON q.case_id = p.case_id AND q.a0 = p.a0 AND q.a1 = p.a1 + 1 AND q.a2 = p.a2"),
