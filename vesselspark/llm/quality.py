@@ -166,20 +166,21 @@ def scores(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, bias: flo
 
 
 def fit_scorer(x: np.ndarray, target: np.ndarray, weight: np.ndarray, rounds: int = 300, rate: float = 2.0, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by full-batch gradient steps with momentum."""
-    w, b = np.zeros(x.shape[1], np.float32), 0.0
-    dw, db = np.zeros_like(w), 0.0
-    weight = (weight / weight.sum()).astype(np.float32)
+    """Logistic regression on soft labels by full-batch gradient steps with momentum, all in single precision: a mixed product would copy x each time."""
+    w, b = np.zeros(x.shape[1], np.float32), np.float32(0)
+    dw, db = np.zeros_like(w), np.float32(0)
+    x, target, weight = x.astype(np.float32, copy=False), target.astype(np.float32), (weight / weight.sum()).astype(np.float32)
+    rate, decay, keep = np.float32(rate), np.float32(decay), np.float32(0.9)
     for _ in range(rounds):
         error = (1 / (1 + np.exp(-np.clip(x @ w + b, -50, 50))) - target) * weight
-        dw = 0.9 * dw - rate * (x.T @ error + decay * w)
-        db = 0.9 * db - rate * error.sum()
+        dw = keep * dw - rate * (x.T @ error + decay * w)
+        db = keep * db - rate * error.sum()
         w, b = w + dw, b + db
     return w, float(b)
 
 
-def classify_quality(docs: DataFrame, threshold: float = 0.5, per_class: int = 1500, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """Every row of docs (columns `carry`, else all) with score (P(good) by the scorer), posterior (by the label model) and keep.
+def classify_quality(docs: DataFrame, threshold: float = 0.5, per_class: int = 1500, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """Every row of docs (columns `carry`, else all) with score (P(good) by the scorer), posterior (by the label model) and keep, their names after `prefix`; columns of docs by such names are left out.
 
     The labellers vote on every whole text; EM runs on the counts of vote patterns over all rows (at most 3 to the
     number of labellers, whatever the table's size). The scorer is fitted on a bounded sample: of each side of
@@ -189,7 +190,8 @@ def classify_quality(docs: DataFrame, threshold: float = 0.5, per_class: int = 1
     an empty table gives no rows.
     """
     spark = docs.sparkSession
-    carry = [c for c in carry or docs.columns if c not in ("score", "posterior", "keep")]
+    added = [prefix + c for c in ("score", "posterior", "keep")]
+    carry = [c for c in carry or docs.columns if c.lower() not in added]
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -200,7 +202,7 @@ def classify_quality(docs: DataFrame, threshold: float = 0.5, per_class: int = 1
     cast = written(texts.mapInArrow(vote, "id string, pattern int"), "votes")
     counts = cast.groupBy("pattern").count().toPandas()
     if counts.empty:
-        return docs.select(*carry, F.lit(0.0).alias("score"), F.lit(0.0).alias("posterior"), F.lit(True).alias("keep"))
+        return docs.select(*carry, *(x.alias(c) for x, c in zip((F.lit(0.0), F.lit(0.0), F.lit(True)), added, strict=True)))
     patterns = counts["pattern"].to_numpy()[:, None] // 3 ** np.arange(len(STATS)) % 3
     model = fit_label_model(patterns, counts["count"].to_numpy(float))
     belief = dict(zip(counts["pattern"].tolist(), model.posterior(patterns).tolist(), strict=True))
@@ -241,7 +243,7 @@ def classify_quality(docs: DataFrame, threshold: float = 0.5, per_class: int = 1
             z = scores(data, offsets, w, b)
             pattern = votes(statistics(data, offsets)) @ (3 ** np.arange(len(STATS)))
             post = np.array([belief.get(p, 0.5) for p in pattern.tolist()])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(z), pa.array(post, pa.float64()), pa.array(z >= threshold)], names=[*carry, "score", "posterior", "keep"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(z), pa.array(post, pa.float64()), pa.array(z >= threshold)], names=[*carry, *added])
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*carry).dtypes) + ", score double, posterior double, keep boolean"
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*carry).dtypes) + f", `{added[0]}` double, `{added[1]}` double, `{added[2]}` boolean"
     return docs.select(*carry, docs[text_col].alias("__text")).mapInArrow(score, schema)
