@@ -214,6 +214,28 @@ def near_pairs(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     return left.join(right, ["case_id", "c0", "c1", "c2"]).withColumn("distance", gap).filter(F.col("distance") <= radius).drop("c0", "c1", "c2")
 
 
+def nearest_within(a: DataFrame, b: DataFrame, radius: float, fine: float = 8.0) -> DataFrame:
+    """(case_id, id_a, distance, id_b): the nearest of b for each row of a that has one within radius.
+
+    Beyond a fine radius b is looked at through its occupied cells of a quarter of the radius, whose number around a point doesn't grow with the
+    radius: a point keeps the cells that may hold its nearest, by the distance of their centres, and only their points are compared.
+    """
+    if radius <= fine:
+        pairs = near_pairs(a, b, radius)
+    else:
+        side = radius / 4
+        reach = side * math.sqrt(3) / 2
+        held = b.select("case_id", F.struct(*(F.floor(F.col(f"y{k}") / side).alias(f"g{k}") for k in range(3))).alias("cell"), "id_b", "y0", "y1", "y2")
+        cells = held.select("case_id", F.col("cell").alias("id_b")).distinct().select("*", *(((F.col(f"id_b.g{k}") + 0.5) * side).alias(f"y{k}") for k in range(3)))
+        around = near_pairs(a, cells, radius + reach).groupBy("case_id", "id_a", "x0", "x1", "x2").agg(F.collect_list(F.struct("distance", "id_b")).alias("cells"))
+        least = F.array_min("cells")["distance"] + 2 * reach
+        kept = around.select("case_id", "id_a", "x0", "x1", "x2", F.explode(F.filter("cells", lambda c: c["distance"] <= least)).alias("c"))
+        pairs = kept.withColumn("cell", F.col("c.id_b")).drop("c").join(held, ["case_id", "cell"])
+        gap = F.sqrt(sum(((F.col(f"x{k}") - F.col(f"y{k}")) ** 2 for k in range(1, 3)), (F.col("x0") - F.col("y0")) ** 2))
+        pairs = pairs.withColumn("distance", gap).filter(F.col("distance") <= radius)
+    return pairs.groupBy("case_id", "id_a").agg(F.min(F.struct("distance", "id_b")).alias("m")).select("case_id", "id_a", "m.distance", "m.id_b")
+
+
 def nearest(a: DataFrame, b: DataFrame, first_radius: float = 2.0) -> DataFrame:
     """For each row of a (case_id, id_a, x0..x2) the nearest of b (case_id, id_b, y0..y2), ties to the smaller id_b; rows of cases that b lacks are left out.
 
@@ -223,8 +245,7 @@ def nearest(a: DataFrame, b: DataFrame, first_radius: float = 2.0) -> DataFrame:
     left = written(a.join(b.select("case_id").distinct(), "case_id", "left_semi"), "left")
     right, found, radius = written(b, "right"), [], first_radius
     while True:
-        hits = near_pairs(left, right, radius).groupBy("case_id", "id_a").agg(F.min(F.struct("distance", "id_b")).alias("m"))
-        found.append(written(hits.select("case_id", "id_a", "m.distance", "m.id_b"), "hits"))
+        found.append(written(nearest_within(left, right, radius), "hits"))
         rest = written(left.join(found[-1], ["case_id", "id_a"], "left_anti"), "left")
         drop_written(spark, left)
         left, radius = rest, radius * 2

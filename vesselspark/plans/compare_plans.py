@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import compare
+from ..session import written
 from .fixtures import GRADED, graded, table, with_ctes
 from .profile_plans import rounded, sql_round
 
@@ -116,14 +117,15 @@ def sensitivity() -> F.Column:
 
 
 def a20_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = compare.case_comparison(a13_artery_comparison(spark, sf_dir), KEYS)
+    cases = written(compare.case_comparison(a13_artery_comparison(spark, sf_dir), KEYS), "cases")
     return rounded(compare.bootstrap(cases, sensitivity(), ["model"], "case_id", ITERATIONS))
 
 
 def a21_cohort_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pooled rates, kappas and the interval of the sensitivity, a row a model."""
-    comparison = a13_artery_comparison(spark, sf_dir)
-    cases = compare.case_comparison(comparison, KEYS)
+    # both feed several branches below
+    comparison = written(a13_artery_comparison(spark, sf_dir), "comparison")
+    cases = written(compare.case_comparison(comparison, KEYS), "cases")
     pooled = cases.groupBy("model").agg(*(F.sum(c).alias(c) for c in ("tp", "tn", "fp", "fn")), F.avg("agreement_rate").alias("agreement_rate"), F.avg("within_one_rate").alias("within_one_rate"), F.count("*").alias("n_cases"))
     sides = a15_side_comparison(spark, sf_dir).groupBy("model").agg(*compare.outcome_counts(), F.avg(F.col("max_match").cast("double")).alias("side_max_agreement"))
     sides = compare.binary_kappa(compare.with_rates(sides)).select("model", F.col("sensitivity").alias("side_sensitivity"), F.col("specificity").alias("side_specificity"), F.col("kappa").alias("side_kappa"), "side_max_agreement")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import written
+
 PARAMETERS = "STRUCT<hu_min: DOUBLE, hu_max: DOUBLE, target_spacing: ARRAY<DOUBLE>, target_orientation: STRING, zscore_clip: ARRAY<DOUBLE>>"
 CONFIG = f"""
 model_type STRING, loss_type STRING, description STRING,
@@ -61,13 +63,18 @@ def tree_nodes(trees: DataFrame) -> DataFrame:
 
 
 def tree_points(trees: DataFrame) -> DataFrame:
-    """(case_id, json) to points of segments, with the bifurcation flags of their first and last nodes."""
+    """(case_id, json) to points of segments, with the bifurcation flags of their first and last nodes. Documents are parsed once; flags are joined by node."""
     tree = F.from_json("json", TREE)["vessel_tree"]
-    rows = trees.select("case_id", tree["nodes"].alias("nodes"), F.explode(tree["segments"]).alias("key", "s"))
-    flag = lambda at: F.coalesce(F.try_element_at("nodes", F.try_element_at("s.node_ids", F.lit(at)).cast("string"))["is_bifurcation"], F.lit(False))
-    rows = rows.select("case_id", F.col("key").cast("long").alias("seg_id"), F.coalesce("s.length_mm", F.lit(0.0)).alias("length_mm"), flag(1).alias("start_bif"), flag(-1).alias("end_bif"), F.posexplode(F.arrays_zip("s.arc_length_mm", "s.radii_mm", "s.centerline_points")).alias("idx", "p"))
-    point = lambda k: F.col("p.centerline_points")[k].alias(f"p{k}")
-    return rows.select("case_id", "seg_id", "idx", F.col("p.arc_length_mm").alias("arc_mm"), F.col("p.radii_mm").alias("radius_mm"), "length_mm", "start_bif", "end_bif", *(point(k) for k in range(3))).filter("radius_mm is not null")
+    parsed = written(trees.select("case_id", tree["nodes"].alias("nodes"), tree["segments"].alias("segments")), "trees")
+    rows = parsed.select("case_id", F.explode("segments").alias("key", "s")).withColumn("seg_id", F.col("key").cast("long"))
+    nodes = parsed.select("case_id", F.explode("nodes").alias("key", "n")).filter("n.is_bifurcation").select("case_id", F.col("key").alias("node"))
+    node = lambda at: F.try_element_at("s.node_ids", F.lit(at)).cast("string").alias("node")
+    ends = rows.select("case_id", "seg_id", F.inline(F.array(F.struct(node(1), F.lit(True).alias("first")), F.struct(node(-1), F.lit(False).alias("first")))))
+    flags = ends.join(nodes, ["case_id", "node"]).groupBy("case_id", "seg_id").agg(F.bool_or("first").alias("start_bif"), F.bool_or(~F.col("first")).alias("end_bif"))
+    rows = rows.select("case_id", "seg_id", F.coalesce("s.length_mm", F.lit(0.0)).alias("length_mm"), F.posexplode(F.arrays_zip("s.arc_length_mm", "s.radii_mm", "s.centerline_points")).alias("idx", "p"))
+    rows = rows.filter("p.radii_mm is not null").join(flags, ["case_id", "seg_id"], "left")
+    flag = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    return rows.select("case_id", "seg_id", "idx", F.col("p.arc_length_mm").alias("arc_mm"), F.col("p.radii_mm").alias("radius_mm"), "length_mm", flag("start_bif"), flag("end_bif"), *(F.col("p.centerline_points")[k].alias(f"p{k}") for k in range(3)))
 
 
 def report_findings(reports: DataFrame) -> DataFrame:
