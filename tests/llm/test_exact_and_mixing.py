@@ -1,7 +1,9 @@
+import math
 from collections import Counter, defaultdict
 
 import pytest
 from compare import compare
+from pyspark.sql import functions as F
 
 from vesselspark.llm import mixing, queries
 from vesselspark.llm.exact import progressive_dedup
@@ -49,3 +51,19 @@ def test_mix_reaches_weights(spark):
     got = {r.source: r["count"] for r in mixing.poisson_mix(docs, {"a": 2.0, "b": 1.0, "c": 1.0}).groupBy("source").count().collect()}
     for source, share in (("a", 0.5), ("b", 0.25), ("c", 0.25)):
         assert abs(got[source] / 40_000 - share) < 0.02
+
+
+@pytest.mark.parametrize("mean", [0.4, 30.0, 5000.0, 1e6])
+def test_poisson_draws(spark, mean):
+    """The draw is the inverse of the distribution, at means up to a million."""
+    got = spark.createDataFrame([(k, (k + 0.5) / 40) for k in range(40)], "k int, u double").select("u", mixing.poisson_draw(F.lit(mean), F.col("u")).alias("n")).collect()
+    for r in got:
+        below, at = (math.fsum(math.exp(-mean + j * math.log(mean) - math.lgamma(j + 1)) for j in range(max(0, int(mean - 12 * mean**0.5) - 20), r.n + d)) for d in (0, 1))
+        assert below <= r.u + 1e-6 and at > r.u - 1e-6
+
+
+def test_rare_source(spark):
+    """One row whose source must make up half of all: its copies come from many tasks, none missing."""
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 0, "rare").otherwise("common").alias("source"), F.lit("text").alias("text"))
+    rows = mixing.poisson_mix(docs, {"rare": 1.0, "common": 1.0}).filter("doc_id = 0").collect()
+    assert len(rows) == rows[0].n_copies > 2 * mixing.MANY and sorted(r.copy for r in rows) == list(range(len(rows)))
