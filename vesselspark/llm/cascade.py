@@ -15,6 +15,8 @@ from .text import finish
 
 #: The default rules as (verdict, host and path).
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+#: Words of host names, cut at '.' and '-', whose urls are listed unless a rule says otherwise.
+LISTED_WORDS = ("ads", "adult", "bets", "casino", "pills", "spam")
 CASCADE = "shard int, levels array<struct<bits: binary, size: long, hashes: int>>"
 
 
@@ -83,13 +85,13 @@ def member(levels: list[dict], h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
     return out
 
 
-def build_cascade(universe: DataFrame, shard_keys: int = 100_000) -> DataFrame:
-    """The written cascade of (key, listed) rows, one row of bit arrays a shard of about shard_keys keys by hash.
+def build_cascade(universe: DataFrame, shard_keys: int = 100_000, listed: Column | None = None) -> DataFrame:
+    """The written cascade of the rows of a universe of keys, one row of bit arrays a shard of about shard_keys keys by hash.
 
-    Repeated keys count once; a key with both marks counts as listed. An empty universe or list gives shards without
-    levels, or no shard: nothing is a member.
+    Repeated keys count once; `listed` says of a key's rows whether it is listed, by default whether any row has the mark
+    `listed`. An empty universe or list gives shards without levels, or no shard: nothing is a member.
     """
-    keys = universe.groupBy("key").agg(F.max("listed").alias("listed"))
+    keys = universe.groupBy("key").agg((F.max("listed") if listed is None else listed).alias("listed"))
     keys = written(keys.select(*key_hashes(F.col("key")), "listed"), "keys")
     n = parts_for(keys.sparkSession, keys.count(), shard_keys, least=1)
 
@@ -144,18 +146,27 @@ def mark_members(rows: DataFrame, key: Column, cascade: DataFrame, most_bytes: i
     return by.applyInArrow(meet, schema)
 
 
-def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, id_col: str = "page_id", url_col: str = "url", most_bytes: int = 32 << 20) -> DataFrame:
-    """Each page's id, host, path, rule and verdict: that of its longest rule, else block if its key is in the list, else allow.
+def judge_urls(
+    pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, id_col: str = "page_id", url_col: str = "url", most_bytes: int = 32 << 20,
+    words: tuple[str, ...] = LISTED_WORDS, listed: DataFrame | None = None,
+) -> DataFrame:
+    """Each page's id, host, path, rule and verdict: block if the cascade holds its key, else allow.
 
-    The key is host and path; the list is every key of the pages that a blocking rule wins, the universe all their keys,
-    so that later stages can ask the cascade without the rules. A null url or one without '://' has an empty host and
-    path, no rule and the verdict allow. Repeated rows and null ids are judged like others; other columns are left out.
+    The key is host and path, the universe all keys of the pages. The cascade holds the keys that a blocking rule wins and, of
+    those without a rule, the ones whose host has one of `words` among its parts between dots and hyphens, and those in the table
+    `listed` (column key). Rules only name themselves and build the list: verdicts come from the cascade alone, so later stages
+    can ask it without the rules. A null url or one without '://' has an empty host and path, no rule, and is not listed.
+    Repeated rows and null ids are judged like others; other columns are left out.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     rule, verdict = winning_rule(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": rule, "own": verdict})
     key = F.concat(F.col("host"), F.col("path"))
-    cascade = build_cascade(rows.select(key.alias("key"), F.coalesce(F.col("own") == "block", F.lit(False)).alias("listed")))
-    marked = mark_members(rows, key, cascade, most_bytes)
-    method = F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))
-    return marked.select("page_id", "host", "path", "rule", F.coalesce("own", method).alias("verdict"))
+    named = F.arrays_overlap(F.split("host", "[.-]"), F.lit(list(words)).cast("array<string>"))
+    # 3 and 2: a rule blocks or allows; 1 and 0: listed or not; the largest of a key's marks holds
+    mark = F.when(verdict == "block", 3).when(verdict == "allow", 2).when(named, 1).otherwise(0)
+    universe = rows.select(key.alias("key"), mark.alias("mark"))
+    if listed is not None:
+        universe = universe.unionByName(listed.filter("key is not null").select("key", F.lit(1).alias("mark")))
+    cascade = build_cascade(universe, listed=F.max("mark").isin(1, 3))
+    marked = mark_members(rows.withColumn("rule", rule), key, cascade, most_bytes)
+    return marked.select("page_id", "host", "path", "rule", F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow")).alias("verdict"))

@@ -60,7 +60,7 @@ r AS (SELECT *, split_part(rule, '/', 1) AS own, substr(rule, strpos(rule, '/'))
       ('block', 'example.org/es/'), ('block', 'example.org/en/1'), ('allow', 'com/fr/'), ('block', 'com/de/')) v(verdict, rule)),
 m AS (SELECT page_id, host, path, rule, verdict, length(rule) AS n FROM p LEFT JOIN r
       ON (host = own OR ends_with(host, '.' || own)) AND starts_with(path, start))
-SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN regexp_matches(host, '(^|[.-])(ads|adult|bets|casino|pills|spam)([.-]|$)') THEN 'block' ELSE 'allow' END) AS verdict
 FROM m QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY n DESC) = 1
 """
 
