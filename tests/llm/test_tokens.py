@@ -103,3 +103,22 @@ def test_op3_added_tokens(spark):
     tokenizer = Tokenizer.from_file(JSON)
     assert [x.tolist() for x in bpe.from_json(JSON).encode(texts)] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
     check_files(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), new_path(spark, "t"))
+
+
+def test_more_words_than_the_table_holds(plain, monkeypatch):
+    """One text with more distinct words than a worker remembers."""
+    monkeypatch.setattr(bpe, "MOST_WORDS", 1000)
+    monkeypatch.setattr(bpe, "SLOTS", 1 << 21)
+    own = bpe.WordBpe(bpe.from_ranks(RANKS).tokenizer)
+    text = " ".join(f"{k * 7919 % 100_003:x}é" for k in range(9000))
+    for _ in range(2):
+        got = own.encode([text, None, "tail", text[:5000]])
+        assert [g.tolist() for g in got] == [plain.encode_ordinary(t) for t in (text, "", "tail", text[:5000])]
+
+
+def test_words_beyond_all_slots():
+    """2.2 million distinct words in one text, more than the table has slots."""
+    own = bpe.from_ranks(RANKS)
+    text = " ".join(f"{k:x}" for k in range(2_200_000))
+    ids, ends = own.encode_flat([text])
+    assert ends.tolist() == [len(ids)] and own.decode(ids).decode() == text

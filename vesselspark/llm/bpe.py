@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from .text import finish, powers, slices
 
-#: Most distinct words whose ids a worker remembers, and slots of its table.
+#: Most distinct words whose ids a worker remembers (and most words it looks up at once), and slots of its table.
 MOST_WORDS, SLOTS = 1_200_000, 1 << 21
 #: Classes of characters as the word pattern knows them.
 OTHER, LETTER, NUMBER, SPACE = range(4)
@@ -184,6 +184,13 @@ class WordBpe:
         size = np.diff(np.append(first, len(points)))
         key = np.maximum(finish(np.add.reduceat(coded * power, first)), np.uint64(1))
         check = np.add.reduceat(coded.astype(np.uint32) * ((power >> np.uint64(32)).astype(np.uint32) | np.uint32(1)), first, dtype=np.uint32) + size.astype(np.uint32)
+        # however long a text is, the table never has to hold more words than it has room for
+        found = [self.look_up(text, *(x[a : a + MOST_WORDS] for x in (first, size, key, check))) for a in range(0, len(first), MOST_WORDS)]
+        total = np.cumsum(np.concatenate([n for _, n in found]))
+        return np.concatenate([ids for ids, _ in found]), np.append(0, total)[np.searchsorted(first, ends, "left")]
+
+    def look_up(self, text: str, first: np.ndarray, size: np.ndarray, key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the words of text, number of each word's ids); words that are new are encoded."""
         slot = self.table.find(key, check)
         if (slot < 0).any():
             if self.table.n + int((slot < 0).sum()) > MOST_WORDS:
@@ -197,8 +204,7 @@ class WordBpe:
             slot[lost] = self.table.find(key[lost], check[lost])
         length = self.table.length[slot].astype(np.int64)
         total = np.cumsum(length)
-        ids = self.table.pool[np.repeat(self.table.at[slot] - total + length, length) + np.arange(int(total[-1]))]
-        return ids, np.append(0, total)[np.searchsorted(first, ends, "left")]
+        return self.table.pool[np.repeat(self.table.at[slot] - total + length, length) + np.arange(int(total[-1]))], length
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text."""
