@@ -75,8 +75,9 @@ def step(state: DataFrame, edges: DataFrame, degrees: DataFrame, junctions: Data
     # segments in order, then junctions that were joined
     order = F.struct((F.col("seg") < 0).alias("late"), "seg", "other", F.struct("seg", "other", "length", "degree", "radius", "points").cast(BRANCH).alias("w"))
     ways = written(ways.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["w"]).alias("ways")), "ways")
-    split = state.join(ways.filter("size(ways) > 1"), "case_id", "left_semi")
-    lengths = subtree_lengths(written(split, "split"), edges)
+    split = written(state.join(ways.filter("size(ways) > 1"), "case_id", "left_semi"), "split")
+    # where no case has a choice in this step there is nothing to measure
+    lengths = split.select("case_id", F.col("cur").alias("other"), F.lit(0.0).alias("subtree")).limit(0) if split.isEmpty() else subtree_lengths(split, edges)
     named = ways.filter("size(ways) > 1").select("case_id", F.posexplode("ways").alias("k", "w")).withColumn("other", F.col("w.other")).join(lengths, ["case_id", "other"], "left")
     minor = (F.col("w.seg") >= 0) & (F.col("w.length") < MAJOR_MM) & (F.col("w.degree") <= 1)
     named = named.withColumn("total", F.when(minor, F.col("w.length")).otherwise(F.coalesce("subtree", F.lit(0.0))))

@@ -72,8 +72,7 @@ def t4_rank_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a26_metric_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = model_rows(spark, sf_dir).filter("model in ('src0', 'src1', 'src2')")
-    return metrics.metric_report(rows, ["dice", "asd", "hd95", "continuity"], ("dice",))
+    return metrics.metric_report(model_rows(spark, sf_dir), ["dice", "asd", "hd95", "continuity"], ("dice",))
 
 
 def a24_sample_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +169,7 @@ ORACLES = {
     "a10_tier2_cohort": with_ctes(TIER2, select="SELECT model, dataset, n_cases, " + ", ".join(f"round({m}_{x}, 6) AS {m}_{x}" for m in NAMES for x in ("mean", "std")) + " FROM cohort2"),
     "a23_domain_gap": with_ctes(TIER2, GAP, select=f"SELECT model, {sql_round('bif_ratio len_ratio comp_ratio rad_ratio lcf_diff domain_gap')} FROM gaps"),
     "t4_rank_models": with_ctes(TIER2, GAP, MODELS, select=f"SELECT model, {sql_round('tier1 tier2 tier3 tier4 composite')}, row_number() OVER (ORDER BY composite DESC, sens DESC, surface_dice DESC, n_bifurcations DESC, model)::INT AS rank FROM ranked"),
-    "a26_metric_report": with_ctes(TIER2, GAP, MODELS, "long AS (SELECT model, unnest(['dice', 'asd', 'hd95', 'continuity']) AS metric, unnest([printf('%.1f%%', dice * 100), CASE WHEN isnan(asd) THEN 'N/A' ELSE printf('%.3f', asd) END, printf('%.3f', hd95), printf('%.3f', continuity)]) AS t FROM models WHERE model IN ('src0', 'src1', 'src2'))", select="SELECT metric, max(t) FILTER (model = 'src0') AS src0, max(t) FILTER (model = 'src1') AS src1, max(t) FILTER (model = 'src2') AS src2 FROM long GROUP BY metric"),
+    "a26_metric_report": with_ctes(TIER2, GAP, MODELS, "long AS (SELECT model, unnest(['dice', 'asd', 'hd95', 'continuity']) AS metric, unnest([printf('%.1f%%', dice * 100), CASE WHEN isnan(asd) THEN 'N/A' ELSE printf('%.3f', asd) END, printf('%.3f', hd95), printf('%.3f', continuity)]) AS t FROM models)", select="SELECT metric, " + ", ".join(f"max(t) FILTER (model = 'src{k}') AS src{k}" for k in range(20)) + " FROM long GROUP BY metric"),
     "a24_sample_cases": "SELECT source AS model, doc_id AS case_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY md5('42|' || doc_id), doc_id) <= 5",
     "a27_clinical_report": with_ctes(*ALL, LABELS, f"lines AS (SELECT case_id, string_agg({LINE}, chr(10) ORDER BY {GRADE} DESC, pct DESC, seg_id, start_mm) AS body, max({GRADE}) AS worst, count(*) AS n FROM findings LEFT JOIN labels_of USING (case_id, seg_id) GROUP BY case_id)",
         select="SELECT case_id, coalesce(body, 'no findings') || chr(10) || 'impression: ' || ['Normal', 'Mild', 'Moderate', 'Severe'][coalesce(worst, 0) + 1] || ', ' || coalesce(n, 0) || ' findings' AS report FROM (SELECT DISTINCT case_id FROM points) LEFT JOIN lines USING (case_id)"),

@@ -1,14 +1,14 @@
-"""Queries of gap and whole-case operators (V21, G23-G26, A25, A29) on the stand-in volumes."""
+"""Queries of gap and whole-case operators (V21, G14, G17, G23-G26, G29-G30, A25, A28-A29) on the stand-in volumes."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import gaps, graph
+from ..operators import arteries, gaps, graph
 from ..operators import voxels as vox
 from ..session import written
-from .fixtures import MASKS, VOXELS, masks, points, voxels, with_ctes
+from .fixtures import MASKS, VOXELS, masks, points, table, voxels, with_ctes
 from .graph_plans import ORACLES as GRAPHS
 from .graph_plans import PLACE, RECURSIVE, components, g21_tip_classes, g22_gap_pairs, tips
 from .profile_plans import rounded
@@ -84,6 +84,22 @@ def g30_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gaps.refinement_summary(classes, pairs, pairs.select("case_id", (F.col("distance_mm") < 2).alias("connected")), before, after)
 
 
+def g14_left_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A left tree for every 40 customers, each a junction with the segment that leads to it; every eleventh segment lacks, but its line lies in the mask."""
+    k, case = F.col("c_custkey") % 40, F.floor(F.col("c_custkey") / 40)
+    rows = table(spark, sf_dir, "customer").select(case.cast("int").alias("case_id"), k.alias("node"), F.floor(k / 2).alias("start"), F.abs("c_acctbal").alias("x"))
+    place = [F.when(F.col("node") == 0, 120.0).otherwise(100.0 - 4 * F.floor(F.log2(F.col("node") + 1.0))), (39 + F.col("node") * 7 % 23).cast("double"), (42 + F.col("node") * 5 % 17).cast("double")]
+    rows = rows.withColumns({f"p{k}": p for k, p in enumerate(place)})
+    junctions = rows.select("case_id", "node", "p0", "p1", "p2", (0.5 + F.col("node") % 7 / 5).alias("radius_mm"))
+    from_node = rows.select("case_id", F.col("node").alias("start"), *(F.col(f"p{k}").alias(f"s{k}") for k in range(3)))
+    ways = rows.filter("node > 0").join(from_node, ["case_id", "start"])
+    lacks = F.col("node") % 11 == 0
+    segments = ways.filter(~lacks).select("case_id", F.col("node").alias("seg_id"), "start", F.col("node").alias("end"), (F.col("x") / 400).alias("length_mm"), (0.5 + F.col("node") % 5 / 4).alias("radius_mm"), (F.lit(3) + F.col("node") % 13).alias("n_points"), (F.col("p1") + F.col("node") % 5 - 2).alias("mid1"))
+    lines = ways.filter(lacks).select("case_id", F.col("node").alias("line_id"), *(F.col(f"s{k}").alias(f"s{k}") for k in range(3)), *(F.col(f"p{k}").alias(f"e{k}") for k in range(3)))
+    wide = rows.select("case_id").distinct().select("case_id", *(F.lit(n).alias(f"n{k}") for k, n in enumerate((130, 100, 100))))
+    return arteries.split_left(segments, junctions, vox.stamp(vox.line_points(lines), 1), wide)
+
+
 def a28_findings_from_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.count("*").over(Window.partitionBy("case_id", "seg_id"))
     rows = points(spark, sf_dir).withColumns({"n": n, "p2": (F.col("seg_id") % 5).cast("double")})
@@ -104,7 +120,7 @@ def a25_evaluate_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(gaps.evaluate_models(cut("low", 0.12).union(cut("high", 0.18)), masks(spark, sf_dir)[1], shapes(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (v21_component_boxes, g23_midpoint_pairs, g25_threshold_bridges, g26_bridge_costs, g26_cheapest_paths, g17_highlight, g29_merged_bridges, g30_refinement, a25_evaluate_models, a28_findings_from_mask, a29_case_masks)}
+QUERIES = {f.__name__: f for f in (v21_component_boxes, g23_midpoint_pairs, g25_threshold_bridges, g26_bridge_costs, g26_cheapest_paths, g14_left_split, g17_highlight, g29_merged_bridges, g30_refinement, a25_evaluate_models, a28_findings_from_mask, a29_case_masks)}
 ROI = """starts AS (SELECT case_id, unnest(range(0, n0 - 5, 8)) AS low FROM shapes),
 gaps AS (SELECT case_id * 100000 + low AS gap_id, low, low % 5 / 4.0::DOUBLE AS radius_a FROM starts),
 roi AS (SELECT case_id * 100000 + low AS gap_id, low, a0, a1, a2, value + 0.1::DOUBLE AS p, value > 0.25 AS in_mask, (a1 + a2) % 7 <> 0 AS in_tube FROM voxels JOIN starts USING (case_id) WHERE a0 BETWEEN low AND low + 5 AND a1 BETWEEN 1 AND 6 AND a2 BETWEEN 1 AND 6)"""
