@@ -36,7 +36,7 @@ def regions_of_gaps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     corner = lambda s: F.struct((F.col("low") + s).cast("int").alias("a0"), F.lit(s + 1).alias("a1"), F.lit(s + 1).alias("a2"))
     roi = voxels(spark, sf_dir).join(starts, "case_id").filter("a0 between low and low + 5 and a1 between 1 and 6 and a2 between 1 and 6")
     tube = (F.col("a1") + F.col("a2")) % 7 != 0
-    roi = roi.select("gap_id", F.col("a0").cast("int").alias("a0"), "a1", "a2", (F.col("value") + 0.1).alias("p"), (F.col("value") > 0.25).alias("in_mask"), tube.alias("in_tube"))
+    roi = roi.select("gap_id", F.col("a0").cast("int").alias("a0"), "a1", "a2", (F.col("value") + 0.16).alias("p"), (F.col("value") > 0.25).alias("in_mask"), tube.alias("in_tube"))
     return starts.select("gap_id", corner(0).alias("a"), corner(5).alias("b"), (F.col("low") % 5 / 4).alias("radius_a"), F.lit(1.5).alias("radius_b")), roi
 
 
@@ -123,7 +123,7 @@ def a25_evaluate_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (v21_component_boxes, g23_midpoint_pairs, g25_threshold_bridges, g26_bridge_costs, g26_cheapest_paths, g14_left_split, g17_highlight, g29_merged_bridges, g30_refinement, a25_evaluate_models, a28_findings_from_mask, a29_case_masks)}
 ROI = """starts AS (SELECT case_id, unnest(range(0, n0 - 5, 8)) AS low FROM shapes),
 gaps AS (SELECT case_id * 100000 + low AS gap_id, low, low % 5 / 4.0::DOUBLE AS radius_a FROM starts),
-roi AS (SELECT case_id * 100000 + low AS gap_id, low, a0, a1, a2, value + 0.1::DOUBLE AS p, value > 0.25 AS in_mask, (a1 + a2) % 7 <> 0 AS in_tube FROM voxels JOIN starts USING (case_id) WHERE a0 BETWEEN low AND low + 5 AND a1 BETWEEN 1 AND 6 AND a2 BETWEEN 1 AND 6)"""
+roi AS (SELECT case_id * 100000 + low AS gap_id, low, a0, a1, a2, value + 0.16::DOUBLE AS p, value > 0.25 AS in_mask, (a1 + a2) % 7 <> 0 AS in_tube FROM voxels JOIN starts USING (case_id) WHERE a0 BETWEEN low AND low + 5 AND a1 BETWEEN 1 AND 6 AND a2 BETWEEN 1 AND 6)"""
 PAIRED = "{'model': model, 'case_id': case_id} AS case_id, a0, a1, a2"
 ORACLES = {
     "g30_refinement": f"""WITH classes AS ({GRAPHS["g21_tip_classes"]}), pairs AS ({GRAPHS["g22_gap_pairs"]}), {VOXELS}, {MASKS}
