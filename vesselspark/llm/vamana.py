@@ -13,7 +13,7 @@ INDEX = "shard int, dims int, n int, vectors binary, leaders binary, edges binar
 
 
 def beam_search(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, start: int, width: int, hop: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Greedy search of all queries in step: (nodes nearest first, distances, whether a node was expanded), each (queries, width); -1 where fewer.
+    """Greedy search of all queries in step: (nodes nearest first, distances), each (queries, width) with -1 where fewer, and how many nodes each query looked at.
 
     Each step expands the `hop` nearest nodes of each beam that were not expanded yet, until every beam is done.
     """
@@ -44,7 +44,7 @@ def beam_search(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, start: in
         nodes[live] = np.take_along_axis(np.concatenate([nodes[live], np.where(near == n, -1, near)], 1), order, 1)
         done[live] = np.take_along_axis(np.concatenate([done[live], near == n], 1), order, 1)
         live = live[~done[live].all(1)]
-    return nodes, far, done
+    return nodes, far, seen[:, :n].sum(1)
 
 
 def robust_prune(x: np.ndarray, points: np.ndarray, near: np.ndarray, degree: int, alpha: float) -> np.ndarray:
@@ -121,14 +121,22 @@ def float_error(dims: int) -> float:
 
 
 def leaders(x: np.ndarray) -> np.ndarray:
-    """For each vector a leader that single precision can't tell from it, itself or one before it; leaders can be told apart."""
+    """For each vector a leader that single precision can't tell from it, itself or one before it; leaders can be told apart.
+
+    Vectors that near lie as near on any line, so only those next to each other on one are compared.
+    """
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    out, rest = np.full(len(x), -1), np.arange(len(x))
-    while len(rest):
-        near = u[rest] @ u[rest[0]] >= 1 - 2 * float_error(x.shape[1])
-        near[0] = True
-        out[rest[near]] = rest[0]
-        rest = rest[~near]
+    line = np.random.default_rng(2).normal(size=x.shape[1])
+    at, reach = u @ (line / np.linalg.norm(line)), 1.01 * np.sqrt(4 * float_error(x.shape[1]))
+    order = np.argsort(at, kind="stable")
+    low, high = np.searchsorted(at[order], at - reach, "left"), np.searchsorted(at[order], at + reach, "right")
+    out = np.full(len(x), -1)
+    for k in range(len(x)):
+        if out[k] < 0:
+            near = order[low[k] : high[k]]
+            near = near[out[near] < 0]
+            out[near[u[near] @ u[k] >= 1 - 2 * float_error(x.shape[1])]] = k
+            out[k] = k
     return out
 
 
@@ -145,7 +153,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.filter("vec_id is not null").filter(finite & F.exists("embedding", lambda v: v != 0)).withColumn("dims", F.size("embedding"))
 
 
-def build_index(vectors: DataFrame, k: int = 5, shard_size: int = 1000, degree: int = 32, width: int = 64, alpha: float = 1.2, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def build_index(vectors: DataFrame, k: int = 5, shard_size: int = 20_000, degree: int = 32, width: int = 64, alpha: float = 1.2, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The written index: a row a shard with its distinct vectors, graph, and the k + 1 smallest ids of each vector.
 
     Every usable vector is in it. Parallel vectors are one node, and nodes that single
@@ -170,11 +178,11 @@ def build_index(vectors: DataFrame, k: int = 5, shard_size: int = 1000, degree:
     return written(nodes.withColumn("shard", F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int")).groupBy("dims", "shard").applyInPandas(build, INDEX), "index")
 
 
-def search_index(index: DataFrame, queries: DataFrame, k: int = 5, width: int = 160, block: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search_index(index: DataFrame, queries: DataFrame, k: int = 5, width: int = 48, block: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k nearest found by cosine, its own id left out, ties to the smaller id.
 
-    Queries go to every shard in blocks of about `block`; a shard's graph is searched by beams of `width`, and all vectors
-    of the beam's nodes are scored exactly in double precision. Where the beam's last node is within the error of single
+    Queries go to every shard in blocks of about `block`; a shard's graph is searched by beams of `width`, which look at some hundreds
+    of its nodes, and all vectors of the beam's nodes are scored exactly in double precision. Where the beam's last node is within the error of single
     precision (and the nodes' radius) of the k-th best, or the beam found fewer nodes than it has room for, the whole
     shard is scored. Queries whose vector is unusable give no rows, as do queries with
     nothing to find; a vector is only compared with vectors of its own length. Rows that share a query's id and vector
@@ -198,7 +206,9 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = 5, width: int =
         members, first = np.argsort(group, kind="stable"), np.searchsorted(np.sort(group), np.arange(len(lead) + 1))
         edges = np.frombuffer(row["edges"], np.int32).reshape(len(lead) + 1, -1)
         q = np.stack(left["embedding"].to_numpy())
-        found, away, _ = beam_search(unit(x[lead]), edges[1:].astype(np.int64), unit(q), int(edges[0, 0]), width)
+        nodes, follow, asked = unit(x[lead]), edges[1:].astype(np.int64), unit(q)
+        some = [beam_search(nodes, follow, asked[k : k + 256], int(edges[0, 0]), width)[:2] for k in range(0, len(q), 256)]
+        found, away = (np.concatenate(parts) for parts in zip(*some, strict=True))
         norms = np.linalg.norm(x, axis=1)
         radius = np.sqrt(2 * np.maximum(0, 1 - np.einsum("nd,nd->n", x, x[own_leader]) / (norms * norms[own_leader])).max()) * 1.01
         # no vector outside a beam is more alike than its last node allows
