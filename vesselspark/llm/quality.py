@@ -62,8 +62,13 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     words = Words(data, offsets)
     n, n_docs = words.n, len(words.n)
     if not len(words.start):
-        return np.tile(np.array([0.0] * (len(STATS) - 1) + [1.0]), (n_docs, 1))
-    total = lambda flags: np.add.reduceat(np.append(flags, 0).astype(np.int64), words.start)
+        return np.tile(np.array([0.0] * (len(STATS) - 2) + [1.0, 1.0]), (n_docs, 1))
+
+    def total(flags: np.ndarray) -> np.ndarray:
+        """How many bytes of each word have the flag."""
+        up_to = np.cumsum(flags.view(np.uint8), dtype=np.int64)
+        return up_to[words.end - 1] - np.where(words.start > 0, up_to[words.start - 1], 0)
+
     per_doc = lambda values: np.bincount(words.doc, weights=values, minlength=n_docs)
     size = words.end - words.start
     symbols, shout, letters, digits, endings = (total(t[data]) for t in (SYMBOLS, SHOUT, LETTER, DIGIT, ENDING))
@@ -131,13 +136,15 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100)
 
 
 def slots_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, slot) of each byte trigram that lies in one document."""
-    if len(data) < 3:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    doc = np.searchsorted(offsets, np.arange(len(data) - 2), "right") - 1
-    inside = offsets[doc + 1] >= np.arange(len(data) - 2) + 3
-    number = data[:-2].astype(np.uint32) << 16 | data[1:-1].astype(np.uint32) << 8 | data[2:]
-    return doc[inside], (number[inside] * np.uint32(2654435761) >> np.uint32(32 - 12)).astype(np.int64)
+    """(slot of the byte trigram at each place, whether it lies in one document); two places fewer than bytes."""
+    number = data[:-2].astype(np.uint32) << 16
+    number |= data[1:-1].astype(np.uint32) << 8
+    number |= data[2:]
+    inside = np.ones(len(number), bool)
+    for back in (1, 2):
+        at = offsets[1:-1] - back
+        inside[at[(at >= 0) & (at < len(inside))]] = False
+    return number * np.uint32(2654435761) >> np.uint32(32 - 12), inside
 
 
 def bins_of(stats: np.ndarray) -> np.ndarray:
@@ -149,19 +156,24 @@ def bins_of(stats: np.ndarray) -> np.ndarray:
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Dense (documents, SLOTS) rows: trigram shares, and 1 for each statistic's bin."""
     n = len(offsets) - 1
-    doc, slot = slots_of(data, offsets)
-    x = np.bincount(doc * SLOTS + slot, minlength=n * SLOTS).reshape(n, SLOTS).astype(np.float32)
+    slot, inside = slots_of(data, offsets)
+    doc = np.repeat(np.arange(n), np.diff(offsets))[: len(slot)]
+    x = np.bincount((doc * SLOTS + slot)[inside], minlength=n * SLOTS).reshape(n, SLOTS).astype(np.float32)
     x *= 4 / np.maximum(x.sum(1, keepdims=True), 1)
     np.add.at(x, (np.arange(n)[:, None], bins_of(statistics(data, offsets))), 1)
     return x
 
 
-def scores(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
+def scores(data: np.ndarray, offsets: np.ndarray, stats: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
     """What the dense rows would score, without making them."""
-    n = len(offsets) - 1
-    doc, slot = slots_of(data, offsets)
-    mean = shares(np.bincount(doc, weights=weights[slot], minlength=n), np.bincount(doc, minlength=n))
-    z = bias + 4 * mean + weights[bins_of(statistics(data, offsets))].sum(1)
+    slot, inside = slots_of(data, offsets)
+    value = weights[slot]
+    value[~inside] = 0
+    whole, total = np.diff(offsets), np.zeros(len(offsets) - 1)
+    some = np.flatnonzero(whole > 2)
+    if len(some):
+        total[some] = np.add.reduceat(value, offsets[some])
+    z = bias + 4 * shares(total, np.maximum(whole - 2, 0)) + weights[bins_of(stats)].sum(1)
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
@@ -240,8 +252,9 @@ def classify_quality(docs: DataFrame, threshold: float = 0.5, per_class: int = 1
         w, b, belief = sent.value
         for batch in slices(batches, "__text"):
             data, offsets = utf8(batch.column("__text"))
-            z = scores(data, offsets, w, b)
-            pattern = votes(statistics(data, offsets)) @ (3 ** np.arange(len(STATS)))
+            stats = statistics(data, offsets)
+            z = scores(data, offsets, stats, w, b)
+            pattern = votes(stats) @ (3 ** np.arange(len(STATS)))
             post = np.array([belief.get(p, 0.5) for p in pattern.tolist()])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(z), pa.array(post, pa.float64()), pa.array(z >= threshold)], names=[*carry, *added])
 
