@@ -72,6 +72,51 @@ def test_groups_and_common_passage(spark, limit):
     assert got == brute(docs)
 
 
+@pytest.mark.parametrize("limit", [4096, 300])
+def test_large_groups(spark, limit):
+    """A base with 900 copies at all distances, 500 copies of one word's difference and unrelated texts, in one task and in many."""
+    rng = np.random.default_rng(limit)
+    word = lambda: f"w{rng.integers(10**9)}"
+    bases, docs = [[word() for _ in range(150)] for _ in range(2)], []
+    for base, n, most in ((bases[0], 900, 14), (bases[1], 500, 2)):
+        for _ in range(n):
+            words = list(base)
+            for _ in range(rng.integers(most)):
+                words[rng.integers(len(words))] = word()
+            docs.append(words)
+    docs += [bases[0][:20] + [word() for _ in range(rng.integers(20, 200))] for _ in range(600)]
+    docs = [(int(k), " ".join(docs[at])) for k, at in enumerate(rng.permutation(len(docs)))]
+    sets, of = {}, []
+    for _, text in docs:
+        words = text.split()
+        of.append(sets.setdefault(frozenset(tuple(words[k : k + 5]) for k in range(len(words) - 4)), len(sets)))
+    number = {}
+    for items in sets:
+        for x in items:
+            number.setdefault(x, len(number))
+    matrix = np.zeros((len(sets), len(number)), np.float32)
+    for row, items in enumerate(sets):
+        matrix[row, [number[x] for x in items]] = 1
+    both, size = matrix @ matrix.T, matrix.sum(1)
+    linked = both >= 0.8 * (size[:, None] + size - both) - 1e-6
+    np.fill_diagonal(linked, False)
+    label = np.arange(len(sets))
+    while True:
+        new = np.minimum(label, np.where(linked, label, len(sets)).min(1))
+        if (new == label).all():
+            break
+        label = new
+    least = {}
+    for (i, _), row in zip(docs, of, strict=True):
+        least.setdefault(label[row], i)
+    got = {r.doc_id: r for r in jaccard_groups(spark.createDataFrame(docs, "doc_id long, text string"), limit=limit).collect()}
+    assert {i: r.class_id for i, r in got.items()} == {i: least[label[row]] for (i, _), row in zip(docs, of, strict=True)}
+    want = linked.sum(1)
+    found = [got[i].n_links for i, _ in docs]
+    assert all(f <= want[row] for f, row in zip(found, of, strict=True))
+    assert sum(found) >= 0.999 * sum(want[row] for row in of)
+
+
 def test_odd(spark, odd_docs, no_docs):
     rows = jaccard_groups(odd_docs).collect()
     assert len(rows) == odd_docs.count()
@@ -95,7 +140,7 @@ def test_recall_of_deep_splits(spark):
     reps = spark.createDataFrame([(k, 225, bytearray(s.tobytes())) for k, s in enumerate(sig)], "c long, n long, sig binary")
     join = Join(0.8, 0.999, 4, 5)
     join.similar_to_most = lambda rows: rows.filter("false").select("path", "c")
-    pairs = join.candidates(reps)[0]
+    pairs = join.candidates(reps, None)[0]
     assert pairs.filter("a % 2 = 0 and b = a + 1").count() >= 1500 - 4
 
 

@@ -65,3 +65,20 @@ def test_odd(spark, odd_docs, no_docs):
     # rows that share an id count as one document, so a repeated row loses nothing to its twin; what repeats inside it goes
     assert by[(1, 30)].n_removed == by[(2, 30)].n_removed - 10 == 20 or by[(1, 30)].n_removed == 20
     assert remove_repeats(no_docs).count() == 0
+
+
+def test_hot_line(spark):
+    """A line that most texts carry, at odd places, stuttered texts, and copies under one id."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    line = [word() for _ in range(33)]
+    docs = []
+    for k in range(300):
+        words = [word() for _ in range(rng.randrange(40))]
+        if k % 3:
+            words += line + [word() for _ in range(rng.randrange(30))]
+        if k % 50 == 7:
+            words += ["again"] * 70
+        docs.append((k, " ".join(words)))
+    docs += [(5, docs[5][1])]
+    check(remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect(), docs)
