@@ -62,11 +62,11 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, rest:
     """
     table = rates(docs, weights or {}, rest, source_col, epochs)
     top = table.agg(F.max(most_copies(F.col("rate")))).first()[0] or 0
-    table = maybe_broadcast(table, table.count(), 10_000)
+    table = maybe_broadcast(table.withColumnRenamed("rate", "__rate"), table.count(), 10_000)
     copy, n_copies, shuffle_key = (prefix + c for c in ADDED)
     kept = [c for c in docs.columns if c.lower() not in (copy, n_copies, shuffle_key)]
     rows = docs.select(*kept, F.coalesce(F.col(source_col), F.lit("")).alias("__source"), unit_hash(F.lit(seed), F.col(id_col)).alias("__u")).join(table, "__source")
-    rows = rows.withColumn("__n", poisson_draw(F.col("rate"), F.col("__u"))).filter("__n > 0")
+    rows = rows.withColumn("__n", poisson_draw(F.col("__rate"), F.col("__u"))).filter("__n > 0")
     zero, last = F.lit(0).cast("long"), F.col("__n") - 1
     if top > MANY:
         dealt = rows.filter(F.col("__n") > MANY).withColumn("__part", F.explode(F.sequence(zero, F.floor(last / MANY)))).repartition("__part", "__u")
