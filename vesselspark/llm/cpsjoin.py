@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -129,25 +129,26 @@ def alike(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray,
 
 @dataclass
 class Rows:
-    """Rows of one bucket: set, size, sketch, and the seeds in whose bucket of level 1 it is in a small bucket (leaf) or a point, as bits."""
+    """Rows of one bucket: set, size, sketch, the seeds in whose bucket of level 1 it is in a small bucket (leaf) or a point, as bits, and its ball (0: none)."""
 
     c: np.ndarray
     n: np.ndarray
     sig: np.ndarray
     leaf: np.ndarray
     point: np.ndarray
+    ball: np.ndarray
 
     @classmethod
     def of(cls, batch: pa.RecordBatch | pa.Table) -> Rows:
         sig = batch.column("sig")
-        return cls(*(batch.column(x).to_numpy() for x in ("c", "n")), matrix(sig), *(batch.column(x).to_numpy() for x in ("leaf", "point")))
+        return cls(*(batch.column(x).to_numpy() for x in ("c", "n")), matrix(sig), *(batch.column(x).to_numpy() for x in ("leaf", "point", "ball")))
 
     def take(self, at: np.ndarray | slice) -> Rows:
-        return Rows(self.c[at], self.n[at], self.sig[at], self.leaf[at], self.point[at])
+        return Rows(self.c[at], self.n[at], self.sig[at], self.leaf[at], self.point[at], self.ball[at])
 
 
 def close_pairs(left: Rows, right: Rows, seeds: np.ndarray, seed: int, threshold: float, least: int, at_once: int = 64) -> np.ndarray:
-    """(left, right) whether a pair is a candidate that no bucket of an earlier seed compares (of any seed, if seed is -1)."""
+    """(left, right) whether a pair is a candidate that no bucket of an earlier seed compares (of any seed, if seed is -1); two of one ball are none."""
     out = np.zeros((len(left.c), len(right.c)), bool)
     other = np.ascontiguousarray(right.sig.T)
     before = {int(t): q for q, t in enumerate(seeds if seed < 0 else seeds[:seed])}
@@ -162,7 +163,8 @@ def close_pairs(left: Rows, right: Rows, seeds: np.ndarray, seed: int, threshold
             if (q := before.get(t)) is not None:
                 done |= same & (bit(own.leaf, q)[:, None] & bit(right.leaf, q) | bit(own.point, q)[:, None] | bit(right.point, q))
         size = np.minimum(own.n[:, None], right.n) >= threshold * np.maximum(own.n[:, None], right.n)
-        out[begin : begin + at_once] = (shared >= least) & ~done & size & (own.c[:, None] != right.c)
+        apart = (own.ball[:, None] != right.ball) | (own.ball[:, None] == 0)
+        out[begin : begin + at_once] = (shared >= least) & ~done & size & apart & (own.c[:, None] != right.c)
     return out
 
 
@@ -293,7 +295,7 @@ class Join:
         return reps.select("c", "sig").mapInArrow(run, "seed int, path long, c long")
 
     def leaves(self, rows: DataFrame) -> DataFrame:
-        """Candidates of buckets of at most `limit` rows (path, seed, c, n, sig, leaf, point), each pair only in the bucket of level 1 that first compares it, or in any deeper one (seed -1) if none does."""
+        """Candidates of buckets of at most `limit` rows (path, seed, c, n, sig, leaf, point, ball), each pair only in the bucket of level 1 that first compares it, or in any deeper one (seed -1) if none does."""
         threshold, seeds, least = self.threshold, self.seeds, self.least
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,7 +316,7 @@ class Join:
                 a, b = pairs_in_groups(np.cumsum(count) - count, count)
                 for k in range(0, len(a), 200_000):
                     i, j = a[k : k + 200_000], b[k : k + 200_000]
-                    good = (rows.c[i] != rows.c[j]) & alike(rows.sig[i], rows.sig[j], rows.n[i], rows.n[j], threshold, least)
+                    good = (rows.c[i] != rows.c[j]) & ((rows.ball[i] != rows.ball[j]) | (rows.ball[i] == 0)) & alike(rows.sig[i], rows.sig[j], rows.n[i], rows.n[j], threshold, least)
                     i, j = i[good], j[good]
                     own = first_covered(rows.sig[i], rows.sig[j], rows.leaf[i] & rows.leaf[j], rows.point[i] | rows.point[j], seeds) == seed[i]
                     i, j = i[own], j[own]
@@ -324,16 +326,25 @@ class Join:
         return rows.repartition("path").sortWithinPartitions("path").mapInArrow(run, FOUND)
 
     def blocks(self, points: DataFrame, rows: DataFrame) -> DataFrame:
-        """Candidates of each point with all rows of its bucket, in blocks; columns path, seed, c, n, sig, leaf, point.
+        """Candidates of each point with all rows of its bucket, in blocks; columns path, seed, c, n, sig, leaf, point, ball.
 
-        A pair of points counts where the smaller is on the left. A row goes to as many blocks as its bucket has blocks of points.
+        A pair of points counts where the smaller is on the left. A row goes to as many blocks as its bucket has blocks of points. The points of the ball that
+        most of a bucket's points are in do not meet each other, so a group of near-identical sets costs what is beside it.
         """
+        main = points.filter("ball <> 0").groupBy("path", "ball").count().groupBy("path").agg(F.max_by("ball", F.struct("count", "ball")).alias("main"))
+        main = written(main, "main")
+        side = lambda df: df.join(main, "path", "left").withColumn("inside", F.coalesce(F.col("ball") == F.col("main"), F.lit(False))).drop("main")
+        points, rows = written(side(points), "points"), written(side(rows), "rows")
+        return self.met(points.filter("not inside"), rows).unionByName(self.met(points.filter("inside"), rows.filter("not inside")))
+
+    def met(self, points: DataFrame, rows: DataFrame) -> DataFrame:
+        """blocks() of given points with given rows."""
         threshold, seeds, least = self.threshold, self.seeds, self.least
         parts = lambda df, name: df.groupBy("path").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_ITEMS)).cast("int").alias(name))
         sizes = written(parts(points, "many").join(parts(rows, "most"), "path"), "sizes")
         block = lambda n: F.pmod(F.xxhash64("c"), F.col(n)).cast("int")
         spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        both = ["seed", "c", "n", "sig", "leaf", "point"]
+        both = ["seed", "c", "n", "sig", "leaf", "point", "ball"]
         left = points.join(sizes, "path").select("path", block("many").alias("i"), spread("most").alias("j"), *both, F.lit(0).alias("side"))
         right = rows.join(sizes, "path").select("path", spread("many").alias("i"), block("most").alias("j"), *both, F.lit(1).alias("side"))
 
@@ -350,7 +361,7 @@ class Join:
         return left.unionByName(right).groupBy("path", "i", "j").applyInArrow(run, FOUND)
 
     def similar_to_most(self, rows: DataFrame, probes: int = 8, often: float = 0.05) -> DataFrame:
-        """(path, c) of rows whose mean similarity to their bucket's others, by token counts, is 0.9 of the threshold or more: most of
+        """(path, c, near) of rows whose mean similarity to their bucket's others, by token counts, is 0.9 of the threshold or more: most of
         the pairs they are in are near the threshold, so comparing them with all costs about what there is to find.
 
         Only tokens that a share `often` of a bucket has are looked at, so a bucket's counts are a small map, joined once a row.
@@ -376,8 +387,37 @@ class Join:
         counts = counts.filter((F.col("m") > 1) & (F.col("m") >= often * F.col("cnt")))
         counts = written(counts.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("token", "m"))).alias("often")), "often")
         shared = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a + F.coalesce(F.try_element_at("often", t), F.lit(1)) - 1)
-        near = shared / (F.col("cnt") - 1) / probes >= 0.9 * self.threshold
-        return written(tokens.join(counts, "path").filter(near).select("path", "c"), "points")
+        near = tokens.join(counts, "path").select("path", "c", (shared / (F.col("cnt") - 1) / probes).alias("near"))
+        return written(near.filter(F.col("near") >= 0.9 * self.threshold), "points")
+
+    def balls(self, points: DataFrame, sets: Callable[[DataFrame], DataFrame], at_once: int = 512) -> DataFrame:
+        """(c, ball) of points of large buckets so near to their bucket's nearest point that all of a ball are linked to each other.
+
+        The Jaccard distance is a metric, so two sets within half the linking distance of a third are linked. Each point is compared with one other, in parts of about at_once.
+        """
+        radius = 1 - (1 - self.threshold) / 2
+        pivots = written(points.groupBy("path").agg(F.min_by("c", F.struct(-F.col("near"), F.col("c"))).alias("pivot"), F.ceil(F.count("*") / at_once).cast("int").alias("parts")), "pivots")
+        items = sets(points.select("c"))
+        own = pivots.join(items, pivots["pivot"] == items["c"]).select("path", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("c"), "items")
+        both = own.unionByName(points.join(pivots, "path").join(items, "c").select("path", F.pmod(F.xxhash64("c"), "parts").cast("int").alias("part"), "c", "items"))
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Each pivot comes before its points."""
+            own, mine = None, np.zeros(0, np.uint64)
+            for batch in batches:
+                good = []
+                for path, c, items in zip(*(batch.column(x).to_pylist() for x in ("path", "c", "items")), strict=True):
+                    other = np.frombuffer(items, np.uint64)
+                    if c is None:
+                        own, mine = path, other
+                    elif path == own and path != 0:
+                        both = len(np.intersect1d(mine, other, assume_unique=True))
+                        if both >= radius * (len(mine) + len(other) - both):
+                            good.append((path, c))
+                yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in good], pa.int64()) for k in range(2)], names=["path", "c"])
+
+        held = both.repartition("path", "part").sortWithinPartitions("path", "part", F.col("c").asc_nulls_first()).mapInArrow(near, "path long, c long")
+        return written(held.groupBy("c").agg(F.min("path").alias("ball")), "balls")
 
     def split(self, rows: DataFrame, repeats: int = 1) -> DataFrame:
         """Each row under each token its node samples: (path, c). More repeats are as many nodes, whose subtrees have nothing in common."""
@@ -400,16 +440,20 @@ class Join:
         counts = written(frontier.groupBy("path").agg(F.count("*").alias("cnt")).filter("cnt > 1"), "counts")
         return written(frontier.join(counts, "path"), "shared")
 
-    def candidates(self, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(pairs, dense) of reps (c, n, sig): pairs (a < b, deep) that may be similar, and packed blocks of many such pairs. What is not deep comes once."""
+    def candidates(self, reps: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(pairs, dense, balls) of reps (c, n, sig): pairs (a < b, deep) that may be similar, packed blocks of many such pairs, and balls (c, ball), all of one being linked.
+        What is not deep comes once, and no pair of one ball. sets gives (c, items) for a table of c."""
         rows = self.counted(written(self.first_level(reps), "frontier"))
         big = written(rows.filter(F.col("cnt") > self.limit).join(reps, "c"), "big")
         points = self.similar_to_most(big)
         bits = lambda df, name: df.groupBy("c").agg(F.bit_or(F.expr("shiftleft(1L, seed)")).alias(name))
         small = rows.filter(F.col("cnt") <= self.limit)
         masks = bits(small, "leaf").join(bits(big.join(points, ["path", "c"], "left_semi"), "point"), "c", "full")
-        masks = written(masks.select("c", *(F.coalesce(x, F.lit(0).cast("long")).alias(x) for x in ("leaf", "point"))), "masks")
-        full = lambda df: df.join(masks, "c", "left").withColumns({x: F.coalesce(x, F.lit(0).cast("long")) for x in ("leaf", "point")})
+        # too small a bucket of level 1 is no place for balls: its rows are compared anyway
+        balls = reps.sparkSession.createDataFrame([], "c long, ball long") if points.isEmpty() else self.balls(points, sets)
+        masks = masks.join(balls, "c", "left")
+        masks = written(masks.select("c", *(F.coalesce(x, F.lit(0).cast("long")).alias(x) for x in ("leaf", "point", "ball"))), "masks")
+        full = lambda df: df.join(masks, "c", "left").withColumns({x: F.coalesce(x, F.lit(0).cast("long")) for x in ("leaf", "point", "ball")})
         found = [written(self.leaves(full(small.join(reps, "c"))), "found")]
         for level in range(2, self.depth + 2):
             if big.isEmpty():
@@ -428,7 +472,7 @@ class Join:
         for more in found[1:]:
             every = every.union(more)
         pairs = every.filter("a is not null").select("a", "b", "deep").distinct()
-        return written(pairs, "candidates"), written(every.filter("a is null").drop("a", "b").withColumn("block", F.monotonically_increasing_id()), "dense")
+        return written(pairs, "candidates"), written(every.filter("a is null").drop("a", "b").withColumn("block", F.monotonically_increasing_id()), "dense"), balls
 
 
 def jaccard_links(docs: DataFrame, threshold: float = 0.8, ngram: int = 5, recall: float = 0.999, limit: int = 4096, depth: int = 5, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 500_000, partners: int = 512) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -452,18 +496,6 @@ def jaccard_links(docs: DataFrame, threshold: float = 0.8, ngram: int = 5, recal
     reps = written(reps.withColumn("c", F.monotonically_increasing_id()), "reps")
     members = written(sketches.drop("sig").join(reps.drop("sig"), ["h1", "h2", "n"]).select("doc_id", "c", "n"), "members")
     drop_written(spark, sketches)
-    pairs, dense = Join(threshold, recall, limit, depth).candidates(reps.select("c", "n", "sig"))
-
-    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, left, right in zip(*(batch.column(x).to_pylist() for x in ("block", "left", "right")), strict=True):
-                c = np.union1d(np.frombuffer(left, np.int64), np.frombuffer(right, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), block)), pa.array(c)], names=["block", "c"])
-
-    in_blocks = written(dense.select("block", "left", "right").mapInArrow(sides, "block long, c long"), "in_blocks")
-    wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).union(in_blocks.select("c")).distinct()
-    needed = written(members.join(wanted, "c", "left_semi").groupBy("c").agg(F.min("doc_id").alias("doc_id")).join(reps.drop("sig"), "c"), "needed")
-    n_needed = needed.count()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -473,11 +505,24 @@ def jaccard_links(docs: DataFrame, threshold: float = 0.8, ngram: int = 5, recal
                 data = [key[a : a + n].tobytes() for a, n in zip(first.tolist(), size.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(size, pa.int64()), pa.array(data, pa.binary())], names=["h1", "h2", "n", "items"])
 
-    # the texts of one document a set; other rows that share its id drop out by their sets
-    texts = rows.join(maybe_broadcast(needed.select("doc_id").distinct(), n_needed, broadcast_rows), "doc_id", "left_semi")
-    made = texts.select("text").mapInArrow(sets, "h1 long, h2 long, n long, items binary")
-    made = made.join(maybe_broadcast(needed.drop("doc_id"), n_needed, broadcast_rows), ["h1", "h2", "n"]).groupBy("c").agg(F.any_value("items").alias("items"))
-    made = written(made, "sets")
+    def read(wanted: DataFrame) -> DataFrame:
+        """(c, items) of the sets of a table of c, from the texts of one document a set; other rows that share its id drop out by their sets."""
+        needed = written(members.join(wanted.distinct(), "c", "left_semi").groupBy("c").agg(F.min("doc_id").alias("doc_id")).join(reps.drop("sig"), "c"), "needed")
+        n = needed.count()
+        texts = rows.join(maybe_broadcast(needed.select("doc_id").distinct(), n, broadcast_rows), "doc_id", "left_semi")
+        made = texts.select("text").mapInArrow(sets, "h1 long, h2 long, n long, items binary")
+        return written(made.join(maybe_broadcast(needed.drop("doc_id"), n, broadcast_rows), ["h1", "h2", "n"]).groupBy("c").agg(F.any_value("items").alias("items")), "sets")
+
+    pairs, dense, balls = Join(threshold, recall, limit, depth).candidates(reps.select("c", "n", "sig"), read)
+
+    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, left, right in zip(*(batch.column(x).to_pylist() for x in ("block", "left", "right")), strict=True):
+                c = np.union1d(np.frombuffer(left, np.int64), np.frombuffer(right, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), block)), pa.array(c)], names=["block", "c"])
+
+    in_blocks = written(dense.select("block", "left", "right").mapInArrow(sides, "block long, c long"), "in_blocks")
+    made = read(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).union(in_blocks.select("c")))
     # a set that many pairs begin with is sent to several tasks, each with a part of its partners
     parts = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / partners).cast("int").alias("parts")), "parts")
     own = made.join(parts.withColumnRenamed("a", "c"), "c").select(F.col("c").alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), F.lit(False).alias("deep"), "items")
@@ -525,8 +570,11 @@ def jaccard_links(docs: DataFrame, threshold: float = 0.8, ngram: int = 5, recal
     once = ends.filter("not deep").select("c", F.lit(1).cast("long").alias("n")).union(counted.filter("b is null and partners is null").select("a", "n"))
     lists = ends.filter("deep").select("c", F.array("b").alias("partners")).union(counted.filter("partners is not null").select("a", "partners"))
     lists = lists.groupBy("c").agg(F.size(F.array_distinct(F.flatten(F.collect_list("partners")))).cast("long").alias("n"))
-    degrees = once.union(lists).groupBy("c").agg(F.sum("n").alias("n_links"))
-    return members, degrees, links.select("a", "b").union(counted.filter("b is not null").select("a", "b"))
+    sizes = balls.groupBy("ball").agg((F.count("*") - 1).alias("n"), F.min("c").alias("least"))
+    in_ball = written(balls.join(sizes, "ball").filter("n > 0").select("c", "n", "least"), "in_ball")
+    degrees = once.union(in_ball.select("c", "n")).union(lists).groupBy("c").agg(F.sum("n").alias("n_links"))
+    edges = links.select("a", "b").union(counted.filter("b is not null").select("a", "b"))
+    return members, degrees, edges.union(in_ball.filter("c <> least").select("least", "c"))
 
 
 def jaccard_groups(docs: DataFrame, threshold: float = 0.8, ngram: int = 5, recall: float = 0.999, limit: int = 4096, depth: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
