@@ -16,6 +16,8 @@ from .text import Words, pack, slices, unpack, utf8
 
 #: Windows and documents that a bucket holds on average. Buckets grow in number with the table, not in size.
 BUCKET_WINDOWS, BUCKET_DOCS = 1_000_000, 300
+#: Marks of places: on a block, and already known as a hit (or a repeat), so that it only passes through its bucket.
+BLOCK, KNOWN = 1, 2
 #: Stands for a null id.
 NO_ID = -(2**63)
 PACKED = "bucket int, n int, docs binary, places binary, keys binary, more binary"
@@ -50,6 +52,16 @@ def doc_buckets(doc: np.ndarray, n: int) -> np.ndarray:
     return (doc % n).astype(np.int32)
 
 
+def first_and_later(doc: np.ndarray, place: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the first place by document and word of each window, places after it); windows at the same word of the same document count once."""
+    order = np.lexsort((place, doc, h2, h1))
+    new = np.ones(len(order), bool)
+    new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
+    first = order[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+    # in the order they came: packed columns are small then
+    return np.sort(order[new]), np.sort(order[(doc[order] != doc[first]) | (place[order] != place[first])])
+
+
 def runs_of(flags: np.ndarray) -> list[tuple[int, int]]:
     edge = np.flatnonzero(np.diff(np.r_[False, flags, False].astype(np.int8)))
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
@@ -67,7 +79,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
        length the probes: any repeat of `window` words holds a whole block on either side. Hashes meet by bucket as
        packed columns; places whose hash comes twice, once as a block, are hits. 2. Extension. Windows of `window` words around hits get
        96-bit hashes; those that come first by (id, word) stay, the others are repeats, and overlapping ones make up the
-       maximal repeats. Hash equality stands for word equality (96 bits, compared within a bucket only). 3. Each document's removed words are cut out.
+       maximal repeats. Both steps settle what they can within a batch of texts, so a window that very many texts share
+       sends its bucket one place a batch. Hash equality stands for word equality (96 bits, compared within a bucket only). 3. Each document's removed words are cut out.
     """
     block = window // 2
     out = (lambda data: hashlib.sha256(data).hexdigest()) if digest else bytes.decode
@@ -85,15 +98,31 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
             if len(where):
                 # bucket and these 32 bits tell windows apart well enough; what they let through, step 2 drops
                 low = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                yield packed(((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32), ids[words.doc[where]], words.pos[where], low, (words.pos[where] % block == 0).astype(np.uint8))
+                bucket, doc, place = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32), ids[words.doc[where]], words.pos[where]
+                mark = (place % block == 0).astype(np.uint8) * np.uint8(BLOCK)
+                # a window that comes again here, once as a block, is a hit at all its places: one of them stands for it at its bucket, so a window that fills a third of all texts costs its bucket a place a batch
+                order = np.argsort(key, kind="stable")
+                first = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+                count = np.diff(np.r_[first, len(key)])
+                sure = (count > 1) & (np.add.reduceat(mark[order].astype(np.int64), first) > 0)
+                known = order[np.repeat(sure, count)]
+                bucket[known], mark[known], kept = doc_buckets(doc[known], buckets), KNOWN, low[order[first[sure]]]
+                low[known] = 0
+                own = order[first[sure]]
+                bucket[own], mark[own], low[own] = (key[own] >> np.uint64(32)) % np.uint64(buckets), BLOCK | KNOWN, kept
+                yield packed(bucket, doc, place, low, mark)
 
     def meet(table: pa.Table) -> pa.Table:
-        doc, place, key, anchor = unpacked(table, np.uint32, np.uint8)
-        order = np.argsort(key, kind="stable")
+        doc, place, key, mark = unpacked(table, np.uint32, np.uint8)
+        known, order = np.flatnonzero(mark & KNOWN), np.flatnonzero(mark != KNOWN)
+        order = order[np.argsort(key[order], kind="stable")]
+        if not len(order):
+            at, none = known, np.zeros(len(known), np.uint8)
+            return pa.Table.from_batches([packed(doc_buckets(doc[at], parts), doc[at], place[at], none, none)])
         first = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
-        count = np.diff(np.r_[first, len(key)])
-        hit = (count > 1) & (np.add.reduceat(anchor[order].astype(np.int64), first) > 0)
-        at = order[np.repeat(hit, count)]
+        count = np.diff(np.r_[first, len(order)])
+        hit = (count > 1) & (np.add.reduceat(mark[order].astype(np.int64) & BLOCK, first) > 0)
+        at = np.union1d(known, order[np.repeat(hit, count)])
         none = np.zeros(len(at), np.uint8)
         return pa.Table.from_batches([packed(doc_buckets(doc[at], parts), doc[at], place[at], none, none)])
 
@@ -127,8 +156,12 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
                 _, h2 = words.windows(words.hashes(2), window, 2)
                 h2 = (h2[own] >> np.uint64(32)).astype(np.uint32)
                 again[words.doc[where]] = True
-                piece = packed((h1 % np.uint64(buckets)).astype(np.int32), ids[words.doc[where]], words.pos[where], h1, h2)
-                pieces.append(pa.table({"kind": pa.array(["windows"] * piece.num_rows, pa.string()), "doc": pa.nulls(piece.num_rows, pa.int64()), "text": pa.nulls(piece.num_rows, pa.string()), "n_words": pa.nulls(piece.num_rows, pa.int64())} | dict(zip(NAMES, piece.columns, strict=True))))
+                own, at = ids[words.doc[where]], words.pos[where]
+                # only the first of equal windows is judged against other batches; those after it are repeats already
+                first, later = first_and_later(own, at, h1, h2)
+                none = np.zeros(len(later), np.uint8)
+                for kind, piece in (("windows", packed((h1[first] % np.uint64(buckets)).astype(np.int32), own[first], at[first], h1[first], h2[first])), ("repeats", packed(doc_buckets(own[later], parts), own[later], at[later], none, none))):
+                    pieces.append(pa.table({"kind": pa.array([kind] * piece.num_rows, pa.string()), "doc": pa.nulls(piece.num_rows, pa.int64()), "text": pa.nulls(piece.num_rows, pa.string()), "n_words": pa.nulls(piece.num_rows, pa.int64())} | dict(zip(NAMES, piece.columns, strict=True))))
             texts = batch.column("text").to_pylist()
             kept = [t if a else out(joined(words, r)) for r, (t, a) in enumerate(zip(texts, again, strict=True))]
             pieces.append(pa.table({"kind": pa.array(np.where(again, "go on", "done").tolist(), pa.string()), "doc": pa.array(ids), "text": pa.array(kept, pa.string()), "n_words": pa.array(words.n, pa.int64())} | {n: pa.nulls(len(ids), k) for n, k in zip(NAMES, KINDS, strict=True)}))
@@ -142,15 +175,12 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
 
     def judge(table: pa.Table) -> pa.Table:
         doc, place, h1, h2 = unpacked(table, np.uint64, np.uint32)
-        order = np.lexsort((place, doc, h2, h1))
-        doc, place, h1, h2 = doc[order], place[order], h1[order], h2[order]
-        first = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
-        at = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
-        later = (doc != doc[at]) | (place != place[at])
-        none = np.zeros(int(later.sum()), np.uint8)
+        later = first_and_later(doc, place, h1, h2)[1]
+        none = np.zeros(len(later), np.uint8)
         return pa.Table.from_batches([packed(doc_buckets(doc[later], parts), doc[later], place[later], none, none)])
 
     repeats = state.filter("kind = 'windows'").select(*NAMES).groupBy("bucket").applyInArrow(judge, PACKED)
+    repeats = repeats.unionByName(state.filter("kind = 'repeats'").select(*NAMES))
     span = pa.list_(pa.struct([("first", pa.int64()), ("length", pa.int64())]))
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
