@@ -90,11 +90,11 @@ def rank_models(models: DataFrame, weights: tuple[float, ...] = (0.25, 0.15, 0.4
     return rows.withColumn("rank", F.row_number().over(order))
 
 
-def metric_report(models: DataFrame, metrics: list[str], percent: tuple[str, ...] = ()) -> DataFrame:
-    """A row a metric, a column a model; NaN and null as N/A, shares as percent."""
+def metric_report(models: DataFrame, metrics: list[str], percent: tuple[str, ...] = (), names: list[str] | None = None) -> DataFrame:
+    """A row a metric, a column a model (each of names, if given, else all there are); NaN and null as N/A, shares as percent."""
     text = lambda m: F.when(F.col(m).isNull() | F.isnan(m), "N/A").otherwise(F.format_string("%.1f%%", F.col(m) * 100) if m in percent else F.format_string("%.3f", F.col(m)))
     long = models.select("model", F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), text(m).alias("text")) for m in metrics))))
-    return long.groupBy("metric").pivot("model").agg(F.first("text"))
+    return long.groupBy("metric").pivot("model", names).agg(F.first("text"))
 
 
 def sample_cases(cases: DataFrame, n: int, seed: int = 42, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -72,7 +72,7 @@ def t4_rank_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a26_metric_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.metric_report(model_rows(spark, sf_dir), ["dice", "asd", "hd95", "continuity"], ("dice",))
+    return metrics.metric_report(model_rows(spark, sf_dir), ["dice", "asd", "hd95", "continuity"], ("dice",), [f"src{k}" for k in range(20)])
 
 
 def a24_sample_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
