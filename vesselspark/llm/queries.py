@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_path
-from . import bpe, cascade, cpsjoin, dac, exact, licence, mixing, quality, substring, vamana
+from . import bpe, cascade, conversation, cpsjoin, dac, exact, licence, mixing, periodic, pii, quality, substring, vamana
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,29 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify_quality(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.repair_conversations(conversation.damaged(table(spark, sf_dir, "conversations")), absent="absent")
+
+
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.find_personal(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["first"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return rows.select("doc_id", *map(count, pii.BASE), F.sha2(told(base), 256).alias("base_sha256"), told("spans").alias("spans"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = periodic.find_runs(periodic.made_periodic(table(spark, sf_dir, "documents")), digest=True)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n"))))
+    rows = rows.withColumn("longest", longest)
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("longest.start")).alias("start"), F.col("longest.length").alias("length"), (-F.col("longest.period")).alias("period"),
+        F.floor(1000 * F.col("longest.length") / -F.col("longest.period")).alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.col("collapsed").alias("collapsed_sha256"),
+    )
+
+
 OP5_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
        sha256(coalesce(text, '')) AS text_sha256
@@ -115,7 +138,7 @@ FROM d JOIN m USING (doc_id), LATERAL (SELECT unnest(range(m.n_copies)) AS copy)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_substring_dedup, op3_token_files, op4_ngram_join, op5_exact_dedup, op6_graph_neighbours, op7_url_cascade, op8_poisson_mix, op9_licence_scan, op10_quality)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_substring_dedup, op3_token_files, op4_ngram_join, op5_exact_dedup, op6_graph_neighbours, op7_url_cascade, op8_poisson_mix, op9_licence_scan, op10_quality, op11_conversation_repair, op12_personal_data, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
