@@ -52,6 +52,14 @@ def free_shuffles(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """A name like `name` that none of the columns has, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def maybe_broadcast(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
     """A broadcast hint only if the counted rows are within the bound; else the planner's shuffled join."""
     return F.broadcast(df) if rows <= most else df
