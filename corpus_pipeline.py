@@ -12,18 +12,25 @@ from vesselspark.llm import bpe, cpsjoin, exact, mixing, quality
 from vesselspark.llm.queries import WEIGHTS
 from vesselspark.session import maybe_broadcast, new_path, written
 
-#: Before the names of columns that operators add, so that the documents' own columns stay as they are.
-OWN = "__own_"
+
+def apart(docs: DataFrame) -> str:
+    """What goes before the names of columns that an operator adds, so that the documents' own columns stay as they are: no name of theirs begins so."""
+    prefix = "__own_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    return prefix
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps. An empty table stays empty; null texts are judged as empty ones."""
-    return quality.classify_quality(docs, prefix=OWN).filter(f"{OWN}keep").select(*docs.columns)
+    own = apart(docs)
+    return quality.classify_quality(docs, prefix=own).filter(f"{own}keep").select(*docs.columns)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts, that with the largest doc_id; null texts are one group with empty ones."""
-    return exact.progressive_dedup(docs, prefix=OWN).filter(f"{OWN}kept").select(*docs.columns)
+    own = apart(docs)
+    return exact.progressive_dedup(docs, prefix=own).filter(f"{own}kept").select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +49,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null sources are one source; rows that share a doc_id, or have none, share their number of copies. An empty table stays empty.
     """
-    return mixing.poisson_mix(docs, WEIGHTS, prefix=OWN).select(*docs.columns)
+    return mixing.poisson_mix(docs, WEIGHTS, prefix=apart(docs)).select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
