@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..session import free_name
 from .text import finish, powers, slices
 
 #: Most distinct words whose ids a worker remembers (and most words it looks up at once), and slots of its table.
@@ -270,11 +271,12 @@ def encode_documents(docs: DataFrame, load: Callable[[], WordBpe], outputs: tupl
     """
     keep = [c for c in keep or docs.columns if c not in outputs]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(c, COLUMNS[c][0]) for c in outputs])
+    own = free_name(keep, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load()
-        for batch in slices(batches, "__text"):
-            texts = batch.column("__text").to_pylist()
+        for batch in slices(batches, own):
+            texts = batch.column(own).to_pylist()
             flat, ends = bpe.encode_flat(texts)
             ends = np.append(0, ends)
             ids = [flat[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
@@ -284,4 +286,4 @@ def encode_documents(docs: DataFrame, load: Callable[[], WordBpe], outputs: tupl
             made["decoded"] = lambda: pa.array([bpe.decode(i) for i in ids], pa.binary())  # noqa: B023
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(made[c]().cast(COLUMNS[c][1]) for c in outputs)], names=[*keep, *outputs])
 
-    return docs.select(*keep, docs[text_col].alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, docs[text_col].alias(own)).mapInArrow(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import drop_written, maybe_broadcast, written
+from ..session import drop_written, free_name, maybe_broadcast, written
 
 #: Columns the operator adds.
 ADDED = ("keep_id", "group_size", "kept", "full_hash")
@@ -34,14 +34,16 @@ def progressive_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     n = groups.count()
     drop_written(spark, keys, lengths)
 
-    rows = docs.select(*carry, F.col(id_col).cast("long").alias("__id"), text.alias("__text"), size.alias("__len"), start.alias("__pre"))
+    # the caller's columns travel in one struct, so that their names can't clash with the operator's
+    rows = docs.select(F.struct(*(docs[c] for c in carry), F.lit(0).alias(free_name(carry, "end"))).alias("__own"), F.col(id_col).cast("long").alias("__id"), text.alias("__text"), size.alias("__len"), start.alias("__pre"))
     rows = rows.join(maybe_broadcast(groups, n, broadcast_rows), ["__len", "__pre"], "left")
-    rows = rows.select(*carry, "__id", F.when(F.col("__again"), F.sha2("__text", 256)).alias("__hash"))
+    rows = rows.select("__own", "__id", F.when(F.col("__again"), F.sha2("__text", 256)).alias("__hash"))
     rows = written(rows.withColumn("__row", F.monotonically_increasing_id()), "rows")
     rank = F.struct(F.col("__id").isNotNull().alias("known"), F.col("__id").alias("id"), F.col("__row").alias("row"))
     best = rows.filter("__hash is not null").groupBy("__hash").agg(F.max(rank).alias("__best"), F.count("*").alias("__size"))
     best = written(best.select("__hash", F.col("__best.id").alias("__keep_id"), F.col("__best.row").alias("__keep"), "__size"), "best")
     added = lambda *columns: [c.alias(prefix + name) for c, name in zip(columns, ADDED, strict=True)]
-    again = rows.filter("__hash is not null").join(best, "__hash").select(*carry, *added(F.col("__keep_id"), F.col("__size"), F.col("__row") == F.col("__keep"), F.col("__hash")))
-    alone = rows.filter("__hash is null").select(*carry, *added(F.col("__id"), F.lit(1).cast("long"), F.lit(True), F.col("__hash")))
+    own = [F.col("__own")[c].alias(c) for c in carry]
+    again = rows.filter("__hash is not null").join(best, "__hash").select(*own, *added(F.col("__keep_id"), F.col("__size"), F.col("__row") == F.col("__keep"), F.col("__hash")))
+    alone = rows.filter("__hash is null").select(*own, *added(F.col("__id"), F.lit(1).cast("long"), F.lit(True), F.col("__hash")))
     return again.unionByName(alone)

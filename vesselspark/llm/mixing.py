@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import maybe_broadcast, written
+from ..session import free_name, maybe_broadcast, written
 
 #: Columns the operator adds.
 ADDED = ("copy", "n_copies", "shuffle_key")
@@ -65,7 +65,9 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, rest:
     table = maybe_broadcast(table.withColumnRenamed("rate", "__rate"), table.count(), 10_000)
     copy, n_copies, shuffle_key = (prefix + c for c in ADDED)
     kept = [c for c in docs.columns if c.lower() not in (copy, n_copies, shuffle_key)]
-    rows = docs.select(*kept, F.coalesce(F.col(source_col), F.lit("")).alias("__source"), unit_hash(F.lit(seed), F.col(id_col)).alias("__u")).join(table, "__source")
+    # the caller's columns travel in one struct, so that their names can't clash with the operator's
+    own = F.struct(*(docs[c] for c in kept), F.lit(0).alias(free_name(kept, "end"))).alias("__own")
+    rows = docs.select(own, F.col(id_col).cast("string").alias("__id"), F.coalesce(F.col(source_col), F.lit("")).alias("__source"), unit_hash(F.lit(seed), F.col(id_col)).alias("__u")).join(table, "__source")
     rows = rows.withColumn("__n", poisson_draw(F.col("__rate"), F.col("__u"))).filter("__n > 0")
     zero, last = F.lit(0).cast("long"), F.col("__n") - 1
     if top > MANY:
@@ -74,6 +76,6 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, rest:
         rows = rows.filter(F.col("__n") <= MANY).withColumn("__copy", F.explode(F.sequence(zero, last))).unionByName(dealt)
     else:
         rows = rows.withColumn("__copy", F.explode(F.sequence(zero, last)))
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("__copy").cast("string")))
-    rows = rows.select(*kept, F.col("__copy").alias(copy), F.col("__n").alias(n_copies), key.alias(shuffle_key))
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce("__id", F.lit("null")), F.col("__copy").cast("string")))
+    rows = rows.select(*(F.col("__own")[c].alias(c) for c in kept), F.col("__copy").alias(copy), F.col("__n").alias(n_copies), key.alias(shuffle_key))
     return rows.repartitionByRange(shuffle_key).sortWithinPartitions(shuffle_key)

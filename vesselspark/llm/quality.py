@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import free_name, written
 from .text import Words, finish, slices, utf8
 
 #: Texts of fewer words are judged by symbols, stutter and emptiness alone: other shares say little there.
@@ -191,27 +191,29 @@ def fit_scorer(x: np.ndarray, target: np.ndarray, weight: np.ndarray, rounds: in
     return w, float(b)
 
 
-def classify_quality(docs: DataFrame, threshold: float = 0.5, per_class: int = 1500, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, prefix: str = "") -> DataFrame:
+def classify_quality(docs: DataFrame, threshold: float = 0.5, per_class: int = 1500, text_col: str = "text", carry: list[str] | None = None, prefix: str = "") -> DataFrame:
     """Every row of docs (columns `carry`, else all) with score (P(good) by the scorer), posterior (by the label model) and keep, their names after `prefix`; columns of docs by such names are left out.
 
     The labellers vote on every whole text; EM runs on the counts of vote patterns over all rows (at most 3 to the
     number of labellers, whatever the table's size). The scorer is fitted on a bounded sample: of each side of
-    posterior 0.5 the per_class rows whose ids hash lowest, weighted back to the side's share; each text counts with
-    all its trigrams. It then scores every row. Null counts as empty, which one
+    posterior 0.5 the per_class different texts that hash lowest, weighted back to the side's share; each text counts with
+    all its trigrams. It then scores every row. Ids play no part, so null or repeated ones change nothing; equal texts score
+    alike and are one text of the sample. Null counts as empty, which one
     labeller holds against a text. Rows stand alone otherwise. If all posteriors lie on one side the scorer is fitted on that side alone;
     an empty table gives no rows.
     """
     spark = docs.sparkSession
     added = [prefix + c for c in ("score", "posterior", "keep")]
     carry = [c for c in carry or docs.columns if c.lower() not in added]
+    text_name = free_name(carry, "text")
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             pattern = votes(statistics(*utf8(batch.column("text")))) @ (3 ** np.arange(len(STATS)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(pattern, pa.int32())], names=["id", "pattern"])
+            yield pa.RecordBatch.from_arrays([batch.column("hash"), pa.array(pattern, pa.int32())], names=["hash", "pattern"])
 
-    texts = docs.select(F.col(id_col).cast("string").alias("id"), docs[text_col].alias("text"))
-    cast = written(texts.mapInArrow(vote, "id string, pattern int"), "votes")
+    texts = docs.select(F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("hash"), docs[text_col].alias("text"))
+    cast = written(texts.mapInArrow(vote, "hash long, pattern int"), "votes")
     counts = cast.groupBy("pattern").count().toPandas()
     if counts.empty:
         return docs.select(*carry, *(x.alias(c) for x, c in zip((F.lit(0.0), F.lit(0.0), F.lit(True)), added, strict=True)))
@@ -224,19 +226,26 @@ def classify_quality(docs: DataFrame, threshold: float = 0.5, per_class: int = 1
     for side in (False, True):
         own = [p for p, b in belief.items() if (b >= 0.5) == side]
         if own:
-            chosen.append(cast.filter(F.col("pattern").isin(own)).orderBy(F.xxhash64("id"), "id").limit(per_class))
+            chosen.append(cast.filter(F.col("pattern").isin(own)).distinct().orderBy("hash").limit(per_class))
             shares_of.append((side, float(counts["count"][counts["pattern"].isin(own)].sum())))
-    sample = chosen[0] if len(chosen) == 1 else chosen[0].union(chosen[1])
-    picked = written(sample.filter("id is not null").dropDuplicates(["id"]), "sample")
-    rows = texts.join(F.broadcast(picked), "id")
+    picked = written(chosen[0] if len(chosen) == 1 else chosen[0].union(chosen[1]), "sample")
+    rows = texts.join(F.broadcast(picked), "hash")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a text that comes often is described once a task
         for batch in slices(batches, "text"):
+            new = []
+            for k, h in enumerate(batch.column("hash").to_pylist()):
+                if h not in seen:
+                    seen.add(h)
+                    new.append(k)
+            batch = batch.take(pa.array(new, pa.int64()))
             x = features(*utf8(batch.column("text")))
             at = [np.flatnonzero(r).astype(np.int32) for r in x]
-            yield pa.RecordBatch.from_arrays([batch.column("pattern"), pa.array([a.tobytes() for a in at], pa.binary()), pa.array([r[a].tobytes() for r, a in zip(x, at, strict=True)], pa.binary())], names=["pattern", "slots", "parts"])
+            yield pa.RecordBatch.from_arrays([batch.column("hash"), batch.column("pattern"), pa.array([a.tobytes() for a in at], pa.binary()), pa.array([r[a].tobytes() for r, a in zip(x, at, strict=True)], pa.binary())], names=["hash", "pattern", "slots", "parts"])
 
-    found = rows.select("pattern", "text").mapInArrow(describe, "pattern int, slots binary, parts binary").limit(2 * per_class).collect()
+    described = rows.select("hash", "pattern", "text").mapInArrow(describe, "hash long, pattern int, slots binary, parts binary")
+    found = described.groupBy("hash").agg(F.any_value("pattern").alias("pattern"), F.min(F.struct("slots", "parts")).alias("x")).select("pattern", "x.slots", "x.parts").collect()
     x = np.zeros((max(len(found), 1), SLOTS), np.float32)
     for k, r in enumerate(found):
         x[k, np.frombuffer(r["slots"], np.int32)] = np.frombuffer(r["parts"], np.float32)
@@ -250,8 +259,8 @@ def classify_quality(docs: DataFrame, threshold: float = 0.5, per_class: int = 1
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b, belief = sent.value
-        for batch in slices(batches, "__text"):
-            data, offsets = utf8(batch.column("__text"))
+        for batch in slices(batches, text_name):
+            data, offsets = utf8(batch.column(text_name))
             stats = statistics(data, offsets)
             z = scores(data, offsets, stats, w, b)
             pattern = votes(stats) @ (3 ** np.arange(len(STATS)))
@@ -259,4 +268,4 @@ def classify_quality(docs: DataFrame, threshold: float = 0.5, per_class: int = 1
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(z), pa.array(post, pa.float64()), pa.array(z >= threshold)], names=[*carry, *added])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*carry).dtypes) + f", `{added[0]}` double, `{added[1]}` double, `{added[2]}` boolean"
-    return docs.select(*carry, docs[text_col].alias("__text")).mapInArrow(score, schema)
+    return docs.select(*carry, docs[text_col].alias(text_name)).mapInArrow(score, schema)
