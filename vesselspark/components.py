@@ -1,4 +1,4 @@
-"""Connected components of an edge table."""
+"""Connected components of an edge table, and ranks in linked lists."""
 
 from __future__ import annotations
 
@@ -21,6 +21,24 @@ def roots(parents: DataFrame) -> DataFrame:
             return parents
 
 
+def list_ranks(cells: DataFrame) -> DataFrame:
+    """(e, last, rank) of cells (e, nxt) of linked lists: the end of a cell's list and the steps to it. Cells of rings, which have no end, are left out.
+
+    Each round doubles how far a cell looks, so rounds grow with the logarithm of the longest list; only how many have found their end comes to the driver.
+    """
+    spark = cells.sparkSession
+    ahead = F.col("nxt").isNotNull()
+    cells = written(cells.select("e", ahead.cast("long").alias("rank"), F.coalesce("nxt", "e").alias("last"), ahead.alias("open")), "cells")
+    before, closed = -1, cells.filter("not open").count()
+    while closed != before:
+        far = cells.select(F.col("e").alias("last"), F.col("last").alias("far"), F.col("rank").alias("more"), F.col("open").alias("on"))
+        new = cells.filter("open").join(far, "last").select("e", (F.col("rank") + F.col("more")).alias("rank"), F.col("far").alias("last"), F.col("on").alias("open"))
+        new = written(cells.filter("not open").select("e", "rank", "last", "open").unionByName(new), "cells")
+        drop_written(spark, cells)
+        cells, before, closed = new, closed, new.filter("not open").count()
+    return cells.filter("not open").select("e", "last", "rank")
+
+
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component): component is the smallest node reachable over edges taken both ways.
 

@@ -175,14 +175,8 @@ def highlight(points: DataFrame, clicks: DataFrame, mask: DataFrame, least_radiu
         return vox.nearest(own, spots).select(F.col("case_id").alias("path_id"), F.col("id_b").alias("node"))
 
     first, last = written(snapped("s"), "first"), written(snapped("e"), "last")
-    tree = written(graph.bfs(links, first), "tree")
-    at_node, way = last, last.select("path_id", "node")
-    while True:
-        at_node = written(at_node.join(tree, ["path_id", "node"]).filter("depth > 0").select("path_id", F.col("parent").alias("node")), "at")
-        if at_node.isEmpty():
-            break
-        way = written(way.union(at_node), "way")
-    way = way.union(first).select("node.*").distinct()
+    way = graph.ways_up(written(graph.bfs(links, first), "tree"), last)
+    way = way.union(last.select("path_id", "node")).union(first.select("path_id", "node")).select("node.*").distinct()
     return vox.stamp(way, least_radius).join(mask.select(vox.KEY), vox.KEY, "left_semi")
 
 

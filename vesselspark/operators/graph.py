@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..components import connected_components
+from ..components import connected_components, list_ranks
 from ..functions import scalars
-from ..session import drop_written, new_path, written
+from ..session import drop_written, written
 from . import voxels as vox
 
 
@@ -54,33 +53,19 @@ def merge_bifurcations(nodes: DataFrame, links: DataFrame, reach: float = 3.0) -
     return mapped, rows
 
 
-def trace_segments(links: DataFrame, least_nodes: int = 10, most_rounds: int = 40) -> DataFrame:
+def trace_segments(links: DataFrame, least_nodes: int = 10) -> DataFrame:
     """(case_id, seg_id, idx, node, n): maximal chains of degree-2 nodes between end or branch nodes, of at least least_nodes nodes.
 
     Directed links are the list cells: a link into a degree-2 node goes on with the link out of it. Ranks come from pointer
     doubling, so rounds grow with the logarithm of the longest chain. Pure rings have no end and give no segment. A chain
     found both ways is kept from its smaller end (then smaller second node); seg_id numbers a case's chains by their first nodes.
     """
-    spark = links.sparkSession
     links = written(links.select("case_id", "src", "dst").distinct(), "links")
     degree = written(links.groupBy("src").agg(F.count("*").alias("degree")), "degrees")
     inner = degree.filter("degree = 2").select(F.col("src").alias("dst"))
     out = links.select(F.col("src").alias("dst"), F.col("dst").alias("to"))
     follow = links.join(inner, "dst").join(out, "dst").filter("to <> src").select(F.struct("src", "dst").alias("e"), F.struct(F.col("dst").alias("src"), F.col("to").alias("dst")).alias("nxt"))
-    cells = links.select("case_id", F.struct("src", "dst").alias("e")).join(follow, "e", "left")
-    cells = written(cells.withColumn("rank", F.when(F.col("nxt").isNull(), 0).otherwise(1).cast("long")).withColumn("last", F.coalesce("nxt", "e")).withColumn("open", F.col("nxt").isNotNull()).drop("nxt"), "cells")
-    closed = -1
-    for _ in range(most_rounds):
-        # every round closes more cells of chains; what stays open once none closes are rings
-        before, closed = closed, cells.filter("not open").count()
-        if closed == before:
-            break
-        ahead = cells.select(F.col("e").alias("last"), F.col("last").alias("far"), F.col("rank").alias("more"), F.col("open").alias("on"))
-        new = cells.join(ahead, "last", "left").select("case_id", "e", (F.col("rank") + F.when(F.col("open"), F.col("more")).otherwise(0)).alias("rank"), F.when(F.col("open"), F.col("far")).otherwise(F.col("last")).alias("last"), (F.col("open") & F.col("on")).alias("open"))
-        new = written(new, "cells")
-        drop_written(spark, cells)
-        cells = new
-    done = cells.filter("not open")
+    done = written(list_ranks(links.select(F.struct("src", "dst").alias("e")).join(follow, "e", "left")), "ranks")
     starts = degree.filter("degree <> 2").select("src")
     chains = done.groupBy("last").agg(F.max("rank").alias("top"), F.max_by("e", "rank").alias("first"))
     chains = chains.filter(F.col("top") + 2 >= least_nodes).join(starts, F.col("first.src") == F.col("src"), "left_semi")
@@ -183,26 +168,68 @@ def label_segments(segments: DataFrame, areas: DataFrame | None) -> DataFrame:
     return rows.select("case_id", "seg_id", "component", name.alias("artery_name"), side.alias("tree_side"), confidence.alias("confidence"))
 
 
+def contracted(links: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (src, dst, hops) between nodes that have not two links or are kept, over chains of the others; and for each node of a chain both ways out of it
+    (node, key, hops). Links must be given both ways; rings without a kept node are left out."""
+    degree = links.groupBy("src").agg(F.count("*").alias("degree"))
+    inner = written(degree.filter("degree = 2").select(F.col("src").alias("node")).join(kept.select("node"), "node", "left_anti"), "inner")
+    out = links.select(F.col("src").alias("node"), F.col("dst").alias("to"))
+    follow = links.withColumnRenamed("dst", "node").join(inner, "node").join(out, "node").filter("to <> src")
+    follow = follow.select(F.struct("src", F.col("node").alias("dst")).alias("e"), F.struct(F.col("node").alias("src"), F.col("to").alias("dst")).alias("nxt"))
+    ranks = list_ranks(links.select(F.struct("src", "dst").alias("e")).join(follow, "e", "left"))
+    ways = ranks.select(F.col("e.src").alias("node"), F.col("last.dst").alias("key"), (F.col("rank") + 1).alias("hops"))
+    ways = written(ways.join(inner.withColumn("inside", F.lit(True)), "node", "left"), "ways")
+    edges = ways.filter("inside is null").groupBy(F.col("node").alias("src"), F.col("key").alias("dst")).agg(F.min("hops").alias("hops"))
+    return written(edges.filter("src <> dst"), "edges"), ways.filter("inside").select("node", "key", "hops")
+
+
+def depths(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(path_id, node, depth): the fewest hops from each path's source over edges (src, dst, hops). A round a link of the way; all paths at once, and only nodes that got nearer go on."""
+    spark = edges.sparkSession
+    best = written(sources.select("path_id", "node", F.lit(0).cast("long").alias("depth")).distinct(), "best")
+    front = best
+    while True:
+        step = front.withColumnRenamed("node", "src").join(edges, "src").groupBy("path_id", F.col("dst").alias("node")).agg(F.min(F.col("depth") + F.col("hops")).alias("depth"))
+        old = best.withColumnRenamed("depth", "was")
+        front = written(step.join(old, ["path_id", "node"], "left").filter("was is null or depth < was").drop("was"), "front")
+        if front.isEmpty():
+            return best
+        merged = written(best.join(front.select("path_id", "node"), ["path_id", "node"], "left_anti").unionByName(front), "best")
+        drop_written(spark, best)
+        best = merged
+
+
 def bfs(links: DataFrame, sources: DataFrame) -> DataFrame:
-    """(path_id, node, parent, depth) of all nodes reached from each path's source over the fewest links, which must be given both ways;
-    parents are the smallest possible. One round a hop, for all paths at once; a round only looks at the last two fronts, since links lead no farther back."""
-    spark = links.sparkSession
+    """(path_id, node, parent, depth) of all nodes reached from each path's source over the fewest links, which must be given both ways;
+    parents are the smallest possible, a source is its own.
+
+    Chains of nodes with two links become one link each, so the search takes a round a branching, not a round a hop; nodes of chains
+    take the nearer of both ends. A parent is the smallest neighbour that is one hop nearer.
+    """
     links = written(links.select("src", "dst").distinct(), "links")
-    path = new_path(spark, "fronts")
-
-    def stored(rows: DataFrame, depth: int) -> DataFrame:
-        rows.write.parquet(f"{path}/depth={depth}")
-        return spark.read.schema(rows.schema).parquet(f"{path}/depth={depth}")
-
-    front = stored(sources.select("path_id", "node", F.col("node").alias("parent")), 0)
-    known = front
-    for depth in itertools.count(1):
-        step = front.select("path_id", F.col("node").alias("src")).join(links, "src").groupBy("path_id", F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
-        new = stored(step.join(known.select("path_id", "node"), ["path_id", "node"], "left_anti"), depth)
-        if new.isEmpty():
-            break
-        known, front = front.union(new), new
-    return spark.read.parquet(path)
+    sources = written(sources.select("path_id", "node"), "sources")
+    edges, ways = contracted(links, sources.select("node").distinct())
+    found = depths(edges, sources)
+    chains = found.withColumnRenamed("node", "key").join(ways, "key").groupBy("path_id", "node").agg(F.min(F.col("depth") + F.col("hops")).alias("depth"))
+    reached = written(found.unionByName(chains), "reached")
+    near = reached.select("path_id", F.col("node").alias("src"), (F.col("depth") + 1).alias("depth")).join(links, "src")
+    parents = near.groupBy("path_id", F.col("dst").alias("node"), "depth").agg(F.min("src").alias("parent"))
+    return reached.join(parents, ["path_id", "node", "depth"], "left").select("path_id", "node", F.coalesce("parent", "node").alias("parent"), F.col("depth").cast("int").alias("depth"))
+
+
+def ways_up(parents: DataFrame, starts: DataFrame) -> DataFrame:
+    """(path_id, node) on the ways from starts up to where a node is its own parent; each round knows twice as much of every way."""
+    spark = parents.sparkSession
+    up = written(parents.select("path_id", "node", "parent"), "up")
+    way = written(starts.select("path_id", "node").join(up.select("path_id", "node"), ["path_id", "node"], "left_semi").distinct(), "way")
+    while True:
+        wider = written(way.union(way.join(up, ["path_id", "node"]).select("path_id", F.col("parent").alias("node"))).distinct(), "way")
+        above = up.select("path_id", F.col("node").alias("parent"), F.col("parent").alias("over"))
+        further = written(up.join(above, ["path_id", "parent"]).select("path_id", "node", F.col("over").alias("parent"), (F.col("over") != F.col("parent")).alias("moved")), "up")
+        drop_written(spark, up, way)
+        up, way = further.drop("moved"), wider
+        if further.filter("moved").isEmpty():
+            return way
 
 
 def tip_directions(tips: DataFrame, links: DataFrame, steps: int = 5) -> DataFrame:
@@ -243,13 +270,13 @@ def classify_tips(tips: DataFrame, shapes: DataFrame) -> DataFrame:
     return rows.select("case_id", "node", pick(1).alias("is_valid"), pick(2).alias("reason"), pick(3).alias("confidence"))
 
 
-def spanning_forest(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def spanning_forest(edges: DataFrame) -> DataFrame:
     """Minimum spanning forest by Boruvka rounds, of edges (edge_id, src, dst, weight); ties by edge_id. Each round every part takes its lightest edge outwards, so parts at least halve."""
     edges = written(edges.select("edge_id", "src", "dst", "weight"), "edges")
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     labels = written(nodes.withColumn("part", F.col("node")), "parts")
     chosen = None
-    for _ in range(most_rounds):
+    while True:
         to = lambda c: labels.select(F.col("node").alias(c), F.col("part").alias(f"{c}_part"))  # noqa: B023, E731
         live = edges.join(to("src"), "src").join(to("dst"), "dst").filter("src_part <> dst_part")
         both = live.select("edge_id", "weight", F.col("src_part").alias("part")).union(live.select("edge_id", "weight", "dst_part"))
