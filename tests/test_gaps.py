@@ -51,9 +51,9 @@ def test_bridges(spark):
     assert [tuple(r) for r in gaps.threshold_bridges(ends, roi).collect()] == [(7, 0.15)]
     assert gaps.threshold_bridges(ends, roi.filter("a0 <> 35")).count() == 0
     tube = spark.createDataFrame([(0, 7, *p) for p in gap], "case_id int, gap_id int, a0 int, a1 int, a2 int")
-    merged, verified = gaps.merge_bridges(mask, tube, ends, search=1.0)
+    merged, verified = gaps.merge_bridges(mask, tube, ends, search=1)
     assert merged.count() == 72 and verified.collect()[0].connected
-    merged, verified = gaps.merge_bridges(mask, tube.filter("a0 < 35"), ends, search=1.0, least_size=10)
+    merged, verified = gaps.merge_bridges(mask, tube.filter("a0 < 35"), ends, search=1, least_size=10)
     assert merged.count() == 60 and not verified.collect()[0].connected
 
 

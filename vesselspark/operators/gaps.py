@@ -134,22 +134,105 @@ def cheapest_paths(gaps: DataFrame, roi: DataFrame) -> DataFrame:
     return path.select("gap_id", (last - F.col("back")).alias("idx"), *vox.AXES)
 
 
-def merge_bridges(mask: DataFrame, bridges: DataFrame, gaps: DataFrame, least_new: int = 10, least_size: int = 50, search: float = 3.0) -> tuple[DataFrame, DataFrame]:
-    """(mask, verified): the mask with each bridge (case_id, gap_id, a0, a1, a2) that adds least_new voxels or more, without components below least_size; and for each gap
-    (case_id, gap_id, ends a, b as structs) whether voxels within `search` of its ends share a component."""
-    new = bridges.join(mask.select(vox.KEY), vox.KEY, "left_anti")
-    good = new.groupBy("case_id", "gap_id").agg(F.count("*").alias("n")).filter(F.col("n") >= least_new).select("case_id", "gap_id")
-    whole = written(mask.select(vox.KEY).union(new.join(good, ["case_id", "gap_id"], "left_semi").select(vox.KEY)).distinct(), "merged")
-    labelled = written(vox.components(whole), "labelled")
-    spots = labelled.select("case_id", "component", *(F.col(a).cast("double").alias(f"y{k}") for k, a in enumerate(vox.AXES)))
+def straight_ways(gaps: DataFrame) -> DataFrame:
+    """(gap_id, idx, a0, a1, a2): evenly spaced points between the ends, as many as whole voxels between them and 2 at least, rounded half to even."""
+    gap = [F.col(f"b.a{k}") - F.col(f"a.a{k}") for k in range(3)]
+    n = F.greatest(F.floor(F.sqrt(gap[0] ** 2 + gap[1] ** 2 + gap[2] ** 2)), F.lit(2)).cast("int")
+    rows = gaps.withColumn("n", n).withColumn("idx", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    at = F.col("idx") / (F.col("n") - 1)
+    return rows.select("gap_id", "idx", *(F.rint(F.col(f"a.a{k}") + at * g).cast("int").alias(f"a{k}") for k, g in enumerate(gap)))
 
-    def reached(end: str) -> DataFrame:
-        ends = gaps.select("case_id", "gap_id", *(F.col(f"{end}.a{k}").cast("double").alias(f"x{k}") for k in range(3)))
-        return vox.near_pairs(ends, spots, search).select("case_id", "gap_id", "component").distinct()
 
-    joined = reached("a").join(reached("b"), ["case_id", "gap_id", "component"]).select("case_id", "gap_id").distinct().withColumn("connected", F.lit(True))
-    verified = gaps.select("case_id", "gap_id").join(joined, ["case_id", "gap_id"], "left").withColumn("connected", F.coalesce("connected", F.lit(False)))
-    return vox.remove_small(labelled, least_size).select(vox.KEY), verified
+#: What became of a gap.
+STRATEGIES = {
+    "skip": "skipped", "threshold": "probability_threshold", "path": "dijkstra_thin", "straight": "dijkstra_thin_straight_fallback",
+    "unlikely": "skipped_low_probability", "low_signal": "skipped_low_signal",
+}
+
+
+def resegment(gaps: DataFrame, roi: DataFrame, paths: DataFrame | None = None, least_prob: float = 0.6, most_sinuosity: float = 1.8) -> tuple[DataFrame, DataFrame]:
+    """G25-G28 and V19 as one plan: (details, voxels) of gaps (gap_id, a, b, radius_a, radius_b in voxels) in their regions.
+
+    roi: gap_id, a0..a2, p (the larger of both models' probabilities), p_main (the main model's, may be null), in_mask, in_tube. Each gap goes
+    down a ladder (see gap_decision): skipped where the main model sees nothing in its tube; else the voxels over the highest threshold
+    that joins its ends, if judge_bridges accepts them; else the cheapest path (or the one in `paths`: gap_id, idx, a0..a2), in its place the straight
+    way where the path winds or strays past 2 x the larger radius (5 voxels at least); taken if its mean probability is what the gap's tier needs, as a
+    tube tapered from end to end. A gap whose ends no path joins takes the straight way as its path.
+
+    details: gap_id, tier, strategy (one of STRATEGIES), threshold, sinuosity,
+    avg_probability, n_new; voxels: gap_id, a0..a2, the new ones. Gaps without a voxel in their tube have combined_mean 0.
+    """
+    gaps = written(gaps.select("gap_id", "a", "b", *(F.greatest(F.lit(1.0), F.coalesce(r, F.lit(1.0))).alias(r) for r in ("radius_a", "radius_b"))), "gaps")
+    roi = written(tubed(roi), "roi")
+    means = roi.filter("in_tube").groupBy("gap_id").agg(F.avg("p_main").alias("tube_mean"), F.avg("p").alias("combined_mean"))
+    tried = written(graph.gap_decision(gaps.join(means, "gap_id", "left"), least_prob), "tried")
+    some = lambda action: gaps.join(tried.filter(F.col("action") == action).select("gap_id"), "gap_id", "left_semi")
+
+    ends = written(some("threshold"), "ends")
+    own = roi.join(ends.select("gap_id"), "gap_id", "left_semi")
+    judged = written(judge_bridges(threshold_bridges(ends, own), own, ends), "judged")
+    bridges = bridge_voxels(judged.filter("accepted").select("gap_id", "threshold"), own)
+    by_threshold = bridges.groupBy("gap_id").agg(F.avg("p").alias("avg_probability"), F.count("*").alias("n_new"))
+    by_threshold = written(by_threshold.join(judged.select("gap_id", "threshold"), "gap_id"), "by_threshold")
+
+    going = written(some("path").unionByName(ends.join(by_threshold, "gap_id", "left_anti")), "going")
+    near = roi.join(going.select("gap_id"), "gap_id", "left_semi")
+    found = cheapest_paths(going, bridge_costs(going, near)) if paths is None else paths.join(going.select("gap_id"), "gap_id", "left_semi")
+    straight = straight_ways(going)
+    found = written(found.unionByName(straight.join(found.select("gap_id").distinct(), "gap_id", "left_anti")), "found")
+    limits = going.select("gap_id", F.greatest(F.lit(5.0), 2 * F.greatest("radius_a", "radius_b")).alias("most_off"))
+    points = found.join(limits, "gap_id").select(F.col("gap_id").alias("case_id"), F.lit(0).alias("path_id"), "idx", "most_off", *(F.col(f"a{k}").cast("double").alias(f"p{k}") for k in range(3)))
+    checks = graph.path_checks(points, most_sinuosity, "most_off").select(F.col("case_id").alias("gap_id"), "sinuosity", "off_axis", "ok")
+    # a path of one point is nowhere out of its way
+    single = found.groupBy("gap_id").agg((F.count("*") < 2).alias("single"))
+    checks = written(checks.join(single, "gap_id").select("gap_id", "sinuosity", (F.col("ok") | F.col("single")).alias("ok")), "checks")
+    good = checks.filter("ok").select("gap_id")
+    ways = written(found.join(good, "gap_id", "left_semi").unionByName(straight.join(good, "gap_id", "left_anti")), "ways")
+    mean = ways.join(roi.select("gap_id", *vox.AXES, "p"), ["gap_id", *vox.AXES], "left").groupBy("gap_id").agg(F.avg(F.coalesce("p", F.lit(0.0))).alias("avg_probability"))
+    rated = written(mean.join(checks, "gap_id").join(tried.select("gap_id", "path_needs"), "gap_id").withColumn("taken", F.col("avg_probability") >= F.col("path_needs")), "rated")
+    taken = ways.join(rated.filter("taken").select("gap_id"), "gap_id", "left_semi")
+    wide = vox.tapered(taken, gaps).withColumn("case_id", F.col("gap_id"))
+    tubes = vox.stamp(wide, F.col("radius")).select(F.col("case_id").alias("gap_id"), *vox.AXES)
+    tubes = tubes.join(roi.filter("in_tube and not in_mask").select("gap_id", *vox.AXES), ["gap_id", *vox.AXES], "left_semi")
+    voxels = written(bridges.select("gap_id", *vox.AXES).unionByName(tubes), "voxels")
+
+    by_path = rated.select("gap_id", "sinuosity", F.col("avg_probability").alias("path_mean"), F.when(~F.col("taken"), STRATEGIES["unlikely"]).when(F.col("ok"), STRATEGIES["path"]).otherwise(STRATEGIES["straight"]).alias("by_path"))
+    rows = tried.join(by_threshold.select("gap_id", "threshold", "avg_probability"), "gap_id", "left").join(by_path, "gap_id", "left").join(voxels.groupBy("gap_id").agg(F.count("*").alias("n_new")), "gap_id", "left")
+    strategy = F.when(F.col("action") == "skip", STRATEGIES["skip"]).when(F.col("threshold").isNotNull(), STRATEGIES["threshold"]).otherwise(F.coalesce("by_path", F.lit(STRATEGIES["low_signal"])))
+    average = F.when(F.col("action") != "skip", F.coalesce("avg_probability", "path_mean", "combined_mean", F.lit(0.0)))
+    details = rows.select("gap_id", "tier", strategy.alias("strategy"), "threshold", "sinuosity", average.alias("avg_probability"), F.coalesce("n_new", F.lit(0).cast("long")).alias("n_new"))
+    return details, voxels
+
+
+def label_near(ends: DataFrame, labelled: DataFrame, reach: int = 3) -> DataFrame:
+    """(case_id, id, component) of each end (case_id, id, a0..a2): the component of its own voxel, else the most frequent one in the smallest cube around it, up to
+    `reach` voxels each way, that holds any (ties to the first in scan order); ends without one are left out."""
+    cube = sorted(itertools.product(range(-reach, reach + 1), repeat=3))
+    spots = vox.moved(ends, cube, ["id"]).withColumn("ring", F.greatest(*(F.abs(F.col(f"a{k}") - F.col(f"b{k}")) for k in range(3))))
+    hits = spots.select("id", "ring", *vox.KEY).join(labelled.select(*vox.KEY, "component"), vox.KEY)
+    votes = hits.groupBy("case_id", "id", "component").agg(F.min("ring").alias("first"), *(F.count_if(F.col("ring") <= r).alias(f"n{r}") for r in range(reach + 1)))
+    nearest = F.min("first").over(Window.partitionBy("case_id", "id"))
+    rows = votes.withColumn("nearest", nearest).withColumn("n", F.element_at(F.array(*(f"n{r}" for r in range(reach + 1))), F.col("nearest") + 1)).filter("n > 0")
+    return rows.groupBy("case_id", "id").agg(F.min_by("component", F.struct(-F.col("n"), F.col("component"))).alias("component"))
+
+
+def merge_bridges(mask: DataFrame, bridges: DataFrame, gaps: DataFrame, least_new: int = 10, least_size: int = 50, search: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(mask, verified): the mask with each bridge (case_id, gap_id, a0, a1, a2) of least_new new voxels or more; then, in cases that got one, without components
+    below least_size. For each gap (case_id, gap_id, ends a, b as structs) verified has whether its bridge was applied, and if so whether the labels near both ends
+    are one (see label_near). Voxels are connected over faces."""
+    bridges = written(bridges.select("case_id", "gap_id", *vox.AXES).distinct().join(mask.select(vox.KEY), vox.KEY, "left_anti"), "bridges")
+    good = written(bridges.groupBy("case_id", "gap_id").agg(F.count("*").alias("n")).filter(F.col("n") >= least_new).select("case_id", "gap_id", F.lit(True).alias("applied")), "good")
+    whole = written(mask.select(vox.KEY).union(bridges.join(good, ["case_id", "gap_id"], "left_semi").select(vox.KEY)).distinct(), "merged")
+    labelled = written(vox.components(whole, 6), "labelled")
+    applied = written(gaps.join(good, ["case_id", "gap_id"]), "applied")
+    at = lambda end: applied.select("case_id", F.struct("gap_id", F.lit(end).alias("end")).alias("id"), *(F.col(f"{end}.a{k}").alias(f"a{k}") for k in range(3)))
+    near = label_near(at("a").unionByName(at("b")), labelled, search)
+    same = near.groupBy("case_id", F.col("id.gap_id").alias("gap_id")).agg(((F.count("*") == 2) & (F.min("component") == F.max("component"))).alias("same"))
+    state = applied.select("case_id", "gap_id", "applied").join(same, ["case_id", "gap_id"], "left")
+    verified = gaps.select("case_id", "gap_id").join(state, ["case_id", "gap_id"], "left").select("case_id", "gap_id", F.coalesce("applied", F.lit(False)).alias("applied"), F.coalesce("same", F.lit(False)).alias("connected"))
+    changed = good.select("case_id").distinct()
+    small = vox.remove_small(labelled.join(changed, "case_id", "left_semi"), least_size)
+    return small.select(vox.KEY).unionByName(labelled.join(changed, "case_id", "left_anti").select(vox.KEY)), verified
 
 
 def refinement_summary(tips: DataFrame, pairs: DataFrame, verified: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
@@ -161,9 +244,10 @@ def refinement_summary(tips: DataFrame, pairs: DataFrame, verified: DataFrame, b
     return rows.fillna(0)
 
 
-def highlight(points: DataFrame, clicks: DataFrame, mask: DataFrame, least_radius: int = 4) -> DataFrame:
+def highlight(points: DataFrame, clicks: DataFrame, mask: DataFrame, least_radius: int = 4, wider: float = 1.5) -> DataFrame:
     """The mask near the way between two clicks: the nearest centerline points (case_id, seg_id, idx, p0..p2), the fewest hops between them along
-    segments that meet, balls around the way, cut with the mask. clicks: case_id, s0..s2, e0..e2. Where no way exists, the two points alone."""
+    segments that meet, balls around the way, cut with the mask. Balls have least_radius, or `wider` times the point's radius (in voxels) where points have that column. clicks: case_id,
+    s0..s2, e0..e2. Where no way exists, the two points alone."""
     at = points.select("case_id", F.struct("case_id", *(F.rint(f"p{k}").cast("int").alias(f"a{k}") for k in range(3))).alias("node"), "seg_id", "idx")
     order = Window.partitionBy("case_id", "seg_id").orderBy("idx")
     hops = at.withColumn("to", F.lead("node").over(order)).filter("to is not null and node <> to").select(F.col("node").alias("src"), F.col("to").alias("dst"))
@@ -177,7 +261,12 @@ def highlight(points: DataFrame, clicks: DataFrame, mask: DataFrame, least_radiu
     first, last = written(snapped("s"), "first"), written(snapped("e"), "last")
     way = graph.ways_up(written(graph.bfs(links, first), "tree"), last)
     way = way.union(last.select("path_id", "node")).union(first.select("path_id", "node")).select("node.*").distinct()
-    return vox.stamp(way, least_radius).join(mask.select(vox.KEY), vox.KEY, "left_semi")
+    if "radius" in points.columns:
+        size = points.select("case_id", *(F.rint(f"p{k}").cast("int").alias(f"a{k}") for k in range(3)), "radius").groupBy(vox.KEY).agg(F.max("radius").alias("radius"))
+        balls = vox.stamp(way.join(size, vox.KEY, "left"), F.greatest(F.lit(least_radius), F.rint(wider * F.coalesce("radius", F.lit(0.0)))))
+    else:
+        balls = vox.stamp(way, least_radius)
+    return balls.join(mask.select(vox.KEY), vox.KEY, "left_semi")
 
 
 def case_masks(truth: DataFrame, probs: DataFrame, shapes: DataFrame, spacing: tuple[float, float, float], target: tuple[float, float, float], threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:

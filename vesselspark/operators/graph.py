@@ -324,8 +324,8 @@ def break_cycles(mask: DataFrame, links: DataFrame, radius: DataFrame, thin_mm:
     return mask.select(vox.KEY).join(vox.stamp(spots, round(clear_mm / spacing)), vox.KEY, "left_anti")
 
 
-def path_checks(points: DataFrame, most_sinuosity: float = 1.8, most_off: float = 10.0) -> DataFrame:
-    """Per path (case_id, path_id, idx, p0..p2): length over chord, farthest distance from the chord, and whether both are within limits."""
+def path_checks(points: DataFrame, most_sinuosity: float = 1.8, most_off: float | str = 10.0) -> DataFrame:
+    """Per path (case_id, path_id, idx, p0..p2): length over chord, farthest distance from the chord, and whether both are within limits; most_off may name a column of points, each path's own limit."""
     order = Window.partitionBy("case_id", "path_id").orderBy("idx")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = points.withColumns({f"s{k}": F.first(f"p{k}").over(whole) for k in range(3)} | {f"e{k}": F.last(f"p{k}").over(whole) for k in range(3)})
@@ -336,22 +336,25 @@ def path_checks(points: DataFrame, most_sinuosity: float = 1.8, most_off: float
     along = dot(own, chord) / F.nullif(dot(chord, chord), F.lit(0.0))
     off = F.sqrt(F.greatest(dot(own, own) - along * along * dot(chord, chord), F.lit(0.0)))
     rows = rows.withColumn("move", F.sqrt(dot(move, move))).withColumn("off", off).withColumn("chord", F.sqrt(dot(chord, chord)))
-    out = rows.groupBy("case_id", "path_id").agg((F.sum("move") / F.nullif(F.max("chord"), F.lit(0.0))).alias("sinuosity"), F.max("off").alias("off_axis"))
-    return out.withColumn("ok", F.coalesce((F.col("sinuosity") <= most_sinuosity) & (F.col("off_axis") <= most_off), F.lit(False)))
+    limit = F.max(most_off) if isinstance(most_off, str) else F.lit(most_off)
+    out = rows.groupBy("case_id", "path_id").agg((F.sum("move") / F.nullif(F.max("chord"), F.lit(0.0))).alias("sinuosity"), F.max("off").alias("off_axis"), limit.alias("limit"))
+    return out.withColumn("ok", F.coalesce((F.col("sinuosity") <= most_sinuosity) & (F.col("off_axis") <= F.col("limit")), F.lit(False))).drop("limit")
 
 
 def tube_members(voxels: DataFrame, tubes: DataFrame, extend: float = 6.0, margin: float = 10.0) -> DataFrame:
-    """Voxels in each tube (case_id, tube_id, s0..e2, radius, in voxels): ends moved out by extend, radius plus margin, by distance from the axis and place along it."""
+    """Voxels in each tube (case_id, tube_id, s0..e2, radius, in voxels): ends moved out by extend, radius plus margin, by distance from the axis and place along it.
+    A tube whose ends coincide has no axis: its whole box counts, at the distance from that point."""
     dot = lambda a, b: a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
     gap = [F.col(f"e{k}") - F.col(f"s{k}") for k in range(3)]
-    rows = tubes.withColumn("len", F.sqrt(dot(gap, gap))).filter("len > 0").withColumns({f"u{k}": g / F.col("len") for k, g in enumerate(gap)}).withColumn("r", F.col("radius") + margin)
+    rows = tubes.withColumn("len", F.sqrt(dot(gap, gap))).withColumns({f"u{k}": F.when(F.col("len") > 0, g / F.col("len")).otherwise(0.0) for k, g in enumerate(gap)}).withColumn("r", F.col("radius") + margin)
     low = {f"low{k}": F.floor(F.least(f"s{k}", f"e{k}") - F.col("r") - extend) for k in range(3)}
     high = {f"high{k}": F.ceil(F.greatest(f"s{k}", f"e{k}") + F.col("r") + extend) for k in range(3)}
     rows = vox.with_chunks(voxels).join(vox.over_chunks(rows.withColumns(low | high)), ["case_id", *vox.CHUNKS]).filter(" and ".join(f"a{k} between low{k} and high{k}" for k in range(3)))
     own, u = [F.col(f"a{k}") - F.col(f"s{k}") for k in range(3)], [F.col(f"u{k}") for k in range(3)]
     along = dot(own, u)
     rows = rows.withColumn("along", along).withColumn("off", F.sqrt(F.greatest(dot(own, own) - along * along, F.lit(0.0))))
-    return rows.filter((F.col("along") >= -extend) & (F.col("along") <= F.col("len") + extend) & (F.col("off") <= F.col("r"))).select("case_id", "tube_id", *vox.AXES, "off")
+    within = (F.col("along") >= -extend) & (F.col("along") <= F.col("len") + extend) & (F.col("off") <= F.col("r"))
+    return rows.filter((F.col("len") == 0) | within).select("case_id", "tube_id", *vox.AXES, "off")
 
 
 def gap_decision(gaps: DataFrame, least_prob: float = 0.6) -> DataFrame:

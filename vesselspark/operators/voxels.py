@@ -338,12 +338,32 @@ def keep_near(labelled: DataFrame, safe: DataFrame, most_mm: float = 5.0, spacin
     return labelled.join(stay, own, "left_semi").unionByName(lone)
 
 
-def stamp(paths: DataFrame, radius: int, shapes: DataFrame | None = None) -> DataFrame:
-    """Voxels within radius of any path point, in the grid."""
-    rows = moved(paths, ball(radius)).select(KEY).distinct()
+def stamp(paths: DataFrame, radius: int | Column, shapes: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Voxels within radius of any path point, in the grid; a column gives each point its own radius, rounded to voxels (half to even), 1 at least.
+    Columns in keep tell apart what was stamped for what."""
+    if isinstance(radius, int):
+        rows = moved(paths, ball(radius), list(keep)).select(*KEY, *keep)
+    else:
+        rows = paths.select(*KEY, *keep, F.greatest(F.rint(radius), F.lit(1)).cast("int").alias("r"))
+        for k, a in enumerate(AXES):
+            left = F.col("r") ** 2 - sum(F.col(f"o{j}") ** 2 for j in range(k)) if k else F.col("r") ** 2
+            # what is left of the radius on this axis, so that no voxel outside the ball is made
+            reach = F.floor(F.sqrt(left) + 1e-9).cast("int")
+            rows = rows.withColumn(f"o{k}", F.explode(F.sequence(-reach, reach)))
+        rows = rows.select("case_id", *((F.col(a) + F.col(f"o{k}")).alias(a) for k, a in enumerate(AXES)), *keep)
+    rows = rows.distinct()
     return rows if shapes is None else inside(rows, shapes)
 
 
+def tapered(paths: DataFrame, ends: DataFrame, by: str = "gap_id", share: float = 0.7, least: float = 1.5) -> DataFrame:
+    """Paths (by, idx, a0..a2) with the radius at each point, which goes evenly from one end's to the other's: share times radius_a and radius_b of ends, `least` or more."""
+    last = F.max("idx").over(Window.partitionBy(by))
+    t = F.col("idx") / F.greatest(last, F.lit(1))
+    wide = lambda end: F.greatest(F.lit(least), share * F.col(f"radius_{end}"))
+    rows = paths.withColumn("t", t).join(ends.select(by, wide("a").alias("__a"), wide("b").alias("__b")), by)
+    return rows.withColumn("radius", F.col("__a") * (1 - F.col("t")) + F.col("__b") * F.col("t")).drop("t", "__a", "__b")
+
+
 def line_points(lines: DataFrame) -> DataFrame:
     """Places of straight lines (case_id, line_id, s0..s2, e0..e2), ceil(length) + 1 of them, rounded half to even; none for a line of length 0."""
     gap = [F.col(f"e{k}") - F.col(f"s{k}") for k in range(3)]

@@ -55,6 +55,42 @@ def g26_cheapest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gaps.cheapest_paths(ends, gaps.bridge_costs(ends, roi))
 
 
+def gaps_to_close(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """regions_of_gaps with ends of other widths, and a main model that sees less in some regions."""
+    ends, roi = regions_of_gaps(spark, sf_dir)
+    low = F.col("gap_id") % 100_000
+    ends = ends.withColumns({"radius_a": (low % 5).cast("double"), "radius_b": 1 + low % 7 / 2})
+    return ends, roi.withColumns({"p_main": F.when(low / 8 % 7 != 3, F.col("p") - low % 3 * 0.06), "p": F.col("p") - F.when(low / 8 % 5 == 4, 0.09).otherwise(0.0)})
+
+
+def ways_given(ends: DataFrame) -> DataFrame:
+    """Ways along the axes, the diagonal, and one that goes to and fro, by turns; every fourth gap has none."""
+    kind = (F.col("gap_id") % 100_000 / 8 % 4).cast("int")
+    steps = lambda *at: F.array(*(F.struct(*(F.lit(x).alias(f"s{k}") for k, x in enumerate(p))) for p in at))
+    edge = [(k, 0, 0) for k in range(6)]
+    rest = [(5, k, 0) for k in range(1, 6)] + [(5, 5, k) for k in range(1, 6)]
+    way = F.when(kind == 0, steps(*edge, *rest)).when(kind == 1, steps(*((k, k, k) for k in range(6)))).when(kind == 2, steps(*edge, *edge[-2::-1], *edge[1:], *rest))
+    rows = ends.select("gap_id", "a", F.posexplode(way).alias("idx", "s"))
+    return rows.select("gap_id", "idx", *((F.col(f"a.a{k}") + F.col(f"s.s{k}")).alias(f"a{k}") for k in range(3)))
+
+
+def told(details: DataFrame, new: DataFrame) -> DataFrame:
+    """The details of gaps with sums over their new voxels."""
+    sums = new.groupBy("gap_id").agg(F.sum(F.col("a0") * 64 + F.col("a1") * 8 + F.col("a2")).alias("places"))
+    return rounded(details.join(sums, "gap_id", "left").withColumn("places", F.coalesce("places", F.lit(0).cast("long"))))
+
+
+def g28_resegmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole ladder of a gap, paths given."""
+    ends, roi = gaps_to_close(spark, sf_dir)
+    return told(*gaps.resegment(ends, roi, ways_given(ends), 0.16))
+
+
+def g28_resegmented_by_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole ladder of a gap, paths searched."""
+    return told(*gaps.resegment(*gaps_to_close(spark, sf_dir), least_prob=0.18))
+
+
 def g17_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clicks near the first and the last segment of each case."""
     rows = points(spark, sf_dir).withColumn("p2", (F.col("seg_id") % 5).cast("double"))
@@ -64,19 +100,21 @@ def g17_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bridged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The sparse mask with straight bridges over its gap pairs, and whether they connect."""
-    labels = components(spark, sf_dir).select(F.struct(*vox.KEY).alias("node"), root().alias("component"))
-    pairs = graph.gap_pairs(tips(spark, sf_dir).join(labels, "node"), 4.0).withColumn("gap_id", F.col("a.a0") * 100_000 + PLACE("b"))
-    place = lambda e: F.struct(*(F.col(f"{e}.a{k}").alias(f"a{k}") for k in range(3))).alias(e)
-    ends = written(pairs.select("case_id", "gap_id", place("a"), place("b")), "ends")
-    lines = ends.select("case_id", F.col("gap_id").alias("line_id"), *(F.col(f"a.a{k}").alias(f"s{k}") for k in range(3)), *(F.col(f"b.a{k}").alias(f"e{k}") for k in range(3)))
+    ends = [F.struct(F.floor(F.col(e) / 64).cast("int").alias("a0"), F.floor(F.col(e) / 8 % 8).cast("int").alias("a1"), (F.col(e) % 8).cast("int").alias("a2")).alias(e) for e in ("a", "b")]
+    pairs = written(g22_gap_pairs(spark, sf_dir).select("case_id", (F.col("a") * 100_000 + F.col("b")).alias("gap_id"), *ends), "pairs")
+    lines = pairs.select("case_id", F.col("gap_id").alias("line_id"), *(F.col(f"a.a{k}").alias(f"s{k}") for k in range(3)), *(F.col(f"b.a{k}").alias(f"e{k}") for k in range(3)))
     tubes = vox.line_points(lines).withColumnRenamed("line_id", "gap_id").distinct()
-    return gaps.merge_bridges(masks(spark, sf_dir)[2], tubes, ends, least_new=1, least_size=2, search=1.0)
+    return gaps.merge_bridges(masks(spark, sf_dir)[2], tubes, pairs, least_new=2, least_size=2, search=2)
 
 
 def g29_merged_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bridged(spark, sf_dir)[0]
 
 
+def g29_verified_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bridged(spark, sf_dir)[1]
+
+
 def g30_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G30 over G21's tips, G22's pairs and the masks; pairs nearer than 2 mm stand for connected ones."""
     classes, pairs = g21_tip_classes(spark, sf_dir), written(g22_gap_pairs(spark, sf_dir), "pairs")
@@ -120,11 +158,55 @@ def a25_evaluate_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(gaps.evaluate_models(cut("low", 0.12).union(cut("high", 0.18)), masks(spark, sf_dir)[1], shapes(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (v21_component_boxes, g23_midpoint_pairs, g25_threshold_bridges, g26_bridge_costs, g26_cheapest_paths, g14_left_split, g17_highlight, g29_merged_bridges, g30_refinement, a25_evaluate_models, a28_findings_from_mask, a29_case_masks)}
+QUERIES = {f.__name__: f for f in (v21_component_boxes, g23_midpoint_pairs, g25_threshold_bridges, g26_bridge_costs, g26_cheapest_paths, g28_resegmented, g28_resegmented_by_search, g14_left_split, g17_highlight, g29_merged_bridges, g29_verified_gaps, g30_refinement, a25_evaluate_models, a28_findings_from_mask, a29_case_masks)}
 ROI = """starts AS (SELECT case_id, unnest(range(0, n0 - 5, 8)) AS low FROM shapes),
 gaps AS (SELECT case_id * 100000 + low AS gap_id, low, low % 5 / 4.0::DOUBLE AS radius_a FROM starts),
 roi AS (SELECT case_id * 100000 + low AS gap_id, low, a0, a1, a2, value + 0.16::DOUBLE AS p, value > 0.25 AS in_mask, (a1 + a2) % 7 <> 0 AS in_tube FROM voxels JOIN starts USING (case_id) WHERE a0 BETWEEN low AND low + 5 AND a1 BETWEEN 1 AND 6 AND a2 BETWEEN 1 AND 6)"""
+#: The ladder of a gap over `gaps`, `roi` and the ways given.
+LADDER = [
+    VOXELS, SHAPES, ROI.replace("AS gap_id, low, low % 5 / 4.0::DOUBLE AS radius_a", "AS gap_id, low, greatest(1, low % 5)::DOUBLE AS ra, greatest(1, 1 + low % 7 / 2.0::DOUBLE) AS rb").replace("value + 0.16::DOUBLE AS p,", "value + 0.16::DOUBLE AS p0,").replace("roi AS (", "raw AS ("),
+    "roi AS (SELECT *, CASE WHEN low // 8 % 7 <> 3 THEN p0 - low % 3 * 0.06::DOUBLE END AS p_main, p0 - CASE WHEN low // 8 % 5 = 4 THEN 0.09::DOUBLE ELSE 0 END AS p FROM raw)",
+    "means AS (SELECT gap_id, avg(p_main) AS tube, avg(p) AS joint FROM roi WHERE in_tube GROUP BY gap_id)",
+    "tried AS (SELECT g.*, tube, joint, CASE WHEN tube IS NULL THEN 'unknown' WHEN tube < 0.03 THEN 'none' WHEN tube < 0.08 THEN 'low_signal' ELSE 'normal' END AS tier, CASE WHEN tube < 0.08 THEN 0.8::DOUBLE ELSE 0.16::DOUBLE END AS needs, CASE WHEN tube < 0.03 THEN 'skip' WHEN joint >= 0.15 THEN 'threshold' WHEN joint >= 0.1 THEN 'path' ELSE 'low_signal' END AS action FROM gaps g LEFT JOIN means USING (gap_id))",
+    "tries AS (SELECT gap_id, t, low, a0, a1, a2 FROM roi JOIN (SELECT gap_id FROM tried WHERE action = 'threshold') USING (gap_id), (VALUES (0.2::DOUBLE), (0.15::DOUBLE), (0.1::DOUBLE)) x(t) WHERE in_mask OR (in_tube AND p > t))",
+    "reach AS (SELECT * FROM tries WHERE a0 = low AND a1 = 1 AND a2 = 1 UNION SELECT s.* FROM reach r JOIN tries s ON s.gap_id = r.gap_id AND s.t = r.t AND abs(s.a0 - r.a0) + abs(s.a1 - r.a1) + abs(s.a2 - r.a2) = 1)",
+    "found AS (SELECT gap_id, max(t) AS threshold FROM reach WHERE a0 = low + 5 AND a1 = 6 AND a2 = 6 GROUP BY gap_id)",
+    "bridge AS (SELECT gap_id, threshold, a0, a1, a2, p, count(*) OVER (PARTITION BY gap_id) AS n, pi() * ((ra + rb) / 2)^2 * sqrt(75.0::DOUBLE) AS expected FROM roi JOIN found USING (gap_id) JOIN gaps USING (gap_id) WHERE in_tube AND NOT in_mask AND p > threshold)",
+    "good AS (SELECT * FROM bridge WHERE n >= 10 AND NOT (n > 3 * expected AND n > 100))",
+    "going AS (SELECT * FROM tried WHERE action = 'path' OR (action = 'threshold' AND gap_id NOT IN (SELECT gap_id FROM good)))",
+    "sides AS (SELECT unnest(range(6)) AS i, i AS x, 0 AS y, 0 AS z, 0 AS part UNION ALL SELECT unnest(range(1, 6)) AS i, 5, i, 0, 1 UNION ALL SELECT unnest(range(1, 6)) AS i, 5, 5, i, 2)",
+    "ways AS (SELECT 0 AS kind, part * 10 + i AS nr, x, y, z FROM sides UNION ALL SELECT 1, i, i, i, i FROM (SELECT unnest(range(6)) AS i) UNION ALL SELECT 2, i, i, 0, 0 FROM (SELECT unnest(range(6)) AS i) UNION ALL SELECT 2, 10 - i, i, 0, 0 FROM (SELECT unnest(range(5)) AS i) UNION ALL SELECT 2, 10 + i, i, 0, 0 FROM (SELECT unnest(range(1, 6)) AS i) UNION ALL SELECT 2, 10 + part * 10 + i, x, y, z FROM sides WHERE part > 0)",
+    "straight AS (SELECT gap_id, i AS idx, round_even(low + i / 7.0::DOUBLE * 5, 0)::BIGINT AS a0, round_even(1 + i / 7.0::DOUBLE * 5, 0)::BIGINT AS a1, round_even(1 + i / 7.0::DOUBLE * 5, 0)::BIGINT AS a2 FROM going, (SELECT unnest(range(8)) AS i))",
+    "own AS (SELECT gap_id, row_number() OVER (PARTITION BY gap_id ORDER BY nr) - 1 AS idx, low + x AS a0, 1 + y AS a1, 1 + z AS a2 FROM going JOIN ways ON kind = low // 8 % 4)",
+    "path AS (SELECT * FROM own UNION ALL SELECT * FROM straight WHERE gap_id NOT IN (SELECT gap_id FROM own))",
+    "moves AS (SELECT gap_id, a0 - low AS x, a1 - 1 AS y, a2 - 1 AS z, sqrt((a0 - lag(a0) OVER w)^2 + (a1 - lag(a1) OVER w)^2 + (a2 - lag(a2) OVER w)^2) AS move FROM path JOIN gaps USING (gap_id) WINDOW w AS (PARTITION BY gap_id ORDER BY idx))",
+    "checks AS (SELECT gap_id, sum(move) / sqrt(75.0::DOUBLE) AS sinuosity, sum(move) / sqrt(75.0::DOUBLE) <= 1.8 AND max(sqrt(greatest(x * x + y * y + z * z - (x + y + z)^2 / 3.0::DOUBLE, 0))) <= greatest(5, 2 * greatest(max(ra), max(rb))) AS ok FROM moves JOIN gaps USING (gap_id) GROUP BY gap_id)",
+    "taken AS (SELECT * FROM path WHERE gap_id IN (SELECT gap_id FROM checks WHERE ok) UNION ALL SELECT * FROM straight WHERE gap_id NOT IN (SELECT gap_id FROM checks WHERE ok))",
+    "rated AS (SELECT gap_id, avg(coalesce(p, 0)) AS mean FROM taken LEFT JOIN roi USING (gap_id, a0, a1, a2) GROUP BY gap_id)",
+    "wide AS (SELECT t.gap_id, a0, a1, a2, greatest(1, round_even(greatest(1.5, 0.7 * ra) * (1 - idx / m) + greatest(1.5, 0.7 * rb) * (idx / m), 0)) AS r FROM (SELECT *, (max(idx) OVER (PARTITION BY gap_id))::DOUBLE AS m FROM taken) t JOIN rated USING (gap_id) JOIN tried USING (gap_id) WHERE mean >= needs)",
+    "fresh AS (SELECT gap_id, a0, a1, a2 FROM good UNION SELECT v.gap_id, v.a0, v.a1, v.a2 FROM roi v JOIN wide w ON w.gap_id = v.gap_id AND (v.a0 - w.a0)^2 + (v.a1 - w.a1)^2 + (v.a2 - w.a2)^2 <= r * r WHERE in_tube AND NOT in_mask)",
+]
 PAIRED = "{'model': model, 'case_id': case_id} AS case_id, a0, a1, a2"
+
+
+def merged_sql(select: str) -> str:
+    """The sparse mask with straight bridges over the pairs of g22: its components over faces, the bridges applied, and the label near each end."""
+    cube = "abs(l.a0 - e.a0) <= r AND abs(l.a1 - e.a1) <= r AND abs(l.a2 - e.a2) <= r"
+    return with_ctes(
+        f"pairs AS ({GRAPHS['g22_gap_pairs']})", VOXELS, "base AS (SELECT case_id, a0, a1, a2 FROM voxels WHERE value > 0.25)",
+        "ends AS (SELECT *, a // 64 AS s0, a // 8 % 8 AS s1, a % 8 AS s2, b // 64 AS e0, b // 8 % 8 AS e1, b % 8 AS e2 FROM pairs)",
+        "steps AS (SELECT *, ceil(sqrt((e0 - s0)^2 + (e1 - s1)^2 + (e2 - s2)^2))::BIGINT AS n FROM ends)",
+        "line AS (SELECT DISTINCT case_id, a, b, " + ", ".join(f"round_even(s{k} + t / n::DOUBLE * (e{k} - s{k}), 0)::BIGINT AS a{k}" for k in range(3)) + " FROM steps, LATERAL (SELECT unnest(range(n + 1)) AS t))",
+        "new AS (SELECT * FROM line WHERE (case_id, a0, a1, a2) NOT IN (SELECT (case_id, a0, a1, a2) FROM base))",
+        "good AS (SELECT case_id, a, b FROM new GROUP BY ALL HAVING count(*) >= 2)",
+        "sparse AS (SELECT case_id, a0, a1, a2 FROM base UNION SELECT case_id, a0, a1, a2 FROM new JOIN good USING (case_id, a, b))", labelled(6),
+        "spots AS (SELECT case_id, place, place // 64 AS a0, place // 8 % 8 AS a1, place % 8 AS a2 FROM (SELECT case_id, a AS place FROM good UNION SELECT case_id, b FROM good))",
+        f"votes AS (SELECT e.case_id, e.place, r, l.root, count(*) AS n FROM spots e JOIN (VALUES (0), (1), (2)) x(r) ON true JOIN labelled l ON l.case_id = e.case_id AND {cube} GROUP BY ALL)",
+        "near AS (SELECT case_id, place, root FROM votes QUALIFY row_number() OVER (PARTITION BY case_id, place ORDER BY r, n DESC, root) = 1)",
+        select=select,
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 ORACLES = {
     "g30_refinement": f"""WITH classes AS ({GRAPHS["g21_tip_classes"]}), pairs AS ({GRAPHS["g22_gap_pairs"]}), {VOXELS}, {MASKS}
 SELECT case_id, n_tips, n_invalid, coalesce(n_pairs, 0) AS n_pairs, coalesce(n_connected, 0) AS n_connected, coalesce(n, 0) - coalesce(b, 0) AS voxels_added
@@ -148,5 +230,11 @@ LEFT JOIN (SELECT case_id, count(*) AS b FROM pred GROUP BY 1) USING (case_id) L
     "g26_bridge_costs": with_ctes(VOXELS, SHAPES, ROI, "o AS (SELECT *, a0 - low AS x, a1 - 1 AS y, a2 - 1 AS z FROM roi)",
         select="""SELECT gap_id, a0, a1, a2, round(CASE WHEN (x = 0 AND y = 0 AND z = 0) OR (x = 5 AND y = 5 AND z = 5) THEN 0.01 WHEN NOT in_tube THEN 10
   ELSE 1 - greatest(0, least(p, 0.99)) + 0.3 * sqrt(greatest(x * x + y * y + z * z - (x + y + z)^2 / 3.0::DOUBLE, 0)) / (sqrt(75.0::DOUBLE) / 2) END, 6) AS cost FROM o"""),
+    "g28_resegmented": with_ctes(*LADDER, "f AS (SELECT gap_id, count(*) AS n_new, sum(a0 * 64 + a1 * 8 + a2)::BIGINT AS places FROM fresh GROUP BY gap_id)", "b AS (SELECT gap_id, max(threshold) AS threshold, avg(p) AS mean FROM good GROUP BY gap_id)",
+        select="""SELECT gap_id, tier, CASE WHEN action = 'skip' THEN 'skipped' WHEN threshold IS NOT NULL THEN 'probability_threshold' WHEN r.mean IS NULL THEN 'skipped_low_signal' WHEN r.mean < needs THEN 'skipped_low_probability' WHEN ok THEN 'dijkstra_thin' ELSE 'dijkstra_thin_straight_fallback' END AS strategy,
+  round(threshold, 6) AS threshold, round(sinuosity, 6) AS sinuosity, CASE WHEN action <> 'skip' THEN round(coalesce(b.mean, r.mean, joint, 0), 6) END AS avg_probability, coalesce(n_new, 0) AS n_new, coalesce(places, 0) AS places
+  FROM tried LEFT JOIN b USING (gap_id) LEFT JOIN rated r USING (gap_id) LEFT JOIN checks USING (gap_id) LEFT JOIN f USING (gap_id)""").replace("WITH ", "WITH RECURSIVE ", 1),
+    "g29_merged_bridges": merged_sql("SELECT case_id, a0, a1, a2 FROM labelled JOIN sizes USING (case_id, root) WHERE size >= 2 OR case_id NOT IN (SELECT case_id FROM good)"),
+    "g29_verified_gaps": merged_sql("SELECT p.case_id, p.a * 100000 + p.b AS gap_id, g.case_id IS NOT NULL AS applied, coalesce(x.root = y.root, false) AS connected FROM pairs p LEFT JOIN good g ON g.case_id = p.case_id AND g.a = p.a AND g.b = p.b LEFT JOIN near x ON x.case_id = g.case_id AND x.place = g.a LEFT JOIN near y ON y.case_id = g.case_id AND y.place = g.b"),
     "v21_component_boxes": RECURSIVE(labelled(26), select="SELECT case_id, root, min(a0) - 2 AS low0, max(a0) + 2 AS high0, min(a1) - 2 AS low1, max(a1) + 2 AS high1, min(a2) - 2 AS low2, max(a2) + 2 AS high2 FROM labelled GROUP BY ALL"),
 }
