@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..session import drop_written, written
-from . import graph, metrics, profile
+from . import arteries, graph, metrics, profile
 from . import voxels as vox
 
 
@@ -269,19 +269,46 @@ def highlight(points: DataFrame, clicks: DataFrame, mask: DataFrame, least_radiu
     return balls.join(mask.select(vox.KEY), vox.KEY, "left_semi")
 
 
-def case_masks(truth: DataFrame, probs: DataFrame, shapes: DataFrame, spacing: tuple[float, float, float], target: tuple[float, float, float], threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """The truth (values) on the image's grid, cut at 0.3, and the thresholded prediction (case_id, a0, a1, a2, p)."""
-    return vox.resample(truth, shapes, spacing, target).filter("value > 0.3").select(vox.KEY), probs.filter(F.col("p") >= threshold).select(vox.KEY)
+def case_masks(truth: DataFrame, probs: DataFrame, shapes: DataFrame, spacing: tuple[float, float, float], target: tuple[float, float, float], threshold: float = 0.5, config: vox.Cleanup | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The truth (values) on the image's grid, cut at 0.3; the thresholded prediction (case_id, a0, a1, a2, p); and that prediction cleaned."""
+    pred = probs.filter(F.col("p") >= threshold).select(vox.KEY)
+    return vox.resample(truth, shapes, spacing, target).filter("value > 0.3").select(vox.KEY), pred, vox.cleanup(pred, shapes, config)[0]
 
 
-def findings_from_mask(mask: DataFrame, shapes: DataFrame, points: DataFrame, least_size: int = 200, floor: int = 3000) -> DataFrame:
-    """Clean the mask, keep the given centerline points that lie in it, name segments by territory, detect narrowings.
-    points: case_id, seg_id, idx, n, arc_mm, length_mm, radius_mm, start_bif, end_bif, p0..p2."""
-    clean, _ = vox.cleanup(mask, shapes, least_size, floor=floor)
-    labelled = written(vox.components(written(clean, "clean")), "labelled")
+def segment_ends(points: DataFrame, spacing: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(segments, junctions) as the artery split takes them: segments from their first to their last point, junctions at the places where these lie.
+    points: case_id, seg_id, idx, n, length_mm, radius_mm, p0..p2."""
+    whole = points.groupBy("case_id", "seg_id").agg(
+        F.min_by(F.struct("p0", "p1", "p2"), "idx").alias("s"), F.max_by(F.struct("p0", "p1", "p2"), "idx").alias("e"), F.max("length_mm").alias("length_mm"),
+        F.avg("radius_mm").alias("radius_mm"), F.count("*").alias("n_points"), F.max(F.when(F.col("idx") == F.floor(F.col("n") / 2), F.col("p1"))).alias("mid1"),
+    )
+    spots = whole.select("case_id", F.explode(F.array("s", "e")).alias("spot")).distinct()
+    spots = written(spots.withColumn("node", F.row_number().over(Window.partitionBy("case_id").orderBy("spot")).cast("long")), "spots")
+    at = lambda side, name: spots.select("case_id", F.col("spot").alias(side), F.col("node").alias(name))
+    segments = whole.join(at("s", "start"), ["case_id", "s"]).join(at("e", "end"), ["case_id", "e"])
+    wide = points.groupBy("case_id", F.struct("p0", "p1", "p2").alias("spot")).agg(F.max("radius_mm").alias("radius_mm"))
+    junctions = spots.join(wide, ["case_id", "spot"]).select("case_id", "node", "spot.p0", "spot.p1", "spot.p2", "radius_mm")
+    return segments.select("case_id", "seg_id", "start", "end", "length_mm", "radius_mm", "n_points", "mid1"), junctions
+
+
+def artery_names(points: DataFrame, labelled: DataFrame, shapes: DataFrame, spacing: float = 0.5) -> DataFrame:
+    """(case_id, seg_id, component, artery_name, tree_side, confidence, full_name): territories by component (G11, G13), and LM, LAD and LCx for segments of the left tree where it splits."""
     segments = graph.segment_component(points, labelled).filter("component is not null")
-    names = graph.label_segments(segments, graph.territories(labelled)).withColumn("full_name", F.col("artery_name"))
-    return profile.detect(points.join(segments.select("case_id", "seg_id"), ["case_id", "seg_id"], "left_semi"), names)
+    names = written(graph.label_segments(segments, graph.territories(labelled)), "names")
+    left = points.join(names.filter("tree_side = 'Left'").select("case_id", "seg_id"), ["case_id", "seg_id"], "left_semi")
+    split = arteries.split_left(*segment_ends(left, spacing), labelled.select(vox.KEY), shapes, spacing)
+    split = split.select("case_id", "seg_id", F.col("artery_name").alias("own"), F.col("confidence").alias("sure"))
+    rows = names.join(split, ["case_id", "seg_id"], "left").withColumns({"artery_name": F.coalesce("own", "artery_name"), "confidence": F.coalesce("sure", "confidence")}).drop("own", "sure")
+    return rows.withColumn("full_name", F.col("artery_name"))
+
+
+def findings_from_mask(mask: DataFrame, shapes: DataFrame, points: DataFrame, config: vox.Cleanup | None = None, spacing: float = 0.5) -> DataFrame:
+    """Clean the mask, keep the given centerline points that lie in it, name segments (see artery_names), detect narrowings.
+    points: case_id, seg_id, idx, n, arc_mm, length_mm, radius_mm, start_bif, end_bif, p0..p2."""
+    clean, _ = vox.cleanup(mask, shapes, config)
+    labelled = written(vox.components(clean), "labelled")
+    names = written(artery_names(points, labelled, shapes, spacing), "arteries")
+    return profile.detect(points.join(names.select("case_id", "seg_id"), ["case_id", "seg_id"], "left_semi"), names)
 
 
 def evaluate_models(pred: DataFrame, truth: DataFrame, shapes: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from .profile import gaussian_weights
 AXES = ["a0", "a1", "a2"]
 KEY = ["case_id", *AXES]
 ALL26 = [o for o in itertools.product((-1, 0, 1), repeat=3) if any(o)]
+#: More than any squared distance in a grid.
+FAR = 1 << 40
 FACES = [o for o in ALL26 if sum(map(abs, o)) == 1]
 
 
@@ -261,11 +264,40 @@ def as_points(rows: DataFrame, prefix: str, id_name: str) -> DataFrame:
     return rows.select("case_id", F.struct(*AXES).alias(id_name), *(F.col(a).cast("double").alias(f"{prefix}{k}") for k, a in enumerate(AXES)))
 
 
+def along_axis(rows: DataFrame, axis: int) -> DataFrame:
+    """One axis of the distance transform: rows (case_id, a0..a2, n0..n2, sq) with sq lowered to the least of sq at each place of the voxel's run along the axis plus the
+    square of the way there, and of the squared ways to the background next to the run.
+
+    A run is a stretch of neighbouring mask voxels on a line; what lies behind the background at its end is never nearer. A place farther off than what a voxel has cannot lower it,
+    so a voxel looks at as many places as its distance.
+    """
+    line = ["case_id", *(x for k, x in enumerate(AXES) if k != axis)]
+    rows = rows.withColumn("run", F.col(f"a{axis}") - F.row_number().over(Window.partitionBy(*line).orderBy(f"a{axis}")))
+    runs = rows.groupBy(*line, "run").agg(F.array_sort(F.collect_list(F.struct(f"a{axis}", "sq"))).alias("places"), *(F.first(f"n{k}").alias(f"n{k}") for k in range(3)))
+    first, n = F.col("places")[0][f"a{axis}"], F.size("places")
+    runs = runs.withColumns({"first": first, "n": n, "sq": F.transform("places", lambda p: p["sq"])})
+    far = F.lit(FAR)
+
+    def lowered(i: Column) -> Column:
+        low = F.when(F.col("first") > 0, (i + 1) * (i + 1)).otherwise(far)
+        high = F.when(F.col("first") + F.col("n") < F.col(f"n{axis}"), (F.col("n") - i) * (F.col("n") - i)).otherwise(far)
+        own = F.least(F.get("sq", i).cast("long"), low.cast("long"), high.cast("long"))
+        reach = F.least(F.ceil(F.sqrt(own)).cast("int"), F.col("n"))
+        near = F.transform(F.sequence(F.greatest(F.lit(0), i - reach), F.least(F.col("n") - 1, i + reach)), lambda j: F.get("sq", j) + (i - j) * (i - j))
+        return F.least(own, F.array_min(near))
+
+    at = F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct((F.col("first") + i).alias("at"), lowered(i).alias("sq")))).alias("x")
+    out = runs.select(*line, "n0", "n1", "n2", at)
+    return out.select("case_id", *(F.col("x.at").alias(x) if k == axis else F.col(x) for k, x in enumerate(AXES)), "n0", "n1", "n2", F.col("x.sq").alias("sq"))
+
+
 def distance_transform(mask: DataFrame, shapes: DataFrame) -> DataFrame:
-    """Mask voxels with the distance to the nearest background voxel of the grid, which always touches the mask by a face; mask voxels of a case without background are left out."""
-    edge = inside(moved(mask, FACES).select(KEY).distinct(), shapes).join(mask.select(KEY), KEY, "left_anti")
-    hits = nearest(as_points(mask, "x", "id_a"), as_points(edge, "y", "id_b"))
-    return hits.select("case_id", *(F.col(f"id_a.{a}").alias(a) for a in AXES), "distance")
+    """Mask voxels with the exact distance to the nearest background voxel of the grid; mask voxels of a case without background are left out.
+    An axis at a time, a shuffle each: along the first axis squared distances to the ends of runs, then lower envelopes of them along the others."""
+    rows = mask.select(KEY).distinct().join(shapes.select("case_id", "n0", "n1", "n2"), "case_id").withColumn("sq", F.lit(FAR))
+    for axis in (2, 1, 0):
+        rows = along_axis(rows, axis)
+    return rows.filter(F.col("sq") < FAR).select(*KEY, F.sqrt("sq").alias("distance"))
 
 
 def components(mask: DataFrame, neighbours: int = 26) -> DataFrame:
@@ -372,7 +404,7 @@ def line_points(lines: DataFrame) -> DataFrame:
     return rows.select("case_id", "line_id", *(F.rint(F.col(f"s{k}") + F.col("t") * gap[k]).cast("int").alias(f"a{k}") for k in range(3)))
 
 
-def bridge(labelled: DataFrame, safe: DataFrame, shapes: DataFrame, most_mm: float = 5.0, radius_mm: float = 0.5, spacing: float = 0.5) -> DataFrame:
+def bridge(labelled: DataFrame, safe: DataFrame, shapes: DataFrame, most_mm: float = 5.0, radius_mm: float = 1.0, spacing: float = 0.5) -> DataFrame:
     """The mask with a tube from each near component that is not safe to the nearest safe voxel."""
     gaps = gap_to_protected(labelled, safe, most_mm / spacing)
     ends = [F.col(f"id_a.{a}").alias(f"s{k}") for k, a in enumerate(AXES)] + [F.col(f"id_b.{a}").alias(f"e{k}") for k, a in enumerate(AXES)]
@@ -406,22 +438,116 @@ def overlay(pred: DataFrame, truth: DataFrame) -> DataFrame:
     return rows.groupBy("case_id").agg(F.count("p").alias("n_pred"), F.count("t").alias("n_truth"), F.count_if(both).alias("n_both"))
 
 
-def cleanup(mask: DataFrame, shapes: DataFrame, least_size: int = 200, trees: int = 3, share: float = 0.05, closing: int = 1, spacing: float = 0.5, floor: int = 3000) -> tuple[DataFrame, DataFrame]:
-    """Closing, small components, bridges, shape and distance, with counts a case. A case with fewer voxels than floor after a step keeps that state."""
-    counts = mask.groupBy("case_id").agg(F.count("*").alias("before"))
-    state = written(close_holes(mask, shapes, closing), "mask")
-    steps = (
-        lambda c, s: remove_small(c, least_size),
-        lambda c, s: bridge(c, s, shapes, spacing=spacing),
-        lambda c, s: keep_elongated(c, s),
-        lambda c, s: keep_near(c, s, spacing=spacing),
-    )
-    for number, step in enumerate(steps):
-        n = written(state.groupBy("case_id").agg(F.count("*").alias(f"after_{number}")), "counts")
-        counts = counts.join(n, "case_id", "left")
-        going = state.join(n.filter(F.col(f"after_{number}") >= floor).select("case_id"), "case_id", "left_semi")
-        stopped = state.join(n.filter(F.col(f"after_{number}") < floor).select("case_id"), "case_id", "left_semi")
-        labelled = written(components(written(going, "going")), "labelled")
-        safe = written(protected(component_sizes(labelled), trees, share), "safe")
-        state = written(step(labelled, safe).select(KEY).unionByName(stopped), "mask")
-    return state, counts.join(state.groupBy("case_id").agg(F.count("*").alias("after")), "case_id", "left")
+@dataclass(frozen=True)
+class Cleanup:
+    """Which steps a clean-up takes and how; None leaves a step out."""
+
+    # fixed values: lengths in mm
+    spacing: float = 0.5
+    closing: int | None = None
+    smoothing: float | None = None
+    least_size: int = 200
+    bridging_mm: float | None = None
+    bridge_radius_mm: float = 1.0
+    elongation: float | None = None
+    near_mm: float | None = 5.0
+    cycles_mm: float | None = None
+    trees: int = 3
+    share: float = 0.05
+    floor: int = 3000
+
+
+#: What a clean-up reports of a case.
+CLEANUP_METRICS = (
+    "input_voxels", "input_components", "voxels_after_closing", "voxels_after_smoothing", "components_after_initial_removal", "voxels_after_initial_removal", "bridges_added",
+    "voxels_after_bridging", "components_removed_shape", "components_removed_distance", "cycles_broken", "output_voxels", "output_components",
+)
+
+
+def cleanup(mask: DataFrame, shapes: DataFrame, config: Cleanup | None = None, skeleton: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(mask, metrics): closing, smoothing, small components, bridges, shape, distance, cycles, small components again; of them the ones that config asks for.
+
+    A case that has fewer than config.floor voxels after a removal stops there and keeps what it has; all cases go through one plan, those that
+    stopped lie aside. Metrics have a row for each case of shapes; steps a case didn't come to count 0. Components are labelled once and then
+    only after steps that can change what is connected: removing whole components cannot. Breaking cycles needs the skeleton (case_id, a0, a1, a2) of
+    the mask; cases with fewer than ten voxels of it are left as they are.
+    """
+    c = config or Cleanup()
+    if c.cycles_mm is not None and skeleton is None:
+        raise ValueError("breaking cycles needs a skeleton")
+    own, found = ["case_id", "component"], []
+
+    def count(rows: DataFrame, name: str, by_component: bool = False) -> None:
+        what = F.count_distinct("component") if by_component else F.count("*")
+        found.append(rows.groupBy("case_id").agg(what.alias("n")).withColumn("metric", F.lit(name)))
+
+    def fewer(before: DataFrame, after: DataFrame, name: str) -> None:
+        lost = before.select(own).distinct().join(after.select(own).distinct(), own, "left_anti")
+        found.append(lost.groupBy("case_id").agg(F.count("*").alias("n")).withColumn("metric", F.lit(name)))
+
+    label = lambda rows: written(components(rows), "labelled")
+    safe_of = lambda rows: written(protected(component_sizes(rows), c.trees, c.share), "safe")
+    stopped: list[DataFrame] = []
+
+    def checked(rows: DataFrame) -> DataFrame:
+        """Rows of the cases that go on; the others are done."""
+        rows = written(rows, "state")
+        enough = rows.groupBy("case_id").agg(F.count("*").alias("n")).filter(F.col("n") >= c.floor).select("case_id")
+        stopped.append(rows.join(enough, "case_id", "left_anti"))
+        return written(rows.join(enough, "case_id", "left_semi"), "going")
+
+    now = written(mask.select(KEY).distinct(), "mask")
+    count(now, "input_voxels")
+    if c.closing or c.smoothing:
+        count(label(now), "input_components", True)
+    if c.closing:
+        now = written(close_holes(now, shapes, c.closing), "closed")
+    count(now, "voxels_after_closing")
+    if c.smoothing:
+        now = written(smooth_mask(now, shapes, c.smoothing), "smooth")
+    count(now, "voxels_after_smoothing")
+    state = label(now)
+    if not (c.closing or c.smoothing):
+        count(state, "input_components", True)
+
+    state = written(remove_small(state, c.least_size), "large")
+    count(state, "components_after_initial_removal", True)
+    count(state, "voxels_after_initial_removal")
+    state = checked(state)
+    if c.bridging_mm is not None:
+        safe = safe_of(state)
+        gaps = gap_to_protected(state, safe, c.bridging_mm / c.spacing)
+        found.append(gaps.groupBy("case_id").agg(F.count("*").alias("n")).withColumn("metric", F.lit("bridges_added")))
+        state = label(bridge(state, safe, shapes, c.bridging_mm, c.bridge_radius_mm, c.spacing))
+    count(state, "voxels_after_bridging")
+    if c.elongation is not None:
+        kept = written(keep_elongated(state, safe_of(state), c.elongation), "long")
+        fewer(state, kept, "components_removed_shape")
+        state = checked(kept)
+    if c.near_mm is not None:
+        kept = written(keep_near(state, safe_of(state), c.near_mm, c.spacing), "near")
+        fewer(state, kept, "components_removed_distance")
+        state = checked(kept)
+    if c.cycles_mm is not None:
+        from . import graph  # graphs are built on voxels
+
+        thread = written(skeleton.select(KEY).join(state.select(KEY), KEY, "left_semi"), "skeleton")
+        thread = thread.join(thread.groupBy("case_id").agg(F.count("*").alias("n")).filter("n >= 10").select("case_id"), "case_id", "left_semi")
+        inside_mm = distance_transform(state.select(KEY), shapes).select(F.struct(*KEY).alias("node"), (F.col("distance") * c.spacing).alias("radius_mm"))
+        links, inside_mm = written(graph.neighbours(thread), "links"), written(inside_mm, "radii")
+        closing_links = written(graph.back_edges(links, inside_mm).filter(F.col("radius_mm") < c.cycles_mm), "cycles")
+        count(closing_links, "cycles_broken")
+        clear = stamp(closing_links.select("thin.*").distinct(), max(1, round(1.0 / c.spacing)))
+        state = checked(label(state.select(KEY).join(clear, KEY, "left_anti")))
+    done = remove_small(state, c.least_size)
+    for rows in stopped:
+        done = done.unionByName(rows)
+    done = written(done, "clean")
+    count(done, "output_voxels")
+    count(done, "output_components", True)
+    tall = found[0]
+    for rows in found[1:]:
+        tall = tall.unionByName(rows)
+    wide = tall.groupBy("case_id").pivot("metric", list(CLEANUP_METRICS)).agg(F.sum("n"))
+    metrics = shapes.select("case_id").distinct().join(wide, "case_id", "left").select("case_id", *(F.coalesce(m, F.lit(0).cast("long")).alias(m) for m in CLEANUP_METRICS))
+    return done.select(KEY), metrics

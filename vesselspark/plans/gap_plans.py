@@ -12,7 +12,7 @@ from .fixtures import MASKS, VOXELS, masks, points, table, voxels, with_ctes
 from .graph_plans import ORACLES as GRAPHS
 from .graph_plans import PLACE, RECURSIVE, components, g21_tip_classes, g22_gap_pairs, tips
 from .profile_plans import rounded
-from .voxel_plans import FACES, SHAPES, SURFACES, labelled, lerp, root, shapes
+from .voxel_plans import FACES, SHAPES, SMALL, SURFACES, cleaned_sql, labelled, lerp, root, shapes
 
 
 def v21_component_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,14 +141,14 @@ def g14_left_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a28_findings_from_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.count("*").over(Window.partitionBy("case_id", "seg_id"))
     rows = points(spark, sf_dir).withColumns({"n": n, "p2": (F.col("seg_id") % 5).cast("double")})
-    return gaps.findings_from_mask(masks(spark, sf_dir)[0], shapes(spark, sf_dir), rows, 4, 20).select("case_id", "seg_id", "artery_name", "severity", "location_idx")
+    return gaps.findings_from_mask(masks(spark, sf_dir)[0], shapes(spark, sf_dir), rows, SMALL).select("case_id", "seg_id", "artery_name", "severity", "location_idx")
 
 
 def a29_case_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Voxel counts and places of both masks: the truth resampled, the prediction thresholded."""
+    """All three masks: the truth resampled, the prediction thresholded, and that cleaned."""
     rows = voxels(spark, sf_dir)
-    truth, pred = gaps.case_masks(rows.withColumn("value", F.col("value") * 2), rows.withColumnRenamed("value", "p"), shapes(spark, sf_dir), (0.5, 0.5, 0.5), (0.8, 0.4, 0.5), 0.15)
-    return truth.withColumn("side", F.lit("truth")).unionByName(pred.withColumn("side", F.lit("pred")))
+    truth, pred, clean = gaps.case_masks(rows.withColumn("value", F.col("value") * 2), rows.withColumnRenamed("value", "p"), shapes(spark, sf_dir), (0.5, 0.5, 0.5), (0.8, 0.4, 0.5), 0.15, SMALL)
+    return truth.withColumn("side", F.lit("truth")).unionByName(pred.withColumn("side", F.lit("pred"))).unionByName(clean.withColumn("side", F.lit("clean")))
 
 
 def a25_evaluate_models(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,8 +212,8 @@ ORACLES = {
 SELECT case_id, n_tips, n_invalid, coalesce(n_pairs, 0) AS n_pairs, coalesce(n_connected, 0) AS n_connected, coalesce(n, 0) - coalesce(b, 0) AS voxels_added
 FROM (SELECT case_id, count(*) AS n_tips, count(*) FILTER (NOT is_valid) AS n_invalid FROM classes GROUP BY case_id) LEFT JOIN (SELECT case_id, count(*) AS n_pairs, count(*) FILTER (distance_mm < 2) AS n_connected FROM pairs GROUP BY case_id) USING (case_id)
 LEFT JOIN (SELECT case_id, count(*) AS b FROM pred GROUP BY 1) USING (case_id) LEFT JOIN (SELECT case_id, count(*) AS n FROM truth GROUP BY 1) USING (case_id)""",
-    "a29_case_masks": with_ctes(VOXELS, SHAPES, "grid AS (SELECT *, round_even(n0 * 0.625::DOUBLE, 0)::BIGINT AS m0, 10 AS m1, 8 AS m2 FROM shapes)", lerp("SELECT case_id, {'x': i, 'y': j, 'z': k} AS g, (i + 0.5::DOUBLE) * (n0 / m0::DOUBLE) - 0.5 AS p0, (j + 0.5::DOUBLE) * (n1 / m1::DOUBLE) - 0.5 AS p1, (k + 0.5::DOUBLE) * (n2 / m2::DOUBLE) - 0.5 AS p2 FROM grid, LATERAL (SELECT unnest(range(m0)) AS i), range(10) y(j), range(8) z(k)"),
-        select="SELECT case_id, g.x AS a0, g.y AS a1, g.z AS a2, 'truth' AS side FROM lerped WHERE value * 2 > 0.3 UNION ALL SELECT case_id, a0, a1, a2, 'pred' FROM voxels WHERE value >= 0.15"),
+    "a29_case_masks": with_ctes(VOXELS, SHAPES, "cut AS (SELECT case_id, a0, a1, a2 FROM voxels WHERE value >= 0.15)", *cleaned_sql("cut", SMALL, "c_"), "grid AS (SELECT *, round_even(n0 * 0.625::DOUBLE, 0)::BIGINT AS m0, 10 AS m1, 8 AS m2 FROM shapes)", lerp("SELECT case_id, {'x': i, 'y': j, 'z': k} AS g, (i + 0.5::DOUBLE) * (n0 / m0::DOUBLE) - 0.5 AS p0, (j + 0.5::DOUBLE) * (n1 / m1::DOUBLE) - 0.5 AS p1, (k + 0.5::DOUBLE) * (n2 / m2::DOUBLE) - 0.5 AS p2 FROM grid, LATERAL (SELECT unnest(range(m0)) AS i), range(10) y(j), range(8) z(k)"),
+        select="SELECT case_id, g.x AS a0, g.y AS a1, g.z AS a2, 'truth' AS side FROM lerped WHERE value * 2 > 0.3 UNION ALL SELECT case_id, a0, a1, a2, 'pred' FROM cut UNION ALL SELECT case_id, a0, a1, a2, 'clean' FROM c_clean").replace("WITH ", "WITH RECURSIVE ", 1),
     "a25_evaluate_models": with_ctes(VOXELS, "cuts AS (SELECT * FROM (VALUES ('low', 0.12::DOUBLE), ('high', 0.18::DOUBLE)) x(model, t))", f"pred AS (SELECT {PAIRED} FROM voxels, cuts WHERE value > t)", "sparse AS (SELECT * FROM pred)",
         f"truth AS (SELECT {PAIRED} FROM voxels, cuts WHERE value > 0.10::DOUBLE + 0.10::DOUBLE * ((a0 + a1 + a2) % 2) AND (model, case_id) IN (SELECT (case_id.model, case_id.case_id) FROM pred))", FACES, SURFACES, labelled(6),
         "o AS (SELECT case_id, count(p)::DOUBLE AS n_pred, count(t)::DOUBLE AS n_truth, count(*) FILTER (p AND t)::DOUBLE AS n_both FROM (SELECT *, true AS p FROM pred) FULL JOIN (SELECT *, true AS t FROM truth) USING (case_id, a0, a1, a2) GROUP BY case_id)",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import metrics, profile
 from ..operators import voxels as vox
+from ..session import written
 from .fixtures import MASKS, VOXELS, masks, voxels, with_ctes
 from .profile_plans import rounded, sql_round
 
@@ -163,9 +164,19 @@ def v16_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vox.bridge(rows, vox.component_sizes(rows).filter("place = 1"), shapes(spark, sf_dir), 1.2)
 
 
+#: Limits for small volumes: the default steps, and one that closes and bridges first, and one whose floor stops most cases.
+SMALL = vox.Cleanup(least_size=4, near_mm=1.2, floor=20)
+CLEANUPS = {"default": SMALL, "bridged": vox.Cleanup(least_size=4, closing=1, bridging_mm=1.2, bridge_radius_mm=0.5, near_mm=0.8, floor=20, trees=1), "floored": vox.Cleanup(least_size=3, near_mm=0.6, floor=90)}
+
+
 def v18_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cleaned prediction's counts after each step, with limits for small volumes."""
-    return vox.cleanup(masks(spark, sf_dir)[0], shapes(spark, sf_dir), least_size=4, floor=20)[1]
+    """The 13 metrics of the sparse mask's clean-up, by three configurations."""
+    sparse, wide = written(masks(spark, sf_dir)[2], "sparse"), written(shapes(spark, sf_dir), "shapes")
+    out = None
+    for name, config in CLEANUPS.items():
+        rows = vox.cleanup(sparse, wide, config)[1].withColumn("config", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def v19_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,7 +265,73 @@ V, M = VOXELS, MASKS
 DIST = f"""bg AS (SELECT {KEY} FROM voxels ANTI JOIN truth USING (case_id, a0, a1, a2)), dt AS (SELECT t.case_id, t.a0, t.a1, t.a2, min(sqrt((b.a0 - t.a0)^2 + (b.a1 - t.a1)^2 + (b.a2 - t.a2)^2)) AS distance FROM truth t JOIN bg b USING (case_id) GROUP BY ALL),
 bgp AS (SELECT {KEY} FROM voxels ANTI JOIN pred USING (case_id, a0, a1, a2)), dp AS (SELECT t.case_id, t.a0, t.a1, t.a2, min(sqrt((b.a0 - t.a0)^2 + (b.a1 - t.a1)^2 + (b.a2 - t.a2)^2)) AS distance FROM pred t JOIN bgp b USING (case_id) GROUP BY ALL)"""
 RECURSIVE = lambda k, select: with_ctes(V, M, labelled(k), select=select).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def labels_sql(mask: str, name: str) -> list[str]:
+    """Components of a mask over 26 neighbours, with their sizes, those protected, as CTEs that begin with name."""
+    near = "abs(s.a0 - r.a0) <= 1 AND abs(s.a1 - r.a1) <= 1 AND abs(s.a2 - r.a2) <= 1"
+    return [
+        f"{name}_reach AS (SELECT {KEY}, a0 * 64 + a1 * 8 + a2 AS root FROM {mask} UNION SELECT s.case_id, s.a0, s.a1, s.a2, r.root FROM {name}_reach r JOIN {mask} s ON s.case_id = r.case_id AND {near})",
+        f"{name} AS (SELECT {KEY}, min(root) AS root FROM {name}_reach GROUP BY ALL)",
+    ]
+
+
+def safe_sql(labels: str, name: str, c: vox.Cleanup) -> str:
+    return f"""{name} AS (SELECT case_id, root FROM (SELECT case_id, root, count(*) AS n, sum(count(*)) OVER (PARTITION BY case_id) AS whole, row_number() OVER (PARTITION BY case_id ORDER BY count(*) DESC, root) AS place FROM {labels} GROUP BY case_id, root)
+  WHERE place <= {c.trees} AND n >= greatest(1, floor(whole * {c.share}::DOUBLE)))"""
+
+
+def near_sql(labels: str, safe: str, reach: float) -> str:
+    """Pairs of a component's voxel that is not safe and a safe one within reach voxels."""
+    return f"""SELECT x.case_id, x.root, sqrt((x.a0 - y.a0)^2 + (x.a1 - y.a1)^2 + (x.a2 - y.a2)^2) AS d, x.a0 AS s0, x.a1 AS s1, x.a2 AS s2, y.a0 AS e0, y.a1 AS e1, y.a2 AS e2 FROM {labels} x ANTI JOIN {safe} USING (case_id, root)
+  JOIN (SELECT * FROM {labels} SEMI JOIN {safe} USING (case_id, root)) y ON y.case_id = x.case_id AND (x.a0 - y.a0)^2 + (x.a1 - y.a1)^2 + (x.a2 - y.a2)^2 <= {reach}::DOUBLE ^ 2 + 1e-9"""
+
+
+def cleaned_sql(mask: str, c: vox.Cleanup, p: str) -> list[str]:
+    """CTEs of a clean-up with closing once or not at all, bridges or none, and the distance filter; {p}clean is its mask, labelled."""
+    out = []
+    if c.closing:
+        out += [
+            f"{p}grown AS (SELECT {KEY} FROM {mask} UNION SELECT case_id, a0 + d0, a1 + d1, a2 + d2 FROM {mask} CROSS JOIN faces JOIN shapes USING (case_id) WHERE a0 + d0 BETWEEN 0 AND n0 - 1 AND a1 + d1 BETWEEN 0 AND 7 AND a2 + d2 BETWEEN 0 AND 7)",
+            f"{p}shut AS (SELECT {KEY} FROM {count_faces(p + 'grown')} WHERE n = 6)",
+            f"{p}bad AS (SELECT case_id FROM (SELECT case_id, count(*) AS n FROM {mask} GROUP BY 1) JOIN (SELECT case_id, count(*) AS m FROM {p}shut GROUP BY 1) USING (case_id) WHERE m > 2 * n)",
+            f"{p}closed AS (SELECT {KEY} FROM {p}shut WHERE case_id NOT IN (SELECT case_id FROM {p}bad) UNION ALL SELECT {KEY} FROM {mask} WHERE case_id IN (SELECT case_id FROM {p}bad))",
+        ]
+    else:
+        out.append(f"{p}closed AS (SELECT {KEY} FROM {mask})")
+    stays = lambda labels, goes, rest: [f"{goes} AS (SELECT * FROM {labels} WHERE case_id IN (SELECT case_id FROM {labels} GROUP BY case_id HAVING count(*) >= {c.floor}))", f"{rest} AS (SELECT * FROM {labels} ANTI JOIN (SELECT DISTINCT case_id FROM {goes}) USING (case_id))"]
+    big = lambda labels: f"SELECT * FROM {labels} SEMI JOIN (SELECT case_id, root FROM {labels} GROUP BY ALL HAVING count(*) >= {c.least_size}) USING (case_id, root)"
+    out += [*labels_sql(mask, p + "l0"), *labels_sql(p + "closed", p + "l1"), f"{p}k1 AS ({big(p + 'l1')})", *stays(p + "k1", p + "g1", p + "stop1")]
+    if c.bridging_mm:
+        out += [
+            safe_sql(p + "g1", p + "safe1", c), f"{p}gaps AS ({near_sql(p + 'g1', p + 'safe1', c.bridging_mm / c.spacing)} QUALIFY row_number() OVER (PARTITION BY x.case_id, x.root ORDER BY d, s0, s1, s2, e0, e1, e2) = 1)",
+            f"{p}line AS (SELECT case_id, " + ", ".join(f"round_even(s{k} + i / ceil(d) * (e{k} - s{k}), 0)::BIGINT AS a{k}" for k in range(3)) + f" FROM {p}gaps, LATERAL (SELECT unnest(range(ceil(d)::BIGINT + 1)) AS i))",
+            f"{p}joined AS (SELECT {KEY} FROM {p}g1 UNION SELECT {KEY} FROM {p}line UNION SELECT case_id, a0 + d0, a1 + d1, a2 + d2 FROM {p}line CROSS JOIN faces JOIN shapes USING (case_id) WHERE a0 + d0 BETWEEN 0 AND n0 - 1 AND a1 + d1 BETWEEN 0 AND 7 AND a2 + d2 BETWEEN 0 AND 7)",
+            *labels_sql(p + "joined", p + "l2"),
+        ]
+    else:
+        out.append(f"{p}l2 AS (SELECT * FROM {p}g1)")
+    out += [
+        safe_sql(p + "l2", p + "safe2", c), f"{p}k2 AS (SELECT * FROM {p}l2 SEMI JOIN (SELECT case_id, root FROM {p}safe2 UNION SELECT case_id, root FROM ({near_sql(p + 'l2', p + 'safe2', c.near_mm / c.spacing)})) USING (case_id, root))",
+        *stays(p + "k2", p + "g2", p + "stop2"), f"{p}clean AS ({big(p + 'g2')} UNION ALL SELECT * FROM {p}stop1 UNION ALL SELECT * FROM {p}stop2)",
+    ]
+    return out
+
+
+def cleanup_metrics_sql(name: str, c: vox.Cleanup) -> str:
+    p = name[0] + "_"
+    n = lambda t, what="*": f"(SELECT case_id, count({what}) AS n FROM {t} GROUP BY case_id)"
+    metrics = {
+        "input_voxels": n("sparse"), "input_components": n(p + "l0", "DISTINCT root"), "voxels_after_closing": n(p + "closed"), "voxels_after_smoothing": n(p + "closed"), "components_after_initial_removal": n(p + "k1", "DISTINCT root"),
+        "voxels_after_initial_removal": n(p + "k1"), "bridges_added": n(p + "gaps") if c.bridging_mm else None, "voxels_after_bridging": n(p + "l2"), "components_removed_shape": None,
+        "components_removed_distance": f"(SELECT case_id, count(DISTINCT root) AS n FROM {p}l2 ANTI JOIN {p}k2 USING (case_id, root) GROUP BY case_id)", "cycles_broken": None, "output_voxels": n(p + "clean"), "output_components": n(p + "clean", "DISTINCT root"),
+    }
+    columns = ", ".join(f"coalesce({m}.n, 0) AS {m}" if sql else f"0 AS {m}" for m, sql in metrics.items())
+    return f"SELECT shapes.case_id, '{name}' AS config, {columns} FROM shapes " + " ".join(f"LEFT JOIN {sql} {m} ON {m}.case_id = shapes.case_id" for m, sql in metrics.items() if sql)
+
+
 ORACLES = {
+    "v18_cleanup": with_ctes(V, M, SHAPES, FACES, *(x for name, c in CLEANUPS.items() for x in cleaned_sql("sparse", c, name[0] + "_")), select=" UNION ALL ".join(cleanup_metrics_sql(n, c) for n, c in CLEANUPS.items())).replace("WITH ", "WITH RECURSIVE ", 1),
     "p3_window_and_presets": with_ctes(V, select=f"SELECT case_id, {CLIP.format(-0.5, 0.7)} AS \"window\", {CLIP.format(-3, 3)} AS \"default\", {CLIP.format(-1, 2)} AS vessel_enhancement, {CLIP.format(-2, 1)} AS soft_tissue FROM voxels GROUP BY case_id"),
     "p4_zscore": with_ctes(V, select=f"SELECT {KEY}, round(greatest(-2, least(2, (value - m) / s)), 6) AS z FROM voxels JOIN (SELECT case_id, avg(value) AS m, greatest(stddev_pop(value), 1e-6) AS s FROM voxels GROUP BY case_id) USING (case_id)"),
     "p5_binarize": with_ctes(V, M, select="SELECT case_id, n_pred, n_truth, n_sparse FROM (SELECT case_id, count(*) AS n_pred FROM pred GROUP BY case_id) FULL JOIN (SELECT case_id, count(*) AS n_truth FROM truth GROUP BY case_id) USING (case_id) FULL JOIN (SELECT case_id, count(*) AS n_sparse FROM sparse GROUP BY case_id) USING (case_id)"),
