@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import maybe_broadcast, written
+
 from ..functions.scalars import ARTERIES, grade, severity
 
 POSITIVE = 25.0
@@ -132,22 +134,35 @@ def hash_draw(seed: int, n: Column, *parts: Column) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long"), n)
 
 
-def bootstrap(cases: DataFrame, metric: Column, keys: list[str], order: str, iterations: int = 1000, ci: float = 0.95, seed: int = 42) -> DataFrame:
+def numbered(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """rows with __at, their number from 0 in each group of keys by `order`, and __n, the group's rows. Groups are cut by a range partitioning and numbered where they lie; only
+    each part's size is summed, so a group needs no task of its own."""
+    parts = rows.repartitionByRange(*keys, order).sortWithinPartitions(*keys, order)
+    parts = written(parts.withColumns({"__part": F.spark_partition_id(), "__row": F.monotonically_increasing_id()}), "parts")
+    by = Window.partitionBy(*keys)
+    sizes = parts.groupBy(*keys, "__part").agg(F.count("*").alias("__size"), F.min("__row").alias("__first"))
+    before = F.coalesce(F.sum("__size").over(by.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumns({"__before": before, "__n": F.sum("__size").over(by)}).drop("__size")
+    return parts.join(sizes, [*keys, "__part"]).withColumn("__at", F.col("__before") + F.col("__row") - F.col("__first")).drop("__part", "__row", "__first", "__before")
+
+
+def bootstrap(cases: DataFrame, metric: Column, keys: list[str], order: str, iterations: int = 1000, ci: float = 0.95, seed: int = 42, broadcast_rows: int = 100_000) -> DataFrame:
     """Point estimate and percentile interval of an aggregate expression over cases drawn with replacement within each group of keys.
 
-    Draw j of iteration i takes the case whose place in `order` is a hash of seed, i and j, so that every metric sees the same draws.
+    Draw j of iteration i takes the case whose place in `order` is a hash of seed, i and j, so that every metric sees the same draws. Draws meet the cases where they are made,
+    as long as the counted cases may be broadcast, and are summed before any shuffle.
     """
-    by = Window.partitionBy(*keys)
-    placed = cases.withColumn("__at", F.row_number().over(by.orderBy(order)).cast("long") - 1).withColumn("__n", F.count("*").over(by))
+    placed = written(numbered(cases, keys, order), "placed")
     point = cases.groupBy(*keys).agg(metric.alias("point"))
-    draws = placed.select(*keys, F.col("__at").alias("__j"), "__n").withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+    draws = placed.select(*keys, F.col("__at").alias("__j"), "__n").repartition(*keys, "__j").withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
     draws = draws.withColumn("__at", hash_draw(seed, F.col("__n"), F.col("__i"), F.col("__j"))).drop("__n", "__j")
-    values = draws.join(placed.drop("__n"), [*keys, "__at"]).groupBy(*keys, "__i").agg(metric.alias("v"))
+    values = draws.join(maybe_broadcast(placed.drop("__n"), placed.count(), broadcast_rows), [*keys, "__at"]).groupBy(*keys, "__i").agg(metric.alias("v"))
     alpha = (1 - ci) / 2
     ends = values.groupBy(*keys).agg(F.percentile("v", F.lit(alpha)).alias("lower"), F.percentile("v", F.lit(1 - alpha)).alias("upper"))
     return point.join(ends, keys)
 
 
+
 def comparison_text(comparison: DataFrame, keys: list[str]) -> DataFrame:
     """A report a case: a line an artery in the usual order, then the counts."""
     line = F.format_string("%-4s reader %-8s %5.1f%%  pipeline %-8s %5.1f%%  %s", "artery", "gt_severity", "gt_pct", "pipe_severity", "pipe_pct", "classification")

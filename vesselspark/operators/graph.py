@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..components import connected_components, list_ranks
 from ..functions import scalars
 from ..session import drop_written, written
+from . import profile
 from . import voxels as vox
 
 
@@ -108,6 +109,31 @@ def resample_curve(points: DataFrame, step_mm: float = 0.3, keys: tuple[str, ...
     return long.unionByName(short)
 
 
+def radius_profile(raw: DataFrame, resampled: DataFrame, distance: DataFrame, shapes: DataFrame, spacing: float = 0.5, sigma_mm: float = 1.0) -> DataFrame:
+    """Points (case_id, seg_id, idx, p0..p2) with arc_mm, length_mm, radius_mm (the distance map, in voxels, sampled there) and r, that smoothed along the segment.
+
+    A segment's resampled points count, unless one of them lies where the distance is 0 and they are not as many as the raw ones: then the curve has left the mask and the raw
+    points count. Segments of fewer than three points are not smoothed.
+    """
+    place = ["p0", "p1", "p2"]
+
+    def sampled(points: DataFrame) -> DataFrame:
+        points = points.select("case_id", F.struct("seg_id", "idx").alias("point_id"), *place)
+        value = vox.sample_points(points, distance, shapes).select("case_id", "point_id", (F.col("value") * spacing).alias("radius_mm"))
+        rows = points.join(value, ["case_id", "point_id"], "left").select("case_id", "point_id.seg_id", "point_id.idx", *place, F.coalesce("radius_mm", F.lit(0.0)).alias("radius_mm"))
+        return rows
+
+    first = written(sampled(resampled), "sampled")
+    size = lambda rows, n: rows.groupBy("case_id", "seg_id").agg(F.count("*").alias(n))
+    low = first.groupBy("case_id", "seg_id").agg(F.min("radius_mm").alias("low"), F.count("*").alias("n"))
+    outside = written(low.join(size(raw, "m"), ["case_id", "seg_id"]).filter("low <= 0 and n <> m").select("case_id", "seg_id"), "outside")
+    again = sampled(raw.join(outside, ["case_id", "seg_id"], "left_semi"))
+    points = first.join(outside, ["case_id", "seg_id"], "left_anti").unionByName(again)
+    rows = profile.smooth(arc_length(points, spacing), "radius_mm", "r", max(1.0, sigma_mm / spacing), ["case_id", "seg_id"])
+    n = F.count("*").over(Window.partitionBy("case_id", "seg_id"))
+    return rows.withColumn("r", F.when(n >= 3, F.col("r")).otherwise(F.col("radius_mm")))
+
+
 def tree_summary(points: DataFrame, nodes: DataFrame) -> DataFrame:
     """Per case total length, segments, bifurcations, endpoints and radii."""
     lengths = points.groupBy("case_id", "seg_id").agg(F.max("length_mm").alias("length_mm")).groupBy("case_id").agg(F.sum("length_mm").alias("total_length_mm"), F.count("*").alias("n_segments"))

@@ -314,6 +314,15 @@ def component_sizes(labelled: DataFrame) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("size"), "component")))
 
 
+def pooled_sizes(labelled: DataFrame, least: int = 100) -> DataFrame:
+    """(case_id, component, size, place, n_components): the components of `least` voxels or more, largest first, and after them one row without component and place for all smaller ones of a case."""
+    sizes = component_sizes(labelled)
+    large = sizes.filter(F.col("size") >= least).select("case_id", "component", "size", "place", F.lit(1).cast("long").alias("n_components"))
+    none = lambda c: F.when(F.lit(False), F.first(c)).alias(c)
+    rest = sizes.filter(F.col("size") < least).groupBy("case_id").agg(none("component"), F.sum("size").alias("size"), none("place"), F.count("*").alias("n_components"))
+    return large.unionByName(rest)
+
+
 def protected(sizes: DataFrame, trees: int = 3, share: float = 0.05) -> DataFrame:
     """The largest components that hold a share of the case's voxels."""
     total = F.sum("size").over(Window.partitionBy("case_id"))

@@ -135,9 +135,9 @@ def a21_cohort_row(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a22_tier3_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Oracle rows (of two models here) and cohort rows (of two others) joined whole."""
-    oracle = a19_oracle_cohort(spark, sf_dir).filter("model < 2").select("model", F.col("agreement_rate").alias("oracle_agreement"), "miss_rate", "extra_rate")
-    cohort = compare.with_rates(compare.case_comparison(a13_artery_comparison(spark, sf_dir), KEYS).groupBy("model").agg(*(F.sum(c).alias(c) for c in ("tp", "tn", "fp", "fn")))).filter("model > 0")
+    """Oracle rows and cohort rows joined whole; the cohort's models are numbered from 1, so each side has one that the other lacks."""
+    oracle = a19_oracle_cohort(spark, sf_dir).select("model", F.col("agreement_rate").alias("oracle_agreement"), "miss_rate", "extra_rate")
+    cohort = compare.with_rates(compare.case_comparison(a13_artery_comparison(spark, sf_dir), KEYS).groupBy("model").agg(*(F.sum(c).alias(c) for c in ("tp", "tn", "fp", "fn")))).withColumn("model", F.col("model") + 1)
     return rounded(oracle.join(cohort.select("model", "sensitivity", "specificity"), "model", "full"))
 
 
@@ -207,8 +207,8 @@ ORACLES = {
     "a21_cohort_row": with_ctes(*C, SIDES, BOOT, KAPPA4, KAPPA_SIDE, select=f"""SELECT model, a.tp, a.tn, a.fp, a.fn, n_cases, {sql_round('agreement_rate within_one_rate sensitivity specificity kappa side_sensitivity side_specificity side_kappa side_max_agreement lower upper')}
   FROM (SELECT *, {RATES} FROM (SELECT model, sum(tp)::BIGINT AS tp, sum(tn)::BIGINT AS tn, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, avg(agreement_rate) AS agreement_rate, avg(within_one_rate) AS within_one_rate, count(*) AS n_cases FROM by_case GROUP BY model)) a
   JOIN kappa_of USING (model) JOIN interval_of USING (model) JOIN (SELECT model, {RATES.replace('sensitivity', 'side_sensitivity').replace('specificity', 'side_specificity')}, {KAPPA2} AS side_kappa, side_max_agreement FROM side_po) s USING (model)"""),
-    "a22_tier3_row": with_ctes(*C, ORACLE, COHORT, select=f"""SELECT model, {sql_round('oracle_agreement miss_rate extra_rate sensitivity specificity')} FROM (SELECT model, agreement_rate AS oracle_agreement, miss_rate, extra_rate FROM cohort WHERE model < 2)
-  FULL JOIN (SELECT model, {RATES} FROM (SELECT model, sum(tp) AS tp, sum(tn) AS tn, sum(fp) AS fp, sum(fn) AS fn FROM by_case WHERE model > 0 GROUP BY model)) USING (model)"""),
+    "a22_tier3_row": with_ctes(*C, ORACLE, COHORT, select=f"""SELECT model, {sql_round('oracle_agreement miss_rate extra_rate sensitivity specificity')} FROM (SELECT model, agreement_rate AS oracle_agreement, miss_rate, extra_rate FROM cohort)
+  FULL JOIN (SELECT model + 1 AS model, {RATES} FROM (SELECT model, sum(tp) AS tp, sum(tn) AS tn, sum(fp) AS fp, sum(fn) AS fn FROM by_case GROUP BY model)) USING (model)"""),
     "a27_comparison_text": with_ctes(*C, select=f"SELECT model, case_id, string_agg({LINE}, chr(10) ORDER BY list_position(['LM', 'LAD', 'LCx', 'RCA'], artery)) || chr(10) || 'agreement ' || count(*) FILTER (severity_match) || '/4' AS report FROM comparison GROUP BY ALL"),
     "p8_severity_and_confidence": with_ctes(GRADED, select=f"""SELECT finding_id, {SEV.format('gt_pct')} AS severity, round(least(1, least(1, gt_pct / 100 + 0.3) * (0.5 + 0.2 * least(1, pred_pct / 60) + 0.15 * least(1, ref_radius * 3 / 5) + 0.15 * least(1, case_id % 13 / 10.0))), 6) AS confidence,
   round(least(1, least(1, gt_pct / 100 + 0.3) * (0.7 + 0.3 * least(1, pred_pct / 60))), 6) AS by_length FROM graded"""),

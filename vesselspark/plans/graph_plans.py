@@ -9,7 +9,7 @@ from ..operators import graph, profile
 from ..operators import voxels as vox
 from .fixtures import MASKS, POINTS, VOXELS, graded, masks, points, voxels, with_ctes
 from .profile_plans import rounded
-from .voxel_plans import SHAPES, labelled, root, shapes
+from .voxel_plans import SHAPES, WEIGHTS, labelled, lerp, mirror, root, shapes
 
 PLACE = lambda c: F.col(f"{c}.a0") * 64 + F.col(f"{c}.a1") * 8 + F.col(f"{c}.a2")
 NEAR = "abs(s.a0 - r.a0) <= 1 AND abs(s.a1 - r.a1) <= 1 AND abs(s.a2 - r.a2) <= 1 AND (s.a0, s.a1, s.a2) <> (r.a0, r.a1, r.a2)"
@@ -69,6 +69,14 @@ def g7_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.withColumns({c: F.col(c) + 1.3e-6 for c in ("arc_mm", "p0", "p1", "p2")}), 4)
 
 
+def g8_radius_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second point, moved, as the resampled curve; segments that leave the positive voxels take all their points."""
+    rows = points(spark, sf_dir).select("case_id", "seg_id", F.col("idx").cast("int").alias("idx"), (F.col("idx") * 0.7).alias("p0"), (F.col("seg_id") % 8).cast("double").alias("p1"), (F.col("idx") * 0.37).alias("p2"))
+    fine = rows.filter("idx % 2 = 0").withColumns({"idx": F.floor(F.col("idx") / 2).cast("int"), "p0": F.col("p0") + 0.25})
+    distance = voxels(spark, sf_dir).withColumn("value", F.greatest(F.lit(0.0), F.col("value") + 0.08))
+    return rounded(graph.radius_profile(rows, fine, distance, shapes(spark, sf_dir)).select("case_id", "seg_id", "idx", "radius_mm", "r"))
+
+
 def g9_tree_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = points(spark, sf_dir)
     nodes = rows.select("case_id", (F.col("seg_id") % 4 == 0).alias("is_bifurcation"), (F.col("idx") == 0).alias("is_endpoint"))
@@ -182,7 +190,7 @@ def v20_tube(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    g1_links, g2_degrees, g3_merged_bifurcations, g3_moved_links, g5_segments, g6_arc_length, g7_resampled, g9_tree_summary, g10_segment_component, g11_territories, g12_merged_components, g13_segment_labels, g16_shortest_paths,
+    g1_links, g2_degrees, g3_merged_bifurcations, g3_moved_links, g5_segments, g6_arc_length, g7_resampled, g8_radius_profile, g9_tree_summary, g10_segment_component, g11_territories, g12_merged_components, g13_segment_labels, g16_shortest_paths,
     g19_tip_directions, g21_tip_classes, g22_gap_pairs, g27_path_checks, g28_gap_decision, g33_regions, v17_cycles, v17_back_edges, v17_break_cycles, v20_tube,
 )}
 B = (VOXELS, MASKS)
@@ -225,6 +233,12 @@ ORACLES = {
         "samples AS (SELECT case_id, seg_id, len, unnest(range(m)) AS j, len / (m - 1) AS gap FROM ends WHERE n >= 4 AND len > 0)",
         "placed AS (SELECT s.*, p0, p1, p2, q0, q1, q2, least(1, greatest(0, (j * gap - arc_mm) / (arc_next - arc_mm))) AS t FROM samples s JOIN pieces p ON p.case_id = s.case_id AND p.seg_id = s.seg_id AND arc_next > arc_mm AND arc_mm <= j * gap + 1e-9 AND (arc_next > j * gap + 1e-9 OR arc_next >= len))",
         select="SELECT case_id, seg_id, j::INT AS idx, round(j * gap + 1.3e-6, 4) AS arc_mm, round(p0 + t * (q0 - p0) + 1.3e-6, 4) AS p0, round(p1 + t * (q1 - p1) + 1.3e-6, 4) AS p1, round(p2 + t * (q2 - p2) + 1.3e-6, 4) AS p2 FROM placed UNION ALL SELECT case_id, seg_id, idx::INT, round(arc_mm + 1.3e-6, 4), round(p0 + 1.3e-6, 4), round(p1 + 1.3e-6, 4), round(p2 + 1.3e-6, 4) FROM arcs JOIN ends USING (case_id, seg_id) WHERE n < 4 OR len = 0"),
+    "g8_radius_profile": with_ctes(VOXELS, SHAPES, POINTS, "dist AS (SELECT case_id, a0, a1, a2, greatest(0, value + 0.08::DOUBLE) AS value FROM voxels)",
+        lerp("SELECT case_id, {'kind': kind, 'seg_id': seg_id, 'idx': idx} AS g, p0, p1, p2 FROM (SELECT 'raw' AS kind, case_id, seg_id, idx, idx * 0.7::DOUBLE AS p0, (seg_id % 8)::DOUBLE AS p1, idx * 0.37::DOUBLE AS p2 FROM points UNION ALL SELECT 'fine', case_id, seg_id, idx // 2, idx * 0.7::DOUBLE + 0.25, (seg_id % 8)::DOUBLE, idx * 0.37::DOUBLE FROM points WHERE idx % 2 = 0)").replace("JOIN voxels v", "JOIN dist v"),
+        "radii AS (SELECT case_id, g.kind AS kind, g.seg_id AS seg_id, g.idx AS idx, value * 0.5::DOUBLE AS radius_mm, count(*) OVER (PARTITION BY case_id, g.seg_id, g.kind) AS n, min(value) FILTER (g.kind = 'fine') OVER (PARTITION BY case_id, g.seg_id) AS low, count(*) FILTER (g.kind = 'raw') OVER (PARTITION BY case_id, g.seg_id) AS n_raw, count(*) FILTER (g.kind = 'fine') OVER (PARTITION BY case_id, g.seg_id) AS n_fine FROM lerped)",
+        "own AS (SELECT * FROM radii WHERE kind = CASE WHEN low <= 0 AND n_raw <> n_fine THEN 'raw' ELSE 'fine' END)", f"taps AS (SELECT * FROM (VALUES {WEIGHTS[2.0]}) t(k, w))",
+        f"smoothed AS (SELECT o.case_id, o.seg_id, o.idx, sum(w * v.radius_mm) AS r FROM own o CROSS JOIN taps JOIN own v ON v.case_id = o.case_id AND v.seg_id = o.seg_id AND v.idx = {mirror('o.idx + k', 'o.n')} GROUP BY ALL)",
+        select="SELECT case_id, seg_id, idx::INT AS idx, round(radius_mm, 6) AS radius_mm, round(CASE WHEN n >= 3 THEN r ELSE radius_mm END, 6) AS r FROM own JOIN smoothed USING (case_id, seg_id, idx)"),
     "g10_segment_component": with_ctes(VOXELS, POINTS, "n AS (SELECT case_id, seg_id, count(*) AS n FROM points GROUP BY ALL)", "tags AS (SELECT case_id, seg_id, unnest([n // 2, n // 4, n // 2, 3 * n // 4]) AS idx, unnest([true, false, false, false]) AS mid FROM n)",
         "spot AS (SELECT t.case_id, t.seg_id, mid, v.a0 % 3 AS component FROM tags t JOIN points p USING (case_id, seg_id, idx) LEFT JOIN voxels v ON v.value > 0 AND v.case_id = p.case_id AND v.a0 = round_even(p.p0, 0) AND v.a1 = t.seg_id % 8 AND v.a2 = t.idx % 8)",
         "middle AS (SELECT case_id, seg_id, max(component) FILTER (mid) AS middle FROM spot GROUP BY ALL)", "votes AS (SELECT case_id, seg_id, component, count(*) AS v FROM spot WHERE NOT mid AND component IS NOT NULL GROUP BY ALL)",

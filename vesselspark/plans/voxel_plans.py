@@ -141,6 +141,11 @@ def v12_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("case_id", root(), "size", "place", (F.col("size") >= 3).alias("stays"))
 
 
+def t7_pooled_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of 4 voxels or more in order, all smaller ones of a case as one row."""
+    return vox.pooled_sizes(vox.components(masks(spark, sf_dir)[2]), 4).select("case_id", root(), "size", "place", "n_components")
+
+
 def v13_protected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vox.protected(vox.component_sizes(vox.components(masks(spark, sf_dir)[2]))).select("case_id", root(), "size")
 
@@ -234,7 +239,7 @@ def w2_long_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p3_window_and_presets, p4_zscore, p5_binarize, p6_reorient, p7_millimetres, v1_slice, v2_boxes, v4_resample, v5_sample_points, v6_nearest_value, v3_crop_wide, v7_blur, v7_smooth_mask, v8_surface, v9_close_holes, v10_distance, v11_components, v12_sizes, v13_protected,
+    p3_window_and_presets, p4_zscore, p5_binarize, p6_reorient, p7_millimetres, v1_slice, v2_boxes, v4_resample, v5_sample_points, v6_nearest_value, v3_crop_wide, v7_blur, v7_smooth_mask, v8_surface, v9_close_holes, v10_distance, v11_components, v12_sizes, t7_pooled_sizes, v13_protected,
     v14_keep_near, v15_elongation, v16_bridge, v18_cleanup, v19_stamp, g15_line_inside, v22_stitch, v23_overlay, a1_overlap, a3_surface_metrics, a6_radius_error, a8_component_metrics, u1_set_operations, w2_long_kernel,
 )}
 WEIGHTS = {s: ", ".join(f"({k}, {w!r}::DOUBLE)" for k, w in enumerate(profile.gaussian_weights(s), -len(profile.gaussian_weights(s)) // 2 + 1)) for s in (0.5, 1.0, 2.0)}
@@ -358,6 +363,7 @@ ORACLES = {
     "v10_distance": with_ctes(V, M, DIST, select=f"SELECT {KEY}, round(distance, 6) AS distance FROM dt"),
     "v11_components": RECURSIVE(26, f"SELECT {KEY}, root FROM labelled"),
     "v12_sizes": RECURSIVE(26, "SELECT case_id, root, size, place::INT AS place, size >= 3 AS stays FROM sizes"),
+    "t7_pooled_sizes": RECURSIVE(26, "SELECT case_id, root, size, place::INT AS place, 1 AS n_components FROM sizes WHERE size >= 4 UNION ALL SELECT case_id, NULL, sum(size)::BIGINT, NULL, count(*) FROM sizes WHERE size < 4 GROUP BY case_id"),
     "v13_protected": RECURSIVE(26, "SELECT case_id, root, size FROM (SELECT *, sum(size) OVER (PARTITION BY case_id) AS total FROM sizes) WHERE place <= 3 AND size >= greatest(1, floor(total * 0.05))"),
     "v14_keep_near": RECURSIVE(26, f"""SELECT {KEY}, root FROM labelled WHERE (case_id, root) IN (SELECT (case_id, root) FROM sizes WHERE place = 1
   UNION ALL SELECT (x.case_id, x.root) FROM labelled x JOIN labelled y ON x.case_id = y.case_id JOIN sizes s ON s.case_id = y.case_id AND s.root = y.root AND s.place = 1 WHERE sqrt((x.a0 - y.a0)^2 + (x.a1 - y.a1)^2 + (x.a2 - y.a2)^2) <= 1.2 / 0.5)"""),
