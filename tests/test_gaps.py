@@ -1,5 +1,6 @@
 """Gap operators on hand-made shapes."""
 
+import collections
 import heapq
 import itertools
 import math
@@ -42,6 +43,69 @@ def test_cheapest_path(spark):
         assert path[0] == start and path[-1] == end and math.isclose(price(path), far[end])
 
 
+def test_long_path(spark, monkeypatch):
+    """A straight path takes a round for every few of its steps, and doubling reads it off."""
+    names = collections.Counter()
+    for module in (gaps, graph):
+        monkeypatch.setattr(module, "written", lambda df, name="table", own=module.written: (names.update([name]), own(df, name))[1])
+    n = 60
+    roi = spark.createDataFrame([(1, k, 0, 0, 0.5) for k in range(n)], "gap_id int, a0 int, a1 int, a2 int, cost double")
+    ends = spark.createDataFrame([(1, (0, 0, 0), (n - 1, 0, 0))], "gap_id int, a struct<a0: int, a1: int, a2: int>, b struct<a0: int, a1: int, a2: int>")
+    got = sorted((r.idx, r.a0) for r in gaps.cheapest_paths(ends, roi, 4).collect())
+    assert got == [(k, k) for k in range(n)]
+    assert names["front"] <= n / 4 + 2 and names["way"] < 10
+
+
+def test_label_near(spark):
+    """The voxel's own label; else the most frequent one of the smallest cube that holds any."""
+    rows = [(0, 5, 5, 5, "own"), (0, 20, 20, 22, "far"), (0, 20, 21, 21, "ring"), (0, 21, 21, 21, "ring"), (0, 19, 20, 20, "alone"), (0, 40, 40, 43, "edge"), (0, 60, 60, 64, "out")]
+    labelled = spark.createDataFrame(rows, KEY + ", component string")
+    ends = spark.createDataFrame([(0, 1, 5, 5, 5), (0, 2, 20, 20, 20), (0, 3, 40, 40, 40), (0, 4, 60, 60, 60)], "case_id int, id int, a0 int, a1 int, a2 int")
+    assert {r.id: r.component for r in gaps.label_near(ends, labelled).collect()} == {1: "own", 2: "ring", 3: "edge"}
+
+
+def test_corners_do_not_connect(spark):
+    left, right = [(k, 0, 0) for k in range(30)], [(k, 1, 1) for k in range(32, 62)]
+    ends = spark.createDataFrame([(0, 7, (29, 0, 0), (32, 1, 1))], "case_id int, gap_id int, a struct<a0: int, a1: int, a2: int>, b struct<a0: int, a1: int, a2: int>")
+    tube = spark.createDataFrame([(0, 7, 30, 0, 0), (0, 7, 31, 0, 0)], "case_id int, gap_id int, a0 int, a1 int, a2 int")
+    merged, verified = gaps.merge_bridges(rows_of(spark, left + right), tube, ends, least_new=2, least_size=10)
+    row = verified.first()
+    assert merged.count() == 62 and row.applied and not row.connected
+    more = tube.union(spark.createDataFrame([(0, 7, 31, 1, 0), (0, 7, 31, 1, 1)], tube.schema))
+    assert gaps.merge_bridges(rows_of(spark, left + right), more, ends, least_new=2, least_size=10)[1].first().connected
+
+
+def test_tapered_tube(spark):
+    path = [(k, 20, 20) for k in range(11)]
+    paths = spark.createDataFrame([(0, 1, k, *p) for k, p in enumerate(path)], "case_id int, gap_id int, idx int, a0 int, a1 int, a2 int")
+    ends = spark.createDataFrame([(1, 1.0, 8.0)], "gap_id int, radius_a double, radius_b double")
+    got = {(r.a0, r.a1, r.a2) for r in vox.stamp(vox.tapered(paths, ends), F.col("radius")).collect()}
+    want = set()
+    for k, p in enumerate(path):
+        r = max(1, round(1.5 * (1 - k / 10) + 0.7 * 8.0 * k / 10))
+        want |= {tuple(x + y for x, y in zip(p, o, strict=True)) for o in vox.ball(r)}
+    assert got == want
+
+
+def test_resegment_searches(spark):
+    """A gap that a threshold joins, the same with a weak place that only a path gets through, and one too weak for either."""
+    ends, roi, line = [], [], [(k, 3, 3) for k in range(13)]
+    for gap, inside in ((1, 0.9), (2, 0.3)):
+        ends.append((gap, (0, 3, 3), (12, 3, 3), 2.0, 2.0))
+        roi += [(gap, *p, inside if p in line else 0.05, 0.5, p in (line[0], line[-1]), True) for p in itertools.product(range(13), range(7), range(7))]
+    gaps_, regions = spark.createDataFrame(ends, "gap_id int, a struct<a0: int, a1: int, a2: int>, b struct<a0: int, a1: int, a2: int>, radius_a double, radius_b double"), spark.createDataFrame(roi, "gap_id int, a0 int, a1 int, a2 int, p double, p_main double, in_mask boolean, in_tube boolean")
+    # a tube along the line only, so that the mean there is what the line has
+    regions = regions.withColumn("in_tube", F.expr("abs(a1 - 3) + abs(a2 - 3) <= 1"))
+    details, new = gaps.resegment(gaps_, regions)
+    rows = {r.gap_id: r for r in details.collect()}
+    # over the threshold along the line: 11 new voxels join the ends
+    assert rows[1].strategy == "probability_threshold" and rows[1].n_new == 11 and math.isclose(rows[1].avg_probability, 0.9)
+    thin = regions.withColumn("p", F.expr("if(a0 = 6, 0.08, p)"))
+    rows = {r.gap_id: r for r in gaps.resegment(gaps_, thin)[0].collect()}
+    assert rows[1].strategy == "dijkstra_thin" and math.isclose(rows[1].sinuosity, 1.0) and rows[1].n_new > 11
+    assert rows[2].strategy == "skipped_low_signal" and rows[2].n_new == 0
+
+
 def test_bridges(spark):
     left, right = [(k, 0, 0) for k in range(30)], [(k, 0, 0) for k in range(42, 72)]
     gap = [(k, 0, 0) for k in range(30, 42)]

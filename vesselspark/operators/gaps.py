@@ -99,39 +99,53 @@ def bridge_costs(gaps: DataFrame, roi: DataFrame, weight: float = 0.3) -> DataFr
     return rows.select(*roi.columns, F.when(at("a") | at("b"), 0.01).when(~F.col("in_tube"), 10.0).otherwise(cost).alias("cost"))
 
 
-def cheapest_paths(gaps: DataFrame, roi: DataFrame) -> DataFrame:
+def cheapest_paths(gaps: DataFrame, roi: DataFrame, hops: int = 3) -> DataFrame:
     """(gap_id, idx, a0, a1, a2): the cheapest 26-connected way from a to b in each gap's region (gap_id, a0, a1, a2, cost), a step
-    costing the mean of its voxels' costs times its length. All gaps relax together, a round a step; ties go to the smaller voxel. Gaps without a way give no rows."""
+    costing the mean of its voxels' costs (over 0) times its length; ties go to the smaller voxel. Gaps without a way give no rows.
+
+    All gaps relax together, `hops` steps a round; a voxel goes on only if it got cheaper, and no longer once it costs as much as the gap's far end, so
+    what lies beyond is not searched. Paths are then read off their parents by doubling.
+    """
     spark = roi.sparkSession
     key = ["gap_id", *vox.AXES]
     cells = written(roi.select(*key, "cost"), "cells")
     offsets = F.explode(vox.offsets(vox.ALL26)).alias("o")
-    start = gaps.select("gap_id", *(F.col(f"a.a{k}").alias(f"a{k}") for k in range(3)), F.lit(0.0).alias("far"), F.lit(None).cast("struct<a0: int, a1: int, a2: int>").alias("before"))
-    best = written(start.join(cells.select(*key), key, "left_semi"), "best")
+    place = "struct<a0: int, a1: int, a2: int>"
+    at = lambda end: gaps.select("gap_id", *(F.col(f"{end}.a{k}").cast("int").alias(f"a{k}") for k in range(3)))
+    best = written(at("a").withColumns({"far": F.lit(0.0), "before": F.lit(None).cast(place)}).join(cells.select(*key), key, "left_semi"), "best")
     front = best
-    while True:
-        step = front.join(cells, key).select("gap_id", F.struct(*vox.AXES).alias("before"), F.col("cost").alias("cost0"), "far", *vox.AXES, offsets)
+
+    def step(rows: DataFrame) -> DataFrame:
+        """The neighbours of rows that get cheaper through them."""
+        out = rows.join(cells, key).select("gap_id", F.struct(*(F.col(a).cast("int").alias(a) for a in vox.AXES)).alias("before"), F.col("cost").alias("cost0"), "far", *vox.AXES, offsets)
         length = F.sqrt(F.col("o.d0") ** 2 + F.col("o.d1") ** 2 + F.col("o.d2") ** 2)
-        step = step.select("gap_id", "before", "cost0", "far", length.alias("length"), *((F.col(a) + F.col(f"o.d{k}")).alias(a) for k, a in enumerate(vox.AXES))).join(cells, key)
-        step = step.select(*key, (F.col("far") + (F.col("cost0") + F.col("cost")) / 2 * F.col("length")).alias("far"), "before")
-        new = step.groupBy(*key).agg(F.min(F.struct("far", "before")).alias("m")).select(*key, "m.far", "m.before")
-        old = best.select(*key, F.col("far").alias("was"))
-        front = written(new.join(old, key, "left").filter("was is null or far < was - 1e-12").drop("was"), "front")
+        out = out.select("gap_id", "before", "cost0", "far", length.alias("length"), *((F.col(a) + F.col(f"o.d{k}")).alias(a) for k, a in enumerate(vox.AXES))).join(cells, key)
+        out = out.select(*key, (F.col("far") + (F.col("cost0") + F.col("cost")) / 2 * F.col("length")).alias("far"), "before")
+        out = out.groupBy(*key).agg(F.min(F.struct("far", "before")).alias("m")).select(*key, "m.far", "m.before")
+        limit = at("b").join(best, key).select("gap_id", F.col("far").alias("limit"))
+        out = out.join(best.select(*key, F.col("far").alias("was")), key, "left").join(limit, "gap_id", "left")
+        return out.filter("(was is null or far < was - 1e-12) and (limit is null or far < limit)").select(*key, "far", "before")
+
+    while True:
+        waves = [step(front)]
+        for _ in range(hops - 1):
+            waves.append(step(waves[-1]))
+        new = waves[0]
+        for wave in waves[1:]:
+            new = new.unionByName(wave)
+        front = written(new.groupBy(*key).agg(F.min(F.struct("far", "before")).alias("m")).select(*key, "m.far", "m.before"), "front")
         if front.isEmpty():
             break
         merged = written(best.join(front.select(*key), key, "left_anti").unionByName(front), "best")
         drop_written(spark, best)
         best = merged
-    here = gaps.select("gap_id", *(F.col(f"b.a{k}").alias(f"a{k}") for k in range(3)), F.lit(0).alias("back")).join(best.select(*key, "before"), key)
-    path, at = here, here
-    for back in itertools.count(1):
-        at = at.filter("before is not null").select("gap_id", *(F.col(f"before.a{k}").alias(f"a{k}") for k in range(3)), F.lit(back).alias("back")).join(best.select(*key, "before"), key)
-        at = written(at, "at")
-        if at.isEmpty():
-            break
-        path = written(path.select(*key, "back", "before").unionByName(at.select(*key, "back", "before")), "path")
-    last = F.max("back").over(Window.partitionBy("gap_id"))
-    return path.select("gap_id", (last - F.col("back")).alias("idx"), *vox.AXES)
+    node = F.struct(*(F.col(a).cast("int").alias(a) for a in vox.AXES))
+    parents = best.select(F.col("gap_id").alias("path_id"), node.alias("node"), F.coalesce("before", node).alias("parent"))
+    ends = at("b").join(best.select(*key), key, "left_semi").select(F.col("gap_id").alias("path_id"), node.alias("node"))
+    way = graph.ways_up(parents, ends).select(F.col("path_id").alias("gap_id"), "node.*").join(best.select(*key, "far"), key)
+    # every step costs something, so the way is in order of what was paid so far
+    order = Window.partitionBy("gap_id").orderBy("far")
+    return way.select("gap_id", (F.row_number().over(order) - 1).alias("idx"), *vox.AXES)
 
 
 def straight_ways(gaps: DataFrame) -> DataFrame:
