@@ -87,17 +87,6 @@ def test_elongation(spark):
     assert got[80] == math.inf and got[99] is None
 
 
-def test_cleanup(spark):
-    # away from the grid's ends, where closing erodes
-    tree = [(k, 5, 5) for k in range(3, 33)] + [(k, 6, 5) for k in range(3, 33)]
-    speck, near = [(10, 30, 30)], [(k, 6, 10) for k in range(20, 30)]
-    shapes = spark.createDataFrame([(0, 40, 40, 40)], "case_id int, n0 int, n1 int, n2 int")
-    out, counts = vox.cleanup(mask(spark, tree + speck + near), shapes, least_size=5, share=0.3, floor=10)
-    got = {(r.a0, r.a1, r.a2) for r in out.collect()}
-    assert set(tree) <= got and set(near) <= got and not set(speck) & got
-    assert counts.collect()[0].before == 71 and len(vox.components(out).select("component").distinct().collect()) == 1
-
-
 def profile_of(spark, radii, step=0.5, case=0):
     n = len(radii)
     rows = [(case, 1, k, k * step, r, (n - 1) * step, False, False, float(k), 0.0, 0.0) for k, r in enumerate(radii)]
