@@ -19,7 +19,7 @@ SEGMENT = ["case_id", "seg_id"]
 
 @dataclass(frozen=True)
 class NarrowingConfig:
-    """Thresholds of the detector."""
+    """Thresholds of the detector. They decide which narrowings are findings."""
 
     min_points: int = 5
     sigma: float = 0.5

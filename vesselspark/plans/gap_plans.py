@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import arteries, gaps, graph
 from ..operators import voxels as vox
 from ..session import written
-from .fixtures import MASKS, VOXELS, masks, points, table, voxels, with_ctes
+from .fixtures import MASKS, POINTS, VOXELS, masks, points, table, voxels, with_ctes
 from .graph_plans import ORACLES as GRAPHS
 from .graph_plans import PLACE, RECURSIVE, components, g21_tip_classes, g22_gap_pairs, tips
 from .profile_plans import rounded
@@ -236,5 +236,13 @@ LEFT JOIN (SELECT case_id, count(*) AS b FROM pred GROUP BY 1) USING (case_id) L
   FROM tried LEFT JOIN b USING (gap_id) LEFT JOIN rated r USING (gap_id) LEFT JOIN checks USING (gap_id) LEFT JOIN f USING (gap_id)""").replace("WITH ", "WITH RECURSIVE ", 1),
     "g29_merged_bridges": merged_sql("SELECT case_id, a0, a1, a2 FROM labelled JOIN sizes USING (case_id, root) WHERE size >= 2 OR case_id NOT IN (SELECT case_id FROM good)"),
     "g29_verified_gaps": merged_sql("SELECT p.case_id, p.a * 100000 + p.b AS gap_id, g.case_id IS NOT NULL AS applied, coalesce(x.root = y.root, false) AS connected FROM pairs p LEFT JOIN good g ON g.case_id = p.case_id AND g.a = p.a AND g.b = p.b LEFT JOIN near x ON x.case_id = g.case_id AND x.place = g.a LEFT JOIN near y ON y.case_id = g.case_id AND y.place = g.b"),
+    "g17_highlight": with_ctes(VOXELS, MASKS, POINTS, "spot AS (SELECT case_id, seg_id, idx, {'x': idx, 'y': seg_id % 8, 'z': seg_id % 5} AS node FROM points)",
+        "hops AS (SELECT case_id, node AS src, lead(node) OVER (PARTITION BY case_id, seg_id ORDER BY idx) AS dst FROM spot)", "links AS (SELECT case_id, src, dst FROM hops WHERE dst IS NOT NULL UNION SELECT case_id, dst, src FROM hops WHERE dst IS NOT NULL)",
+        "clicks AS (SELECT case_id, min(idx) AS s0, max(idx) AS e0, min(seg_id % 8) AS s1, max(seg_id % 8) AS e1, min(seg_id % 5) AS s2, max(seg_id % 5) AS e2 FROM points GROUP BY case_id)",
+        *(f"{name} AS (SELECT case_id, arg_min(node, ((node.x - {p}0)^2 + (node.y - {p}1)^2 + (node.z - {p}2)^2) * 1000000 + node.x * 64 + node.y * 8 + node.z) AS node FROM spot JOIN clicks USING (case_id) GROUP BY case_id)" for name, p in (("first", "s"), ("last", "e"))),
+        "walk AS (SELECT case_id, node, 0 AS depth FROM first UNION SELECT w.case_id, l.dst, depth + 1 FROM walk w JOIN links l ON l.case_id = w.case_id AND l.src = w.node WHERE depth < 150)", "deep AS (SELECT case_id, node, min(depth) AS depth FROM walk GROUP BY ALL)",
+        "back AS (SELECT case_id, node, depth FROM last JOIN deep USING (case_id, node) UNION SELECT b.case_id, p.node, p.depth FROM back b JOIN (SELECT l.case_id, l.dst, d.depth, arg_min(l.src, l.src.x * 64 + l.src.y * 8 + l.src.z) AS node FROM links l JOIN deep d ON d.case_id = l.case_id AND d.node = l.src GROUP BY l.case_id, l.dst, d.depth) p ON p.case_id = b.case_id AND p.dst = b.node AND p.depth = b.depth - 1)",
+        "way AS (SELECT case_id, node FROM back UNION SELECT * FROM first UNION SELECT * FROM last)",
+        select="SELECT DISTINCT v.case_id, v.a0, v.a1, v.a2 FROM pred v JOIN way w ON w.case_id = v.case_id AND (v.a0 - w.node.x)^2 + (v.a1 - w.node.y)^2 + (v.a2 - w.node.z)^2 <= 4").replace("WITH ", "WITH RECURSIVE ", 1),
     "v21_component_boxes": RECURSIVE(labelled(26), select="SELECT case_id, root, min(a0) - 2 AS low0, max(a0) + 2 AS high0, min(a1) - 2 AS low1, max(a1) + 2 AS high1, min(a2) - 2 AS low2, max(a2) + 2 AS high2 FROM labelled GROUP BY ALL"),
 }

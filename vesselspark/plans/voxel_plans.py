@@ -9,7 +9,7 @@ from ..functions import scalars
 from ..operators import metrics, profile
 from ..operators import voxels as vox
 from ..session import written
-from .fixtures import MASKS, VOXELS, masks, voxels, with_ctes
+from .fixtures import MASKS, POINTS, VOXELS, masks, points, voxels, with_ctes
 from .profile_plans import rounded, sql_round
 
 SHAPES = "shapes AS (SELECT case_id, max(a0) + 1 AS n0, 8 AS n1, 8 AS n2 FROM voxels GROUP BY case_id)"
@@ -238,9 +238,18 @@ def w2_long_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(profile.smooth(rows, "value", "r", 2.0, ["case_id", "a0", "a1"]).select("case_id", "a0", "a1", "idx", "r"))
 
 
+def v19_tapered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tube from narrow to wide along each segment's points, the grid's ends cutting it."""
+    rows = points(spark, sf_dir)
+    paths = rows.select("case_id", F.col("seg_id").alias("gap_id"), "idx", F.col("idx").cast("int").alias("a0"), (F.col("seg_id") % 8).cast("int").alias("a1"), F.lit(3).alias("a2"))
+    ends = rows.select(F.col("seg_id").alias("gap_id")).distinct().select("gap_id", (F.col("gap_id") % 6).cast("double").alias("radius_a"), (F.col("gap_id") % 4 + 0.5).alias("radius_b"))
+    tubes = vox.stamp(vox.tapered(paths, ends), F.col("radius"), shapes(spark, sf_dir), ("gap_id",))
+    return tubes.groupBy("gap_id").agg(F.count("*").alias("n"), F.sum("a0").alias("s0"), F.sum("a1").alias("s1"), F.sum("a2").alias("s2"))
+
+
 QUERIES = {f.__name__: f for f in (
     p3_window_and_presets, p4_zscore, p5_binarize, p6_reorient, p7_millimetres, v1_slice, v2_boxes, v4_resample, v5_sample_points, v6_nearest_value, v3_crop_wide, v7_blur, v7_smooth_mask, v8_surface, v9_close_holes, v10_distance, v11_components, v12_sizes, t7_pooled_sizes, v13_protected,
-    v14_keep_near, v15_elongation, v16_bridge, v18_cleanup, v19_stamp, g15_line_inside, v22_stitch, v23_overlay, a1_overlap, a3_surface_metrics, a6_radius_error, a8_component_metrics, u1_set_operations, w2_long_kernel,
+    v14_keep_near, v15_elongation, v16_bridge, v18_cleanup, v19_stamp, v19_tapered, g15_line_inside, v22_stitch, v23_overlay, a1_overlap, a3_surface_metrics, a6_radius_error, a8_component_metrics, u1_set_operations, w2_long_kernel,
 )}
 WEIGHTS = {s: ", ".join(f"({k}, {w!r}::DOUBLE)" for k, w in enumerate(profile.gaussian_weights(s), -len(profile.gaussian_weights(s)) // 2 + 1)) for s in (0.5, 1.0, 2.0)}
 CLIP = "round(sum(greatest(least(value * 10, {1}), {0})), 4)"
@@ -373,6 +382,9 @@ ORACLES = {
     QUALIFY row_number() OVER (PARTITION BY case_id, root ORDER BY d, s0, s1, s2, e0, e1, e2) = 1)""",
         "line AS (SELECT case_id, " + ", ".join(f"round_even(s{k} + i / ceil(d) * (e{k} - s{k}), 0)::BIGINT AS a{k}" for k in range(3)) + " FROM gaps, LATERAL (SELECT unnest(range(ceil(d)::BIGINT + 1)) AS i))",
         select=f"SELECT {KEY} FROM labelled UNION SELECT {KEY} FROM line UNION SELECT case_id, a0 + d0, a1 + d1, a2 + d2 FROM line CROSS JOIN faces JOIN shapes USING (case_id) WHERE a0 + d0 BETWEEN 0 AND n0 - 1 AND a1 + d1 BETWEEN 0 AND 7 AND a2 + d2 BETWEEN 0 AND 7").replace("WITH ", "WITH RECURSIVE ", 1),
+    "v19_tapered": with_ctes(V, SHAPES, POINTS, "wide AS (SELECT case_id, seg_id, idx, n, greatest(1, round_even(greatest(1.5, 0.7 * (seg_id % 6)) * (1 - idx / m) + greatest(1.5, 0.7 * (seg_id % 4 + 0.5::DOUBLE)) * (idx / m), 0))::BIGINT AS r FROM (SELECT *, greatest(1, max(idx) OVER (PARTITION BY seg_id))::DOUBLE AS m, 0 AS n FROM points))",
+        select="""SELECT gap_id, count(*) AS n, sum(x)::BIGINT AS s0, sum(y)::BIGINT AS s1, sum(z)::BIGINT AS s2 FROM (SELECT DISTINCT seg_id AS gap_id, idx + i AS x, seg_id % 8 + j AS y, 3 + k AS z FROM wide JOIN shapes USING (case_id), range(-4, 5) p(i), range(-4, 5) q(j), range(-4, 5) o(k)
+  WHERE i * i + j * j + k * k <= r * r AND idx + i BETWEEN 0 AND n0 - 1 AND seg_id % 8 + j BETWEEN 0 AND 7 AND 3 + k BETWEEN 0 AND 7) GROUP BY gap_id"""),
     "v19_stamp": with_ctes(V, M, SHAPES, select="""SELECT case_id, count(*) AS n, sum(x)::BIGINT AS s0, sum(y)::BIGINT AS s1, sum(z)::BIGINT AS s2 FROM (SELECT DISTINCT case_id, a0 + i AS x, a1 + j AS y, a2 + k AS z FROM sparse JOIN shapes USING (case_id), range(-2, 3) p(i), range(-2, 3) q(j), range(-2, 3) r(k)
   WHERE i * i + j * j + k * k <= 4 AND a0 + i BETWEEN 0 AND n0 - 1 AND a1 + j BETWEEN 0 AND 7 AND a2 + k BETWEEN 0 AND 7) GROUP BY case_id"""),
     "g15_line_inside": with_ctes(V, M, select="SELECT p.case_id, p.a0 * 64 + p.a1 * 8 + p.a2 AS line_id, q.case_id IS NOT NULL AS clear FROM pred p LEFT JOIN pred q ON q.case_id = p.case_id AND q.a0 = p.a0 AND q.a1 = p.a1 + 1 AND q.a2 = p.a2"),
