@@ -107,6 +107,29 @@ def test_op6_near_copies(spark, noise):
 # --- url filters
 
 
+def test_op6_many_shards(spark):
+    """Queries of two lengths stream to several shards in more than one batch; all of their answers come from their own length."""
+    rng = np.random.default_rng(6)
+    wide, narrow = rng.normal(size=(900, 8)), rng.normal(size=(30, 5))
+    rows = [(k, v.tolist()) for k, v in enumerate(wide)] + [(5000 + k, v.tolist()) for k, v in enumerate(narrow)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    index = vamana.build_index(frame, shard_size=250)
+    assert index.count() > 4
+    got = {}
+    for r in vamana.search_index(index, frame).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert len(got) == 930 and all(len(v) == 5 for v in got.values())
+    right = 0
+    for first, x in ((0, wide), (5000, narrow)):
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        near = u @ u.T
+        np.fill_diagonal(near, -2)
+        for k, best in enumerate(np.argsort(-near, axis=1)[:, :5]):
+            right += len({first + int(b) for b in best} & set(got[first + k]))
+            assert all((g >= 5000) == (first == 5000) for g in got[first + k])
+    assert right >= 0.98 * 930 * 5
+
+
 def test_op7(spark):
     assert compare(spark, "op7", queries.op7_url_cascade, queries.oracle_sql()["op7_url_cascade"], SF) > 0
 

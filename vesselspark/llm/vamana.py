@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -178,54 +182,79 @@ def build_index(vectors: DataFrame, k: int = 5, shard_size: int = 20_000, degree
     return written(nodes.withColumn("shard", F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int")).groupBy("dims", "shard").applyInPandas(build, INDEX), "index")
 
 
-def search_index(index: DataFrame, queries: DataFrame, k: int = 5, width: int = 48, block: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+class Shard:
+    """A shard's graph, ready to be searched."""
+
+    def __init__(self, row: dict):
+        self.x = np.frombuffer(row["vectors"], np.float64).reshape(row["n"], row["dims"])
+        own_leader = np.frombuffer(row["leaders"], np.int32)
+        lead, group = np.unique(own_leader, return_inverse=True)
+        self.members, self.first = np.argsort(group, kind="stable"), np.searchsorted(np.sort(group), np.arange(len(lead) + 1))
+        edges = np.frombuffer(row["edges"], np.int32).reshape(len(lead) + 1, -1)
+        self.start, self.follow, self.ids = int(edges[0, 0]), edges[1:].astype(np.int64), row["ids"]
+        self.nodes, norms = unit(self.x[lead]), np.linalg.norm(self.x, axis=1)
+        self.radius = np.sqrt(2 * np.maximum(0, 1 - np.einsum("nd,nd->n", self.x, self.x[own_leader]) / (norms * norms[own_leader])).max()) * 1.01
+
+    def search(self, own: list[int], q: np.ndarray, k: int, width: int) -> list[tuple[int, int, float]]:
+        """(query, id, score) of the nearest of up to 256 queries."""
+        x = self.x
+        found, away = beam_search(self.nodes, self.follow, unit(q), self.start, width)[:2]
+        # no vector outside a beam is more alike than its last node allows
+        edge = np.arccos(np.clip(1 - np.where(found[:, -1] < 0, 0, away[:, -1]) + float_error(x.shape[1]), -1, 1)) - self.radius
+        limit = np.where(edge > 0, np.cos(np.maximum(edge, 0)), np.inf)
+        out = []
+        for query, vector, near, most in zip(own, q, found, limit.tolist(), strict=True):
+            near = near[near >= 0]
+            if len(self.nodes) < len(x):
+                near = np.concatenate([self.members[self.first[g] : self.first[g + 1]] for g in near])
+            hits = best_hits(query, near, cosine(x[near], vector), self.ids, k)
+            if len(near) < len(x) and (len(hits) < k or hits[-1][2] <= most):
+                hits = best_hits(query, np.arange(len(x)), cosine(x, vector), self.ids, k)
+            out += hits
+        return out
+
+
+def search_index(index: DataFrame, queries: DataFrame, k: int = 5, width: int = 48, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k nearest found by cosine, its own id left out, ties to the smaller id.
 
-    Queries go to every shard in blocks of about `block`; a shard's graph is searched by beams of `width`, which look at some hundreds
+    Each shard is sent to one task, once, and the queries go to it and stream by behind it, so neither vectors nor graphs are sent again however many
+    queries there are, and a task holds one shard and one batch of queries. A shard's graph is searched by beams of `width`, which look at some hundreds
     of its nodes, and all vectors of the beam's nodes are scored exactly in double precision. Where the beam's last node is within the error of single
     precision (and the nodes' radius) of the k-th best, or the beam found fewer nodes than it has room for, the whole
     shard is scored. Queries whose vector is unusable give no rows, as do queries with
     nothing to find; a vector is only compared with vectors of its own length. Rows that share a query's id and vector
     count once.
     """
-    asked = usable(queries, id_col, vector_col).distinct().withColumnRenamed("vec_id", "query_id")
-    blocks = parts_for(queries.sparkSession, asked.count(), block, least=1)
-    copies = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    spark = index.sparkSession
+    asked = usable(queries, id_col, vector_col).distinct().select(F.col("vec_id").alias("query_id"), "embedding", "dims")
     last = index.agg(F.max("shard")).first()[0] or 0
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(last))))
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        if left.empty or right.empty:
-            return out
-        row = right.iloc[0]
-        x = np.frombuffer(row["vectors"], np.float64).reshape(row["n"], row["dims"])
-        own_leader = np.frombuffer(row["leaders"], np.int32)
-        lead, group = np.unique(own_leader, return_inverse=True)
-        members, first = np.argsort(group, kind="stable"), np.searchsorted(np.sort(group), np.arange(len(lead) + 1))
-        edges = np.frombuffer(row["edges"], np.int32).reshape(len(lead) + 1, -1)
-        q = np.stack(left["embedding"].to_numpy())
-        nodes, follow, asked = unit(x[lead]), edges[1:].astype(np.int64), unit(q)
-        some = [beam_search(nodes, follow, asked[k : k + 256], int(edges[0, 0]), width)[:2] for k in range(0, len(q), 256)]
-        found, away = (np.concatenate(parts) for parts in zip(*some, strict=True))
-        norms = np.linalg.norm(x, axis=1)
-        radius = np.sqrt(2 * np.maximum(0, 1 - np.einsum("nd,nd->n", x, x[own_leader]) / (norms * norms[own_leader])).max()) * 1.01
-        # no vector outside a beam is more alike than its last node allows
-        edge = np.arccos(np.clip(1 - np.where(found[:, -1] < 0, 0, away[:, -1]) + float_error(x.shape[1]), -1, 1)) - radius
-        limit = np.where(edge > 0, np.cos(np.maximum(edge, 0)), np.inf)
-        parts = [out]
-        for own, vector, near, most in zip(left["query_id"].tolist(), q, found, limit.tolist(), strict=True):
-            near = near[near >= 0]
-            if len(lead) < len(x):
-                near = np.concatenate([members[first[g] : first[g + 1]] for g in near])
-            hits = best_hits(own, near, cosine(x[near], vector), row["ids"], k)
-            if len(near) < len(x) and (len(hits) < k or hits[-1][2] <= most):
-                hits = best_hits(own, np.arange(len(x)), cosine(x, vector), row["ids"], k)
-            parts.append(pd.DataFrame(hits, columns=out.columns))
-        return pd.concat([p for p in parts if len(p)] or [out])
-
-    hits = asked.groupBy("dims", "shard", "block").cogroup(copies.groupBy("dims", "shard", "block")).applyInPandas(search, "query_id long, vec_id long, score double")
+    names = [c for c in index.columns if c not in ("shard", "dims")]
+    stream = index.withColumn("asks", F.lit(False)).unionByName(asked.withColumn("asks", F.lit(True)), allowMissingColumns=True).select("dims", "shard", "asks", "query_id", "embedding", *names)
+    # as many tasks as shards at least
+    few = last + 1 <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = (stream.repartition("dims", "shard") if few else stream.repartition(last + 1, "dims", "shard")).sortWithinPartitions("dims", "shard", "asks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, shard = None, None
+        for batch in batches:
+            asks, keys = batch.column("asks").to_pylist(), list(zip(batch.column("dims").to_pylist(), batch.column("shard").to_pylist(), strict=True))
+            at = 0
+            while at < batch.num_rows:
+                if not asks[at]:
+                    key, shard, at = keys[at], Shard(batch.slice(at, 1).to_pylist()[0]), at + 1
+                    continue
+                end = at + 1
+                while end < batch.num_rows and end - at < 256 and asks[end] and keys[end] == keys[at]:
+                    end += 1
+                if keys[at] == key:
+                    own = batch.slice(at, end - at)
+                    q = np.asarray(pc.list_flatten(own.column("embedding")), np.float64).reshape(end - at, -1)
+                    hits = shard.search(own.column("query_id").to_pylist(), q, k, width)
+                    yield pa.RecordBatch.from_arrays([pa.array([h[c] for h in hits], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+                at = end
+
+    hits = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
     hits = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -236,7 +265,7 @@ def cosine(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return x @ q / (np.linalg.norm(x, axis=1) * np.linalg.norm(q))
 
 
-def best_hits(own: int, nodes: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+def best_hits(own: int, nodes: np.ndarray, score: np.ndarray, ids: list[list[int]], k: int) -> list[tuple[int, int, float]]:
     """(own, id, score) of the k best distinct ids of nodes but own, ties to the smaller id."""
     best: dict[int, float] = {}
     last = -np.inf
