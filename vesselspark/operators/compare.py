@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import maybe_broadcast, written
+from ..session import maybe_broadcast, parts_for, written
 
 from ..functions.scalars import ARTERIES, grade, severity
 
@@ -154,9 +154,12 @@ def bootstrap(cases: DataFrame, metric: Column, keys: list[str], order: str, ite
     """
     placed = written(numbered(cases, keys, order), "placed")
     point = cases.groupBy(*keys).agg(metric.alias("point"))
-    draws = placed.select(*keys, F.col("__at").alias("__j"), "__n").repartition(*keys, "__j").withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+    n = placed.count()
+    # many rows come of few, so the few are dealt to as many tasks as the many need
+    parts = parts_for(cases.sparkSession, n * iterations, 1_000_000)
+    draws = placed.select(*keys, F.col("__at").alias("__j"), "__n").repartition(parts, *keys, "__j").withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
     draws = draws.withColumn("__at", hash_draw(seed, F.col("__n"), F.col("__i"), F.col("__j"))).drop("__n", "__j")
-    values = draws.join(maybe_broadcast(placed.drop("__n"), placed.count(), broadcast_rows), [*keys, "__at"]).groupBy(*keys, "__i").agg(metric.alias("v"))
+    values = draws.join(maybe_broadcast(placed.drop("__n"), n, broadcast_rows), [*keys, "__at"]).groupBy(*keys, "__i").agg(metric.alias("v"))
     alpha = (1 - ci) / 2
     ends = values.groupBy(*keys).agg(F.percentile("v", F.lit(alpha)).alias("lower"), F.percentile("v", F.lit(1 - alpha)).alias("upper"))
     return point.join(ends, keys)

@@ -90,31 +90,22 @@ def in_boxes(voxels: DataFrame, boxes: DataFrame) -> DataFrame:
 
 
 def blur(rows: DataFrame, shapes: DataFrame, sigma: float, axes: tuple[int, ...] = (0, 1, 2), value: str = "value") -> DataFrame:
-    """V7: Gaussian blur, an axis at a time, mirrored at the grid's ends as often as a kernel reaches past them; absent voxels are 0, and places are given as far as a
-    kernel reaches from a voxel. Each axis is one shuffle by lines: a line is one array, widened by the kernel's reach, over which the kernel moves."""
+    """V7: Gaussian blur, an axis at a time, mirrored at the grid's ends as often as a kernel reaches past them; absent voxels are 0."""
     weights = gaussian_weights(sigma)
     radius = len(weights) // 2
+    taps = F.array(*(F.struct(F.lit(k - radius).alias("k"), F.lit(w).alias("w")) for k, w in enumerate(weights)))
     sizes = shapes.select("case_id", "n0", "n1", "n2")
     rows = rows.select(*KEY, F.col(value).cast("double").alias("value"))
     for axis in axes:
-        line = ["case_id", *(x for k, x in enumerate(AXES) if k != axis)]
-        lines = rows.groupBy(*line).agg(F.array_sort(F.collect_list(F.struct(F.col(f"a{axis}").cast("int").alias("at"), "value"))).alias("voxels")).join(sizes, "case_id")
-        # the values from the first voxel to the last one, with zeros between
-        gap = lambda x, y: F.concat(F.array(x["value"]), F.array_repeat(F.lit(0.0), F.coalesce(y["at"] - x["at"] - 1, F.lit(0))))
-        held = F.flatten(F.zip_with("voxels", F.slice("voxels", 2, F.greatest(F.size("voxels") - 1, F.lit(0))), gap))
-        lines = lines.select(*line, F.col(f"n{axis}").cast("int").alias("n"), F.col("voxels")[0]["at"].alias("low"), F.element_at("voxels", -1)["at"].alias("high"), held.alias("held"))
-        lines = lines.withColumns({"begin": F.greatest(F.lit(0), F.col("low") - radius), "end": F.least(F.col("n") - 1, F.col("high") + radius)})
-
-        def mirrored(j: Column) -> Column:
-            at = F.pmod(j, 2 * F.col("n"))
-            return F.when((j >= 0) & (j < F.col("n")), j).when(at < F.col("n"), at).otherwise(2 * F.col("n") - 1 - at)
-
-        wide = F.transform(F.sequence(F.col("begin") - radius, F.col("end") + radius), lambda j: F.coalesce(F.get("held", mirrored(j) - F.col("low")), F.lit(0.0)))  # noqa: B023
-        lines = lines.select(*line, "begin", "end", wide.alias("wide"))
-        summed = lambda i: sum((F.get("wide", i + k) * w for k, w in enumerate(weights[1:], 1)), F.get("wide", i) * weights[0])
-        moved_over = F.transform(F.sequence(F.lit(0), F.col("end") - F.col("begin")), lambda i: F.struct((F.col("begin") + i).alias("at"), summed(i).alias("value")))
-        out = lines.select(*line, F.explode(moved_over).alias("x"))
-        rows = out.select("case_id", *(F.col("x.at").alias(x) if k == axis else F.col(x) for k, x in enumerate(AXES)), F.col("x.value").alias("value"))
+        a, n = F.col(f"a{axis}"), F.col(f"n{axis}")
+        # a voxel's mirror images repeat every 2 n places; those within radius of the grid count: in a grid not narrower than that, one past an end that is nearer than radius
+        turns = F.sequence(-F.ceil(F.lit(radius) / (2 * n)) - 1, F.ceil(F.lit(radius) / (2 * n)) + 1)
+        images = F.flatten(F.transform(turns, lambda m: F.array(a + 2 * n * m, -1 - a + 2 * n * m)))
+        all_images = F.filter(images, lambda i: (i >= -radius) & (i < n + radius))
+        images = F.when(n < radius, all_images).otherwise(F.array_compact(F.array(a, F.when(a < radius, -1 - a), F.when(a >= n - radius, 2 * n - 1 - a))))
+        spread = rows.join(sizes, "case_id").withColumn("image", F.explode(images)).withColumn("t", F.explode(taps))
+        spread = spread.withColumn(f"a{axis}", (F.col("image") - F.col("t.k")).cast("int")).filter(f"a{axis} >= 0 and a{axis} < n{axis}")
+        rows = spread.groupBy(*KEY).agg(F.sum(F.col("value") * F.col("t.w")).alias("value"))
     return rows
 
 
