@@ -25,7 +25,7 @@ def most_copies(mean: Column) -> Column:
 
 
 def poisson_draw(mean: Column, u: Column) -> Column:
-    """How many of P(X <= 0), P(X <= 1), ... for a Poisson X are u or less. The steps are as many as the draw has copies, and nothing is kept of them. Logs keep large means from underflowing."""
+    """How many of P(X <= 0), P(X <= 1), ... for a Poisson X are u or less. It takes most_copies(mean) steps, and nothing is kept of them. Logs keep large means from underflowing."""
     start = F.struct((-mean).alias("log_p"), F.exp(-mean).alias("total"), (F.exp(-mean) <= u).cast("long").alias("n"))
 
     def step(acc: Column, k: Column) -> Column:
