@@ -243,22 +243,19 @@ def nearest_within(a: DataFrame, b: DataFrame, radius: float, fine: float = 8.0)
 def nearest(a: DataFrame, b: DataFrame, first_radius: float = 2.0) -> DataFrame:
     """For each row of a (case_id, id_a, x0..x2) the nearest of b (case_id, id_b, y0..y2), ties to the smaller id_b; rows of cases that b lacks are left out.
 
-    The radius doubles each round for the points still without a hit, so a hit within the radius is the nearest there is.
+    The radius doubles each round for the points still without a hit, so a hit within the radius is the nearest there is. A round writes one table, of the points it looked at with
+    what they hit; those without a hit are read from it by the next round.
     """
-    spark = a.sparkSession
-    left = written(a.join(b.select("case_id").distinct(), "case_id", "left_semi"), "left")
-    right, found, radius = written(b, "right"), [], first_radius
+    columns = ["case_id", "id_a", *(f"x{k}" for k in range(3))]
+    left = written(a.select(columns).join(b.select("case_id").distinct(), "case_id", "left_semi"), "left")
+    right, out, radius = written(b, "right"), None, first_radius
     while True:
-        found.append(written(nearest_within(left, right, radius), "hits"))
-        rest = written(left.join(found[-1], ["case_id", "id_a"], "left_anti"), "left")
-        drop_written(spark, left)
-        left, radius = rest, radius * 2
+        looked = written(left.join(nearest_within(left, right, radius), ["case_id", "id_a"], "left"), "looked")
+        hits = looked.filter("distance is not null").select("case_id", "id_a", "distance", "id_b")
+        out = hits if out is None else out.unionByName(hits)
+        left, radius = looked.filter("distance is null").select(columns), radius * 2
         if left.isEmpty():
-            break
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+            return out
 
 
 def as_points(rows: DataFrame, prefix: str, id_name: str) -> DataFrame:
