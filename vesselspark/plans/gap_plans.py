@@ -139,9 +139,12 @@ def g14_left_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a28_findings_from_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prediction with the segments' own lines in it, as a centerline lies in its mask."""
     n = F.count("*").over(Window.partitionBy("case_id", "seg_id"))
     rows = points(spark, sf_dir).withColumns({"n": n, "p2": (F.col("seg_id") % 5).cast("double")})
-    return gaps.findings_from_mask(masks(spark, sf_dir)[0], shapes(spark, sf_dir), rows, SMALL).select("case_id", "seg_id", "artery_name", "severity", "location_idx")
+    lines = vox.inside(rows.select("case_id", *(F.rint(f"p{k}").cast("int").alias(f"a{k}") for k in range(3))), shapes(spark, sf_dir))
+    mask = masks(spark, sf_dir)[0].union(lines.select(vox.KEY)).distinct()
+    return gaps.findings_from_mask(mask, shapes(spark, sf_dir), rows, SMALL).select("case_id", "seg_id", "artery_name", "severity", "location_idx")
 
 
 def a29_case_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
