@@ -166,7 +166,7 @@ def v15_elongation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def v16_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sparse mask with a tube from each component near the largest one to it."""
     rows = vox.components(masks(spark, sf_dir)[2])
-    return vox.bridge(rows, vox.component_sizes(rows).filter("place = 1"), shapes(spark, sf_dir), 1.2)
+    return vox.bridge(rows, vox.component_sizes(rows).filter("place = 1"), shapes(spark, sf_dir), 1.2, 0.5)
 
 
 #: Limits for small volumes: the default steps, and one that closes and bridges first, and one whose floor stops most cases.
