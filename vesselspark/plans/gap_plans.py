@@ -101,7 +101,7 @@ def g17_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bridged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The sparse mask with straight bridges over its gap pairs, and whether they connect."""
     ends = [F.struct(F.floor(F.col(e) / 64).cast("int").alias("a0"), F.floor(F.col(e) / 8 % 8).cast("int").alias("a1"), (F.col(e) % 8).cast("int").alias("a2")).alias(e) for e in ("a", "b")]
-    pairs = written(g22_gap_pairs(spark, sf_dir).select("case_id", (F.col("a") * 100_000 + F.col("b")).alias("gap_id"), *ends), "pairs")
+    pairs = written(g22_gap_pairs(spark, sf_dir).select("case_id", F.struct("a", "b").alias("gap_id"), *ends), "pairs")
     lines = pairs.select("case_id", F.col("gap_id").alias("line_id"), *(F.col(f"a.a{k}").alias(f"s{k}") for k in range(3)), *(F.col(f"b.a{k}").alias(f"e{k}") for k in range(3)))
     tubes = vox.line_points(lines).withColumnRenamed("line_id", "gap_id").distinct()
     return gaps.merge_bridges(masks(spark, sf_dir)[2], tubes, pairs, least_new=2, least_size=2, search=2)
@@ -112,7 +112,8 @@ def g29_merged_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g29_verified_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bridged(spark, sf_dir)[1]
+    rows = bridged(spark, sf_dir)[1]
+    return rows.withColumn("gap_id", F.col("gap_id.a").cast("long") * 100_000 + F.col("gap_id.b"))
 
 
 def g30_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
