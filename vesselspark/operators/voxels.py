@@ -384,6 +384,9 @@ def stamp(paths: DataFrame, radius: int | Column, shapes: DataFrame | None = Non
         rows = moved(paths, ball(radius), list(keep)).select(*KEY, *keep)
     else:
         rows = paths.select(*KEY, *keep, F.greatest(F.rint(radius), F.lit(1)).cast("int").alias("r"))
+        if keep:
+            # a tube's balls overlap: they are made where their voxels are told apart, and only points are sent
+            rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "case_id", *keep)
         for k, a in enumerate(AXES):
             left = F.col("r") ** 2 - sum(F.col(f"o{j}") ** 2 for j in range(k)) if k else F.col("r") ** 2
             # what is left of the radius on this axis, so that no voxel outside the ball is made
