@@ -95,7 +95,8 @@ def blur(rows: DataFrame, shapes: DataFrame, sigma: float, axes: tuple[int, ...]
     radius = len(weights) // 2
     taps = F.array(*(F.struct(F.lit(k - radius).alias("k"), F.lit(w).alias("w")) for k, w in enumerate(weights)))
     sizes = shapes.select("case_id", "n0", "n1", "n2")
-    rows = rows.select(*KEY, F.col(value).cast("double").alias("value"))
+    rows = rows.select(*KEY, F.col(value).cast("double").alias("value")).join(sizes, "case_id")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for axis in axes:
         a, n = F.col(f"a{axis}"), F.col(f"n{axis}")
         # a voxel's mirror images repeat every 2 n places; those within radius of the grid count: in a grid not narrower than that, one past an end that is nearer than radius
@@ -103,10 +104,12 @@ def blur(rows: DataFrame, shapes: DataFrame, sigma: float, axes: tuple[int, ...]
         images = F.flatten(F.transform(turns, lambda m: F.array(a + 2 * n * m, -1 - a + 2 * n * m)))
         all_images = F.filter(images, lambda i: (i >= -radius) & (i < n + radius))
         images = F.when(n < radius, all_images).otherwise(F.array_compact(F.array(a, F.when(a < radius, -1 - a), F.when(a >= n - radius, 2 * n - 1 - a))))
-        spread = rows.join(sizes, "case_id").withColumn("image", F.explode(images)).withColumn("t", F.explode(taps))
+        # whole lines go to a task, which adds up what their voxels spread; only voxels are sent
+        spread = rows.repartition(parts, "case_id", *(x for k, x in enumerate(AXES) if k != axis))
+        spread = spread.withColumn("image", F.explode(images)).withColumn("t", F.explode(taps))
         spread = spread.withColumn(f"a{axis}", (F.col("image") - F.col("t.k")).cast("int")).filter(f"a{axis} >= 0 and a{axis} < n{axis}")
-        rows = spread.groupBy(*KEY).agg(F.sum(F.col("value") * F.col("t.w")).alias("value"))
-    return rows
+        rows = spread.groupBy(*KEY, "n0", "n1", "n2").agg(F.sum(F.col("value") * F.col("t.w")).alias("value"))
+    return rows.select(*KEY, "value")
 
 
 def smooth_mask(mask: DataFrame, shapes: DataFrame, sigma: float) -> DataFrame:

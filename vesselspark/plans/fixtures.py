@@ -65,7 +65,8 @@ def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("case_id"), "vec_id", "embedding")
     a0 = F.row_number().over(Window.partitionBy("case_id").orderBy("vec_id")) - 1
     # numbered first: a window beside an explode would number the exploded rows
-    rows = rows.withColumn("a0", a0).select("case_id", "a0", F.posexplode("embedding").alias("pos", "value"))
+    # dealt again by slice, or the voxels of a case would all be made in the task that numbered its slices
+    rows = rows.withColumn("a0", a0).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "case_id", "a0").select("case_id", "a0", F.posexplode("embedding").alias("pos", "value"))
     return rows.select("case_id", "a0", F.floor(F.col("pos") / 8).cast("int").alias("a1"), (F.col("pos") % 8).alias("a2"), F.col("value").cast("double").alias("value"))
 
 
