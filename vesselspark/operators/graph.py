@@ -20,7 +20,7 @@ def node_of(*names: str) -> Column:
 
 def neighbours(skeleton: DataFrame) -> DataFrame:
     """G1: (case_id, src, dst) both ways: skeleton voxels that touch by face, edge or corner."""
-    rows = vox.moved(skeleton, vox.ALL26).join(skeleton.select(vox.KEY), vox.KEY, "left_semi")
+    rows = vox.moved(skeleton, vox.ALL26).join(skeleton.select(vox.KEY).hint("merge"), vox.KEY, "left_semi")
     return rows.select("case_id", node_of("b0", "b1", "b2").alias("src"), node_of().alias("dst"))
 
 

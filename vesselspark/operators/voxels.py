@@ -181,7 +181,7 @@ def crop_wide(voxels: DataFrame, shapes: DataFrame, spacing: float = 0.5, wide_m
 def neighbour_count(mask: DataFrame, steps: list[tuple[int, int, int]] = FACES) -> DataFrame:
     """Mask voxels with n, how many of their neighbours are in the mask. Counts are summed before they meet the mask."""
     hits = moved(mask, steps).groupBy(*KEY).agg(F.count("*").alias("n"))
-    return mask.select(KEY).join(hits, KEY, "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    return mask.select(KEY).join(hits.hint("merge"), KEY, "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
 def surface(mask: DataFrame) -> DataFrame:
@@ -215,7 +215,8 @@ def near_pairs(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     fall into cells of side radius, b's cells spread over the 27 around, an equi-join on cells, then the exact distance."""
     cell = lambda p: [F.floor(F.col(f"{p}{k}") / radius).cast("long").alias(f"c{k}") for k in range(3)]
     left = a.select("*", *cell("x"))
-    spread = b.select("*", *cell("y")).withColumn("o", F.explode(offsets([(0, 0, 0), *ALL26])))
+    # 27 rows for each of b, which the planner takes for one: no side to broadcast
+    spread = b.select("*", *cell("y")).withColumn("o", F.explode(offsets([(0, 0, 0), *ALL26]))).hint("merge")
     right = spread.withColumns({f"c{k}": F.col(f"c{k}") + F.col(f"o.d{k}") for k in range(3)}).drop("o")
     gap = F.sqrt(sum(((F.col(f"x{k}") - F.col(f"y{k}")) ** 2 for k in range(1, 3)), (F.col("x0") - F.col("y0")) ** 2))
     return left.join(right, ["case_id", "c0", "c1", "c2"]).withColumn("distance", gap).filter(F.col("distance") <= radius).drop("c0", "c1", "c2")
@@ -253,7 +254,7 @@ def nearest(a: DataFrame, b: DataFrame, first_radius: float = 2.0) -> DataFrame:
     left = written(a.select(columns).join(b.select("case_id").distinct(), "case_id", "left_semi"), "left")
     right, out, radius = written(b, "right"), None, first_radius
     while True:
-        looked = written(left.join(nearest_within(left, right, radius), ["case_id", "id_a"], "left"), "looked")
+        looked = written(left.join(nearest_within(left, right, radius).hint("merge"), ["case_id", "id_a"], "left"), "looked")
         hits = looked.filter("distance is not null").select("case_id", "id_a", "distance", "id_b")
         out = hits if out is None else out.unionByName(hits)
         left, radius = looked.filter("distance is null").select(columns), radius * 2
@@ -305,7 +306,7 @@ def components(mask: DataFrame, neighbours: int = 26) -> DataFrame:
     """Mask voxels with component, the first voxel of theirs in scan order."""
     steps = [o for o in (ALL26 if neighbours == 26 else FACES) if o > (0, 0, 0)]
     key = lambda names: F.struct("case_id", *(F.col(n).alias(f"a{k}") for k, n in enumerate(names)))
-    edges = moved(mask, steps).join(mask.select(KEY), KEY, "left_semi").select(key(AXES).alias("dst"), key(["b0", "b1", "b2"]).alias("src"))
+    edges = moved(mask, steps).join(mask.select(KEY).hint("merge"), KEY, "left_semi").select(key(AXES).alias("dst"), key(["b0", "b1", "b2"]).alias("src"))
     return connected_components(edges, mask.select(key(AXES).alias("node"))).select("node.*", F.col("component"))
 
 

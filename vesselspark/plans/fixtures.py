@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import size_by_memory
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    size_by_memory(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
