@@ -25,14 +25,22 @@ def adjacency(segments: DataFrame) -> DataFrame:
 
 
 def clear_pairs(junctions: DataFrame, mask: DataFrame, shapes: DataFrame, spacing: float = 0.5) -> DataFrame:
-    """(case_id, here, other): junctions nearer than REACH_MM whose straight line stays in the mask at max(3, whole length) places, ends included."""
-    left = junctions.select("case_id", F.col("node").alias("here"), *(F.col(f"p{k}").alias(f"x{k}") for k in range(3)))
-    right = junctions.select("case_id", F.col("node").alias("other"), *(F.col(f"p{k}").alias(f"y{k}") for k in range(3)))
+    """(case_id, here, other): junctions nearer than REACH_MM whose straight line stays in the mask at max(3, whole length) places, ends included.
+
+    Lines that begin or end outside the mask are left out before they are cut into places; only junctions inside are spread over cells.
+    """
+    held = mask.select(vox.KEY).distinct()
+    inside = lambda p, k: F.greatest(F.lit(0), F.least(F.col(f"n{k}") - 1, F.rint(p).cast("int"))).alias(f"a{k}")
+    right = junctions.select("case_id", F.col("node").alias("here"), *(F.col(f"p{k}").alias(f"y{k}") for k in range(3))).join(shapes, "case_id")
+    right = right.select("*", *(inside(F.col(f"y{k}"), k) for k in range(3))).join(held, vox.KEY, "left_semi").drop(*vox.AXES)
+    left = junctions.select("case_id", F.col("node").alias("other"), *(F.col(f"p{k}").alias(f"x{k}") for k in range(3)))
     pairs = vox.near_pairs(left, right, REACH_MM / spacing).filter((F.col("here") != F.col("other")) & (F.col("distance") * spacing < REACH_MM))
+    at = lambda t: [inside(F.col(f"y{k}") + t * (F.col(f"x{k}") - F.col(f"y{k}")), k) for k in range(3)]
+    pairs = pairs.select("*", *at(F.lit(1.0))).join(held, vox.KEY, "left_semi").drop(*vox.AXES)
     n = F.greatest(F.lit(3), F.floor("distance").cast("int"))
-    places = pairs.join(shapes, "case_id").withColumn("n", n).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("t", F.col("t") / (F.col("n") - 1))
-    at = [F.greatest(F.lit(0), F.least(F.col(f"n{k}") - 1, F.rint(F.col(f"x{k}") + F.col("t") * (F.col(f"y{k}") - F.col(f"x{k}"))).cast("int"))).alias(f"a{k}") for k in range(3)]
-    seen = places.select("case_id", "here", "other", *at).join(mask.select(*vox.KEY, F.lit(True).alias("held")), vox.KEY, "left")
+    # written, as so few of the lines are left that the planner's guesses for what follows would be far too high
+    places = written(pairs, "pairs").withColumn("n", n).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("t", F.col("t") / (F.col("n") - 1))
+    seen = places.select("case_id", "here", "other", *at(F.col("t"))).hint("merge").join(held.withColumn("held", F.lit(True)), vox.KEY, "left")
     return seen.groupBy("case_id", "here", "other").agg(F.bool_and(F.coalesce("held", F.lit(False))).alias("clear")).filter("clear").drop("clear")
 
 
@@ -104,7 +112,8 @@ def walk_to_split(segments: DataFrame, junctions: DataFrame, mask: DataFrame | N
     """(case_id, bif, main, branches) of cases whose walk from the root comes to a junction with two or more major branches: main are the segments on
     the way and what is minor beside it. Without a mask no junctions are joined. At most MOST_STEPS steps, a few joins each, serve all cases."""
     spark = segments.sparkSession
-    junctions = written(junctions, "junctions")
+    # few different places, so a file far smaller than what they take in memory
+    junctions = written(junctions, "junctions").hint("merge")
     edges = written(adjacency(segments), "edges")
     degrees = written(edges.groupBy("case_id", "here").agg(F.count("*").alias("degree")), "degrees")
     clear = None if mask is None else written(clear_pairs(junctions, mask, shapes, spacing), "clear")
