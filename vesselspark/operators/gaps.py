@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..session import drop_written, written
+from ..session import drop_written, keyed_by_part, parts_for, written
 from . import arteries, graph, metrics, profile
 from . import voxels as vox
 
@@ -104,36 +104,42 @@ def cheapest_paths(gaps: DataFrame, roi: DataFrame, hops: int = 3) -> DataFrame:
     costing the mean of its voxels' costs (over 0) times its length; ties go to the smaller voxel. Gaps without a way give no rows.
 
     All gaps relax together, `hops` steps a round; a voxel goes on only if it got cheaper, and no longer once it costs as much as the gap's far end, so
-    what lies beyond is not searched. Paths are then read off their parents by doubling.
+    what lies beyond is not searched. Paths are then read off their parents by doubling. A round deals its tables by gap once; its joins and minima find
+    the rows of a gap together, so no step is sent.
     """
     spark = roi.sparkSession
     key = ["gap_id", *vox.AXES]
     cells = written(roi.select(*key, "cost"), "cells")
+    gaps = written(gaps.select("gap_id", "a", "b"), "gaps")
+    parts = parts_for(spark, cells.count(), 300_000)
+    dealt = lambda rows: rows.repartition(parts, "gap_id")
     offsets = F.explode(vox.offsets(vox.ALL26)).alias("o")
     place = "struct<a0: int, a1: int, a2: int>"
     at = lambda end: gaps.select("gap_id", *(F.col(f"{end}.a{k}").cast("int").alias(f"a{k}") for k in range(3)))
     best = written(at("a").withColumns({"far": F.lit(0.0), "before": F.lit(None).cast(place)}).join(cells.select(*key), key, "left_semi"), "best")
     front = best
 
-    def step(rows: DataFrame) -> DataFrame:
-        """The neighbours of rows that get cheaper through them."""
-        out = rows.join(cells, key).select("gap_id", F.struct(*(F.col(a).cast("int").alias(a) for a in vox.AXES)).alias("before"), F.col("cost").alias("cost0"), "far", *vox.AXES, offsets)
+    def step(rows: DataFrame, wave: int, own: DataFrame, known: DataFrame, limit: DataFrame) -> DataFrame:
+        """rows, and the neighbours of those of the last wave that get cheaper through them, as the next wave."""
+        here = F.struct(*(F.col(a).cast("int").alias(a) for a in vox.AXES))
+        around = F.explode(F.when(F.col("wave") == wave, vox.offsets([(0, 0, 0), *vox.ALL26])).otherwise(vox.offsets([(0, 0, 0)]))).alias("o")
+        out = rows.join(own.hint("shuffle_hash"), key).select("gap_id", "before", "wave", here.alias("here"), F.col("cost").alias("cost0"), "far", *vox.AXES, around)
         length = F.sqrt(F.col("o.d0") ** 2 + F.col("o.d1") ** 2 + F.col("o.d2") ** 2)
-        out = out.select("gap_id", "before", "cost0", "far", length.alias("length"), *((F.col(a) + F.col(f"o.d{k}")).alias(a) for k, a in enumerate(vox.AXES))).join(cells, key)
-        out = out.select(*key, (F.col("far") + (F.col("cost0") + F.col("cost")) / 2 * F.col("length")).alias("far"), "before")
-        out = out.groupBy(*key).agg(F.min(F.struct("far", "before")).alias("m")).select(*key, "m.far", "m.before")
-        limit = at("b").join(best, key).select("gap_id", F.col("far").alias("limit"))
-        out = out.join(best.select(*key, F.col("far").alias("was")), key, "left").join(limit, "gap_id", "left")
-        return out.filter("(was is null or far < was - 1e-12) and (limit is null or far < limit)").select(*key, "far", "before")
+        out = out.select("gap_id", "before", "wave", "here", "cost0", "far", length.alias("length"), *((F.col(a) + F.col(f"o.d{k}")).alias(a) for k, a in enumerate(vox.AXES))).join(own.hint("shuffle_hash"), key)
+        new = F.struct((F.col("far") + (F.col("cost0") + F.col("cost")) / 2 * F.col("length")).alias("far"), F.col("here").alias("before"), F.lit(wave + 1).alias("wave"))
+        out = out.select(*key, F.when(F.col("length") > 0, new).otherwise(F.struct("far", "before", "wave")).alias("m"))
+        out = out.join(known.select(*key, F.col("far").alias("was")).hint("shuffle_hash"), key, "left").join(limit.hint("shuffle_hash"), "gap_id", "left")
+        # before the minimum, as the least of what is kept is the least of all
+        out = out.filter("(was is null or m.far < was - 1e-12) and (limit is null or m.far < limit)")
+        return out.groupBy(*key).agg(F.min("m").alias("m")).select(*key, "m.far", "m.before", "m.wave")
 
     while True:
-        waves = [step(front)]
-        for _ in range(hops - 1):
-            waves.append(step(waves[-1]))
-        new = waves[0]
-        for wave in waves[1:]:
-            new = new.unionByName(wave)
-        front = written(new.groupBy(*key).agg(F.min(F.struct("far", "before")).alias("m")).select(*key, "m.far", "m.before"), "front")
+        own, known, new = dealt(cells), dealt(best), dealt(front.withColumn("wave", F.lit(0)))
+        limit = dealt(at("b").join(best, key).select("gap_id", F.col("far").alias("limit")))
+        with keyed_by_part(spark):
+            for wave in range(hops):
+                new = step(new, wave, own, known, limit)
+            front = written(new.drop("wave"), "front")
         if front.isEmpty():
             break
         merged = written(best.join(front.select(*key), key, "left_anti").unionByName(front), "best")

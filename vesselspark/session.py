@@ -7,6 +7,7 @@ import math
 import tempfile
 import time
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,3 +82,15 @@ def parts_for(spark: SparkSession, amount: float, per_part: float, least: int |
     """Number of buckets so that each holds about per_part; it grows with the data and has no upper bound."""
     least = least or int(spark.conf.get("spark.sql.shuffle.partitions"))
     return max(least, math.ceil(amount / per_part))
+
+
+@contextmanager
+def keyed_by_part(spark: SparkSession):
+    """What runs in here may join tables that are dealt by a part of the join's key as they lie."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
