@@ -34,14 +34,16 @@ def regions_of_gaps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     starts = shapes(spark, sf_dir).select("case_id", F.explode(F.sequence(F.lit(0), F.col("n0") - 6, F.lit(8))).alias("low"))
     starts = starts.withColumn("gap_id", F.col("case_id") * 100_000 + F.col("low"))
     corner = lambda s: F.struct((F.col("low") + s).cast("int").alias("a0"), F.lit(s + 1).alias("a1"), F.lit(s + 1).alias("a2"))
-    roi = voxels(spark, sf_dir).join(starts, "case_id").filter("a0 between low and low + 5 and a1 between 1 and 6 and a2 between 1 and 6")
+    # a slice lies in one block or none, so a voxel meets its own block only and not all of its case
+    rows = voxels(spark, sf_dir).filter("a0 % 8 <= 5 and a1 between 1 and 6 and a2 between 1 and 6").withColumn("low", (F.col("a0") - F.col("a0") % 8).cast("int"))
+    roi = rows.join(starts, ["case_id", "low"])
     tube = (F.col("a1") + F.col("a2")) % 7 != 0
     roi = roi.select("gap_id", F.col("a0").cast("int").alias("a0"), "a1", "a2", (F.col("value") + 0.16).alias("p"), (F.col("value") > 0.25).alias("in_mask"), tube.alias("in_tube"))
     return starts.select("gap_id", corner(0).alias("a"), corner(5).alias("b"), (F.col("low") % 5 / 4).alias("radius_a"), F.lit(1.5).alias("radius_b")), roi
 
 
 def g25_threshold_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ends, roi = regions_of_gaps(spark, sf_dir)
+    ends, roi = (written(rows) for rows in regions_of_gaps(spark, sf_dir))
     return rounded(gaps.judge_bridges(gaps.threshold_bridges(ends, roi), roi, ends))
 
 
