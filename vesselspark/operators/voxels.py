@@ -124,14 +124,14 @@ def smooth_mask(mask: DataFrame, shapes: DataFrame, sigma: float) -> DataFrame:
 
 
 def corners(at: list[Column], sizes: list[Column]) -> Column:
-    """The eight grid corners around a fractional place, moved into the grid, with their weights."""
+    """The grid corners around a fractional place (eight in three axes), moved into the grid, with their weights."""
     low = [F.floor(F.greatest(F.lit(0.0), F.least(a, n - 1.0))) for a, n in zip(at, sizes, strict=True)]
     part = [F.greatest(F.lit(0.0), F.least(a, n - 1.0)) - b for a, n, b in zip(at, sizes, low, strict=True)]
     out = []
-    for o in itertools.product((0, 1), repeat=3):
+    for o in itertools.product((0, 1), repeat=len(at)):
         place = [F.least(b + s, n - 1).cast("int").alias(f"a{k}") for k, (b, s, n) in enumerate(zip(low, o, sizes, strict=True))]
         weight = [p if s else 1 - p for s, p in zip(o, part, strict=True)]
-        out.append(F.struct(*place, (weight[0] * weight[1] * weight[2]).alias("w")))
+        out.append(F.struct(*place, math.prod(weight[1:], start=weight[0]).alias("w")))
     return F.array(*out)
 
 
@@ -143,14 +143,38 @@ def sample_points(points: DataFrame, voxels: DataFrame, shapes: DataFrame, id_co
 
 
 def resample(voxels: DataFrame, shapes: DataFrame, spacing: tuple[float, float, float], target: tuple[float, float, float]) -> DataFrame:
-    """V4: linear resampling onto round(shape x spacing / target) voxels, edges held."""
+    """V4: linear resampling onto round(shape x spacing / target) voxels, edges held; absent voxels count 0, and a place with no voxel around it is left out.
+
+    Lines along the last axis are sent whole: a new line is made of the four old ones around it. A voxel has one row.
+    """
     new = [F.rint(F.col(f"n{k}") * (s / t)).cast("int") for k, (s, t) in enumerate(zip(spacing, target, strict=True))]
     grid = shapes.select("case_id", "n0", "n1", "n2", *(n.alias(f"m{k}") for k, n in enumerate(new)))
-    for k in range(3):
-        grid = grid.withColumn(f"g{k}", F.explode(F.sequence(F.lit(0), F.col(f"m{k}") - 1)))
-    at = [(F.col(f"g{k}") + 0.5) * (F.col(f"n{k}") / F.col(f"m{k}")) - 0.5 for k in range(3)]
-    rows = grid.select("case_id", "g0", "g1", "g2", F.inline(corners(at, [F.col(f"n{k}") for k in range(3)]))).join(voxels, KEY)
-    return rows.groupBy("case_id", "g0", "g1", "g2").agg(F.sum(F.col("w") * F.col("value")).alias("value")).toDF(*KEY, "value")
+    # dealt by slice: shapes are a row a case, and all of the new grid would be made in the task that holds them
+    parts = int(voxels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grid = grid.withColumn("g0", F.explode(F.sequence(F.lit(0), F.col("m0") - 1))).repartition(parts, "case_id", "g0")
+    grid = grid.withColumn("g1", F.explode(F.sequence(F.lit(0), F.col("m1") - 1)))
+    at = lambda k, g: (g + 0.5) * (F.col(f"n{k}") / F.col(f"m{k}")) - 0.5
+    around = corners([at(k, F.col(f"g{k}")) for k in (0, 1)], [F.col("n0"), F.col("n1")])
+
+    # places of a line by number, null where it has no voxel
+    line = voxels.filter("a2 >= 0").groupBy("case_id", "a0", "a1").agg(F.array_sort(F.collect_list(F.struct(F.col("a2").cast("int").alias("a2"), "value"))).alias("own"))
+    absent = F.when(F.lit(False), F.get("own", F.lit(0)))
+    step = lambda x, i: F.concat(F.array_repeat(absent, x["a2"] - F.when(i > 0, F.get("own", i - 1)["a2"]).otherwise(-1) - 1), F.array(x))
+    line = line.select("case_id", "a0", "a1", F.flatten(F.transform("own", step)).alias("line"))
+
+    rows = grid.select("case_id", "g0", "g1", "n2", "m2", F.inline(around)).join(line, ["case_id", "a0", "a1"])
+    rows = rows.groupBy("case_id", "g0", "g1", "n2", "m2").agg(F.collect_list(F.struct("w", "line")).alias("lines"))
+
+    def blended(g: Column) -> Column:
+        """The terms of a place: a line's weight times the place's own between two voxels of it."""
+        ends = corners([at(2, g)], [F.col("n2")])
+        term = lambda one, end: F.when(F.get(one["line"], end["a0"]).isNotNull(), F.struct((one["w"] * end["w"] * F.get(one["line"], end["a0"])["value"]).alias("x")))
+        return F.array_compact(F.flatten(F.transform(ends, lambda end: F.transform("lines", lambda one: term(one, end)))))
+
+    rows = rows.select("case_id", "g0", "g1", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("m2") - 1), blended)).alias("g2", "terms")).filter("size(terms) > 0")
+    known = F.filter("terms", lambda t: t["x"].isNotNull())
+    total = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda s, t: s + t["x"]))
+    return rows.select("case_id", "g0", "g1", "g2", total.alias("value")).toDF(*KEY, "value")
 
 
 def nearest_value(points: DataFrame, voxels: DataFrame, value: str, default: Column | None = None) -> DataFrame:
