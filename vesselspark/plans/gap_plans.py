@@ -120,7 +120,8 @@ def g29_verified_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def g30_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G30 over G21's tips, G22's pairs and the masks; pairs nearer than 2 mm stand for connected ones."""
-    classes, pairs = g21_tip_classes(spark, sf_dir), written(g22_gap_pairs(spark, sf_dir), "pairs")
+    ends = written(tips(spark, sf_dir), "tips")
+    classes, pairs = g21_tip_classes(spark, sf_dir, ends), written(g22_gap_pairs(spark, sf_dir, ends), "pairs")
     before, after, _ = masks(spark, sf_dir)
     return gaps.refinement_summary(classes, pairs, pairs.select("case_id", (F.col("distance_mm") < 2).alias("connected")), before, after)
 

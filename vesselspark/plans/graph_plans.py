@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, profile
 from ..operators import voxels as vox
+from ..session import written
 from .fixtures import MASKS, POINTS, VOXELS, graded, masks, points, voxels, with_ctes
 from .profile_plans import rounded
 from .voxel_plans import SHAPES, WEIGHTS, labelled, lerp, mirror, root, shapes
@@ -122,7 +123,7 @@ def g16_shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tips(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = skeleton(spark, sf_dir)
-    links = graph.neighbours(rows)
+    links = written(graph.neighbours(rows), "links")
     found = graph.tip_directions(graph.degrees(rows, links).filter("is_endpoint").select("case_id", "node"), links)
     return found.join(radii(spark, sf_dir), "node")
 
@@ -133,16 +134,16 @@ def g19_tip_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("case_id", PLACE("node").alias("place"), "d0", "d1", "d2", "beyond"))
 
 
-def g21_tip_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = graph.look_beyond(tips(spark, sf_dir), voxels(spark, sf_dir), 3, 1)
+def g21_tip_classes(spark: SparkSession, sf_dir: str, ends: DataFrame | None = None) -> DataFrame:
+    rows = graph.look_beyond(ends or tips(spark, sf_dir), voxels(spark, sf_dir), 3, 1)
     rows = rows.withColumns({"radius_mm": F.col("radius_mm") * 3, "beyond": F.col("beyond") * 5, "beyond_prob": F.col("beyond"), "fragment_size": 400 + F.col("node.a2") % 2 * 200, "largest_size": F.lit(5000), "fragment_tips": F.col("node.a1") % 4})
     wide = shapes(spark, sf_dir).withColumns({"n1": F.lit(80), "n2": F.lit(80)})
     return rounded(graph.classify_tips(rows, wide).select("case_id", PLACE("node").alias("place"), "is_valid", "reason", "confidence"))
 
 
-def g22_gap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def g22_gap_pairs(spark: SparkSession, sf_dir: str, ends: DataFrame | None = None) -> DataFrame:
     labels = components(spark, sf_dir).select(F.struct(*vox.KEY).alias("node"), root().alias("component"))
-    rows = graph.gap_pairs(tips(spark, sf_dir).join(labels, "node"), 4.0)
+    rows = graph.gap_pairs((ends or tips(spark, sf_dir)).join(labels, "node"), 4.0)
     return rounded(rows.select("case_id", PLACE("a").alias("a"), PLACE("b").alias("b"), "distance_mm", "alignment"))
 
 
