@@ -120,6 +120,7 @@ def test_resampled_grid_is_dealt(spark):
             known = [t for t in terms if t is not None]
             want[g] = round(sum(known), 9) if known else None
     assert want == {tuple(r[1:4]): r[4] if r[4] is None else round(r[4], 9) for r in df.collect()}
+    assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_tips_are_found_once(spark, tmp_path):

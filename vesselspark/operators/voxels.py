@@ -162,7 +162,8 @@ def resample(voxels: DataFrame, shapes: DataFrame, spacing: tuple[float, float,
     step = lambda x, i: F.concat(F.array_repeat(absent, x["a2"] - F.when(i > 0, F.get("own", i - 1)["a2"]).otherwise(-1) - 1), F.array(x))
     line = line.select("case_id", "a0", "a1", F.flatten(F.transform("own", step)).alias("line"))
 
-    rows = grid.select("case_id", "g0", "g1", "n2", "m2", F.inline(around)).join(line, ["case_id", "a0", "a1"])
+    # many rows for each of the grid's slices, which the planner takes for one: no side to broadcast
+    rows = grid.select("case_id", "g0", "g1", "n2", "m2", F.inline(around)).hint("merge").join(line, ["case_id", "a0", "a1"])
     rows = rows.groupBy("case_id", "g0", "g1", "n2", "m2").agg(F.collect_list(F.struct("w", "line")).alias("lines"))
 
     def blended(g: Column) -> Column:
