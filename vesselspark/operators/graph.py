@@ -116,12 +116,12 @@ def radius_profile(raw: DataFrame, resampled: DataFrame, distance: DataFrame, sh
     points count. Segments of fewer than three points are not smoothed.
     """
     place = ["p0", "p1", "p2"]
+    blocks = written(vox.value_blocks(distance), "blocks")
 
     def sampled(points: DataFrame) -> DataFrame:
-        points = points.select("case_id", F.struct("seg_id", "idx").alias("point_id"), *place)
-        value = vox.sample_points(points, distance, shapes).select("case_id", "point_id", (F.col("value") * spacing).alias("radius_mm"))
-        rows = points.join(value, ["case_id", "point_id"], "left").select("case_id", "point_id.seg_id", "point_id.idx", *place, F.coalesce("radius_mm", F.lit(0.0)).alias("radius_mm"))
-        return rows
+        points = points.select("case_id", F.struct("seg_id", "idx", *place).alias("point"), *place)
+        rows = vox.sample_blocks(points, blocks, shapes, "point", "left")
+        return rows.select("case_id", "point.*", F.coalesce(F.col("value") * spacing, F.lit(0.0)).alias("radius_mm"))
 
     first = written(sampled(resampled), "sampled")
     size = lambda rows, n: rows.groupBy("case_id", "seg_id").agg(F.count("*").alias(n))
